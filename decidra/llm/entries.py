@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decidra.llm import exact_dedup, packing, quality_rules
+from decidra.llm import exact_dedup, ngram_join, packing, quality_model, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_host_quality": quality_rules.op1_host_quality,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_quality_model": quality_model.op4_quality_model,
+        "op5_ngram_join": ngram_join.op5_ngram_join,
         "op9_packing": packing.op9_packing,
     }
 
