@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decidra.llm import exact_dedup, ngram_join, packing, quality_model, quality_rules
+from decidra.llm import exact_dedup, ngram_join, packing, quality_model, quality_rules, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_quality_model": quality_model.op4_quality_model,
         "op5_ngram_join": ngram_join.op5_ngram_join,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op9_packing": packing.op9_packing,
     }
 
