@@ -1,8 +1,9 @@
 """Exact dedup by a content sort, in DataFrame operations only.
 
-The normalised texts (all of `[\\x20\\x09-\\x0D]` deleted) are range-partitioned on themselves: Spark samples splitters
-over the keys. Each partition is then sorted externally, which puts equal texts side by side, and the window compares
-each whole text with its neighbour. Of equal texts the one with the most code points stays, then the smallest doc_id.
+The normalised texts (all of `[\\x20\\x09-\\x0D]` deleted) are range-partitioned on their first characters and a hash
+of the rest, so that the sampled splitters, which go through the driver, are short whatever the texts' length. Each
+partition is then sorted externally on these and the whole texts, which puts equal texts side by side, and the window
+compares each whole text with its neighbour. Of equal texts the one with the most code points stays, then the smallest doc_id.
 
 A text with very many copies would fill one range. Copies are therefore counted first (map-side combined, by a 64-bit
 hash, which only steers placement), and the rows of such a text get a salt as second sort key: its copies form several
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 from decidra.llm.common import cut, plain_text, table
 
 
+#: Characters of a text in the splitters.
+HEAD = 32
+
+
 def normalised(column: str = "text") -> F.Column:
     """The text without `[\\x20\\x09-\\x0D]`."""
     out = plain_text(column)
@@ -37,16 +42,17 @@ def exact_dedup(docs: DataFrame, salts: int = 64, hot_rows: int = 1000) -> DataF
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select("doc_id", F.length(plain_text()).cast("long").alias("_len"), normalised().alias("_norm"))
-    counts = base.groupBy(F.xxhash64("_norm").alias("_hash")).agg(F.count("*").alias("_n"))
+    base = base.withColumns({"_head": F.substring("_norm", 1, HEAD), "_hash": F.xxhash64("_norm")})
+    counts = base.groupBy("_hash").agg(F.count("*").alias("_n"))
     total = docs.count()
     hot = [r["_hash"] for r in counts.filter(F.col("_n") > max(hot_rows, total // (4 * parts))).select("_hash").collect()]
-    is_hot = F.xxhash64("_norm").isin(hot) if hot else F.lit(False)
-    salted = base.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64("doc_id"), F.lit(salts)) + 1).otherwise(F.lit(0)))
-    run = Window.partitionBy("_norm", "_salt")
+    salted = base.withColumn("_salt", F.when(F.col("_hash").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(salts)) + 1).otherwise(F.lit(0))) if hot else base
+    place = ["_head", "_hash", *(["_salt"] if hot else [])]
+    run = Window.partitionBy(*place, "_norm")
     best_first = run.orderBy(F.col("_len").desc(), F.col("doc_id").asc_nulls_last())
     whole = best_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    runs = salted.repartitionByRange("_norm", "_salt").select(
-        "doc_id", "_len", "_salt", F.row_number().over(best_first).alias("_row"),
+    runs = salted.repartitionByRange(*place).select(
+        "doc_id", "_len", *place[2:], F.row_number().over(best_first).alias("_row"),
         F.first("doc_id").over(whole).alias("keep_id"), F.count(F.lit(1)).over(whole).alias("group_size"),
         F.sha2("_norm", 256).alias("text_sha256"),
     )
