@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decidra.llm import exact_dedup, html_extract, ngram_join, packing, quality_model, quality_rules, suffix_dedup
+from decidra.llm import exact_dedup, html_extract, license_scan, ngram_join, packing, quality_model, quality_rules, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_html_extract": html_extract.op8_html_extract,
         "op9_packing": packing.op9_packing,
+        "op10_license_scan": license_scan.op10_license_scan,
     }
 
 
