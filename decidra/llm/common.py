@@ -90,22 +90,26 @@ def plain_text(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def ranked(df: DataFrame, groups: list[str], order: F.Column, per_bucket: int = 20_000, name: str = "pos") -> DataFrame:
-    """Adds `name`: the row's place (from 0) in its group (no nulls there) by `order`, a bigint spread evenly over 0 to 2^63.
+def running(df: DataFrame, groups: list[str], order: F.Column, value: F.Column | None = None, name: str = "pos", per_bucket: int = 5000, carry: DataFrame | None = None) -> DataFrame:
+    """Adds `name`: the sum of `value` over the group's rows before this one in `order` (by default their number).
 
-    A group's rows are cut into value ranges of `order` (its top bits), so a group that holds a third of all rows is
-    numbered by many tasks: rows are counted per (group, range) with map-side combining, ranges are summed in order,
-    and only a range's own rows are sorted together. df is read twice: give it a cheap or a written one."""
+    groups: columns without nulls. order: a bigint spread evenly over 0 to 2^63. A group's rows are cut into value ranges
+    of `order` (its top bits), so a group that holds a third of all rows is worked by many tasks: values are summed per
+    (group, range) with map-side combining, ranges are summed in order, and only a range's own rows are sorted together.
+    carry: columns by group that are joined on the way. df is read twice: give it a cheap or a written one."""
     bits = max(0, (max(1, df.count() // per_bucket) - 1).bit_length())
     keyed = df.withColumn("_order", order).withColumn("_range", F.shiftright(F.col("_order"), 63 - bits) if bits else F.lit(0).cast("long"))
-    sums = keyed.groupBy(*groups, "_range").agg(F.count("*").alias("_n"))
+    keyed = keyed.withColumn("_value", F.lit(1).cast("long") if value is None else value)
+    sums = keyed.groupBy(*groups, "_range").agg(F.sum("_value").alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*groups, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*groups, "_range").orderBy("_order")
-    placed = keyed.withColumn("_row", F.row_number().over(within)).join(sums, [*groups, "_range"])
-    return placed.withColumn(name, F.col("_before") + F.col("_row") - 1).drop("_order", "_range", "_row", "_before")
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    if carry is not None:
+        sums = sums.join(carry, groups)
+    within = Window.partitionBy(*groups, "_range").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn("_row", F.coalesce(F.sum("_value").over(within), F.lit(0))).join(sums, [*groups, "_range"])
+    return placed.withColumn(name, F.col("_before") + F.col("_row")).drop("_order", "_range", "_value", "_row", "_before")
 
 
 def spread(*columns: str, seed: int = 0) -> F.Column:
-    """A hash of these columns over 0 to 2^63, for ranked()."""
+    """A hash of these columns over 0 to 2^63, for running()."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 1)

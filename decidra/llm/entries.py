@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decidra.llm import exact_dedup, html_extract, license_scan, ngram_join, packing, quality_model, quality_rules, suffix_dedup
+from decidra.llm import chat_format, exact_dedup, html_extract, license_scan, mixing, ngram_join, packing, quality_model, quality_rules, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_host_quality": quality_rules.op1_host_quality,
+        "op2_mixing": mixing.op2_mixing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_quality_model": quality_model.op4_quality_model,
         "op5_ngram_join": ngram_join.op5_ngram_join,
+        "op6_chat_format": chat_format.op6_chat_format,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_html_extract": html_extract.op8_html_extract,
         "op9_packing": packing.op9_packing,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_host_quality": quality_rules.SQL, "op3_exact_dedup": exact_dedup.SQL}
+    return {"op1_host_quality": quality_rules.SQL, "op2_mixing": mixing.SQL, "op6_chat_format": chat_format.SQL, "op3_exact_dedup": exact_dedup.SQL}

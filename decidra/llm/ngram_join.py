@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decidra.llm.common import cut, plain_text, slices, small_batches, table
@@ -99,22 +99,39 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(name, "doc_id long, n_shingles long, set_id long")
 
 
+def size_class(n: np.ndarray, t: int) -> np.ndarray:
+    """Sets that can link are in the same class of sizes or in neighbouring ones."""
+    return np.floor(np.log(n) / -np.log(t / 100) + 1e-9).astype(np.int64)
+
+
+def with_partner(key: np.ndarray, n: np.ndarray, t: int) -> np.ndarray:
+    """For entries sorted by (key, n): whether another entry of the key has a size that allows a link."""
+    near = (key[1:] == key[:-1]) & (100 * n[:-1] >= t * n[1:])
+    out = np.zeros(len(key), bool)
+    out[1:] = near
+    out[:-1] |= near
+    return out
+
+
 def shared_counts(docs: DataFrame, n: int, t: int) -> DataFrame:
-    """set_id, shared: at least the number of n-grams in the set's wide prefix that other sets' wide prefixes have too."""
+    """set_id, shared: at least the number of n-grams in the set's wide prefix that the wide prefixes of sets of like size
+    have too."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = {_digest(s): s[: len(s) - needed(len(s), t) + extra(len(s), t)] for s in shingle_sets(batch["text"], n) if len(s)}
+            sets = {_digest(s): s for s in shingle_sets(batch["text"], n) if len(s)}
             if not sets:
                 continue
             ids = np.fromiter(sets, np.int64, len(sets))
-            gram = np.concatenate(list(sets.values()))
-            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets.values()])
-            distinct, number, times = np.unique(gram, return_inverse=True, return_counts=True)
-            here = times[number] > 1
+            sizes = np.array([len(s) for s in sets.values()], np.int64)
+            heads = [s[: len(s) - needed(len(s), t) + extra(len(s), t)] for s in sets.values()]
+            gram, owner = np.concatenate(heads), np.repeat(np.arange(len(sets)), [len(s) for s in heads])
+            order = np.lexsort((sizes[owner], gram))
+            gram, owner = gram[order], owner[order]
+            here = with_partner(gram, sizes[owner], t)
             own = np.bincount(owner[here], minlength=len(sets))
-            rows: dict[str, list] = {"bucket": [], "ids": [], "counts": [], "grams": [], "many": []}
+            rows: dict[str, list] = {"bucket": [], "ids": [], "sizes": [], "counts": [], "grams": [], "many": []}
 
             def out(bucket: int, *parts: bytes) -> None:
                 for column, x in zip(rows.values(), (bucket, *parts), strict=True):
@@ -122,55 +139,55 @@ def shared_counts(docs: DataFrame, n: int, t: int) -> DataFrame:
 
             known = np.flatnonzero(own)
             if len(known):
-                out(int(ids[known[0]] % buckets), ids[known].tobytes(), own[known].astype(np.uint32).tobytes(), b"", b"")
-            single, owner = gram[~here], owner[~here]
-            many = distinct[times > 1]
-            to, to_many = (single % np.uint64(buckets)).astype(np.int64), (many % np.uint64(buckets)).astype(np.int64)
-            order, order_many = np.argsort(to, kind="stable"), np.argsort(to_many, kind="stable")
+                out(int(ids[known[0]] % buckets), ids[known].tobytes(), b"", own[known].astype(np.uint32).tobytes(), b"", b"")
+            # of n-grams with partners in this batch, each class of sizes travels once
+            many, to_many = np.unique(np.column_stack([_short(gram[here]).astype(np.int64) | size_class(sizes[owner[here]], t) << 32, (gram[here] % np.uint64(buckets)).astype(np.int64)]), axis=0).T if here.any() else np.zeros((2, 0), np.int64)
+            gram, owner = gram[~here], owner[~here]
+            to = (gram % np.uint64(buckets)).astype(np.int64)
+            order, order_many = np.lexsort((owner, to)), np.argsort(to_many, kind="stable")
             at, at_many = np.searchsorted(to[order], np.arange(buckets + 1)), np.searchsorted(to_many[order_many], np.arange(buckets + 1))
-            short, short_many = _short(single)[order], _short(many)[order_many]
-            owner = owner[order]
+            short, many, owner = _short(gram)[order], many[order_many], owner[order]
             for k in range(buckets):
                 a, b, c, d = at[k], at[k + 1], at_many[k], at_many[k + 1]
                 if b > a or d > c:
-                    # an owner's n-grams of a bucket stand together: the sort is stable
                     firsts = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
-                    out(k, ids[owner[a:b][firsts]].tobytes(), np.diff(firsts, append=b - a).astype(np.uint32).tobytes(), short[a:b].tobytes(), short_many[c:d].tobytes())
+                    mine = owner[a:b][firsts]
+                    out(k, ids[mine].tobytes(), sizes[mine].astype(np.uint32).tobytes(), np.diff(firsts, append=b - a).astype(np.uint32).tobytes(), short[a:b].tobytes(), many[c:d].tobytes())
             yield pa.record_batch([pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in rows.items()], names=list(rows))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners, manys = [], [], []
+        keys, owners, widths, manys = [], [], [], []
         for batch in batches:
             done_ids, done = [], []
-            for bucket, ids, counts, grams, many in zip(*(batch[k].to_pylist() for k in ("bucket", "ids", "counts", "grams", "many")), strict=True):
+            for bucket, ids, sizes, counts, grams, many in zip(*(batch[k].to_pylist() for k in ("bucket", "ids", "sizes", "counts", "grams", "many")), strict=True):
                 ids, counts = np.frombuffer(ids, np.int64), np.frombuffer(counts, np.uint32)
                 if not grams and not many:
                     done_ids.append(ids)
                     done.append(counts)
                     continue
-                base = np.uint64(bucket) << np.uint64(32)
-                keys.append(np.frombuffer(grams, np.uint32).astype(np.uint64) | base)
+                # 32 bits of n-gram, 10 of size class, the rest bucket
+                keys.append(np.frombuffer(grams, np.uint32).astype(np.int64) | bucket << 42)
                 owners.append(np.repeat(ids, counts))
-                manys.append(np.frombuffer(many, np.uint32).astype(np.uint64) | base)
+                widths.append(np.repeat(np.frombuffer(sizes, np.uint32).astype(np.int64), counts))
+                manys.append(np.frombuffer(many, np.int64) | bucket << 42)
             if done:
                 yield _counts(np.concatenate(done_ids), np.concatenate(done))
         if keys:
-            key, owner, many = np.concatenate(keys), np.concatenate(owners), np.unique(np.concatenate(manys))
-            order = np.lexsort((owner, key))
-            key, owner = key[order], owner[order]
+            key, owner, width, many = np.concatenate(keys), np.concatenate(owners), np.concatenate(widths), np.unique(np.concatenate(manys))
+            order = np.lexsort((owner, width, key))
+            key, owner, width = key[order], owner[order], width[order]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-            key, owner = key[new], owner[new]
-            twice = np.zeros(len(key), bool)
-            twice[1:] = key[1:] == key[:-1]
-            twice[:-1] |= twice[1:].copy()
-            place = np.minimum(np.searchsorted(many, key), max(0, len(many) - 1))
+            key, owner, width = key[new], owner[new], width[new]
+            found = with_partner(key, width, t)
             if len(many):
-                twice |= many[place] == key
-            ids, times = np.unique(owner[twice], return_counts=True)
+                for near in (-1, 0, 1):
+                    wanted = key | np.maximum(size_class(width, t) + near, 0) << 32
+                    found |= many[np.minimum(np.searchsorted(many, wanted), len(many) - 1)] == wanted
+            ids, times = np.unique(owner[found], return_counts=True)
             yield _counts(ids, times)
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, ids binary, counts binary, grams binary, many binary")
+    dealt = docs.select("text").mapInArrow(deal, "bucket int, ids binary, sizes binary, counts binary, grams binary, many binary")
     return dealt.repartition("bucket").mapInArrow(count, "set_id long, shared long").groupBy("set_id").agg(F.sum("shared").alias("shared"))
 
 
@@ -225,21 +242,39 @@ def _pairs(x: DataFrame, t: int) -> DataFrame:
     ).distinct()
 
 
-def near_components(sets: DataFrame, t: int, rounds: int = 6) -> DataFrame | None:
-    """node, component over the documents of ordered_sets(); documents without links may be missing. None: no sets."""
+def _hops(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """node, component: every node of links or labels under the smallest label that is at most two links away, so nodes
+    with one label are connected. Coarser than components(), and much cheaper."""
+    both = links.union(links.select("b", "a")).toDF("node", "component")
+    near = both if labels is None else both.union(labels)
+    near = cut(near.groupBy("node").agg(F.least(F.min("component"), F.col("node")).alias("component")), "op5-near")
+    on = near.join(near.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left")
+    return cut(on.select("node", F.coalesce("next", "component").alias("component")), "op5-labels")
+
+
+def near_components(sets: DataFrame, t: int, rounds: int = 4) -> DataFrame | None:
+    """node, component over the documents of ordered_sets(); documents without links may be missing. None: no sets.
+
+    Each round compares, within an n-gram, everything with one leader: first with the document in the middle, then with
+    one from the largest label there. It is the last round
+    when the pairs between different labels are few (or after `rounds`): then each of those pairs is compared."""
     sets = cut(sets, "op5-ordered")
     segs = segments(sets)
     short = F.col("n") - F.ceil(F.lit(t) * F.col("n") / 100) + 1 - (F.col("n") - F.size("grams"))
-    prefix = sets.filter(short > 0).select("doc_id", "n", F.explode(F.slice("grams", F.lit(1), short.cast("int"))).alias("g")).select("doc_id", "n", F.col("g.gram").alias("gram"))
+    # a document whose n-grams are common among those left stands in the middle of its near copies
+    core = F.aggregate("grams", F.lit(0), lambda s, g: s + g["class"]) / F.col("n")
+    prefix = sets.filter(short > 0).select("doc_id", "n", core.alias("core"), F.explode(F.slice("grams", F.lit(1), short.cast("int"))).alias("g"))
+    prefix = prefix.select("doc_id", "n", "core", F.col("g.gram").alias("gram"))
     prefix = cut(prefix, "op5-prefix")
     entries, edges, labels = prefix.count(), None, None
     if not entries:
         return None
-    with_label = lambda: prefix.withColumn("component", F.col("doc_id")) if labels is None else prefix.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     for turn in range(rounds + 1):
-        at = with_label()
-        parts = at.groupBy("gram", "component").agg(F.count("*").alias("c"), F.min_by(F.struct("doc_id", "n"), F.xxhash64(F.lit(turn), "doc_id")).alias("lead"))
-        tokens = parts.groupBy("gram").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"), F.max_by("lead", F.struct("c", F.xxhash64(F.lit(turn), "lead"))).alias("lead"), F.max_by("component", F.struct("c", F.xxhash64(F.lit(turn), "lead"))).alias("lead_component"))
+        at = prefix.withColumn("component", F.col("doc_id")) if labels is None else prefix.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        pick = F.xxhash64(F.lit(turn), "doc_id") if turn else F.struct(-F.col("core"), F.col("doc_id"))
+        parts = at.groupBy("gram", "component").agg(F.count("*").alias("c"), F.min_by(F.struct("doc_id", "n"), pick).alias("lead"), F.max("core").alias("core"))
+        largest = F.struct("c", F.xxhash64(F.lit(turn), "lead")) if turn else F.struct("core", "c", -F.col("component"))
+        tokens = parts.groupBy("gram").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"), F.max_by(F.struct("lead", "component"), largest).alias("top"))
         tokens = cut(tokens.filter("open > 0"), "op5-open")
         todo = tokens.agg(F.sum("open")).first()[0] or 0
         if not todo:
@@ -250,13 +285,13 @@ def near_components(sets: DataFrame, t: int, rounds: int = 6) -> DataFrame | Non
             other = rest.select("gram", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
             found = rest.join(other, "gram").filter((F.col("component") != F.col("other_component")) & (F.col("doc_id") < F.col("other")))
         else:
-            found = at.join(tokens, "gram").filter("component <> lead_component").select("doc_id", "n", F.col("lead.doc_id").alias("other"), F.col("lead.n").alias("other_n"))
+            found = at.join(tokens, "gram").filter(F.col("component") != F.col("top.component")).select("doc_id", "n", F.col("top.lead.doc_id").alias("other"), F.col("top.lead.n").alias("other_n"))
         new = cut(linked(_pairs(found, t), segs, t), "op5-links")
         edges = new if edges is None else edges.union(new)
-        labels = cut(components(edges, "op5-components"), "op5-labels")
         if last:
             break
-    return labels
+        labels = _hops(new, labels)
+    return components(edges, "op5-components") if edges is not None else None
 
 
 def ngram_join(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:

@@ -5,7 +5,7 @@ one. What to put together depends on lengths alone, so the pieces are counted by
 `capacity` of them), and the plan is made on these counts: around the largest piece left, undominated fillings of the
 room are enumerated from large to small, with the best-fit filling as incumbent and its waste as bound; a filling is used
 for as many sequences as its counts allow at once. The last pieces, where waste arises, get a branch and bound over
-sequences. Pieces are then numbered within their length (ranked(): a common length is numbered by many tasks), and a
+sequences. Pieces are then numbered within their length (running(): a common length is numbered by many tasks), and a
 piece's number tells its sequence and place, without any shuffle of ids.
 
 A null text is empty: only the end id. Rows that share a doc_id are packed like different documents. Columns beyond
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decidra.llm.common import cut, plain_text, ranked, slices, small_batches, spread, table
+from decidra.llm.common import cut, plain_text, running, slices, small_batches, spread, table
 from decidra.llm.tokens import END, ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -182,7 +182,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             added = {"sequence_id": found[:, 3] + step // found[:, 2], "offset": found[:, 4] + step % found[:, 2] * length}
             yield pa.record_batch({n: batch[n] for n in ("doc_id", "piece", "start", "length", "ids_crc32")} | {k: pa.array(v) for k, v in added.items()})
 
-    return ranked(pieces, ["length"], spread("doc_id", "piece"), name="_number").mapInArrow(place, PLACED)
+    return running(pieces, ["length"], spread("doc_id", "piece"), name="_number").mapInArrow(place, PLACED)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None) -> DataFrame:
