@@ -256,8 +256,8 @@ def near_components(sets: DataFrame, t: int, rounds: int = 4) -> DataFrame | Non
     """node, component over the documents of ordered_sets(); documents without links may be missing. None: no sets.
 
     Each round compares, within an n-gram, everything with one leader: first with the document in the middle, then with
-    one from the largest label there. It is the last round
-    when the pairs between different labels are few (or after `rounds`): then each of those pairs is compared."""
+    one from the largest label there. When the pairs between different labels are few, or a round has not halved them, or
+    after `rounds`, each of those pairs is compared."""
     sets = cut(sets, "op5-ordered")
     segs = segments(sets)
     short = F.col("n") - F.ceil(F.lit(t) * F.col("n") / 100) + 1 - (F.col("n") - F.size("grams"))
@@ -266,7 +266,7 @@ def near_components(sets: DataFrame, t: int, rounds: int = 4) -> DataFrame | Non
     prefix = sets.filter(short > 0).select("doc_id", "n", core.alias("core"), F.explode(F.slice("grams", F.lit(1), short.cast("int"))).alias("g"))
     prefix = prefix.select("doc_id", "n", "core", F.col("g.gram").alias("gram"))
     prefix = cut(prefix, "op5-prefix")
-    entries, edges, labels = prefix.count(), None, None
+    entries, edges, labels, before = prefix.count(), None, None, 0
     if not entries:
         return None
     for turn in range(rounds + 1):
@@ -279,7 +279,8 @@ def near_components(sets: DataFrame, t: int, rounds: int = 4) -> DataFrame | Non
         todo = tokens.agg(F.sum("open")).first()[0] or 0
         if not todo:
             break
-        last = turn == rounds or todo <= 4 * entries
+        last = turn == rounds or todo <= 4 * entries or turn > 0 and 2 * todo > before
+        before = todo
         if last:
             rest = at.join(tokens.select("gram"), "gram", "left_semi")
             other = rest.select("gram", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
