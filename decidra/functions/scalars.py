@@ -27,8 +27,8 @@ def round1(x: Column) -> Column:
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
-    """NaN stays NaN."""
-    return F.when(F.isnan(x), x).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), x)))
+    """NaN stays NaN and null stays null."""
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def fixed1(x: Column) -> Column:
@@ -158,7 +158,7 @@ def display_date(text: Column) -> Column:
 
 def grouped(x: Column) -> Column:
     """A number with separators of thousands, up to three decimals."""
-    return F.format_number(x, "#,##0.###")
+    return F.call_function("format_number", x, F.lit("#,##0.###"))
 
 
 # --- URLs

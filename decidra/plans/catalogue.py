@@ -1,9 +1,499 @@
-"""All queries of the product decision engine by name."""
+"""All queries of the product decision engine by name, and SQL for DuckDB that each must agree with."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import tempfile
+import uuid
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from decidra.functions import scalars as S
+from decidra.operators import advisor, catalog, pages, recommend, reviews
+from decidra.schemas import FIVE_CRITERIA
+from decidra.sources.readers import product_facts, table
+from decidra.streaming.reviews import distinct_events
+
+BUDGET = 910.0
+WEIGHTS = {"cooling": 5.0, "quietness": 4.0, "portability": 4.0, "battery": 3.0, "after_service": 3.0}
+EQUAL = dict.fromkeys(WEIGHTS, 3.0)
+#: Advisor weights, one of them for a criterion without scores.
+ADVISOR = {"noise": 8.0, "portability": 5.0, "cooling_capacity": 4.0, "value": 3.0, "power_consumption": 2.0, "durability_service": 1.0, "drainage": 0.0}
+#: The advisor's criteria over product facts; a score is unknown where (id + place) is a multiple of 7.
+SCORED = {"noise": "quietness", "portability": "portability", "cooling_capacity": "cooling", "power_consumption": "battery", "durability_service": "after_service"}
+CATEGORY = "SMALL"
+
+# --- shared SQL -------------------------------------------------------------------------------------------------------
+
+_pct = lambda c: f"sum(CASE WHEN {c} THEN 1 ELSE 0 END) * 100.0::DOUBLE / count(*)"
+PF = f"""s AS (SELECT l_partkey, count(*) AS review_count, {_pct("l_quantity >= 25")} AS cooling, {_pct("l_tax < 0.04::DOUBLE")} AS quietness, {_pct("l_discount < 0.05::DOUBLE")} AS battery,
+  {_pct("l_linestatus = 'F'")} AS after_service, {_pct("l_returnflag <> 'R'")} AS review_score, {_pct("l_linenumber <= 3")} AS popularity_score, {_pct("l_returnflag = 'N'")} AS availability_score,
+  {_pct("l_shipdate >= TIMESTAMP '1997-01-01'")} AS recency_score, min(l_shipdate) AS created_at, max(l_shipdate) AS updated_at FROM lineitem GROUP BY l_partkey),
+pf AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_type AS category, p_retailprice AS price, p_size::DOUBLE AS weight_kg, (100 - 2 * p_size)::DOUBLE AS portability,
+  substr(p_brand, 7)::DOUBLE * 4 AS brand_trust_score, p_partkey % 17 = 0 AS is_discontinued, s.* EXCLUDE (l_partkey), least(100, review_count * 2)::DOUBLE AS sales_rank_score,
+  p_partkey % 5 <> 0 AS analyzed, CASE WHEN p_partkey % 5 <> 0 THEN review_count * 2 END AS confidence FROM part JOIN s ON p_partkey = l_partkey)"""
+_RX = r"[\t\n\x0B\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_collapse = lambda x: f"trim(regexp_replace({x}, '{_RX}+', ' ', 'g'))"
+_trim = lambda x: f"regexp_replace({x}, '^{_RX}+|{_RX}+$', '', 'g')"
+
+
+def _decode(x: str) -> str:
+    for name, char in S.ENTITIES:
+        x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return _trim(x)
+
+
+def _score_sql(budget: float, weights: dict[str, float]) -> str:
+    total = sum(weights.values()) or 1
+    fit = "(0.0::DOUBLE" + "".join(f" + {c} * {w}::DOUBLE" for c, w in weights.items()) + f") / {total}::DOUBLE * 0.72::DOUBLE"
+    price = f"CASE WHEN price > {budget} THEN greatest(0.0::DOUBLE, 100.0::DOUBLE - ((price - {budget}::DOUBLE) / {budget}::DOUBLE) * 120.0::DOUBLE) ELSE 100.0::DOUBLE END" if budget > 0 else "100.0::DOUBLE"
+    return f"floor(({fit} + ({price}) * 0.18::DOUBLE + review_score * 0.1::DOUBLE) * 10 + 0.5::DOUBLE) / 10"
+
+
+_clamp = lambda x: f"greatest(0.0::DOUBLE, least(100.0::DOUBLE, {x}))"
+_MARKET = {
+    "sales": f"{_clamp('sales_rank_score')} * 0.3::DOUBLE", "review_count_part": f"{_clamp('least(100.0::DOUBLE, review_count / most * 100)')} * 0.25::DOUBLE", "rating": f"{_clamp('review_score')} * 0.2::DOUBLE",
+    "brand_trust": f"{_clamp('brand_trust_score')} * 0.1::DOUBLE", "interest": f"{_clamp('popularity_score')} * 0.1::DOUBLE", "recency": f"{_clamp('recency_score')} * 0.05::DOUBLE",
+}
+_round1 = lambda x: f"floor(({x}) * 10 + 0.5::DOUBLE) / 10"
+
+
+def _market_sql(by: str = "") -> str:
+    over = f"PARTITION BY {by}" if by else ""
+    parts = ", ".join(f"{_round1(p)} AS part_{n}" for n, p in _MARKET.items())
+    return f"""WITH {PF}, e AS (SELECT *, greatest(1, max(review_count) OVER ({over})) AS most FROM pf WHERE NOT is_discontinued AND availability_score >= 30),
+m AS (SELECT *, {_round1(" + ".join(_MARKET.values()))} AS market_score, {parts} FROM e)"""
+
+
+_MARKET_ORDER = "market_score DESC, availability_score DESC, review_count DESC, id"
+_scores_sql = {key: f"(CASE WHEN (id + {k}) % 7 = 0 THEN NULL ELSE {column} END)" for k, (key, column) in enumerate(SCORED.items(), 1)}
+_active = {k: w for k, w in ADVISOR.items() if w > 0}
+
+
+def _advisor_sql() -> str:
+    total = "0.0::DOUBLE" + "".join(f" + coalesce({_scores_sql[k]} * {w}::DOUBLE, 0.0)" for k, w in _active.items() if k in SCORED)
+    used = "0.0::DOUBLE" + "".join(f" + CASE WHEN {_scores_sql[k]} IS NULL THEN 0.0 ELSE {w}::DOUBLE END" for k, w in _active.items() if k in SCORED)
+    return f"""WITH {PF}, u AS (SELECT *, {total} AS t, {used} AS used FROM pf WHERE analyzed),
+a AS (SELECT *, floor(t / used + 0.5::DOUBLE)::BIGINT AS match_score, floor(used / {sum(_active.values())}::DOUBLE * 100 + 0.5::DOUBLE)::BIGINT AS coverage FROM u WHERE used > 0),
+m AS (SELECT *, floor(coverage * 0.7::DOUBLE + {_clamp("confidence::DOUBLE")} * 0.3::DOUBLE + 0.5::DOUBLE)::BIGINT AS sure FROM a)"""
+
+
+def _items_sql() -> str:
+    """A row per product and active criterion: id, ord, key, label, score, weight."""
+    from decidra.schemas import CRITERION_LABELS as L
+
+    rows = " UNION ALL ".join(f"SELECT id, {k} AS ord, '{key}' AS key, '{L.get(key, key)}' AS label, {_scores_sql.get(key, 'NULL::DOUBLE')} AS score, {w}::DOUBLE AS weight FROM pf WHERE analyzed" for k, (key, w) in enumerate(_active.items()))
+    return f"WITH {PF}, i AS ({rows})"
+
+
+# --- queries ----------------------------------------------------------------------------------------------------------
+
+
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    """Product facts with a stand-in for the stored analysis."""
+    known = F.col("id") % 5 != 0
+    return product_facts(spark, d).withColumns({"review_analysis": F.when(known, F.lit("{}")), "confidence": F.when(known, F.col("review_count") * 2)})
+
+
+def scores() -> dict[str, F.Column]:
+    return {key: F.when((F.col("id") + k) % 7 != 0, F.col(column)) for k, (key, column) in enumerate(SCORED.items(), 1)}
+
+
+def _recommended(budget: float, weights: dict[str, float]):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        scored = product_facts(spark, d).withColumn("score", S.round1(recommend.score(budget, weights)))
+        return recommend.rank_all(scored.select("id", "score"), F.col("score"))
+
+    return run
+
+
+def _exploded(df: DataFrame, items: F.Column, name: str, *keys: str) -> DataFrame:
+    return df.select(*keys, F.posexplode(items).alias("pos", name)).withColumn("pos", F.col("pos") + 1)
+
+
+def recommend_reasons(spark, d):
+    return _exploded(product_facts(spark, d), recommend.reasons(BUDGET, WEIGHTS), "reason", "id")
+
+
+def recommend_cautions(spark, d):
+    return _exploded(product_facts(spark, d), recommend.cautions(BUDGET, F.array("name", "brand", "category")), "caution", "id")
+
+
+def market_top5(spark, d):
+    return recommend.market_top(product_facts(spark, d)).select("id", "market_score", "rank")
+
+
+def market_top5_per_category(spark, d):
+    return recommend.market_top_by_category(product_facts(spark, d)).select("category", "id", "market_score", "rank")
+
+
+def market_breakdown(spark, d):
+    return recommend.market_scored(product_facts(spark, d)).select("id", "market_score", *(f"part_{p}" for p in _MARKET))
+
+
+def market_reasons(spark, d):
+    return _exploded(recommend.market_scored(product_facts(spark, d)), recommend.market_reasons(), "reason", "id")
+
+
+def catalog_search(spark, d):
+    return catalog.search(facts(spark, d), " SMALL ", analyzed_only=True).select("id", "name", "category")
+
+
+def _sorted(kind: str):
+    def run(spark, d):
+        order = catalog.sort_order(kind)
+        return recommend.with_rank(catalog.page(facts(spark, d), kind), *order).select("id", "rank")
+
+    return run
+
+
+# Hangul before Latin, as Korean collation has it
+NAMES = ["브리즈 캠핑 에어컨", "카투어 이동식 에어컨", "Zeta Cooler", "arctic mini", "가온 냉풍기", "Arctic Max", "하늘 선풍기", "나래 에어컨"]
+
+
+def catalog_sort_name_ko(spark, d):
+    names = spark.createDataFrame(list(enumerate(NAMES, 1)), "id long, name string")
+    return recommend.with_rank(catalog.page(names, "name"), *catalog.sort_order("name")).select("name", "rank")
+
+
+def analyzed_count(spark, d):
+    return facts(spark, d).agg(F.count_if(F.col("review_analysis").isNotNull()).alias("n"))
+
+
+def products_by_ids(spark, d):
+    wanted = spark.range(1).select(F.explode(S.truthy_ids(F.lit("1,x,0,3, 7 ,1e2"))).alias("w")).collect()
+    return catalog.by_ids(product_facts(spark, d), [int(r["w"]) for r in wanted]).select("id", "name")
+
+
+def product_pick(spark, d):
+    return catalog.pick(product_facts(spark, d), -1).select("id", "name")
+
+
+def advisor_match(spark, d):
+    best = advisor.advise(facts(spark, d).filter(F.col("category").contains(CATEGORY)), ADVISOR, scores(), F.col("confidence").cast("double"))
+    return best.select("id", "match_score", "coverage", F.col("confidence").alias("sure"), "rank")
+
+
+def advisor_match_per_category(spark, d):
+    best = advisor.advise_all(facts(spark, d), ADVISOR, scores(), F.col("confidence").cast("double"))
+    return best.select("category", "id", "match_score", "coverage", F.col("confidence").alias("sure"), "rank")
+
+
+def advisor_match_long(spark, d):
+    """The same match and coverage for weights that are a table."""
+    own = facts(spark, d).filter(F.col("review_analysis").isNotNull())
+    unpivoted = own.select("id", F.explode(F.create_map(*(x for k, c in scores().items() for x in (F.lit(k), c)))).alias("key", "score"))
+    return advisor.advise_long(unpivoted, spark.createDataFrame(list(_active.items()), "key string, weight double"))
+
+
+def _with_items(spark, d) -> DataFrame:
+    return facts(spark, d).filter(F.col("review_analysis").isNotNull()).withColumn("items", advisor.breakdown(_active, scores()))
+
+
+def advisor_breakdown(spark, d):
+    return _exploded(_with_items(spark, d), F.col("items"), "i", "id").select("id", "pos", "i.key", "i.label", "i.score", "i.weight", "i.contribution")
+
+
+def advisor_strongest3(spark, d):
+    return _exploded(_with_items(spark, d), advisor.strongest(F.col("items")), "i", "id").select("id", "pos", "i.key")
+
+
+def advisor_weakest2(spark, d):
+    return _exploded(_with_items(spark, d), advisor.weakest(F.col("items")), "i", "id").select("id", "pos", "i.key")
+
+
+#: id, cautions and negative points as stored (JSON text), scores.
+CAUTION_ROWS = [
+    (1, '[" loud at night ", "", 3, null, "loud at night", "heavy"]', '[{"topic": "size", "summary": "too big"}, {"topic": "cord"}]', 40.0, 75.0),
+    (2, '"no list"', '[{"summary": "too big"}, {}, null, {"topic": "", "summary": ""}, {"topic": "weight"}]', 88.5, 12.0),
+    (3, "[]", "{}", 10.0, 10.0),
+]
+
+
+def advisor_cautions(spark, d):
+    rows = spark.createDataFrame(CAUTION_ROWS, "id long, cautions string, negatives string, noise double, portability double")
+    items = advisor.breakdown({"noise": 8.0, "portability": 5.0}, {"noise": F.col("noise"), "portability": F.col("portability")})
+    said = advisor.caution_texts(items, S.json_texts(F.try_parse_json("cautions"), 2), S.json_points(F.try_parse_json("negatives"), 2))
+    return _exploded(rows, said, "caution", "id")
+
+
+START = [("a", "cooling_capacity", 9.0, 0), ("a", "noise", 9.0, 1), ("b", "value", 1.0, 0), ("c", "noise", 4.5, 0)]
+ANSWERS = [("a", "people", "5_plus"), ("a", "space", "car"), ("a", "power", "inverter"), ("a", "budget", "under_500"), ("a", "sleep_use", "true"), ("a", "frequent_move", "true"), ("b", "people", "3_4"), ("b", "space", "caravan"), ("b", "sleep_use", "false")]
+
+
+def weights_adjusted(spark, d):
+    start = spark.createDataFrame(START, "session string, key string, weight double, ord int")
+    return advisor.adjusted_weights(start, spark.createDataFrame(ANSWERS, "session string, question string, answer string"))
+
+
+def weights_top4(spark, d):
+    return recommend.with_rank(weights_adjusted(spark, d), F.desc("weight"), F.col("ord"), by=("session",)).filter("rank <= 4").select("session", "key", "rank")
+
+
+CRITERIA = [("noise", 5.0, 0), ("value", 7.0, 1), ("portability", 7.0, 2), ("drainage", 2.0, 3)]
+
+
+def analysis_join_weights(spark, d):
+    criteria = spark.createDataFrame(CRITERIA, "key string, default_weight double, ord int")
+    own = advisor.profile_weights(criteria, spark.createDataFrame([("noise", 9.0), ("drainage", 7.0)], "key string, weight double"))
+    return recommend.with_rank(own.orderBy(F.desc("weight"), "ord").limit(3), F.desc("weight"), F.col("ord")).select("key", "weight", "rank")
+
+
+def reviews_clean_dedupe(spark, d):
+    return _exploded(table(spark, d, "documents"), F.array_distinct(reviews.review_lines(F.col("text"))), "review", "doc_id")
+
+
+def reviews_cap100(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(reviews.distinct_reviews(F.col("text"))).alias("n"))
+
+
+def reviews_dedupe_by_key(spark, d):
+    turns = table(spark, d, "conversations").filter("role = 'user'")
+    key = F.when(F.col("turn") % 4 == 0, F.lit("first"))
+    return reviews.dedupe_by_key(turns, "conv_id", key, "text", ["turn"], most=100).select("conv_id", "pos", "turn", "text")
+
+
+def page_title(spark, d):
+    return table(spark, d, "pages").select("page_id", S.page_title(F.col("html")).alias("title"))
+
+
+def page_product_name(spark, d):
+    return pages.product_info(table(spark, d, "pages")).select("page_id", "product_name", "blocked")
+
+
+META_ROWS = [
+    (1, '<meta property="og:title" content="Cool &amp;amp; Quiet - 네이버 쇼핑"><meta name="description" content="short"><meta property="og:image" content="http://a/b.png">'),
+    (2, "<meta content='Second' property='og:title'><title>Other</title><META NAME=\"description\" CONTENT=\"\">"),
+    (3, '<meta property="og:title" content=""><meta content="Never" property="og:title"><meta name="twitter:title" content="Third | 쿠팡!">'),
+    (4, "<title>\n A  title : 네이버 </title><meta property='og:description' content='x &lt;y&gt;'>"),
+    (5, "<title>Access Denied</title>"),
+]
+
+
+def page_meta(spark, d):
+    return pages.product_info(spark.createDataFrame(META_ROWS, "page_id long, html string"))
+
+
+def page_probe(spark, d):
+    return pages.probe(table(spark, d, "pages"), ("the", "product"))
+
+
+def url_normalize(spark, d):
+    return table(spark, d, "pages").select("page_id", S.normalized_url(F.col("url")).alias("url"))
+
+
+HOSTS = ["example.com", "www.example.net"]
+
+
+def url_allowed(spark, d):
+    url = F.col("url")
+    return table(spark, d, "pages").select("page_id", S.allowed_url(url, HOSTS).alias("https_below"), S.allowed_url(url, HOSTS, False, ("http", "https")).alias("exact"), S.is_web_url(url).alias("web"))
+
+
+def _registry(spark, d) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.expr("p_partkey div 2").alias("origin_product_no"), F.concat(F.lit("https://shop.example.com/"), F.col("p_partkey")).alias("source_url"))
+
+
+def duplicate_origin(spark, d):
+    return catalog.duplicates(_registry(spark, d))
+
+
+def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    own = _registry(spark, d)
+    return own.filter("id % 2 = 0"), own.filter("id % 3 = 0").withColumn("name", F.concat("name", F.lit(" (new)")))
+
+
+def upsert_products(spark, d):
+    return catalog.upsert(*_sides(spark, d)).select("id", "name")
+
+
+def insert_products(spark, d):
+    return catalog.insert_new(*_sides(spark, d)).select("id", "name")
+
+
+def update_product(spark, d):
+    own = _registry(spark, d).withColumn("updated_at", F.lit("2024-01-01").cast("timestamp"))
+    return catalog.update(own, 4, F.lit("2025-02-03").cast("timestamp"), name="renamed", origin_product_no=7).select("id", "name", "origin_product_no", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
+def delete_product(spark, d):
+    return catalog.delete(_registry(spark, d), 4).select("id", "name")
+
+
+def json_extract_scores(spark, d):
+    own = table(spark, d, "events").withColumn("v", F.try_parse_json("props"))
+    return own.select("event_id", S.usable_score(S.json_number(F.try_variant_get("v", "$.k", "variant"))).alias("score"))
+
+
+SCORE_ROWS = [(1, '{"criterionScores": {"noise": 72.5, "portability": "72.5", "value": null, "drainage": -3, "installation": 130, "power_consumption": "x", "cooling_capacity": "", "durability_service": true}, "criterionReasons": {"noise": " quiet ", "value": 3}}'), (2, '```json\n{"criterionScores": [1], "criterionReasons": null}\n```'), (3, "no json")]
+
+
+def normalize_scores(spark, d):
+    rows = spark.createDataFrame(SCORE_ROWS, "id long, analysis string")
+    score, reason = reviews.normalized(F.col("analysis"))
+    each = rows.select("id", F.explode(F.map_zip_with(score, reason, lambda _, s, r: F.struct(s.alias("score"), r.alias("reason")))).alias("key", "v"))
+    return each.select("id", "key", "v.score", "v.reason")
+
+
+def display_date(spark, d):
+    text = F.when(F.col("id") % 10 == 0, F.lit("unknown")).otherwise(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+    return product_facts(spark, d).select("id", S.display_date(text).alias("text"))
+
+
+def review_analysis_stub(spark, d):
+    own = table(spark, d, "documents").select(F.col("doc_id").alias("product"), F.posexplode(reviews.distinct_reviews(F.col("text"))).alias("pos", "review"))
+    found = reviews.analyze(own)
+    return found.select(F.col("product").alias("doc_id"), F.try_variant_get(F.try_parse_json("analysis"), "$.reviewCount", "bigint").alias("review_count"))
+
+
+def stream_distinct_events(spark, d):
+    """Events as a stream, each event_id once; read as files arrive, and written until all there are is read."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="decidra-")
+    at = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, d, "events").schema
+    events = distinct_events(spark.readStream.schema(schema).parquet(f"{d}/events*.parquet"))
+    events.select("event_id", "event_type", "value").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "recommend_budget": _recommended(BUDGET, WEIGHTS), "recommend_no_budget": _recommended(0, EQUAL), "recommend_reasons": recommend_reasons, "recommend_cautions": recommend_cautions,
+        "market_top5": market_top5, "market_top5_per_category": market_top5_per_category, "market_breakdown": market_breakdown, "market_reasons": market_reasons,
+        "catalog_search": catalog_search, "catalog_sort_analysis": _sorted("analysis"), "catalog_sort_confidence": _sorted("confidence"), "catalog_sort_newest": _sorted("newest"), "catalog_sort_created": _sorted("created"),
+        "catalog_sort_name_ko": catalog_sort_name_ko, "analyzed_count": analyzed_count, "products_by_ids": products_by_ids, "product_pick": product_pick,
+        "advisor_match": advisor_match, "advisor_match_per_category": advisor_match_per_category, "advisor_match_long": advisor_match_long, "advisor_breakdown": advisor_breakdown,
+        "advisor_strongest3": advisor_strongest3, "advisor_weakest2": advisor_weakest2, "advisor_cautions": advisor_cautions,
+        "weights_adjusted": weights_adjusted, "weights_top4": weights_top4, "analysis_join_weights": analysis_join_weights,
+        "reviews_clean_dedupe": reviews_clean_dedupe, "reviews_cap100": reviews_cap100, "reviews_dedupe_by_key": reviews_dedupe_by_key, "review_analysis_stub": review_analysis_stub,
+        "page_title": page_title, "page_product_name": page_product_name, "page_meta": page_meta, "page_probe": page_probe, "url_normalize": url_normalize, "url_allowed": url_allowed,
+        "duplicate_origin": duplicate_origin, "upsert_products": upsert_products, "insert_products": insert_products, "update_product": update_product, "delete_product": delete_product,
+        "json_extract_scores": json_extract_scores, "normalize_scores": normalize_scores, "display_date": display_date, "stream_distinct_events": stream_distinct_events,
+    }
+
+
+# --- SQL --------------------------------------------------------------------------------------------------------------
+
+
+def _quote(x) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+
+def _values(rows: list[tuple], name: str, columns: str) -> str:
+    return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(_quote, r)) + ')' for r in rows)})"
+
+
+def _lists(parts: list[str]) -> str:
+    """An array of those of these that are not null."""
+    return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
+
+
+def _unnested(source: str, items: str, name: str, key: str = "id") -> str:
+    return f"SELECT {key}, generate_subscripts(xs, 1)::INTEGER AS pos, unnest(xs) AS {name} FROM (SELECT {key}, {items} AS xs FROM {source})"
+
+
+def _product_name_sql(x: str) -> str:
+    for shop in S.SHOP_SUFFIXES:
+        x = f"regexp_replace({x}, '(?i){_RX}*[:|\\-]{_RX}*{shop}[^\\n\\r\\x{{2028}}\\x{{2029}}]*$', '')"
+    return f"nullif({_collapse(x)}, '')"
+
+
+def _meta_sql(attribute: str, value: str) -> str:
+    named = f"{attribute}=[\"'']{value.replace(':', '[:]')}[\"'']"
+    before = f"(?i)<meta[^>]+{named}[^>]+content=[\"'']([^\"'']*)[\"''][^>]*>"
+    behind = f"(?i)<meta[^>]+content=[\"'']([^\"'']*)[\"''][^>]+{named}[^>]*>"
+    return f"nullif({_decode(f'''CASE WHEN regexp_matches(html, '{before}') THEN regexp_extract(html, '{before}', 1) ELSE regexp_extract(html, '{behind}', 1) END''')}, '')"
+
+
+def _page_info_sql(source: str) -> str:
+    blocked = " OR ".join(f"contains(html, '{m}')" for m in S.BLOCK_MARKERS)
+    raw = "nullif(regexp_extract(html, '(?i)<title[^>]*>([\\s\\S]*?)</title>', 1), '')"
+    return f"""SELECT page_id, coalesce({blocked}, false) AS blocked, coalesce({_meta_sql("property", "og:title")}, {_meta_sql("name", "twitter:title")}, {_decode(raw)}) AS title,
+  coalesce({_meta_sql("property", "og:description")}, {_meta_sql("name", "description")}) AS description, {_meta_sql("property", "og:image")} AS image FROM {source}"""
+
+
+def oracle_sql() -> dict[str, str]:
+    said = lambda c: f"CASE WHEN {c} >= 88 THEN '{FIVE_CRITERIA[c]} 점수가 높아 선택 조건과 잘 맞습니다.' END"
+    ranked = sorted(WEIGHTS, key=lambda c: -WEIGHTS[c])
+    amount = f"regexp_replace(regexp_replace(format('{{:t,.3f}}', price - {BUDGET}), '0+$', ''), '[.]$', '')"
+    reg = "reg AS (SELECT p_partkey AS id, p_name AS name, p_partkey // 2 AS origin, 'https://shop.example.com/' || p_partkey AS url FROM part), old AS (SELECT * FROM reg WHERE id % 2 = 0), inc AS (SELECT id, name || ' (new)' AS name, origin, url FROM reg WHERE id % 3 = 0)"
+    sort = lambda order: f"WITH {PF} SELECT id, row_number() OVER (ORDER BY {order}, id) AS rank FROM pf QUALIFY rank <= 10"
+    rules = _values([(q, a, k, v, i) for i, (q, a, k, v) in enumerate(advisor.RULES)], "rules", "question, answer, key, delta, rank_at")
+    adjusted = f"""WITH {_values(START, "st", "session, key, weight, ord")}, {_values(ANSWERS, "an", "session, question, answer")}, {rules},
+ad AS (SELECT session, key, sum(delta) AS delta, min(rank_at) AS pos FROM an JOIN rules USING (question, answer) GROUP BY ALL),
+w AS (SELECT session, key, least(10.0, coalesce(weight, 0.0) + coalesce(delta, 0))::DOUBLE AS weight, coalesce(ord, 1000 + pos)::INTEGER AS ord FROM st FULL JOIN ad USING (session, key))"""
+    lines = f"list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda s: {_collapse('s')}), lambda s: s <> '')"
+    first_lines = f"""WITH l AS (SELECT doc_id, generate_subscripts(xs, 1) AS i, unnest(xs) AS review FROM (SELECT doc_id, {lines} AS xs FROM documents)),
+f AS (SELECT doc_id, review, min(i) AS i FROM l GROUP BY ALL)"""
+    host = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1))"
+    scheme = "lower(regexp_extract(url, '^([A-Za-z]+)://', 1))"
+    bare = "regexp_replace(url, '[?#].*$', '')"
+    items = _items_sql()
+    strong = f"{items}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score * weight DESC, ord)::INTEGER AS pos FROM i WHERE score IS NOT NULL)"
+    weak = f"{items}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score, ord)::INTEGER AS pos FROM i WHERE score IS NOT NULL)"
+    strings = lambda c: f"coalesce(list_transform(list_filter(CASE WHEN json_type({c}) = 'ARRAY' THEN json_extract({c}, '$[*]') END, lambda v: json_type(v) = 'VARCHAR' AND {_trim(chr(40) + 'v ->> ' + chr(39) + '$' + chr(39) + chr(41))} <> ''), lambda v: {_trim(chr(40) + 'v ->> ' + chr(39) + '$' + chr(39) + chr(41))})[1:2], [])"
+    point = "concat_ws(': ', nullif(v ->> '$.topic', ''), nullif(v ->> '$.summary', ''))"
+    points = f"coalesce(list_filter(list_transform(CASE WHEN json_type(negatives) = 'ARRAY' THEN json_extract(negatives, '$[*]') END, lambda v: {point}), lambda t: t <> '')[1:2], [])"
+    number = lambda x: f"CASE WHEN {x} = floor({x}) THEN ({x})::BIGINT::VARCHAR ELSE ({x})::VARCHAR END"
+    low = lambda c, label: f"'{label} 점수는 ' || {number(c)} || '점으로 상대적으로 낮습니다.'"
+    raw_title = "nullif(regexp_extract(html, '(?i)<title[^>]*>([\\s\\S]*?)</title>', 1), '')"
+    score_keys = list(advisor.CRITERION_LABELS)
+    num = "CASE WHEN json_type(x) = 'NULL' THEN NULL WHEN json_type(x) = 'BOOLEAN' THEN (x::BOOLEAN)::INTEGER::DOUBLE WHEN json_type(x) = 'VARCHAR' THEN CASE WHEN (x ->> '$') = '' THEN 0.0 ELSE try_cast(x ->> '$' AS DOUBLE) END ELSE try_cast(x AS DOUBLE) END"
+    return {
+        "recommend_budget": f"WITH {PF} SELECT id, {_score_sql(BUDGET, WEIGHTS)} AS score, row_number() OVER (ORDER BY {_score_sql(BUDGET, WEIGHTS)} DESC, id) AS rank FROM pf",
+        "recommend_no_budget": f"WITH {PF} SELECT id, {_score_sql(0, EQUAL)} AS score, row_number() OVER (ORDER BY {_score_sql(0, EQUAL)} DESC, id) AS rank FROM pf",
+        "recommend_reasons": f"WITH {PF} {_unnested('pf', f'''list_concat({_lists([f"CASE WHEN price <= {BUDGET} THEN '설정한 예산 범위에 들어옵니다.' END"])}, ({_lists([said(c) for c in ranked])})[1:3])''', 'reason')}",
+        "recommend_cautions": f"WITH {PF} {_unnested('pf', f'''list_concat({_lists([f"CASE WHEN price > {BUDGET} THEN '예산보다 ' || {amount} || '원 높습니다.' END"])}, [name, brand])[1:3]''', 'caution')}",
+        "market_top5": f"{_market_sql()} SELECT id, market_score, row_number() OVER (ORDER BY {_MARKET_ORDER}) AS rank FROM m QUALIFY rank <= 5",
+        "market_top5_per_category": f"{_market_sql('category')} SELECT category, id, market_score, row_number() OVER (PARTITION BY category ORDER BY {_MARKET_ORDER}) AS rank FROM m QUALIFY rank <= 5",
+        "market_breakdown": f"{_market_sql()} SELECT id, market_score, {', '.join('part_' + p for p in _MARKET)} FROM m",
+        "market_reasons": f"{_market_sql()}, " + f"""q AS (SELECT id, {_lists(["CASE WHEN sales_rank_score >= 85 THEN '판매 지표가 우수한 시장 인기 제품' END",
+            "CASE WHEN review_count >= 1000 THEN '누적 리뷰가 많아 평가 신뢰도가 높은 제품' WHEN review_count >= 500 THEN '충분한 실사용 리뷰가 축적된 제품' END",
+            "CASE WHEN review_score >= 88 THEN '실사용자 만족도가 높은 제품' END", "CASE WHEN brand_trust_score >= 85 THEN '브랜드와 고객지원 신뢰도가 높은 제품' END", "CASE WHEN popularity_score >= 85 THEN '시장 관심도와 인지도가 높은 제품' END",
+            "CASE WHEN recency_score >= 85 THEN '비교적 최신 제품으로 시장성이 유지되는 제품' END", "CASE WHEN availability_score >= 85 THEN '현재 구매 가능성과 유통 접근성이 좋은 제품' END"])} AS r FROM m)
+            {_unnested('q', "CASE WHEN len(r) = 0 THEN ['판매, 리뷰, 브랜드, 관심도를 종합한 시장 점수가 양호한 제품'] ELSE r END", 'reason')}""",
+        "catalog_search": f"WITH {PF} SELECT id, name, category FROM pf WHERE analyzed AND (contains(lower(name), 'small') OR contains(lower(category), 'small'))",
+        "catalog_sort_analysis": sort("analyzed DESC, coalesce(confidence, -1) DESC"), "catalog_sort_confidence": sort("coalesce(confidence, -1) DESC"),
+        "catalog_sort_newest": sort("updated_at DESC NULLS LAST"), "catalog_sort_created": sort("created_at DESC NULLS FIRST"),
+        "catalog_sort_name_ko": f"WITH {_values(list(enumerate(NAMES, 1)), 'n', 'id, name')} SELECT name, row_number() OVER (ORDER BY name COLLATE ko, id) AS rank FROM n",
+        "analyzed_count": f"WITH {PF} SELECT count(*) FILTER (analyzed) AS n FROM pf",
+        "products_by_ids": f"WITH {PF} SELECT id, name FROM pf WHERE id IN (1, 3, 7, 100)",
+        "product_pick": f"WITH {PF} SELECT id, name FROM pf ORDER BY id LIMIT 1",
+        "advisor_match": f"{_advisor_sql()} SELECT id, match_score, coverage, sure, row_number() OVER (ORDER BY match_score DESC, sure DESC, id) AS rank FROM m WHERE contains(category, '{CATEGORY}') QUALIFY rank <= 5",
+        "advisor_match_per_category": f"{_advisor_sql()} SELECT category, id, match_score, coverage, sure, row_number() OVER (PARTITION BY category ORDER BY match_score DESC, sure DESC, id) AS rank FROM m QUALIFY rank <= 5",
+        "advisor_match_long": f"{_advisor_sql()} SELECT id, match_score, coverage FROM m",
+        "advisor_breakdown": f"{items} SELECT id, row_number() OVER (PARTITION BY id ORDER BY weight DESC, ord)::INTEGER AS pos, key, label, score, weight, CASE WHEN score * weight = floor(score * weight) THEN score * weight ELSE round((score * weight)::DECIMAL(38, 18), 1)::DOUBLE END AS contribution FROM i",
+        "advisor_strongest3": f"{strong} SELECT id, pos, key FROM r WHERE pos <= 3", "advisor_weakest2": f"{weak} SELECT id, pos, key FROM r WHERE pos <= 2",
+        "advisor_cautions": f"""WITH {_values(CAUTION_ROWS, "c", "id, cautions, negatives, noise, portability")},
+  w AS (SELECT id, list_concat(list_concat({strings("cautions")}, {points}), CASE WHEN noise <= portability THEN [{low("noise", "소음")}, {low("portability", "휴대성")}] ELSE [{low("portability", "휴대성")}, {low("noise", "소음")}] END) AS xs
+        FROM (SELECT id, cautions::JSON AS cautions, negatives::JSON AS negatives, noise::DOUBLE AS noise, portability::DOUBLE AS portability FROM c)),
+  e AS (SELECT id, generate_subscripts(xs, 1) AS i, unnest(xs) AS caution FROM w), f AS (SELECT id, caution, min(i) AS i FROM e GROUP BY ALL)
+  SELECT id, caution, row_number() OVER (PARTITION BY id ORDER BY i)::INTEGER AS pos FROM f QUALIFY pos <= 4""",
+        "weights_adjusted": f"{adjusted} SELECT * FROM w", "weights_top4": f"{adjusted} SELECT session, key, row_number() OVER (PARTITION BY session ORDER BY weight DESC, ord) AS rank FROM w QUALIFY rank <= 4",
+        "analysis_join_weights": f"WITH {_values(CRITERIA, 'c', 'key, d, ord')}, w(key, weight) AS (VALUES ('noise', 9.0), ('drainage', 7.0)) SELECT key, coalesce(weight, d)::DOUBLE AS weight, row_number() OVER (ORDER BY coalesce(weight, d) DESC, ord) AS rank FROM c LEFT JOIN w USING (key) QUALIFY rank <= 3",
+        "reviews_clean_dedupe": f"{first_lines} SELECT doc_id, review, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INTEGER AS pos FROM f",
+        "reviews_cap100": f"{first_lines} SELECT doc_id, least(100, count(i))::INTEGER AS n FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id",
+        "reviews_dedupe_by_key": f"""WITH t AS (SELECT conv_id, turn, {_collapse("text")} AS text FROM conversations WHERE role = 'user'),
+  k AS (SELECT *, coalesce(CASE WHEN turn % 4 = 0 THEN 'first' END, text) AS key FROM t WHERE text <> ''), f AS (SELECT conv_id, key, min(turn) AS turn FROM k GROUP BY ALL)
+  SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM k JOIN f USING (conv_id, key, turn) QUALIFY pos <= 100""",
+        "page_title": f"SELECT page_id, {_decode(raw_title)} AS title FROM pages",
+        "page_product_name": f"SELECT page_id, CASE WHEN NOT blocked THEN {_product_name_sql('title')} END AS product_name, blocked FROM ({_page_info_sql('pages')})",
+        "page_meta": f"WITH {_values(META_ROWS, 'h', 'page_id, html')} SELECT page_id, blocked, CASE WHEN NOT blocked THEN {_product_name_sql('title')} END AS product_name, CASE WHEN NOT blocked THEN title END AS title, CASE WHEN NOT blocked THEN description END AS description, CASE WHEN NOT blocked THEN image END AS image FROM ({_page_info_sql('h')})",
+        "page_probe": f"SELECT page_id, length(html) AS html_length, contains(html, 'the') OR contains(html, 'product') AS has_marker, {_trim(raw_title)} AS title FROM pages",
+        "url_normalize": f"SELECT page_id, regexp_replace({scheme} || '://' || {host} || substr({bare}, length(regexp_extract({bare}, '^[A-Za-z]+://[^/]*')) + 1), '/$', '') AS url FROM pages",
+        "url_allowed": f"SELECT page_id, {scheme} = 'https' AND ({' OR '.join(f'''{host} = '{h}' OR ends_with({host}, '.{h}')''' for h in HOSTS)}) AS https_below, {scheme} IN ('http', 'https') AND {host} IN ({', '.join(map(_quote, HOSTS))}) AS exact, {scheme} IN ('http', 'https') AS web FROM pages",
+        "duplicate_origin": f"WITH {reg} SELECT a.id, b.id AS other_id FROM reg a JOIN reg b ON a.origin = b.origin AND a.id <> b.id",
+        "upsert_products": f"WITH {reg} SELECT id, name FROM old WHERE id NOT IN (SELECT id FROM inc) UNION ALL SELECT id, name FROM inc",
+        "insert_products": f"WITH {reg} SELECT id, name FROM old UNION ALL SELECT id, name FROM inc WHERE origin NOT IN (SELECT origin FROM old) AND url NOT IN (SELECT url FROM old)",
+        "update_product": f"WITH {reg} SELECT id, CASE WHEN id = 4 THEN 'renamed' ELSE name END AS name, CASE WHEN id = 4 THEN 7 ELSE origin END AS origin_product_no, CASE WHEN id = 4 THEN '2025-02-03' ELSE '2024-01-01' END AS updated FROM reg",
+        "delete_product": f"WITH {reg} SELECT id, name FROM reg WHERE id <> 4",
+        "json_extract_scores": "SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND (props ->> '$.k')::DOUBLE BETWEEN 0 AND 100 THEN (props ->> '$.k')::DOUBLE END AS score FROM events",
+        "normalize_scores": f"""WITH {_values(SCORE_ROWS, "r", "id, analysis")},
+  p AS (SELECT id, CASE WHEN json_valid(t) THEN t::JSON END AS j FROM (SELECT id, trim(regexp_replace(regexp_replace(analysis, '^```json', ''), '```$', ''), chr(10) || ' ') AS t FROM r)),
+  k(ord, key) AS (VALUES {', '.join(f"({i}, '{k}')" for i, k in enumerate(score_keys))}),
+  v AS (SELECT id, key, json_extract(j, '$.criterionScores.' || key) AS x, json_extract(j, '$.criterionReasons.' || key) AS y FROM p, k)
+  SELECT id, key, CASE WHEN {num} IS NOT NULL THEN greatest(0.0, least(100.0, floor({num} + 0.5))) END AS score, CASE WHEN json_type(y) = 'VARCHAR' THEN trim(y ->> '$') ELSE '리뷰에서 판단할 근거가 충분하지 않습니다.' END AS reason FROM v""",
+        "display_date": f"WITH {PF} SELECT id, CASE WHEN id % 10 = 0 THEN '-' ELSE strftime(created_at, '%Y. %m. %d.') END AS text FROM pf",
+        "stream_distinct_events": "SELECT event_id, event_type, value FROM events",
+    }
