@@ -32,9 +32,14 @@ def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
 
 
 def fixed1(x: Column) -> Column:
-    """The exact binary value to one decimal, half up. Integral values need no detour through decimals."""
-    exact = F.round(x.cast("decimal(38,18)"), 1).cast("double")
-    return F.when(x == F.floor(x), x).otherwise(exact)
+    """The exact binary value to one decimal, half away from zero (for magnitudes up to 2^20).
+
+    20 x is compared with the odd number at the tie: x is split in two so that both products are exact."""
+    y = F.abs(x)
+    k = F.floor(y * 10).cast("double")
+    high = F.floor(y * 67108864.0).cast("double") / 67108864.0
+    beyond = (high * 20 - (k * 2 + 1)) + (y - high) * 20 >= 0
+    return F.signum(x) * (k + beyond.cast("double")) / 10
 
 
 def weight(x: Column, whole: bool = False) -> Column:
