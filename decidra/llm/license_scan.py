@@ -54,7 +54,7 @@ FEATURES = 1 << 14
 
 def features(text: F.Column) -> F.Column:
     """A paragraph's words and word pairs."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.concat(words, F.transform(F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("b")), lambda p: F.concat_ws(" ", p["a"], p["b"])))
 
 
