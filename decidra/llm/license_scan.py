@@ -103,10 +103,12 @@ def fit(spark: SparkSession, docs: DataFrame, negatives: int = 1000, seed: int =
     """Trains on the examples and fits the temperature on those held out."""
     families = [*TEMPLATES, "unknown", "none"]
     rows = examples(spark, docs, negatives, seed).collect()  # some hundred short paragraphs
-    data = spark.createDataFrame([(float(families.index(r["family"])), r["text"], r["held"]) for r in rows], "label double, paragraph string, held boolean").repartition(2)
+    data = spark.createDataFrame([(float(families.index(r["family"])), r["text"], r["held"]) for r in rows], "label double, paragraph string, held boolean").coalesce(1)
     hashed = HashingTF(inputCol="words", outputCol="_vector", numFeatures=FEATURES, binary=True).transform(data.withColumn("words", features(F.col("paragraph"))))
-    regression = LogisticRegression(featuresCol="_vector", labelCol="label", rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_prediction", family="multinomial", maxIter=60, regParam=2e-4, standardization=False)
-    model = regression.fit(hashed.filter(~F.col("held")).cache())
+    regression = LogisticRegression(featuresCol="_vector", labelCol="label", rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_prediction", family="multinomial", maxIter=30, regParam=2e-4, standardization=False)
+    known = hashed.filter(~F.col("held")).cache()
+    model = regression.fit(known)
+    known.unpersist()
     held = [(r["label"], r["s"]) for r in model.transform(hashed.filter("held")).select("label", vector_to_array("_raw").alias("s")).collect()]
     return LicenseModel(model, families, _temperature(held))
 
