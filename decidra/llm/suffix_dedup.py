@@ -304,7 +304,9 @@ def repeats(docs: DataFrame, size: int = 400, portion: int = 5000) -> tuple[Data
     every = cut(runs(long, size), "op7-runs")
     where = F.xxhash64("node", "place")
     shared = every.groupBy("least").agg(F.min(where).alias("lo"), F.max(where).alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-    chosen = every.join(shared.select("least", (F.col("n") > portion).alias("hot")), "least")
+    # written, so that the join reads two tables and Spark can split a very common minimizer's rows
+    shared = cut(shared.select("least", (F.col("n") > portion).alias("hot")), "op7-shared")
+    chosen = every.join(shared, "least")
     chosen = chosen.groupBy("node").agg(F.collect_set(F.struct("least", "place", "first", "last", "hot")).alias("runs"))
     reps = long.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     with_text = own.select("doc_id", "node", "text").join(chosen.join(reps, "node"), ["node", "doc_id"])
