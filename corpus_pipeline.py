@@ -26,8 +26,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays (of rows that even share their doc_id, one)."""
     kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), "text_sha256")
     named = docs.withColumn("_sha", F.sha2(exact_dedup.normalised(), 256))
-    own = named.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("text_sha256")), "left_semi")
-    first = Window.partitionBy("doc_id", "_sha").orderBy(F.length("text").desc_nulls_last())
+    own = named.join(kept, (F.col("_sha") == F.col("text_sha256")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # only rows that repeat the kept one are left here; the join has put them together already
+    first = Window.partitionBy("_sha").orderBy(F.length("text").desc_nulls_last())
     return own.withColumn("_row", F.row_number().over(first)).filter("_row = 1").select(COLUMNS)
 
 
