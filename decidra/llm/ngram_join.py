@@ -17,8 +17,8 @@ n - ceil(t n) + 1 of either, and k more of them if the prefixes are k longer:
    Every pair that could link two components is compared, so components lose no link.
 
 Texts are lower-cased in A-Z and split at `[\\x20\\x09-\\x0D]`. A text with fewer words than n is one n-gram; without
-words (or null) the set is empty and linked with nothing. Repeated rows are copies of one another. Columns beyond doc_id
-and text are ignored.
+words (or null) the set is empty and linked with nothing. Repeated rows are copies of one another. Documents without
+doc_id are linked with their exact copies only. Columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -101,7 +101,7 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
 
 def size_class(n: np.ndarray, t: int) -> np.ndarray:
     """Sets that can link are in the same class of sizes or in neighbouring ones."""
-    return np.floor(np.log(n) / -np.log(t / 100) + 1e-9).astype(np.int64)
+    return np.floor(np.log(n) / -np.log(min(t, 99) / 100) + 1e-9).astype(np.int64)
 
 
 def with_partner(key: np.ndarray, n: np.ndarray, t: int) -> np.ndarray:
