@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from decidra.functions import exchange as X
 from decidra.functions import scalars as S
 from decidra.operators import advisor, catalog, pages, recommend, reviews
 from decidra.schemas import FIVE_CRITERIA
@@ -291,6 +292,16 @@ def url_allowed(spark, d):
     return table(spark, d, "pages").select("page_id", S.allowed_url(url, HOSTS).alias("https_below"), S.allowed_url(url, HOSTS, False, ("http", "https")).alias("exact"), S.is_web_url(url).alias("web"))
 
 
+def url_parameters(spark, d):
+    own = table(spark, d, "pages").select("page_id", F.explode(X.parameters(F.col("url"))).alias("name", "value"))
+    return own
+
+
+def url_links(spark, d):
+    url = F.col("url")
+    return table(spark, d, "pages").select("page_id", X.origin_and_path(url).alias("place"), X.digits(url).alias("digits"), X.review_path(url, {"m.therou.example.com": "/m/reviews", "therha.example.com": "/reviews"}).alias("feed"))
+
+
 def _registry(spark, d) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.expr("p_partkey div 2").alias("origin_product_no"), F.concat(F.lit("https://shop.example.com/"), F.col("p_partkey")).alias("source_url"))
 
@@ -367,7 +378,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "advisor_strongest3": advisor_strongest3, "advisor_weakest2": advisor_weakest2, "advisor_cautions": advisor_cautions,
         "weights_adjusted": weights_adjusted, "weights_top4": weights_top4, "analysis_join_weights": analysis_join_weights,
         "reviews_clean_dedupe": reviews_clean_dedupe, "reviews_cap100": reviews_cap100, "reviews_dedupe_by_key": reviews_dedupe_by_key, "review_analysis_stub": review_analysis_stub,
-        "page_title": page_title, "page_product_name": page_product_name, "page_meta": page_meta, "page_probe": page_probe, "url_normalize": url_normalize, "url_allowed": url_allowed,
+        "page_title": page_title, "page_product_name": page_product_name, "page_meta": page_meta, "page_probe": page_probe, "url_normalize": url_normalize, "url_allowed": url_allowed, "url_parameters": url_parameters, "url_links": url_links,
         "duplicate_origin": duplicate_origin, "upsert_products": upsert_products, "insert_products": insert_products, "update_product": update_product, "delete_product": delete_product,
         "json_extract_scores": json_extract_scores, "normalize_scores": normalize_scores, "display_date": display_date, "stream_distinct_events": stream_distinct_events,
     }
@@ -483,6 +494,9 @@ f AS (SELECT doc_id, review, min(i) AS i FROM l GROUP BY ALL)"""
         "page_probe": f"SELECT page_id, length(html) AS html_length, contains(html, 'the') OR contains(html, 'product') AS has_marker, {_trim(raw_title)} AS title FROM pages",
         "url_normalize": f"SELECT page_id, regexp_replace({scheme} || '://' || {host} || substr({bare}, length(regexp_extract({bare}, '^[A-Za-z]+://[^/]*')) + 1), '/$', '') AS url FROM pages",
         "url_allowed": f"SELECT page_id, {scheme} = 'https' AND ({' OR '.join(f'''{host} = '{h}' OR ends_with({host}, '.{h}')''' for h in HOSTS)}) AS https_below, {scheme} IN ('http', 'https') AND {host} IN ({', '.join(map(_quote, HOSTS))}) AS exact, {scheme} IN ('http', 'https') AS web FROM pages",
+        "url_parameters": """WITH p AS (SELECT page_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS p FROM (SELECT page_id, string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&') AS ps FROM pages))
+  SELECT page_id, url_decode(split_part(p, '=', 1)) AS name, url_decode(regexp_replace(p, '^[^=]*=?', '')) AS value FROM p WHERE p <> '' QUALIFY row_number() OVER (PARTITION BY page_id, name ORDER BY i) = 1""",
+        "url_links": f"SELECT page_id, {scheme} || '://' || {host} || regexp_extract({bare}, '^[A-Za-z]+://[^/]*(.*)', 1) AS place, regexp_replace(url, '[^0-9]', '', 'g') AS digits, CASE {host} WHEN 'm.therou.example.com' THEN '/m/reviews' WHEN 'therha.example.com' THEN '/reviews' END AS feed FROM pages",
         "duplicate_origin": f"WITH {reg} SELECT a.id, b.id AS other_id FROM reg a JOIN reg b ON a.origin = b.origin AND a.id <> b.id",
         "upsert_products": f"WITH {reg} SELECT id, name FROM old WHERE id NOT IN (SELECT id FROM inc) UNION ALL SELECT id, name FROM inc",
         "insert_products": f"WITH {reg} SELECT id, name FROM old UNION ALL SELECT id, name FROM inc WHERE origin NOT IN (SELECT origin FROM old) AND url NOT IN (SELECT url FROM old)",

@@ -120,3 +120,22 @@ def test_analysis(spark):
     df = spark.createDataFrame([("p", k, f"review {k}") for k in range(250)], "product string, pos int, review string")
     body = json.loads(reviews.analyze(df).first().analysis)
     assert body["reviewCount"] == 200 and body["confidenceScore"] == 100
+
+
+def test_exchange(spark):
+    from decidra.functions import exchange as X
+
+    assert one(spark, "https://a.b/c?x=1&y=%20z&x=2&flag#q", "string", X.parameters) == {"x": "1", "y": " z", "flag": ""}
+    assert one(spark, "/p", "string", lambda c: X.link("/q", ids=F.lit("1,2 3"), none=F.lit(None).cast("string"))) == "/q?ids=1%2C2%203"
+    assert one(spark, "x", "string", lambda c: X.link("/q")) == "/q"
+    body = lambda t: one(spark, t, "string", lambda c: F.to_json(X.captured_body(c)))
+    assert json.loads(body('{"a": 1}')) == {"a": 1} and json.loads(body("a=1&b=x+y")) == {"a": "1", "b": "x y"} and body("nothing") is None
+    message = {"type": "reviews", "productId": "p1", "reviews": [" a  b ", "a b", 3, "", "c"]}
+    read = lambda m, tag="reviews", p="p1": one(spark, json.dumps(m), "string", lambda c: X.transfer(c, tag, F.lit(p)))
+    assert read(message) == ["a b", "c"] and read(message, tag="other") is None and read(message, p="p2") is None and read(message | {"reviews": 1}) == []
+    assert X.selection([1, 2]) == [1, 2]
+    with pytest.raises(ValueError):
+        X.selection([1])
+    assert one(spark, ["x", "y"], "array<string>", lambda r: X.review_prompt(F.lit("P"), F.lit("C"), r, ["noise"])).endswith("1. x\n2. y")
+    df = spark.createDataFrame([("ask",), (" ",), (None,)], "p string").select(X.answered(F.col("p"), str.upper).alias("a"))
+    assert sorted(r.a or "" for r in df.collect()) == ["", "", "ASK"]
