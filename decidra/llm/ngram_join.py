@@ -258,12 +258,12 @@ def near_components(sets: DataFrame, t: int, rounds: int = 4) -> DataFrame | Non
     Each round compares, within an n-gram, everything with one leader: first with the document in the middle, then with
     one from the largest label there. When the pairs between different labels are few, or a round has not halved them, or
     after `rounds`, each of those pairs is compared."""
-    sets = cut(sets, "op5-ordered")
-    segs = segments(sets)
-    short = F.col("n") - F.ceil(F.lit(t) * F.col("n") / 100) + 1 - (F.col("n") - F.size("grams"))
     # a document whose n-grams are common among those left stands in the middle of its near copies
     core = F.aggregate("grams", F.lit(0), lambda s, g: s + g["class"]) / F.col("n")
-    prefix = sets.filter(short > 0).select("doc_id", "n", core.alias("core"), F.explode(F.slice("grams", F.lit(1), short.cast("int"))).alias("g"))
+    sets = cut(sets.withColumn("core", core), "op5-ordered")
+    segs = segments(sets)
+    short = F.col("n") - F.ceil(F.lit(t) * F.col("n") / 100) + 1 - (F.col("n") - F.size("grams"))
+    prefix = sets.filter(short > 0).select("doc_id", "n", "core", F.explode(F.slice("grams", F.lit(1), short.cast("int"))).alias("g"))
     prefix = prefix.select("doc_id", "n", "core", F.col("g.gram").alias("gram"))
     prefix = cut(prefix, "op5-prefix")
     entries, edges, labels, before = prefix.count(), None, None, 0
