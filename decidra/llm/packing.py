@@ -14,6 +14,7 @@ doc_id and text are ignored; no documents give no rows.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -34,38 +35,51 @@ PLACED = PIECES + ", sequence_id long, offset long"
 def filling(room: int, left: dict[int, int], lengths: list[int], nodes: int = 2000, keep: int = 1) -> list[tuple[int, tuple[int, ...]]]:
     """Undominated fillings of room from `left` (length: count), by waste: the `keep` best found in so many nodes.
 
-    lengths: those of `left`, ascending. The first filling is the best-fit one (always the largest that fits); others
-    are entered only if they can waste less than the worst kept."""
+    lengths: those of `left`, ascending. The first filling is the best-fit one (always the largest that fits), and the
+    incumbent. A branch is cut where all smaller pieces together could not waste less than the worst filling kept, and a
+    filling is dominated, and dropped, if a piece in it could give way to a longer one within its waste."""
     found: list[tuple[int, tuple[int, ...]]] = []
-    budget = nodes
+    budget, used = nodes, Counter()
+    upto = [0]
+    for x in lengths:
+        upto.append(upto[-1] + x * left[x])
+
+    def dominated(waste: int, chosen: tuple[int, ...]) -> bool:
+        for x in set(chosen):
+            i = bisect_right(lengths, x)
+            while i < len(lengths) and lengths[i] - x <= waste:
+                if used[lengths[i]] < left[lengths[i]]:
+                    return True
+                i += 1
+        return False
 
-    def enter(room: int, below: int, chosen: tuple[int, ...], used: Counter) -> bool:
+    def enter(room: int, below: int, chosen: tuple[int, ...]) -> bool:
+        """Whether the search is over."""
         nonlocal budget
         i = bisect_right(lengths, min(room, below)) - 1
         leaf = True
         while i >= 0:
             x = lengths[i]
+            if used[x] < left[x]:
+                if not leaf and len(found) == keep and room - upto[i + 1] >= found[-1][0]:
+                    break
+                leaf = False
+                budget -= 1
+                used[x] += 1
+                over = enter(room - x, x, (*chosen, x))
+                used[x] -= 1
+                if over:
+                    return True
             i -= 1
-            if used[x] >= left[x]:
-                continue
-            if not leaf and len(found) >= keep:
-                # fillings without the larger pieces: at most what is left of x and smaller ones can come in
-                if budget <= 0:
-                    return found[0][0] == 0
-            leaf = False
-            budget -= 1
-            used[x] += 1
-            done = enter(room - x, x, (*chosen, x), used)
-            used[x] -= 1
-            if done or budget <= 0 and found:
-                return done
-        if leaf and not any(c == chosen for _, c in found):
+        if leaf and (not found or not dominated(room, chosen)):
             found.append((room, chosen))
             found.sort()
             del found[keep:]
-        return found and keep == 1 and found[0][0] == 0
+        return budget <= 0 or keep == 1 and found[0][0] == 0
 
-    enter(room, room, (), Counter())
+    # one level for each piece of a filling
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), room + 1000))
+    enter(room, room, ())
     return found
 
 

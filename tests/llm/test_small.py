@@ -387,6 +387,7 @@ def test_packing_needs_few_sequences():
         assert sum(t for _, t in plan) <= packing.least(counts, 100) + 1
     # a perfect packing that best fit alone misses
     assert sum(t for _, t in packing.pack_counts({6: 1, 5: 2, 4: 1, 3: 2, 2: 1}, 14)) == 2
+    assert sum(t for _, t in packing.pack_counts({1: 5000, 2000: 3}, 2048)) == 6
     with pytest.raises(ValueError):
         packing.pack_counts({101: 1}, 100)
 
