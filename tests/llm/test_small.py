@@ -403,3 +403,25 @@ def test_licenses(docs, rows, empty, spark):
     assert (got[102].n_unknown, got[103].n_license, got[104].n_paragraphs) == (1, 0, 0)
     assert license_scan.scan(docs, model).count() == len({r[0] for r in rows})
     assert license_scan.scan(empty, model).count() == 0
+
+
+def test_components(spark):
+    import random
+
+    from decidra.llm.components import components
+
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(1, 1), (7, 3), (3, 7)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(90)] + [(500, k) for k in range(501, 560)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
