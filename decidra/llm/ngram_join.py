@@ -199,16 +199,49 @@ def _counts(ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch({"set_id": pa.array(ids, pa.int64()), "shared": pa.array(counts.astype(np.int64), pa.int64())})
 
 
+def _places(bits: int) -> list[F.Column]:
+    return [F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(1 << bits)) for k in (1, 2)]
+
+
+def sieve(ids: DataFrame, bits: int = 26) -> np.ndarray:
+    """A Bloom filter of the doc_ids: 2^bits bits (8 MB) whatever their number, merged by ranges before it is read."""
+    place = ids.select(F.explode(F.array(*_places(bits))).alias("p")).groupBy(F.shiftright("p", 16).alias("part")).agg(F.collect_set(F.col("p").bitwiseAND(65535).cast("int")).alias("at"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for at in batch["at"]:
+                own = np.zeros(65536, bool)
+                own[at.values.to_numpy()] = True
+                rows.append(np.packbits(own, bitorder="little").tobytes())
+            yield pa.record_batch([batch["part"], pa.array(rows, pa.binary())], names=["part", "own"])
+
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in place.mapInArrow(pack, "part long, own binary").collect():
+        out[r["part"] * 8192 : (r["part"] + 1) * 8192] = np.frombuffer(r["own"], np.uint8)
+    return out
+
+
 def ordered_sets(docs: DataFrame, chosen: DataFrame, n: int, t: int) -> DataFrame:
     """doc_id, n, grams: the chosen documents' n-grams that others have too, in the global order (frequency class,
     hash), for those with enough of them to have a partner."""
+    # most texts end here, before any shuffle; the join decides
+    held = docs.sparkSession.sparkContext.broadcast(sieve(chosen))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = list(shingle_sets(batch["text"], n))
-            yield pa.record_batch([batch["doc_id"], pa.array([len(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["doc_id", "n", "grams"])
-
-    own = cut(docs.join(chosen, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, n long, grams array<long>"), "op5-sets")
+        bits = held.value
+        for batch in batches:
+            maybe = np.ones(batch.num_rows, bool)
+            for k in "ab":
+                p = batch[k].to_numpy()
+                maybe &= (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+            for own in slices(iter([batch.filter(pa.array(maybe))])):
+                found = list(shingle_sets(own["text"], n))
+                yield pa.record_batch([own["doc_id"], pa.array([len(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["doc_id", "n", "grams"])
+
+    a, b = _places(26)
+    wanted = docs.filter("doc_id is not null").select("doc_id", "text", a.alias("a"), b.alias("b"))
+    own = cut(wanted.mapInArrow(sets, "doc_id long, n long, grams array<long>").join(chosen, "doc_id", "left_semi"), "op5-sets")
     each = own.select("doc_id", "n", F.explode("grams").alias("gram"))
     often = each.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1").select("gram", F.floor(F.log2("df")).cast("int").alias("class"))
     back = each.join(often, "gram").groupBy("doc_id", "n").agg(F.array_sort(F.collect_set(F.struct("class", "gram"))).alias("grams"))
