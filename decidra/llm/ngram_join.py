@@ -23,7 +23,6 @@ doc_id are linked with their exact copies only. Columns beyond doc_id and text a
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
