@@ -17,8 +17,8 @@ n - ceil(t n) + 1 of either, and k more of them if the prefixes are k longer:
    Every pair that could link two components is compared, so components lose no link.
 
 Texts are lower-cased in A-Z and split at `[\\x20\\x09-\\x0D]`. A text with fewer words than n is one n-gram; without
-words (or null) the set is empty and linked with nothing. Repeated rows are copies of one another. Documents without
-doc_id are linked with their exact copies only. Columns beyond doc_id and text are ignored.
+words (or null) the set is empty and linked with nothing. Repeated rows are copies of one another. Rows without doc_id
+are linked like others, and name no component. Columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -198,6 +198,10 @@ def _counts(ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch({"set_id": pa.array(ids, pa.int64()), "shared": pa.array(counts.astype(np.int64), pa.int64())})
 
 
+#: Stands for a missing doc_id.
+NO_ID = -(1 << 63)
+
+
 def _places(bits: int) -> list[F.Column]:
     return [F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(1 << bits)) for k in (1, 2)]
 
@@ -222,8 +226,8 @@ def sieve(ids: DataFrame, bits: int = 26) -> np.ndarray:
 
 
 def ordered_sets(docs: DataFrame, chosen: DataFrame, n: int, t: int) -> DataFrame:
-    """doc_id, n, grams: the chosen documents' n-grams that others have too, in the global order (frequency class,
-    hash), for those with enough of them to have a partner."""
+    """set_id, n, grams: the chosen sets' n-grams that others have too, in the global order (frequency class, hash), for
+    those with enough of them to have a partner. chosen: doc_id and set_id of one document for each set."""
     # most texts end here, before any shuffle; the join decides
     held = docs.sparkSession.sparkContext.broadcast(sieve(chosen))
 
@@ -236,14 +240,16 @@ def ordered_sets(docs: DataFrame, chosen: DataFrame, n: int, t: int) -> DataFram
                 maybe &= (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
             for own in slices(iter([batch.filter(pa.array(maybe))])):
                 found = list(shingle_sets(own["text"], n))
-                yield pa.record_batch([own["doc_id"], pa.array([len(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["doc_id", "n", "grams"])
+                ids, sizes = pa.array([_digest(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64())
+                yield pa.record_batch([own["doc_id"], ids, sizes, pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["doc_id", "set_id", "n", "grams"])
 
     a, b = _places(26)
-    wanted = docs.filter("doc_id is not null").select("doc_id", "text", a.alias("a"), b.alias("b"))
-    own = cut(wanted.mapInArrow(sets, "doc_id long, n long, grams array<long>").join(chosen, "doc_id", "left_semi"), "op5-sets")
-    each = own.select("doc_id", "n", F.explode("grams").alias("gram"))
+    wanted = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).select("doc_id", "text", a.alias("a"), b.alias("b"))
+    own = wanted.mapInArrow(sets, "doc_id long, set_id long, n long, grams array<long>").join(chosen, ["doc_id", "set_id"], "left_semi")
+    own = cut(own.select("set_id", "n", "grams"), "op5-sets")
+    each = own.select("set_id", "n", F.explode("grams").alias("gram"))
     often = each.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1").select("gram", F.floor(F.log2("df")).cast("int").alias("class"))
-    back = each.join(often, "gram").groupBy("doc_id", "n").agg(F.array_sort(F.collect_set(F.struct("class", "gram"))).alias("grams"))
+    back = each.join(often, "gram").groupBy("set_id", "n").agg(F.array_sort(F.collect_set(F.struct("class", "gram"))).alias("grams"))
     return back.filter(100 * F.size("grams") >= t * F.col("n"))
 
 
@@ -285,14 +291,14 @@ def _hops(links: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def near_components(sets: DataFrame, t: int, rounds: int = 4) -> DataFrame | None:
-    """node, component over the documents of ordered_sets(); documents without links may be missing. None: no sets.
+    """node, component over the sets of ordered_sets(); sets without links may be missing. None: no sets.
 
     Each round compares, within an n-gram, everything with one leader: first with the document in the middle, then with
     one from the largest label there. When the pairs between different labels are few, or a round has not halved them, or
     after `rounds`, each of those pairs is compared."""
     # a document whose n-grams are common among those left stands in the middle of its near copies
     core = F.aggregate("grams", F.lit(0), lambda s, g: s + g["class"]) / F.col("n")
-    sets = cut(sets.withColumn("core", core), "op5-ordered")
+    sets = cut(sets.withColumn("core", core).withColumnRenamed("set_id", "doc_id"), "op5-ordered")
     segs = segments(sets)
     short = F.col("n") - F.ceil(F.lit(t) * F.col("n") / 100) + 1 - (F.col("n") - F.size("grams"))
     prefix = sets.filter(short > 0).select("doc_id", "n", "core", F.explode(F.slice("grams", F.lit(1), short.cast("int"))).alias("g"))
@@ -336,13 +342,15 @@ def ngram_join(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
     reps = cut(reps, "op5-reps")
     least = F.ceil(F.lit(t) * F.col("n") / 100)
     need = F.greatest(F.lit(1), F.floor(least / 5))
-    chosen = reps.join(shared_counts(own, n, t), "set_id").filter(F.col("shared") >= need).select(F.col("rep").alias("doc_id"))
+    chosen = reps.join(shared_counts(own, n, t), "set_id").filter(F.col("shared") >= need).select(F.coalesce("rep", F.lit(NO_ID)).alias("doc_id"), "set_id")
     labels = near_components(ordered_sets(own, cut(chosen, "op5-chosen"), n, t), t)
-    if labels is not None:
-        reps = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
+    if labels is None:
+        lead = reps.select("set_id", F.col("rep").alias("component_id"))
     else:
-        reps = reps.select("set_id", F.col("rep").alias("component_id"))
-    return named.join(reps, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+        own_label = reps.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("component"))
+        least = own_label.groupBy("component").agg(F.min("rep").alias("component_id"))
+        lead = own_label.join(least, "component").select("set_id", "component_id")
+    return named.join(lead, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
