@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from decidra.functions.scalars import clamp, fixed1, number_text, round_half_up, usable_score
 from decidra.operators.recommend import with_rank
-from decidra.schemas import CRITERION_LABELS
+from decidra.schemas import CRITERION_LABELS, GOOD_SCORE, LOW_SCORE, NO_REASON_STORED
 
 
 def clean_weights(weights: object) -> dict[str, float]:
@@ -57,7 +57,7 @@ def breakdown(weights: dict[str, float], scores: dict[str, Column], reasons: Col
         reason = F.try_element_at(reasons, F.lit(key)) if reasons is not None else F.lit(None).cast("string")
         rows.append(F.struct(
             F.lit(k).alias("ord"), F.lit(key).alias("key"), F.lit(CRITERION_LABELS.get(key, key)).alias("label"), s.alias("score"), F.lit(w).alias("weight"),
-            fixed1(s * F.lit(w)).alias("contribution"), F.coalesce(reason, F.lit("현재 리뷰 분석에서 별도 설명이 저장되지 않았습니다.")).alias("reason"),
+            fixed1(s * F.lit(w)).alias("contribution"), F.coalesce(reason, F.lit(NO_REASON_STORED)).alias("reason"),
         ))
     order = sorted(range(len(rows)), key=lambda k: -list(weights.values())[k])
     return F.array(*(rows[k] for k in order))
@@ -79,12 +79,12 @@ def weakest(items: Column, k: int = 2) -> Column:
 
 
 def reason_texts(items: Column) -> Column:
-    return F.transform(strongest(items), lambda x: F.concat(x["label"], F.lit(" 중요도 "), number_text(x["weight"]), F.lit("/10에서 제품 점수 "), number_text(x["score"]), F.lit("점을 기록했습니다.")))
+    return F.transform(strongest(items), lambda x: F.concat(x["label"], F.lit(GOOD_SCORE[0]), number_text(x["weight"]), F.lit(GOOD_SCORE[1]), number_text(x["score"]), F.lit(GOOD_SCORE[2])))
 
 
 def caution_texts(items: Column, cautions: Column, negatives: Column) -> Column:
     """At most four, each once: two cautions, two negative points, then the weakest criteria."""
-    weak = F.transform(weakest(items), lambda x: F.concat(x["label"], F.lit(" 점수는 "), number_text(x["score"]), F.lit("점으로 상대적으로 낮습니다.")))
+    weak = F.transform(weakest(items), lambda x: F.concat(x["label"], F.lit(LOW_SCORE[0]), number_text(x["score"]), F.lit(LOW_SCORE[1])))
     return F.slice(F.array_distinct(F.concat(cautions, negatives, weak)), 1, 4)
 
 

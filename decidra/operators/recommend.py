@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from decidra.functions.scalars import clamp, count_score, grouped, matches, round1
-from decidra.schemas import FIVE_CRITERIA
+from decidra.schemas import FIVE_CRITERIA, OVER_BUDGET, STRONG_CRITERION, WITHIN_BUDGET
 
 
 def score(budget: float, weights: dict[str, float]) -> Column:
@@ -25,15 +25,15 @@ def score(budget: float, weights: dict[str, float]) -> Column:
 def reasons(budget: float, weights: dict[str, float]) -> Column:
     """At most four reasons: the budget, then up to three criteria of 88 or more, heaviest first."""
     ranked = sorted(weights, key=lambda c: -weights[c])  # stable
-    strong = F.array_compact(F.array(*(F.when(F.col(c) >= 88, F.lit(f"{FIVE_CRITERIA[c]} 점수가 높아 선택 조건과 잘 맞습니다.")) for c in ranked)))
+    strong = F.array_compact(F.array(*(F.when(F.col(c) >= 88, F.lit(f"{FIVE_CRITERIA[c]} {STRONG_CRITERION}")) for c in ranked)))
     within = F.lit(True) if budget == 0 else F.col("price") <= budget
-    return F.concat(F.array_compact(F.array(F.when(within, F.lit("설정한 예산 범위에 들어옵니다.")))), F.slice(strong, 1, 3))
+    return F.concat(F.array_compact(F.array(F.when(within, F.lit(WITHIN_BUDGET)))), F.slice(strong, 1, 3))
 
 
 def cautions(budget: float, cons: Column) -> Column:
     """At most three cautions: how far over the budget, then the first two drawbacks."""
     beyond = F.lit(False) if budget == 0 else F.col("price") > budget
-    amount = F.concat(F.lit("예산보다 "), grouped(F.col("price") - F.lit(float(budget))), F.lit("원 높습니다."))
+    amount = F.concat(F.lit(OVER_BUDGET[0]), grouped(F.col("price") - F.lit(float(budget))), F.lit(OVER_BUDGET[1]))
     return F.slice(F.concat(F.array_compact(F.array(F.when(beyond, amount))), F.slice(cons, 1, 2)), 1, 3)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from decidra.functions.scalars import collapse, normalized_score, strip_code_fence, trim
-from decidra.schemas import CRITERION_LABELS
+from decidra.schemas import CRITERION_LABELS, NO_EVIDENCE
 
 
 def review_lines(text: Column) -> Column:
@@ -60,6 +60,6 @@ def normalized(analysis: Column) -> tuple[Column, Column]:
     v = F.try_parse_json(strip_code_fence(analysis))
     score = lambda k: normalized_score(F.try_variant_get(v, f"$.criterionScores.{k}", "variant"))
     raw = lambda k: F.try_variant_get(v, f"$.criterionReasons.{k}", "variant")
-    reason = lambda k: F.when(F.schema_of_variant(raw(k)) == "STRING", trim(F.try_variant_get(raw(k), "$", "string"))).otherwise("리뷰에서 판단할 근거가 충분하지 않습니다.")
+    reason = lambda k: F.when(F.schema_of_variant(raw(k)) == "STRING", trim(F.try_variant_get(raw(k), "$", "string"))).otherwise(NO_EVIDENCE)
     build = lambda f: F.create_map(*(x for k in CRITERION_LABELS for x in (F.lit(k), f(k))))
     return build(score), build(reason)

@@ -39,3 +39,12 @@ CRITERION_LABELS = {
     "cooling_capacity": "냉방 성능", "noise": "소음", "power_consumption": "소비전력", "portability": "휴대성", "installation": "설치 편의성",
     "drainage": "배수 관리", "power_compatibility": "전원 활용성", "durability_service": "내구성과 A/S", "value": "가격 대비 만족도",
 }
+
+# The sentences that are shown with results.
+STRONG_CRITERION = "점수가 높아 선택 조건과 잘 맞습니다."
+WITHIN_BUDGET = "설정한 예산 범위에 들어옵니다."
+OVER_BUDGET = ("예산보다 ", "원 높습니다.")
+NO_REASON_STORED = "현재 리뷰 분석에서 별도 설명이 저장되지 않았습니다."
+NO_EVIDENCE = "리뷰에서 판단할 근거가 충분하지 않습니다."
+GOOD_SCORE = (" 중요도 ", "/10에서 제품 점수 ", "점을 기록했습니다.")
+LOW_SCORE = (" 점수는 ", "점으로 상대적으로 낮습니다.")
