@@ -320,9 +320,13 @@ def near_components(sets: DataFrame, t: int, rounds: int = 4) -> DataFrame | Non
         last = turn == rounds or todo <= 4 * entries or turn > 0 and 2 * todo > before
         before = todo
         if last:
-            rest = at.join(tokens.select("gram"), "gram", "left_semi")
-            other = rest.select("gram", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
-            found = rest.join(other, "gram").filter((F.col("component") != F.col("other_component")) & (F.col("doc_id") < F.col("other")))
+            rest = at.join(tokens.select("gram"), "gram", "left_semi").select("gram", "doc_id", "n", "component")
+            rest = cut(rest.join(rest.groupBy("doc_id").agg(F.collect_list("gram").alias("head")), "doc_id"), "op5-rest")
+            other = rest.select("gram", *(F.col(c).alias(f"other_{c}") for c in ("n", "component", "head")), F.col("doc_id").alias("other"))
+            # a pair is made where its first common n-gram is, so once
+            once = (F.col("gram") == F.array_min(F.array_intersect("head", "other_head"))) & (100 * F.least("n", "other_n") >= t * F.greatest("n", "other_n"))
+            new_pair = (F.col("component") != F.col("other_component")) & (F.col("doc_id") < F.col("other"))
+            found = rest.withColumnRenamed("gram", "g").join(other, F.col("g") == F.col("gram")).filter(new_pair & once).select("doc_id", "n", "other", "other_n")
         else:
             found = at.join(tokens, "gram").filter(F.col("component") != F.col("top.component")).select("doc_id", "n", F.col("top.lead.doc_id").alias("other"), F.col("top.lead.n").alias("other_n"))
         new = cut(linked(_pairs(found, t), segs, t), "op5-links")
