@@ -154,6 +154,12 @@ def shared_counts(docs: DataFrame, n: int, t: int) -> DataFrame:
                     out(k, ids[mine].tobytes(), sizes[mine].astype(np.uint32).tobytes(), np.diff(firsts, append=b - a).astype(np.uint32).tobytes(), short[a:b].tobytes(), many[c:d].tobytes())
             yield pa.record_batch([pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in rows.items()], names=list(rows))
 
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(np.frombuffer(i, np.int64), np.frombuffer(c, np.int64)) for batch in batches for i, c in zip(batch["ids"].to_pylist(), batch["counts"].to_pylist(), strict=True)]
+        if parts:
+            ids, number = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            yield pa.record_batch({"set_id": pa.array(ids), "shared": pa.array(np.bincount(number, np.concatenate([p[1] for p in parts])).astype(np.int64))})
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners, widths, manys = [], [], [], []
         for batch in batches:
@@ -170,7 +176,7 @@ def shared_counts(docs: DataFrame, n: int, t: int) -> DataFrame:
                 widths.append(np.repeat(np.frombuffer(sizes, np.uint32).astype(np.int64), counts))
                 manys.append(np.frombuffer(many, np.int64) | bucket << 42)
             if done:
-                yield _counts(np.concatenate(done_ids), np.concatenate(done))
+                yield _counts(np.concatenate(done_ids), np.concatenate(done), buckets)
         if keys:
             key, owner, width, many = np.concatenate(keys), np.concatenate(owners), np.concatenate(widths), np.unique(np.concatenate(manys))
             order = np.lexsort((owner, width, key))
@@ -184,18 +190,26 @@ def shared_counts(docs: DataFrame, n: int, t: int) -> DataFrame:
                     wanted = key | np.maximum(size_class(width, t) + near, 0) << 32
                     found |= many[np.minimum(np.searchsorted(many, wanted), len(many) - 1)] == wanted
             ids, times = np.unique(owner[found], return_counts=True)
-            yield _counts(ids, times)
+            yield _counts(ids, times, buckets)
 
     dealt = docs.select("text").mapInArrow(deal, "bucket int, ids binary, sizes binary, counts binary, grams binary, many binary")
-    return dealt.repartition("bucket").mapInArrow(count, "set_id long, shared long").groupBy("set_id").agg(F.sum("shared").alias("shared"))
+    counted = dealt.repartition("bucket").mapInArrow(count, "bucket int, ids binary, counts binary")
+    return counted.repartition("bucket").mapInArrow(total, "set_id long, shared long")
 
 
 def _short(gram: np.ndarray) -> np.ndarray:
     return ((gram >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _counts(ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch({"set_id": pa.array(ids, pa.int64()), "shared": pa.array(counts.astype(np.int64), pa.int64())})
+def _counts(ids: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Counts by set, packed by a bucket of sets."""
+    to = ids % buckets
+    order = np.argsort(to, kind="stable")
+    at = np.searchsorted(to[order], np.arange(buckets + 1))
+    ids, counts = ids[order].astype(np.int64), counts[order].astype(np.int64)
+    rows = [(k, ids[a:b].tobytes(), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if b > a]
+    columns = list(zip(*rows, strict=True)) if rows else ([], [], [])
+    return pa.record_batch([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["bucket", "ids", "counts"])
 
 
 #: Stands for a missing doc_id.
@@ -270,9 +284,14 @@ def linked(pairs: DataFrame, segs: DataFrame, t: int) -> DataFrame:
     return overlap.filter(100 * F.col("common") >= t * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
+def can_link(t: int) -> F.Column:
+    """No more n-grams can be common than the m that a set shares with any other; a link needs t / (100 + t) of both sizes."""
+    return (100 + t) * F.least("m", "other_m") >= t * (F.col("n") + F.col("other_n"))
+
+
 def _pairs(x: DataFrame, t: int) -> DataFrame:
-    """Distinct (a, na, b, nb) of rows (doc_id, n, other, other_n) whose sizes allow a link."""
-    fits = (F.col("doc_id") != F.col("other")) & (100 * F.least("n", "other_n") >= t * F.greatest("n", "other_n"))
+    """Distinct (a, na, b, nb) of rows (doc_id, n, m, other, other_n, other_m) that can link."""
+    fits = (F.col("doc_id") != F.col("other")) & can_link(t)
     first = F.col("doc_id") < F.col("other")
     return x.filter(fits).select(
         F.when(first, F.col("doc_id")).otherwise(F.col("other")).alias("a"), F.when(first, F.col("n")).otherwise(F.col("other_n")).alias("na"),
@@ -301,8 +320,8 @@ def near_components(sets: DataFrame, t: int, rounds: int = 4) -> DataFrame | Non
     sets = cut(sets.withColumn("core", core).withColumnRenamed("set_id", "doc_id"), "op5-ordered")
     segs = segments(sets)
     short = F.col("n") - F.ceil(F.lit(t) * F.col("n") / 100) + 1 - (F.col("n") - F.size("grams"))
-    prefix = sets.filter(short > 0).select("doc_id", "n", "core", F.explode(F.slice("grams", F.lit(1), short.cast("int"))).alias("g"))
-    prefix = prefix.select("doc_id", "n", "core", F.col("g.gram").alias("gram"))
+    prefix = sets.filter(short > 0).select("doc_id", "n", F.size("grams").alias("m"), "core", F.explode(F.slice("grams", F.lit(1), short.cast("int"))).alias("g"))
+    prefix = prefix.select("doc_id", "n", "m", "core", F.col("g.gram").alias("gram"))
     prefix = cut(prefix, "op5-prefix")
     entries, edges, labels, before = prefix.count(), None, None, 0
     if not entries:
@@ -310,7 +329,7 @@ def near_components(sets: DataFrame, t: int, rounds: int = 4) -> DataFrame | Non
     for turn in range(rounds + 1):
         at = prefix.withColumn("component", F.col("doc_id")) if labels is None else prefix.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         pick = F.xxhash64(F.lit(turn), "doc_id") if turn else F.struct(-F.col("core"), F.col("doc_id"))
-        parts = at.groupBy("gram", "component").agg(F.count("*").alias("c"), F.min_by(F.struct("doc_id", "n"), pick).alias("lead"), F.max("core").alias("core"))
+        parts = at.groupBy("gram", "component").agg(F.count("*").alias("c"), F.min_by(F.struct("doc_id", "n", "m"), pick).alias("lead"), F.max("core").alias("core"))
         largest = F.struct("c", F.xxhash64(F.lit(turn), "lead")) if turn else F.struct("core", "c", -F.col("component"))
         tokens = parts.groupBy("gram").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"), F.max_by(F.struct("lead", "component"), largest).alias("top"))
         tokens = cut(tokens.filter("open > 0"), "op5-open")
@@ -320,15 +339,15 @@ def near_components(sets: DataFrame, t: int, rounds: int = 4) -> DataFrame | Non
         last = turn == rounds or todo <= 4 * entries or turn > 0 and 2 * todo > before
         before = todo
         if last:
-            rest = at.join(tokens.select("gram"), "gram", "left_semi").select("gram", "doc_id", "n", "component")
+            rest = at.join(tokens.select("gram"), "gram", "left_semi").select("gram", "doc_id", "n", "m", "component")
             rest = cut(rest.join(rest.groupBy("doc_id").agg(F.collect_list("gram").alias("head")), "doc_id"), "op5-rest")
-            other = rest.select("gram", *(F.col(c).alias(f"other_{c}") for c in ("n", "component", "head")), F.col("doc_id").alias("other"))
+            other = rest.select("gram", *(F.col(c).alias(f"other_{c}") for c in ("n", "m", "component", "head")), F.col("doc_id").alias("other"))
             # a pair is made where its first common n-gram is, so once
-            once = (F.col("gram") == F.array_min(F.array_intersect("head", "other_head"))) & (100 * F.least("n", "other_n") >= t * F.greatest("n", "other_n"))
+            once = (F.col("gram") == F.array_min(F.array_intersect("head", "other_head")))
             new_pair = (F.col("component") != F.col("other_component")) & (F.col("doc_id") < F.col("other"))
-            found = rest.withColumnRenamed("gram", "g").join(other, F.col("g") == F.col("gram")).filter(new_pair & once).select("doc_id", "n", "other", "other_n")
+            found = rest.withColumnRenamed("gram", "g").join(other, F.col("g") == F.col("gram")).filter(new_pair & can_link(t) & once).select("doc_id", "n", "m", "other", "other_n", "other_m")
         else:
-            found = at.join(tokens, "gram").filter(F.col("component") != F.col("top.component")).select("doc_id", "n", F.col("top.lead.doc_id").alias("other"), F.col("top.lead.n").alias("other_n"))
+            found = at.join(tokens, "gram").filter(F.col("component") != F.col("top.component")).select("doc_id", "n", "m", F.col("top.lead.doc_id").alias("other"), F.col("top.lead.n").alias("other_n"), F.col("top.lead.m").alias("other_m"))
         new = cut(linked(_pairs(found, t), segs, t), "op5-links")
         edges = new if edges is None else edges.union(new)
         if last:
