@@ -17,7 +17,8 @@ hashes, of which equal ones in a batch are merged before they are dealt.
 
 Documents with equal texts are one node: if they are long enough, all their bytes go, and one of them stands in for the
 others towards the rest. Texts are taken as UTF-8. A null or empty text has no bytes. Texts under `size` bytes stay whole.
-Repeated rows are equal texts. Columns beyond doc_id and text are ignored.
+Repeated rows are equal texts. A row without doc_id counts like any other, its doc_id stays null. Columns beyond doc_id and
+text are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from decidra.llm.suffix_array import suffix_array
 GRAM, BLOCK = 64, 16
 #: Bytes of regions that one suffix array is made of.
 PORTION_BYTES = 1 << 20
+#: Stands for a null doc_id where the texts of nodes are fetched. A row that has it as doc_id is only read once more.
+NO_ID = -(1 << 63)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -308,8 +311,11 @@ def repeats(docs: DataFrame, size: int = 400, portion: int = 5000) -> tuple[Data
     shared = cut(shared.select("least", (F.col("n") > portion).alias("hot")), "op7-shared")
     chosen = every.join(shared, "least")
     chosen = chosen.groupBy("node").agg(F.collect_set(F.struct("least", "place", "first", "last", "hot")).alias("runs"))
-    reps = long.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    with_text = own.select("doc_id", "node", "text").join(chosen.join(reps, "node"), ["node", "doc_id"])
+    reps = long.groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc_id"))
+    # rows without doc_id would all stand for their text: one of each text is left, combined before the shuffle
+    unnamed = long.filter("doc_id is null").groupBy("node").agg(F.first("text").alias("text")).select(F.lit(NO_ID).alias("doc_id"), "node", "text")
+    texts = long.filter("doc_id is not null").select("doc_id", "node", "text").union(unnamed)
+    with_text = texts.join(chosen.join(reps, "node"), ["node", "doc_id"])
     found = cut(regions(with_text, size), "op7-regions")
     spans = repeated_spans(found.filter(~F.col("hot")), size).union(hot_spans(found.filter("hot"), size))
     return own, spans.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("spans"))

@@ -299,6 +299,20 @@ def test_suffix_dedup_on_passages(spark):
         assert got[i] == want
 
 
+@pytest.mark.parametrize("portion", [5000, 1])
+def test_suffix_dedup_without_ids(spark, portion):
+    import random
+
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    a, b, c, d, whole = (text(n) for n in (450, 600, 500, 700, 800))
+    rows = [(1, text(90) + a + text(50)), (None, text(300) + a + text(80)), (None, b + text(200)), (None, text(200) + b), (2, text(600)), (None, text(600))]
+    rows += [(None, whole)] * 3 + [(3, text(30) + whole[:500]), (None, c + text(70)), (4, c + text(70)), (-(1 << 63), text(20) + d), (None, d + text(9))]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 400, portion).collect()
+    want = brute_repeats([t.encode() for _, t in rows], 400)
+    assert bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == bag((r[0], *w) for r, w in zip(rows, want, strict=True))
+
+
 def test_suffix_array():
     import random
 
