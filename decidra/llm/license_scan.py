@@ -1,10 +1,15 @@
 """Licence scan: a trained paragraph classifier, in DataFrame and ML operations only.
 
-Every line of a text is a paragraph. Its words and word pairs are hashed into a sparse vector, and a multinomial logistic
-regression gives the probabilities of the licence families, of a licence that is none of them ("unknown"), and of no
+Every line of a text is a paragraph. As notices are often broken into lines, the seam after a line is read as well: its last
+`REACH` words and the `REACH` that follow in the next lines, up to a line without a word (a lone comment sign has none).
+The words and word pairs of either are hashed into a sparse vector, and a multinomial logistic regression gives the probabilities of the licence families, of a licence that is none of them ("unknown"), and of no
 licence at all. The raw scores are divided by a temperature that is fitted on examples held out from training, and a
-family is believed only from `least` on. A family is reported once the paragraph also holds enough of one of its
-templates' word pairs; a prediction that is not confirmed counts as unknown.
+family is believed only from `least` on. A family is reported once the line or seam also holds enough of one of its
+templates' word pairs and, where families differ by it, the version; a prediction that is not confirmed counts as unknown.
+
+n_license counts the lines that name a family, and once for each block of lines a family that only its seams name.
+n_unknown counts the unknown lines, but for those that are pieces of a notice named in their block (half of their pairs are
+in one of its templates); in a block without named or unknown lines, unknown seams count as one.
 
 Training examples are templates in varying carrier sentences (a fixed number), made-up licence names for "unknown", and
 at most `negatives` paragraphs of the corpus for "none", of documents chosen by a hash. Templates are short notices as
@@ -50,11 +55,18 @@ NONE_TEXTS = [
     "A list of names follows.", "Version 2 of the plan was better than version 3.", "He was free to use the general public library.", "Rights and duties were discussed under the old oak.", "Terms and conditions of the race: be on time.",
 ]
 FEATURES = 1 << 14
+#: Words on each side of a seam: more than the longest template has (27).
+REACH = 30
+#: What must stand in a text that is said to be of such a family.
+VERSIONS = {"gpl-3.0": ["version 3", "license 3", "license v3", "gpl 3", "gpl v3"], "gpl-2.0": ["version 2", "license 2", "license v2", "gpl 2", "gpl v2"]}
+
+
+def tokens(text: F.Column) -> F.Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def features(text: F.Column) -> F.Column:
-    """A paragraph's words and word pairs."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def features(words: F.Column) -> F.Column:
+    """The words and word pairs of these words."""
     return F.concat(words, F.transform(F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("b")), lambda p: F.concat_ws(" ", p["a"], p["b"])))
 
 
@@ -67,6 +79,25 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode_outer(F.filter(F.split(plain_text(), "\n"), lambda p: F.trim(p) != "")).alias("at", "paragraph"))
 
 
+def lines_and_seams(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines (on one row of a text), block, seam, tokens: every line with a word, and the seams after them. A text
+    without any has one row without tokens."""
+    text = plain_text()
+    blocks = F.filter(F.split(F.concat(F.lit("\n"), text, F.lit("\n")), r"\n[^\p{L}\p{N}]*\n"), lambda b: b.rlike(r"[\p{L}\p{N}]"))
+    n_lines = F.size(F.filter(F.split(text, "\n"), lambda p: F.trim(p) != ""))
+    each = docs.select("doc_id", n_lines.alias("n_lines"), F.xxhash64(text).alias("row"), F.posexplode_outer(blocks).alias("at", "own"))
+    each = each.select("doc_id", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("n_lines")).alias("n_lines"), F.xxhash64("row", "at").alias("block"), F.filter(F.transform(F.split("own", "\n"), tokens), lambda w: F.size(w) > 0).alias("lines"))
+    each = each.withColumn("heads", F.transform("lines", lambda w: F.slice(w, 1, REACH)))
+    # at most REACH lines hold the REACH words that follow
+    after = lambda i: F.slice(F.flatten(F.slice("heads", i + 2, REACH)), 1, REACH)
+    each = each.select("doc_id", "n_lines", "block", F.posexplode_outer(F.transform("lines", lambda w, i: F.struct(w.alias("words"), after(i).alias("after")))).alias("i", "line"))
+    each = each.select("doc_id", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("n_lines")).alias("n_lines"), "block", F.col("line.words").alias("words"), F.col("line.after").alias("after"))
+    last = F.slice("words", F.greatest(F.size("words") - REACH + 1, F.lit(1)), REACH)
+    both = F.when(F.size("after") > 0, F.array("words", F.concat(last, "after"))).otherwise(F.array("words"))
+    each = each.select("doc_id", "n_lines", "block", F.posexplode(both).alias("seam", "tokens"))
+    return each.select("doc_id", F.when(F.col("seam") == 0, F.col("n_lines")).alias("n_lines"), "block", (F.col("seam") > 0).alias("seam"), "tokens")
+
+
 def examples(spark: SparkSession, docs: DataFrame, negatives: int, seed: int) -> DataFrame:
     """family, text, held: the labelled paragraphs; a fifth is held out for calibration."""
     rows = [(family, c.format(t)) for family, ts in TEMPLATES.items() for t in ts for c in CARRIERS]
@@ -84,14 +115,14 @@ def examples(spark: SparkSession, docs: DataFrame, negatives: int, seed: int) ->
 
 
 class LicenseModel:
-    """A fitted classifier: paragraph -> family, with `probability`."""
+    """A fitted classifier: words of a paragraph -> family, with `probability`."""
 
     def __init__(self, regression, families: list[str], temperature: float):
         self.regression, self.families, self.temperature = regression, families, temperature
 
-    def predict(self, df: DataFrame, text: str = "paragraph") -> DataFrame:
-        """Adds words, family and probability."""
-        hashed = HashingTF(inputCol="words", outputCol="_vector", numFeatures=FEATURES, binary=True).transform(df.withColumn("words", features(F.col(text))))
+    def predict(self, df: DataFrame, words: str = "tokens") -> DataFrame:
+        """Adds words (with their pairs), family and probability."""
+        hashed = HashingTF(inputCol="words", outputCol="_vector", numFeatures=FEATURES, binary=True).transform(df.withColumn("words", features(F.coalesce(words, F.array().cast("array<string>")))))
         scored = self.regression.transform(hashed).withColumn("_score", vector_to_array("_raw")).drop("_raw", "_probability", "_prediction", "_vector")
         top = F.array_max("_score")
         total = F.aggregate("_score", F.lit(0.0), lambda s, x: s + F.exp((x - top) / self.temperature))
@@ -104,7 +135,7 @@ def fit(spark: SparkSession, docs: DataFrame, negatives: int = 1000, seed: int =
     families = [*TEMPLATES, "unknown", "none"]
     rows = examples(spark, docs, negatives, seed).collect()  # some hundred short paragraphs
     data = spark.createDataFrame([(float(families.index(r["family"])), r["text"], r["held"]) for r in rows], "label double, paragraph string, held boolean").coalesce(1)
-    hashed = HashingTF(inputCol="words", outputCol="_vector", numFeatures=FEATURES, binary=True).transform(data.withColumn("words", features(F.col("paragraph"))))
+    hashed = HashingTF(inputCol="words", outputCol="_vector", numFeatures=FEATURES, binary=True).transform(data.withColumn("words", features(tokens(F.col("paragraph")))))
     regression = LogisticRegression(featuresCol="_vector", labelCol="label", rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_prediction", family="multinomial", maxIter=30, regParam=2e-4, standardization=False)
     known = hashed.filter(~F.col("held")).cache()
     model = regression.fit(known)
@@ -130,22 +161,36 @@ def _temperature(held: list[tuple[float, list[float]]]) -> float:
 def scan(docs: DataFrame, model: LicenseModel | None = None, least: float = 0.6, confirm: float = 0.7) -> DataFrame:
     """doc_id, n_paragraphs, n_license, n_unknown, licenses (confirmed families), probability (of the surest)."""
     model = model or fit(docs.sparkSession, docs)
-    found = model.predict(paragraphs(docs))
+    found = model.predict(lines_and_seams(docs))
     pairs = lambda text: sorted({f"{a} {b}" for a, b in itertools.pairwise(w for w in _split(text))})
     templates = F.create_map(*(x for family, ts in TEMPLATES.items() for x in (F.lit(family), F.array(*(F.array(*map(F.lit, pairs(t))) for t in ts)))))
     own = word_pairs(F.col("words"))
     held = F.array_max(F.transform(F.element_at(templates, F.col("family")), lambda t: F.size(F.array_intersect(own, t)) / F.size(t)))
-    is_license = F.col("paragraph").isNotNull() & (F.col("family") != "none")
+    versions = F.create_map(*(x for family, told in VERSIONS.items() for x in (F.lit(family), F.array(*map(F.lit, told)))))
+    told = F.coalesce(F.arrays_overlap(own, F.try_element_at(versions, F.col("family"))), F.lit(True))
+    is_license = F.col("tokens").isNotNull() & (F.col("family") != "none")
     sure = is_license & (F.col("family") != "unknown") & (F.col("probability") >= least)
     # the comparison runs for sure predictions alone
-    verdict = F.when(sure & F.when(sure, held >= confirm), F.col("family")).when(is_license, F.lit("unknown"))
+    verdict = F.when(sure & F.when(sure, (held >= confirm) & told), F.col("family")).when(is_license, F.lit("unknown"))
     judged = found.withColumn("verdict", verdict)
     named = F.col("verdict").isNotNull() & (F.col("verdict") != "unknown")
-    return judged.groupBy("doc_id").agg(
-        F.count("paragraph").alias("n_paragraphs"), F.count_if(named).alias("n_license"), F.count_if(F.col("verdict") == "unknown").alias("n_unknown"),
+    unknown, seam = F.col("verdict") == "unknown", F.col("seam")
+    # families that an unknown line can be a piece of, as keys with its block
+    piece = lambda ts: F.exists(ts, lambda t: F.size(F.array_intersect(own, t)) * 2 >= F.size(own))
+    pieces = F.transform(F.filter(F.map_entries(templates), lambda e: (F.size(own) > 0) & piece(e["value"])), lambda e: F.xxhash64("block", e["key"]))
+    judged = judged.withColumns({"key": F.when(named, F.xxhash64("block", "verdict")), "pieces": F.when(unknown & ~seam, pieces)})
+    found = judged.groupBy("doc_id").agg(
+        F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n_paragraphs"), F.count_if(named & ~seam).alias("named"),
+        F.collect_set(F.when(~seam, F.col("key"))).alias("by_line"), F.collect_set(F.when(seam, F.col("key"))).alias("by_seam"), F.collect_list("pieces").alias("pieces"),
+        F.collect_set(F.when(F.col("verdict").isNotNull() & (named | ~seam), F.col("block"))).alias("settled"), F.collect_set(F.when(unknown & seam, F.col("block"))).alias("unsettled"),
         F.array_join(F.array_sort(F.collect_set(F.when(named, F.col("verdict")))), ",").alias("licenses"),
         F.round(F.max(F.when(named, F.col("probability"))), 6).alias("probability"),
     )
+    alone = F.size(F.filter("pieces", lambda p: ~F.arrays_overlap(p, F.array_union("by_line", "by_seam"))))
+    return found.select(
+        "doc_id", "n_paragraphs", (F.col("named") + F.size(F.array_except("by_seam", "by_line"))).alias("n_license"),
+        (alone + F.size(F.array_except("unsettled", "settled"))).cast("long").alias("n_unknown"), "licenses", "probability",
+    )
 
 
 def _split(text: str) -> list[str]:

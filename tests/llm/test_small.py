@@ -419,6 +419,20 @@ def test_licenses(docs, rows, empty, spark):
     assert license_scan.scan(empty, model).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell'
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+    texts = [mit, bsd, gpl.format(3), gpl.format(2), "/*\n * " + mit.replace("\n", "\n * ") + "\n */\nint main(void);", f"{PROSE}\n{bsd}\n{PROSE}", mit.replace(" ", "\n")]
+    texts += [gpl.split("the Free")[0], "Redistribution and use in source and binary forms, with or without\n\nriver and road", f"{mit}\n\n{gpl.format(2)}", f"{mit}\nReleased under the Apache License, Version 2.0."]
+    model = license_scan.fit(spark, spark.createDataFrame([], "doc_id long, text string"))
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [got[i].licenses for i in range(len(texts))] == ["mit", "bsd", "gpl-3.0", "gpl-2.0", "mit", "bsd", "mit", "", "", "gpl-2.0,mit", "apache-2.0,mit"]
+    assert [got[i].n_license for i in (0, 1, 2, 3, 7, 9, 10)] == [1, 1, 1, 1, 0, 2, 2]
+    assert [got[i].n_unknown for i in (1, 2, 3, 7)] == [0, 0, 0, 1]
+    assert [got[i].n_paragraphs for i in (0, 1, 8)] == [4, 2, 2]
+
+
 def test_components(spark):
     import random
 
