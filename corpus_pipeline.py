@@ -55,7 +55,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing sources to target weights", mix), ("best-fit packing", pack)]
 
-#: The classifier and the tokenizer have no SQL form; tests hold the stages against brute force.
+#: The classifier and the tokenizer have no SQL form; tests hold exact and near against brute force, quality against labels, mix
+#: against its share of words, and run() against its stages one by one.
 ORACLE_SQL = None
 
 

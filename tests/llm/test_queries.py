@@ -53,6 +53,33 @@ def test_pipeline_stages(spark, sf):
     assert 0.8 * words(docs.collect()) < words(mixed.collect()) <= 0.9 * words(docs.collect()) + 1
 
 
+def test_pipeline_against_plain_stages(spark, sf):
+    """near() against brute force, and run() against the stages one by one, each from rows that lie in memory."""
+    import collections
+
+    import corpus_pipeline as p
+    from test_small import brute_components, check_sequences
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    held = lambda df: spark.createDataFrame(df.collect(), docs.select(p.COLUMNS).schema)
+    unique = held(p.exact(spark, held(p.quality(spark, docs, sf)), sf))
+    rows = [(r.doc_id, r.text) for r in unique.collect()]
+    assert rows
+    # with ids that are distinct, a row stays if it names its component, or has no words
+    leaders = sorted(d for d, n, c in brute_components(rows, 5, 80) if n == 0 or c == d)
+    near = held(p.near(spark, unique, sf))
+    assert sorted(r.doc_id for r in near.collect()) == leaders
+    mixed = p.mix(spark, near, sf).collect()
+    kept = {r.doc_id for r in mixed}
+    assert kept and len(kept) == len(mixed) and kept <= set(leaders)
+
+    got = p.run(spark, sf).collect()
+    check_sequences(got, 2048)
+    assert {r.doc_id for r in got} == kept
+    pieces = collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got)
+    assert pieces == collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in p.pack(spark, held(spark.createDataFrame(mixed, docs.select(p.COLUMNS).schema)), sf).collect())
+
+
 def test_the_rest_does_not_import_llm():
     import os
     import re
