@@ -12,9 +12,11 @@ n - ceil(t n) + 1 of either, and k more of them if the prefixes are k longer:
    documents of one batch share travel once). A class with too few shared n-grams has no partner and is done.
 2. For the classes left, n-grams get their document frequency, those of one class only are dropped, and the order is
    by frequency: short prefixes of rare n-grams name the candidates.
-3. A group of near copies is not expanded into its pairs: within a common n-gram all are compared with a few leaders,
-   links are merged into components, and only pairs that still lie in different components are compared at the end.
+3. A group of near copies is not expanded into its pairs: each set is compared with one leader that it shares an n-gram
+   with, links are merged into components, and only pairs that still lie in different components are compared at the end.
    Every pair that could link two components is compared, so components lose no link.
+4. No pair reaches the fragments whose sketches rule it out. A sketch is the parity of a set's n-grams in each of `BITS`
+   places; where two sketches differ, at least one n-gram is not common, so this bound, too, loses no link.
 
 Texts are lower-cased in A-Z and split at `[\\x20\\x09-\\x0D]`. A text with fewer words than n is one n-gram; without
 words (or null) the set is empty and linked with nothing. Repeated rows are copies of one another. Rows without doc_id
@@ -23,6 +25,7 @@ are linked like others, and name no component. Columns beyond doc_id and text ar
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,19 +86,39 @@ def extra(n, t: int):
     return max(1, n // 5)
 
 
-def _digest(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
+#: Bits of a set's sketch.
+BITS = 1024
+
+
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """A set's id (63 bits) and a check (64 bits): both together tell sets apart."""
+    whole = xxhash.xxh3_128_intdigest(s.tobytes())
+    return whole >> 65, (whole & ((1 << 64) - 1)) - (1 << 63)
+
+
+def _sketch(s: np.ndarray) -> np.ndarray:
+    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).view(np.int64)
 
 
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set_id: equal sets have equal ids; empty sets have none."""
+    """doc_id, n_shingles, set_id, check: equal sets have equal ids and checks; empty sets have none."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [(len(s), _digest(s) if len(s) else None) for s in shingle_sets(batch["text"], n)]
-            yield pa.record_batch({"doc_id": batch["doc_id"], "n_shingles": pa.array([x[0] for x in found], pa.int64()), "set_id": pa.array([x[1] for x in found], pa.int64())})
+            found = [(len(s), *(_digest(s) if len(s) else (None, None))) for s in shingle_sets(batch["text"], n)]
+            sizes, ids, checks = zip(*found, strict=True)
+            yield pa.record_batch({"doc_id": batch["doc_id"], "n_shingles": pa.array(sizes, pa.int64()), "set_id": pa.array(ids, pa.int64()), "check": pa.array(checks, pa.int64())})
 
-    return docs.mapInArrow(name, "doc_id long, n_shingles long, set_id long")
+    return docs.mapInArrow(name, "doc_id long, n_shingles long, set_id long, check long")
+
+
+def representatives(named: DataFrame) -> DataFrame:
+    """set_id, check, node, rep, n of each class: node is set_id, or another number for the later ones of several classes
+    with one set_id; rep is the smallest doc_id."""
+    each = named.filter(F.col("set_id").isNotNull()).groupBy("set_id", "check").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    alike = each.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("check", "rep", "n"))).alias("own")).select("set_id", F.posexplode("own").alias("at", "own"))
+    node = F.when(F.col("at") == 0, F.col("set_id")).otherwise(F.shiftrightunsigned(F.xxhash64("set_id", "own.check"), 1))
+    return alike.select("set_id", "own.check", node.alias("node"), "own.rep", "own.n")
 
 
 def size_class(n: np.ndarray, t: int) -> np.ndarray:
@@ -119,7 +142,7 @@ def shared_counts(docs: DataFrame, n: int, t: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = {_digest(s): s for s in shingle_sets(batch["text"], n) if len(s)}
+            sets = {_digest(s)[0]: s for s in shingle_sets(batch["text"], n) if len(s)}
             if not sets:
                 continue
             ids = np.fromiter(sets, np.int64, len(sets))
@@ -155,46 +178,53 @@ def shared_counts(docs: DataFrame, n: int, t: int) -> DataFrame:
             yield pa.record_batch([pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in rows.items()], names=list(rows))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(np.frombuffer(i, np.int64), np.frombuffer(c, np.int64)) for batch in batches for i, c in zip(batch["ids"].to_pylist(), batch["counts"].to_pylist(), strict=True)]
-        if parts:
-            ids, number = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            yield pa.record_batch({"set_id": pa.array(ids), "shared": pa.array(np.bincount(number, np.concatenate([p[1] for p in parts])).astype(np.int64))})
+        for _, own in by_bucket(batches):
+            ids, number = np.unique(np.concatenate([np.frombuffer(r["ids"], np.int64) for r in own]), return_inverse=True)
+            counts = np.bincount(number, np.concatenate([np.frombuffer(r["counts"], np.int64) for r in own]))
+            yield pa.record_batch({"set_id": pa.array(ids), "shared": pa.array(counts.astype(np.int64))})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners, widths, manys = [], [], [], []
-        for batch in batches:
-            done_ids, done = [], []
-            for bucket, ids, sizes, counts, grams, many in zip(*(batch[k].to_pylist() for k in ("bucket", "ids", "sizes", "counts", "grams", "many")), strict=True):
-                ids, counts = np.frombuffer(ids, np.int64), np.frombuffer(counts, np.uint32)
-                if not grams and not many:
+        for _, own in by_bucket(batches):
+            keys, owners, widths, manys, done_ids, done = [], [], [], [], [], []
+            for r in own:
+                ids, counts = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["counts"], np.uint32)
+                if not r["grams"] and not r["many"]:
                     done_ids.append(ids)
                     done.append(counts)
                     continue
-                # 32 bits of n-gram, 10 of size class, the rest bucket
-                keys.append(np.frombuffer(grams, np.uint32).astype(np.int64) | bucket << 42)
+                # 32 bits of n-gram, the rest size class
+                keys.append(np.frombuffer(r["grams"], np.uint32).astype(np.int64))
                 owners.append(np.repeat(ids, counts))
-                widths.append(np.repeat(np.frombuffer(sizes, np.uint32).astype(np.int64), counts))
-                manys.append(np.frombuffer(many, np.int64) | bucket << 42)
+                widths.append(np.repeat(np.frombuffer(r["sizes"], np.uint32).astype(np.int64), counts))
+                manys.append(np.frombuffer(r["many"], np.int64))
             if done:
                 yield _counts(np.concatenate(done_ids), np.concatenate(done), buckets)
-        if keys:
-            key, owner, width, many = np.concatenate(keys), np.concatenate(owners), np.concatenate(widths), np.unique(np.concatenate(manys))
-            order = np.lexsort((owner, width, key))
-            key, owner, width = key[order], owner[order], width[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-            key, owner, width = key[new], owner[new], width[new]
-            found = with_partner(key, width, t)
-            if len(many):
-                for near in (-1, 0, 1):
-                    wanted = key | np.maximum(size_class(width, t) + near, 0) << 32
-                    found |= many[np.minimum(np.searchsorted(many, wanted), len(many) - 1)] == wanted
-            ids, times = np.unique(owner[found], return_counts=True)
-            yield _counts(ids, times, buckets)
+            if keys:
+                key, owner, width, many = np.concatenate(keys), np.concatenate(owners), np.concatenate(widths), np.unique(np.concatenate(manys))
+                order = np.lexsort((owner, width, key))
+                key, owner, width = key[order], owner[order], width[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+                key, owner, width = key[new], owner[new], width[new]
+                found = with_partner(key, width, t)
+                if len(many):
+                    for near in (-1, 0, 1):
+                        wanted = key | np.maximum(size_class(width, t) + near, 0) << 32
+                        found |= many[np.minimum(np.searchsorted(many, wanted), len(many) - 1)] == wanted
+                ids, times = np.unique(owner[found], return_counts=True)
+                yield _counts(ids, times, buckets)
 
     dealt = docs.select("text").mapInArrow(deal, "bucket int, ids binary, sizes binary, counts binary, grams binary, many binary")
-    counted = dealt.repartition("bucket").mapInArrow(count, "bucket int, ids binary, counts binary")
-    return counted.repartition("bucket").mapInArrow(total, "set_id long, shared long")
+    # sorted by Spark, which spills: a task holds one bucket at a time
+    counted = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "bucket int, ids binary, counts binary")
+    return counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(total, "set_id long, shared long")
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of each bucket, of batches that are sorted by it."""
+    rows = (r for batch in batches for r in batch.to_pylist())
+    for bucket, own in itertools.groupby(rows, key=lambda r: r["bucket"]):
+        yield bucket, list(own)
 
 
 def _short(gram: np.ndarray) -> np.ndarray:
@@ -240,8 +270,9 @@ def sieve(ids: DataFrame, bits: int = 26) -> np.ndarray:
 
 
 def ordered_sets(docs: DataFrame, chosen: DataFrame, n: int, t: int) -> DataFrame:
-    """set_id, n, grams: the chosen sets' n-grams that others have too, in the global order (frequency class, hash), for
-    those with enough of them to have a partner. chosen: doc_id and set_id of one document for each set."""
+    """node, n, bits (its sketch), grams: the chosen sets' n-grams that others have too, in the global order (frequency
+    class, hash), for those with enough of them to have a partner. chosen: doc_id, set_id, check and node of one document
+    for each set."""
     # most texts end here, before any shuffle; the join decides
     held = docs.sparkSession.sparkContext.broadcast(sieve(chosen))
 
@@ -254,17 +285,21 @@ def ordered_sets(docs: DataFrame, chosen: DataFrame, n: int, t: int) -> DataFram
                 maybe &= (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
             for own in slices(iter([batch.filter(pa.array(maybe))])):
                 found = list(shingle_sets(own["text"], n))
-                ids, sizes = pa.array([_digest(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64())
-                yield pa.record_batch([own["doc_id"], ids, sizes, pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["doc_id", "set_id", "n", "grams"])
+                ids, longs = [_digest(s) for s in found], pa.list_(pa.int64())
+                yield pa.record_batch({
+                    "doc_id": own["doc_id"], "set_id": pa.array([i for i, _ in ids], pa.int64()), "check": pa.array([c for _, c in ids], pa.int64()), "n": pa.array([len(s) for s in found], pa.int64()),
+                    "bits": pa.array([_sketch(s) for s in found], longs), "grams": pa.array([s.view(np.int64) for s in found], longs),
+                })
 
     a, b = _places(26)
     wanted = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).select("doc_id", "text", a.alias("a"), b.alias("b"))
-    own = wanted.mapInArrow(sets, "doc_id long, set_id long, n long, grams array<long>").join(chosen, ["doc_id", "set_id"], "left_semi")
-    own = cut(own.select("set_id", "n", "grams"), "op5-sets")
-    each = own.select("set_id", "n", F.explode("grams").alias("gram"))
+    own = wanted.mapInArrow(sets, "doc_id long, set_id long, check long, n long, bits array<long>, grams array<long>").join(chosen, ["doc_id", "set_id", "check"])
+    own = cut(own.select("node", "n", "bits", "grams"), "op5-sets")
+    each = own.select("node", "n", "bits", F.explode("grams").alias("gram"))
     often = each.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1").select("gram", F.floor(F.log2("df")).cast("int").alias("class"))
-    back = each.join(often, "gram").groupBy("set_id", "n").agg(F.array_sort(F.collect_set(F.struct("class", "gram"))).alias("grams"))
-    return back.filter(100 * F.size("grams") >= t * F.col("n"))
+    back = each.select("node", "gram").join(often, "gram").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("class", "gram"))).alias("grams"))
+    back = own.select("node", "n", "bits").dropDuplicates(["node"]).join(back, "node")
+    return back.filter(100 * F.size("grams") >= t * F.col("n")).select("node", "n", "bits", "grams")
 
 
 def segments(sets: DataFrame, cuts: int = 4) -> DataFrame:
@@ -289,11 +324,26 @@ def can_link(t: int) -> F.Column:
     return (100 + t) * F.least("m", "other_m") >= t * (F.col("n") + F.col("other_n"))
 
 
-def _pairs(x: DataFrame, t: int) -> DataFrame:
-    """Distinct (a, na, b, nb) of rows (doc_id, n, m, other, other_n, other_m) that can link."""
-    fits = (F.col("doc_id") != F.col("other")) & can_link(t)
+def sketches_allow(t: int) -> F.Column:
+    """The same for the n-grams that are left if one is taken for each bit in which the sketches differ."""
+    differ = F.lit(0)
+    for k in range(BITS // 64):
+        differ = differ + F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("other_bits")[k]))
+    both = F.col("n") + F.col("other_n")
+    return (100 + t) * (both - differ) >= 2 * t * both
+
+
+def _pairs(x: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """Distinct (a, na, b, nb) of rows (doc_id, other) that can link."""
+    own = sets.select("doc_id", "n", F.size("grams").alias("m"), "bits")
+    x = x.filter("doc_id <> other").distinct().join(own, "doc_id")
+    x = x.join(own.toDF("other", "other_n", "other_m", "other_bits"), "other").filter(can_link(t) & sketches_allow(t))
+    return _named(x)
+
+
+def _named(x: DataFrame) -> DataFrame:
     first = F.col("doc_id") < F.col("other")
-    return x.filter(fits).select(
+    return x.select(
         F.when(first, F.col("doc_id")).otherwise(F.col("other")).alias("a"), F.when(first, F.col("n")).otherwise(F.col("other_n")).alias("na"),
         F.when(first, F.col("other")).otherwise(F.col("doc_id")).alias("b"), F.when(first, F.col("other_n")).otherwise(F.col("n")).alias("nb"),
     ).distinct()
@@ -312,24 +362,23 @@ def _hops(links: DataFrame, labels: DataFrame | None) -> DataFrame:
 def near_components(sets: DataFrame, t: int, rounds: int = 4) -> DataFrame | None:
     """node, component over the sets of ordered_sets(); sets without links may be missing. None: no sets.
 
-    Each round compares, within an n-gram, everything with one leader: first with the document in the middle, then with
-    one from the largest label there. When the pairs between different labels are few, or a round has not halved them, or
+    Each round names a leader in every n-gram, first the document in the middle, then one from the largest label there,
+    and compares each set with one leader of another label. When the pairs between different labels are few, or a round has not halved them, or
     after `rounds`, each of those pairs is compared."""
     # a document whose n-grams are common among those left stands in the middle of its near copies
     core = F.aggregate("grams", F.lit(0), lambda s, g: s + g["class"]) / F.col("n")
-    sets = cut(sets.withColumn("core", core).withColumnRenamed("set_id", "doc_id"), "op5-ordered")
+    sets = cut(sets.withColumn("core", core).withColumnRenamed("node", "doc_id"), "op5-ordered")
     segs = segments(sets)
     short = F.col("n") - F.ceil(F.lit(t) * F.col("n") / 100) + 1 - (F.col("n") - F.size("grams"))
-    prefix = sets.filter(short > 0).select("doc_id", "n", F.size("grams").alias("m"), "core", F.explode(F.slice("grams", F.lit(1), short.cast("int"))).alias("g"))
-    prefix = prefix.select("doc_id", "n", "m", "core", F.col("g.gram").alias("gram"))
-    prefix = cut(prefix, "op5-prefix")
+    prefix = sets.filter(short > 0).select("doc_id", "core", F.explode(F.slice("grams", F.lit(1), short.cast("int"))).alias("g"))
+    prefix = cut(prefix.select("doc_id", "core", F.col("g.gram").alias("gram")), "op5-prefix")
     entries, edges, labels, before = prefix.count(), None, None, 0
     if not entries:
         return None
     for turn in range(rounds + 1):
         at = prefix.withColumn("component", F.col("doc_id")) if labels is None else prefix.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         pick = F.xxhash64(F.lit(turn), "doc_id") if turn else F.struct(-F.col("core"), F.col("doc_id"))
-        parts = at.groupBy("gram", "component").agg(F.count("*").alias("c"), F.min_by(F.struct("doc_id", "n", "m"), pick).alias("lead"), F.max("core").alias("core"))
+        parts = at.groupBy("gram", "component").agg(F.count("*").alias("c"), F.min_by("doc_id", pick).alias("lead"), F.max("core").alias("core"))
         largest = F.struct("c", F.xxhash64(F.lit(turn), "lead")) if turn else F.struct("core", "c", -F.col("component"))
         tokens = parts.groupBy("gram").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"), F.max_by(F.struct("lead", "component"), largest).alias("top"))
         tokens = cut(tokens.filter("open > 0"), "op5-open")
@@ -339,16 +388,19 @@ def near_components(sets: DataFrame, t: int, rounds: int = 4) -> DataFrame | Non
         last = turn == rounds or todo <= 4 * entries or turn > 0 and 2 * todo > before
         before = todo
         if last:
-            rest = at.join(tokens.select("gram"), "gram", "left_semi").select("gram", "doc_id", "n", "m", "component")
-            rest = cut(rest.join(rest.groupBy("doc_id").agg(F.collect_list("gram").alias("head")), "doc_id"), "op5-rest")
-            other = rest.select("gram", *(F.col(c).alias(f"other_{c}") for c in ("n", "m", "component", "head")), F.col("doc_id").alias("other"))
+            rest = at.join(tokens.select("gram"), "gram", "left_semi").select("gram", "doc_id", "component")
+            own = rest.groupBy("doc_id").agg(F.collect_list("gram").alias("head")).join(sets.select("doc_id", "n", F.size("grams").alias("m"), "bits"), "doc_id")
+            rest = cut(rest.join(own, "doc_id"), "op5-rest")
+            other = rest.select("gram", *(F.col(c).alias(f"other_{c}") for c in ("n", "m", "bits", "component", "head")), F.col("doc_id").alias("other"))
             # a pair is made where its first common n-gram is, so once
             once = (F.col("gram") == F.array_min(F.array_intersect("head", "other_head")))
             new_pair = (F.col("component") != F.col("other_component")) & (F.col("doc_id") < F.col("other"))
-            found = rest.withColumnRenamed("gram", "g").join(other, F.col("g") == F.col("gram")).filter(new_pair & can_link(t) & once).select("doc_id", "n", "m", "other", "other_n", "other_m")
+            pairs = _named(rest.withColumnRenamed("gram", "g").join(other, (F.col("g") == F.col("gram")) & new_pair & can_link(t) & sketches_allow(t) & once))
         else:
-            found = at.join(tokens, "gram").filter(F.col("component") != F.col("top.component")).select("doc_id", "n", "m", F.col("top.lead.doc_id").alias("other"), F.col("top.lead.n").alias("other_n"), F.col("top.lead.m").alias("other_m"))
-        new = cut(linked(_pairs(found, t), segs, t), "op5-links")
+            # of the leaders in its n-grams, a set takes the one in most of them
+            led = at.join(tokens, "gram").filter(F.col("component") != F.col("top.component")).groupBy("doc_id", F.col("top.lead").alias("other")).agg(F.count("*").alias("c"))
+            pairs = _pairs(led.groupBy("doc_id").agg(F.max_by("other", F.struct("c", "other")).alias("other")), sets, t)
+        new = cut(linked(pairs, segs, t), "op5-links")
         edges = new if edges is None else edges.union(new)
         if last:
             break
@@ -361,19 +413,16 @@ def ngram_join(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
     named = cut(classes(own, n), "op5-classes")
-    reps = named.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    reps = cut(reps, "op5-reps")
+    reps = cut(representatives(named), "op5-reps")
     least = F.ceil(F.lit(t) * F.col("n") / 100)
     need = F.greatest(F.lit(1), F.floor(least / 5))
-    chosen = reps.join(shared_counts(own, n, t), "set_id").filter(F.col("shared") >= need).select(F.coalesce("rep", F.lit(NO_ID)).alias("doc_id"), "set_id")
+    chosen = reps.join(shared_counts(own, n, t), "set_id").filter(F.col("shared") >= need).select(F.coalesce("rep", F.lit(NO_ID)).alias("doc_id"), "set_id", "check", "node")
     labels = near_components(ordered_sets(own, cut(chosen, "op5-chosen"), n, t), t)
-    if labels is None:
-        lead = reps.select("set_id", F.col("rep").alias("component_id"))
-    else:
-        own_label = reps.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "rep", F.coalesce("component", "set_id").alias("component"))
-        least = own_label.groupBy("component").agg(F.min("rep").alias("component_id"))
-        lead = own_label.join(least, "component").select("set_id", "component_id")
-    return named.join(lead, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    own_label = reps.withColumn("component", F.col("node")) if labels is None else reps.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = own_label.groupBy("component").agg(F.min("rep").alias("component_id"))
+    lead = own_label.join(least, "component").select("set_id", "check", "node", "component_id")
+    joined = named.join(lead, ["set_id", "check"], "left")
+    return joined.select("doc_id", "n_shingles", F.col("node").alias("set_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
