@@ -12,11 +12,14 @@ covered, and memory is bounded:
    block is repeated if a suffix of its run of neighbours with `size` - e equal bytes has the same e bytes before it.
 3. Repeated windows become spans, which are merged per document and cut out of its text.
 
-A minimizer with more than `portion` regions is not held by one task: its windows are compared one by one, by 128-bit
-hashes, of which equal ones in a batch are merged before they are dealt.
-
-Documents with equal texts are one node: if they are long enough, all their bytes go, and one of them stands in for the
-others towards the rest. Texts are taken as UTF-8. A null or empty text has no bytes. Texts under `size` bytes stay whole.
+A minimizer with more than `portion` regions is not held by one task (hot_spans()): equal regions become one, and if too
+many are left, each is cut into quarters by how far a window starts before the minimizer. All windows of a quarter have
+some bytes around the minimizer in common, more of them the narrower it is; quarters are dealt by these, until a key has
+few enough regions for a suffix array. In the end a quarter is one window, and its key has one region.
+
+Documents with equal texts (128 bits of SHA-256) are one node: if they are long enough, all their bytes go, and one of them
+stands in for the others towards the rest. The suffix array's groups are emitted in linear time; its targets are put in
+order by sorting, once for each group. Texts are taken as UTF-8. A null or empty text has no bytes. Texts under `size` bytes stay whole.
 Repeated rows are equal texts. A row without doc_id counts like any other, its doc_id stays null. Columns beyond doc_id and
 text are ignored.
 """
@@ -28,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,9 +169,9 @@ def spans_of(windows: np.ndarray, size: int) -> list[tuple[int, int]]:
     return list(zip(hit[np.concatenate([[0], gap + 1])].tolist(), (hit[np.append(gap, len(hit) - 1)] + size).tolist(), strict=True))
 
 
-RUNS = "least long, node long, place int, first int, last int"
-REGIONS = "least long, node long, place int, first int, hot boolean, region binary"
-SPANS = "node long, start int, end int"
+RUNS = "least long, node binary, place int, first int, last int"
+REGIONS = "least long, node binary, place int, first int, hot boolean, region binary"
+SPANS = "node binary, start int, end int"
 
 
 def runs(docs: DataFrame, size: int) -> DataFrame:
@@ -184,10 +186,13 @@ def runs(docs: DataFrame, size: int) -> DataFrame:
                     continue
                 seen.add(node)
                 least, place, first, last = window_runs(np.frombuffer(text.as_buffer(), np.uint8), size)
-                for column, x in zip(out, (least.view(np.int64), np.full(len(least), node, np.int64), place, first, last), strict=True):
+                for column, x in zip(out, (least.view(np.int64), node * len(least), place, first, last), strict=True):
                     column.append(x)
             if out[0]:
-                yield pa.record_batch([pa.array(np.concatenate(c), pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(out)], names=["least", "node", "place", "first", "last"])
+                nodes = b"".join(out.pop(1))
+                least, *places = map(np.concatenate, out)
+                node = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(least), [None, pa.py_buffer(nodes)]).cast(pa.binary())
+                yield pa.record_batch([pa.array(least, pa.int64()), node, *(pa.array(x, pa.int32()) for x in places)], names=["least", "node", "place", "first", "last"])
 
     return docs.select("node", "text").mapInArrow(find, RUNS)
 
@@ -207,7 +212,7 @@ def regions(chosen: DataFrame, size: int) -> DataFrame:
                     hot.append(r["hot"])
                     region.append(text[r["first"] : r["last"] + size])
             yield pa.record_batch({
-                "least": pa.array(least, pa.int64()), "node": pa.array(nodes, pa.int64()), "place": pa.array(place, pa.int32()),
+                "least": pa.array(least, pa.int64()), "node": pa.array(nodes, pa.binary()), "place": pa.array(place, pa.int32()),
                 "first": pa.array(first, pa.int32()), "hot": pa.array(hot, pa.bool_()), "region": pa.array(region, pa.binary()),
             })
 
@@ -215,24 +220,29 @@ def regions(chosen: DataFrame, size: int) -> DataFrame:
 
 
 def repeated_spans(found: DataFrame, size: int) -> DataFrame:
-    """node, start, end of the repeated bytes in these regions, by suffix arrays over portions of whole minimizers."""
+    """node, start, end of the repeated bytes in these regions, by suffix arrays over portions of whole minimizers.
+
+    found: least, node, place, first, region and often (the region stands elsewhere, too)."""
 
-    def solve(keys: list[tuple[int, int]], owners: list[list[tuple[int, int]]], texts: list[bytes]) -> pa.RecordBatch:
-        often = np.array([len(set(o)) > 1 for o in owners], bool)
-        out: list[tuple[int, int, int]] = []
-        for windows, own in zip(repeated_windows(texts, [k[1] for k in keys], often, size), owners, strict=True):
+    def solve(keys: list[tuple[int, int]], owners: list[list[tuple[bytes, int]]], often: list[bool], texts: list[bytes]) -> pa.RecordBatch:
+        twice = np.array([o or len(set(own)) > 1 for o, own in zip(often, owners, strict=True)], bool)
+        nodes, starts, ends = [], [], []
+        for windows, own in zip(repeated_windows(texts, [k[1] for k in keys], twice, size), owners, strict=True):
             for start, end in spans_of(windows, size):
-                out.extend((node, first + start, first + end) for node, first in set(own))
-        return _spans(out)
+                for node, first in set(own):
+                    nodes.append(node)
+                    starts.append(first + start)
+                    ends.append(first + end)
+        return pa.record_batch([pa.array(nodes, pa.binary()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["node", "start", "end"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: dict[tuple[int, int, bytes], int] = {}
-        keys, owners, texts, held, current = [], [], [], 0, None
+        keys, owners, oftens, texts, held, current = [], [], [], [], 0, None
         for batch in batches:
-            for least, node, place, first, region in zip(*(batch[k].to_pylist() for k in ("least", "node", "place", "first", "region")), strict=True):
+            for least, node, place, first, often, region in zip(*(batch[k].to_pylist() for k in ("least", "node", "place", "first", "often", "region")), strict=True):
                 if least != current and held > PORTION_BYTES:
-                    yield solve(keys, owners, texts)
-                    index, keys, owners, texts, held = {}, [], [], [], 0
+                    yield solve(keys, owners, oftens, texts)
+                    index, keys, owners, oftens, texts, held = {}, [], [], [], [], 0
                 current = least
                 key = (least, place - first, region)
                 at = index.get(key)
@@ -240,50 +250,58 @@ def repeated_spans(found: DataFrame, size: int) -> DataFrame:
                     index[key] = len(texts)
                     keys.append(key[:2])
                     owners.append([(node, first)])
+                    oftens.append(often)
                     texts.append(region)
                     held += len(region)
                 else:
                     owners[at].append((node, first))
+                    oftens[at] |= often
         if texts:
-            yield solve(keys, owners, texts)
-
-    return found.select("least", "node", "place", "first", "region").repartition("least").sortWithinPartitions("least").mapInArrow(work, SPANS)
-
-
-def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else ([], [], [])
-    return pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["node", "start", "end"])
-
-
-def hot_spans(found: DataFrame, size: int) -> DataFrame:
-    """The same for regions of very common minimizers, window by window.
-
-    A window that a batch holds twice is known to be repeated; of those it travels once, the others of the batch not at all."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "region", 1 << 18):
-            at: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
-            for least, node, place, first, region in zip(*(batch[k].to_pylist() for k in ("least", "node", "place", "first", "region")), strict=True):
-                for i in range(len(region) - size + 1):
-                    h = xxhash.xxh3_128_intdigest(region[i : i + size])
-                    at.setdefault((h >> 64, h & ((1 << 64) - 1)), []).append((node, first + i))
-            high, low, node, start, many = [], [], [], [], []
-            for (a, b), own in at.items():
-                twice = len(set(own)) > 1
-                for k, (n, i) in enumerate(sorted(set(own))):
-                    high.append(a - (1 << 63))
-                    low.append(b - (1 << 63))
-                    node.append(n)
-                    start.append(i)
-                    many.append(2 if twice and k == 0 else 1 if not twice else 0)
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in (high, low, node, start, many)], names=["high", "low", "node", "start", "many"])
-
-    each = cut(found.repartition(F.xxhash64("node", "first") % 1024).mapInArrow(windows, "high long, low long, node long, start long, many long"), "op7-hot")
-    # once per batch: 2 for a window that is repeated in it, 1 for another
-    counts = each.filter("many > 0").groupBy("high", "low").agg(F.sum("many").alias("n")).filter("n > 1").select("high", "low")
-    hit = each.filter("many = 1").join(counts, ["high", "low"], "left_semi").select("node", "start")
-    own = each.filter("many <> 1").select("node", "start")
-    return hit.union(own).select("node", F.col("start").cast("int").alias("start"), (F.col("start") + size).cast("int").alias("end"))
+            yield solve(keys, owners, oftens, texts)
+
+    return found.select("least", "node", "place", "first", "often", "region").repartition("least").sortWithinPartitions("least").mapInArrow(work, SPANS)
+
+
+def quarters(parts: DataFrame, size: int) -> DataFrame:
+    """Each region (key, anchor, lo, hi, region, node, at, often) as those of its windows that start lo to hi bytes before
+    the anchor, for each quarter of lo to hi; the new key holds the bytes that all windows of the quarter have."""
+    step = F.ceil((F.col("hi") - F.col("lo") + 1) / 4).cast("int")
+    each = parts.select("*", F.explode(F.sequence("lo", "hi", step)).alias("low"))
+    each = each.withColumn("high", F.least(F.col("hi"), F.col("low") + step - 1))
+    far, near = F.least("high", "anchor"), F.greatest(F.col("low"), F.col("anchor") - F.length("region") + size)
+    each = each.withColumns({"far": far, "near": near}).filter("near <= far")
+    begin = F.col("anchor") - F.col("far")
+    alike = F.substring("region", F.col("anchor") - F.col("low") + 1, F.lit(size) - F.col("high") + F.col("low"))
+    return each.select(
+        F.xxhash64("key", "low", "high", alike).alias("key"), F.col("far").alias("anchor"), F.col("low").alias("lo"), F.col("high").alias("hi"),
+        F.substring("region", begin + 1, F.col("far") - F.col("near") + size).alias("region"), "node", (F.col("at") + begin).alias("at"), "often",
+    )
+
+
+def hot_spans(found: DataFrame, size: int, portion: int) -> DataFrame:
+    """repeated_spans() for regions of very common minimizers.
+
+    Each turn merges equal regions, solves the keys that have at most `portion` of them, and cuts those of the others into
+    quarters. A region that is repeated as a whole goes on once, for the sake of those that hold a part of it."""
+    parts = found.select(F.col("least").alias("key"), (F.col("place") - F.col("first")).alias("anchor"), F.lit(0).alias("lo"), F.lit(size - GRAM).alias("hi"), "region", "node", F.col("first").alias("at"), F.lit(False).alias("often"))
+    spans, width = None, size - GRAM + 1
+    while True:
+        named = F.unhex(F.substring(F.sha2(F.concat(F.encode(F.concat_ws("|", "key", "anchor", "lo"), "utf-8"), F.col("region")), 256), 1, 32))
+        parts = cut(parts.withColumns({"rid": named, "where": F.xxhash64("node", "at")}), "op7-hot")
+        each = parts.groupBy("rid", "key").agg(F.min("where").alias("chosen"), (F.bool_or("often") | (F.min("where") < F.max("where"))).alias("many"))
+        each = cut(each, "op7-hot-regions")
+        crowded = each.groupBy("key").agg(F.count("*").alias("n")).select("key", ((F.col("n") > portion) & F.lit(width > 1)).alias("crowded"))
+        state = cut(parts.drop("often", "key").join(each.join(crowded, "key"), "rid"), "op7-hot-state")
+        chosen = state.filter(F.col("where") == F.col("chosen"))
+        single = chosen.filter("not crowded").select(F.col("key").alias("least"), F.col("rid").alias("node"), F.col("anchor").alias("place"), F.lit(0).alias("first"), F.col("many").alias("often"), "region")
+        solved = cut(repeated_spans(single, size), "op7-hot-solved").withColumnRenamed("node", "rid")
+        own = state.filter("not crowded").select("rid", "node", "at").join(solved, "rid").select("node", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))
+        whole = state.filter("crowded and many").select("node", F.col("at").alias("start"), (F.col("at") + F.length("region")).alias("end"))
+        spans = own.union(whole) if spans is None else spans.union(own).union(whole)
+        rest = chosen.filter("crowded")
+        if rest.isEmpty():
+            return spans
+        parts, width = quarters(rest.withColumn("often", F.col("many")), size), -(-width // 4)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -302,7 +320,7 @@ def repeats(docs: DataFrame, size: int = 400, portion: int = 5000) -> tuple[Data
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
-    own = own.withColumns({"node": F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("long"), "n_bytes": F.octet_length("text").cast("long")})
+    own = own.withColumns({"node": F.unhex(F.substring(F.sha2("text", 256), 1, 32)), "n_bytes": F.octet_length("text").cast("long")})
     long = own.filter(F.col("n_bytes") >= size)
     every = cut(runs(long, size), "op7-runs")
     where = F.xxhash64("node", "place")
@@ -317,15 +335,17 @@ def repeats(docs: DataFrame, size: int = 400, portion: int = 5000) -> tuple[Data
     texts = long.filter("doc_id is not null").select("doc_id", "node", "text").union(unnamed)
     with_text = texts.join(chosen.join(reps, "node"), ["node", "doc_id"])
     found = cut(regions(with_text, size), "op7-regions")
-    spans = repeated_spans(found.filter(~F.col("hot")), size).union(hot_spans(found.filter("hot"), size))
+    spans = repeated_spans(found.filter(~F.col("hot")).withColumn("often", F.lit(False)), size).union(hot_spans(found.filter("hot"), size, portion))
     return own, spans.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
+KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>, text string"
 
 
 def suffix_dedup(docs: DataFrame, size: int = 400, portion: int = 5000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans, for every row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, the removed spans and the text that is left, for every row of docs.
+
+    A removed span may begin or end within a character; what is left of that is not part of the text."""
     own, spans = repeats(docs, size, portion)
     copies = cut(own.groupBy("node").agg(F.count("*").alias("copies")).filter((F.col("copies") > 1)).select("node", F.lit(True).alias("copied")), "op7-copies")
     spans = cut(spans, "op7-spans")
@@ -337,17 +357,17 @@ def suffix_dedup(docs: DataFrame, size: int = 400, portion: int = 5000) -> DataF
             for doc, text, copied, found in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), batch["copied"].to_pylist(), batch["spans"].to_pylist(), strict=True):
                 n = len(text)
                 gone = [(0, n)] if copied and n >= size else merged([(s["start"], s["end"]) for s in found or ()])
-                kept, at = hashlib.sha256(), 0
+                kept, at = [], 0
                 for a, b in gone:
-                    kept.update(text[at:a])
+                    kept.append(text[at:a])
                     at = b
-                kept.update(text[at:])
-                rows.append({"doc_id": doc, "n_bytes": n, "n_removed": sum(b - a for a, b in gone), "n_spans": len(gone), "kept_sha256": kept.hexdigest(), "spans": [{"start": a, "end": b} for a, b in gone]})
-            schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+                kept = b"".join([*kept, text[at:]])
+                rows.append({"text": kept.decode(errors="ignore"), "doc_id": doc, "n_bytes": n, "n_removed": sum(b - a for a, b in gone), "n_spans": len(gone), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": [{"start": a, "end": b} for a, b in gone]})
+            schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("text", pa.string())])
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return own.join(state, "node", "left").select("doc_id", "text", "copied", "spans").mapInArrow(remove, KEPT)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")

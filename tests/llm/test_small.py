@@ -286,7 +286,8 @@ def test_suffix_dedup(docs, rows, empty, portion):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
-def test_suffix_dedup_on_passages(spark):
+@pytest.mark.parametrize("portion", [5000, 3, 1])
+def test_suffix_dedup_on_passages(spark, portion):
     import random
 
     rng = random.Random(3)
@@ -294,7 +295,9 @@ def test_suffix_dedup_on_passages(spark):
     passages = [text(n) for n in (390, 400, 401, 900, 1700)]
     rows = [(i, text(rng.randrange(300)) + "".join(rng.choice(passages) + text(rng.randrange(40)) for _ in range(rng.randrange(4)))) for i in range(60)]
     rows += [(100, "ab" * 500), (101, "z" * 399), (102, "z" * 401)]
-    got = {r.doc_id: tuple(r)[1:5] for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 400, portion).collect()
+    got = {r.doc_id: tuple(r)[1:5] for r in out}
+    assert all(len(r.text.encode()) <= r.n_bytes - r.n_removed and (r.n_removed or r.text == dict(rows)[r.doc_id]) for r in out)
     for (i, _), want in zip(rows, brute_repeats([t.encode() for _, t in rows], 400), strict=True):
         assert got[i] == want
 
