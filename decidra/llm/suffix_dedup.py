@@ -170,8 +170,9 @@ def spans_of(windows: np.ndarray, size: int) -> list[tuple[int, int]]:
 
 
 RUNS = "least long, node binary, place int, first int, last int"
-REGIONS = "least long, node binary, place int, first int, hot boolean, region binary"
-SPANS = "node binary, start int, end int"
+REGIONS = "least long, node binary, anchor int, firsts array<int>, hot boolean, region binary"
+SPANS = "node binary, spans array<struct<start:int,end:int>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def runs(docs: DataFrame, size: int) -> DataFrame:
@@ -198,73 +199,69 @@ def runs(docs: DataFrame, size: int) -> DataFrame:
 
 
 def regions(chosen: DataFrame, size: int) -> DataFrame:
-    """The bytes of each chosen run. chosen: node, text, runs (structs)."""
+    """The bytes of each chosen run, with the minimizer's place in them (anchor); runs of a text with equal bytes once, with
+    the places where they start. chosen: node, text, runs (structs)."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
-            least, nodes, place, first, hot, region = [], [], [], [], [], []
+            rows: list[tuple] = []
             for node, text, own in zip(batch["node"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), batch["runs"].to_pylist(), strict=True):
+                alike: dict[tuple, list[int]] = {}
                 for r in own:
-                    least.append(r["least"])
-                    nodes.append(node)
-                    place.append(r["place"])
-                    first.append(r["first"])
-                    hot.append(r["hot"])
-                    region.append(text[r["first"] : r["last"] + size])
-            yield pa.record_batch({
-                "least": pa.array(least, pa.int64()), "node": pa.array(nodes, pa.binary()), "place": pa.array(place, pa.int32()),
-                "first": pa.array(first, pa.int32()), "hot": pa.array(hot, pa.bool_()), "region": pa.array(region, pa.binary()),
-            })
+                    alike.setdefault((r["least"], r["place"] - r["first"], r["hot"], text[r["first"] : r["last"] + size]), []).append(r["first"])
+                rows.extend((least, node, anchor, firsts, hot, region) for (least, anchor, hot, region), firsts in alike.items())
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.bool_(), pa.binary())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["least", "node", "anchor", "firsts", "hot", "region"])
 
     return chosen.select("node", "text", "runs").mapInArrow(take, REGIONS)
 
 
 def repeated_spans(found: DataFrame, size: int) -> DataFrame:
-    """node, start, end of the repeated bytes in these regions, by suffix arrays over portions of whole minimizers.
+    """node, spans: the repeated bytes in these regions, by suffix arrays over portions of whole minimizers.
 
-    found: least, node, place, first, region and often (the region stands elsewhere, too)."""
+    found: least, node, anchor, firsts, region and often (the region stands elsewhere, too)."""
 
-    def solve(keys: list[tuple[int, int]], owners: list[list[tuple[bytes, int]]], often: list[bool], texts: list[bytes]) -> pa.RecordBatch:
-        twice = np.array([o or len(set(own)) > 1 for o, own in zip(often, owners, strict=True)], bool)
-        nodes, starts, ends = [], [], []
+    def solve(keys: list[tuple[int, int]], owners: list[dict[bytes, set[int]]], often: list[bool], texts: list[bytes]) -> pa.RecordBatch:
+        twice = np.array([o or sum(map(len, own.values())) > 1 for o, own in zip(often, owners, strict=True)], bool)
+        spans: dict[bytes, list[tuple[int, int]]] = {}
         for windows, own in zip(repeated_windows(texts, [k[1] for k in keys], twice, size), owners, strict=True):
-            for start, end in spans_of(windows, size):
-                for node, first in set(own):
-                    nodes.append(node)
-                    starts.append(first + start)
-                    ends.append(first + end)
-        return pa.record_batch([pa.array(nodes, pa.binary()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["node", "start", "end"])
+            if hit := spans_of(windows, size):
+                for node, firsts in own.items():
+                    spans.setdefault(node, []).extend((first + start, first + end) for first in firsts for start, end in hit)
+        rows = [[{"start": a, "end": b} for a, b in merged(own)] for own in spans.values()]
+        return pa.record_batch([pa.array(list(spans), pa.binary()), pa.array(rows, _SPANS)], names=["node", "spans"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: dict[tuple[int, int, bytes], int] = {}
         keys, owners, oftens, texts, held, current = [], [], [], [], 0, None
         for batch in batches:
-            for least, node, place, first, often, region in zip(*(batch[k].to_pylist() for k in ("least", "node", "place", "first", "often", "region")), strict=True):
+            for least, node, anchor, firsts, often, region in zip(*(batch[k].to_pylist() for k in ("least", "node", "anchor", "firsts", "often", "region")), strict=True):
                 if least != current and held > PORTION_BYTES:
                     yield solve(keys, owners, oftens, texts)
                     index, keys, owners, oftens, texts, held = {}, [], [], [], [], 0
                 current = least
-                key = (least, place - first, region)
+                key = (least, anchor, region)
                 at = index.get(key)
                 if at is None:
                     index[key] = len(texts)
                     keys.append(key[:2])
-                    owners.append([(node, first)])
+                    owners.append({node: set(firsts)})
                     oftens.append(often)
                     texts.append(region)
                     held += len(region)
                 else:
-                    owners[at].append((node, first))
+                    owners[at].setdefault(node, set()).update(firsts)
                     oftens[at] |= often
         if texts:
             yield solve(keys, owners, oftens, texts)
 
-    return found.select("least", "node", "place", "first", "often", "region").repartition("least").sortWithinPartitions("least").mapInArrow(work, SPANS)
+    return found.select("least", "node", "anchor", "firsts", "often", "region").repartition("least").sortWithinPartitions("least").mapInArrow(work, SPANS)
 
 
 def quarters(parts: DataFrame, size: int) -> DataFrame:
-    """Each region (key, anchor, lo, hi, region, node, at, often) as those of its windows that start lo to hi bytes before
-    the anchor, for each quarter of lo to hi; the new key holds the bytes that all windows of the quarter have."""
+    """Each region (key, anchor, lo, hi, region, node, firsts, often) as those of its windows that start lo to hi bytes
+    before the anchor, for each quarter of lo to hi; the new key holds the bytes that all windows of the quarter have."""
     step = F.ceil((F.col("hi") - F.col("lo") + 1) / 4).cast("int")
     each = parts.select("*", F.explode(F.sequence("lo", "hi", step)).alias("low"))
     each = each.withColumn("high", F.least(F.col("hi"), F.col("low") + step - 1))
@@ -274,7 +271,7 @@ def quarters(parts: DataFrame, size: int) -> DataFrame:
     alike = F.substring("region", F.col("anchor") - F.col("low") + 1, F.lit(size) - F.col("high") + F.col("low"))
     return each.select(
         F.xxhash64("key", "low", "high", alike).alias("key"), F.col("far").alias("anchor"), F.col("low").alias("lo"), F.col("high").alias("hi"),
-        F.substring("region", begin + 1, F.col("far") - F.col("near") + size).alias("region"), "node", (F.col("at") + begin).alias("at"), "often",
+        F.substring("region", begin + 1, F.col("far") - F.col("near") + size).alias("region"), "node", F.transform("firsts", lambda f: f + begin).alias("firsts"), "often",
     )
 
 
@@ -283,20 +280,21 @@ def hot_spans(found: DataFrame, size: int, portion: int) -> DataFrame:
 
     Each turn merges equal regions, solves the keys that have at most `portion` of them, and cuts those of the others into
     quarters. A region that is repeated as a whole goes on once, for the sake of those that hold a part of it."""
-    parts = found.select(F.col("least").alias("key"), (F.col("place") - F.col("first")).alias("anchor"), F.lit(0).alias("lo"), F.lit(size - GRAM).alias("hi"), "region", "node", F.col("first").alias("at"), F.lit(False).alias("often"))
+    parts = found.select(F.col("least").alias("key"), "anchor", F.lit(0).alias("lo"), F.lit(size - GRAM).alias("hi"), "region", "node", "firsts", F.lit(False).alias("often"))
     spans, width = None, size - GRAM + 1
+    moved = lambda start, end: F.transform("firsts", lambda f: F.struct((f + start).alias("start"), (f + end).alias("end")))
     while True:
         named = F.unhex(F.substring(F.sha2(F.concat(F.encode(F.concat_ws("|", "key", "anchor", "lo"), "utf-8"), F.col("region")), 256), 1, 32))
-        parts = cut(parts.withColumns({"rid": named, "where": F.xxhash64("node", "at")}), "op7-hot")
-        each = parts.groupBy("rid", "key").agg(F.min("where").alias("chosen"), (F.bool_or("often") | (F.min("where") < F.max("where"))).alias("many"))
-        each = cut(each, "op7-hot-regions")
+        parts = cut(parts.withColumns({"rid": named, "where": F.xxhash64("node", "firsts")}), "op7-hot")
+        many = F.bool_or(F.col("often") | (F.size("firsts") > 1)) | (F.min("where") < F.max("where"))
+        each = cut(parts.groupBy("rid", "key").agg(F.min("where").alias("chosen"), many.alias("many")), "op7-hot-regions")
         crowded = each.groupBy("key").agg(F.count("*").alias("n")).select("key", ((F.col("n") > portion) & F.lit(width > 1)).alias("crowded"))
         state = cut(parts.drop("often", "key").join(each.join(crowded, "key"), "rid"), "op7-hot-state")
         chosen = state.filter(F.col("where") == F.col("chosen"))
-        single = chosen.filter("not crowded").select(F.col("key").alias("least"), F.col("rid").alias("node"), F.col("anchor").alias("place"), F.lit(0).alias("first"), F.col("many").alias("often"), "region")
+        single = chosen.filter("not crowded").select(F.col("key").alias("least"), F.col("rid").alias("node"), "anchor", F.array(F.lit(0)).alias("firsts"), F.col("many").alias("often"), "region")
         solved = cut(repeated_spans(single, size), "op7-hot-solved").withColumnRenamed("node", "rid")
-        own = state.filter("not crowded").select("rid", "node", "at").join(solved, "rid").select("node", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))
-        whole = state.filter("crowded and many").select("node", F.col("at").alias("start"), (F.col("at") + F.length("region")).alias("end"))
+        own = state.filter("not crowded").select("rid", "node", "firsts").join(solved, "rid").select("node", F.flatten(F.transform("spans", lambda s: moved(s["start"], s["end"]))).alias("spans"))
+        whole = state.filter("crowded and many").select("node", moved(F.lit(0), F.length("region")).alias("spans"))
         spans = own.union(whole) if spans is None else spans.union(own).union(whole)
         rest = chosen.filter("crowded")
         if rest.isEmpty():
@@ -336,7 +334,7 @@ def repeats(docs: DataFrame, size: int = 400, portion: int = 5000) -> tuple[Data
     with_text = texts.join(chosen.join(reps, "node"), ["node", "doc_id"])
     found = cut(regions(with_text, size), "op7-regions")
     spans = repeated_spans(found.filter(~F.col("hot")).withColumn("often", F.lit(False)), size).union(hot_spans(found.filter("hot"), size, portion))
-    return own, spans.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return own, spans.groupBy("node").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>, text string"
