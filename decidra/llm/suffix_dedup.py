@@ -267,11 +267,11 @@ def quarters(parts: DataFrame, size: int) -> DataFrame:
     each = each.withColumn("high", F.least(F.col("hi"), F.col("low") + step - 1))
     far, near = F.least("high", "anchor"), F.greatest(F.col("low"), F.col("anchor") - F.length("region") + size)
     each = each.withColumns({"far": far, "near": near}).filter("near <= far")
-    begin = F.col("anchor") - F.col("far")
+    each = each.withColumn("begin", F.col("anchor") - F.col("far"))
     alike = F.substring("region", F.col("anchor") - F.col("low") + 1, F.lit(size) - F.col("high") + F.col("low"))
     return each.select(
         F.xxhash64("key", "low", "high", alike).alias("key"), F.col("far").alias("anchor"), F.col("low").alias("lo"), F.col("high").alias("hi"),
-        F.substring("region", begin + 1, F.col("far") - F.col("near") + size).alias("region"), "node", F.transform("firsts", lambda f: f + begin).alias("firsts"), "often",
+        F.substring("region", F.col("begin") + 1, F.col("far") - F.col("near") + size).alias("region"), "node", F.transform("firsts", lambda f: f + F.col("begin")).alias("firsts"), "often",
     )
 
 
