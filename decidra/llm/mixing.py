@@ -3,14 +3,19 @@
 The leaves are (domain, language, source). A token budget enters at the root and is divided among a node's children by
 their weights. A child can take no more than its tokens times `epochs`; what it cannot take goes to its siblings by their
 weights, and only what no sibling can take reaches the level above (as the parent then takes less of its own budget).
-All of it is done in whole numbers by windows over one row per node, so the result does not depend on partitioning.
+All of it is done in whole numbers, so the result does not depend on partitioning: below the root by windows over the
+children of a node, at the root, whose children may be many, by sums over all domains until no more of them fill up.
 
 A leaf that gets more than its tokens is read in whole epochs; of the last, partial one the longest token-prefix within
 the budget is taken, in an order seeded by epoch and doc_id. Prefix sums are spread over many tasks per leaf (running()).
 
 Tokens are the words `[^\\x20\\x09-\\x0D]+` of the whole text. A null language or source is a leaf named "" like others. A
-null doc_id takes part, first in order. A text without words costs nothing. Weights that are not named are 1; a node of
-weight 0 gets nothing. Repeated rows count each. Columns beyond those named are kept.
+null doc_id takes part, first in order. A text without words costs nothing, so it may
+stand in the prefix of an epoch that has no tokens left. Weights that are not named are 1; a node of
+weight 0, and all below it, gets nothing, and what it holds is no capacity of its parents. Repeated rows count each; rows
+that share a doc_id are next to one another in an epoch, in any order. A text longer than its leaf's last part is left out
+of it. Columns beyond doc_id, text, lang, source and those in `carry` are not read; columns named like those that are
+added (domain, language, origin, tokens, copies) give way to them.
 """
 
 from __future__ import annotations
@@ -51,30 +56,58 @@ def divide(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
 
     nodes: the parents' columns, `name`, weight, capacity, budget (the parent's). Children are taken in the order in which
     they fill up; those before the first that does not are full, and the rest share what is left."""
-    family = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))
-    order = family.orderBy((F.col("capacity") / F.col("weight")).asc_nulls_last(), name)
+    family = Window.partitionBy(*parents)
+    order = family.orderBy(F.try_divide("capacity", "weight").asc_nulls_last(), name)
     before = F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nodes = nodes.withColumn("capacity", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(F.lit(0).cast("long")))
     nodes = nodes.withColumns({"_left": F.col("budget") - before, "_weights": F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)), "_at": F.row_number().over(order)})
-    open_ = F.col("capacity") * F.col("_weights") > F.col("_left") * F.col("weight")
+    open_ = _wide("capacity") * _wide("_weights") > _wide("_left") * _wide("weight")
     nodes = nodes.withColumn("_first", F.min(F.when(open_, F.col("_at"))).over(family))
     at_first = F.col("_at") == F.col("_first")
     nodes = nodes.withColumns({"_share": F.max(F.when(at_first, F.col("_left"))).over(family), "_of": F.max(F.when(at_first, F.col("_weights"))).over(family)})
     full = F.col("_first").isNull() | (F.col("_at") < F.col("_first"))
-    given = F.when(full, F.col("capacity")).otherwise(F.expr("_share * weight div _of"))
+    given = F.when(full, F.col("capacity")).otherwise(F.expr("cast(_share as decimal(19, 0)) * cast(weight as decimal(18, 0)) div _of"))
     return nodes.withColumn("given", F.coalesce(given, F.lit(0).cast("long"))).drop("_left", "_weights", "_at", "_first", "_share", "_of")
 
 
+def _wide(column: str) -> F.Column:
+    return F.col(column).cast("decimal(19, 0)")
+
+
+def divide_root(nodes: DataFrame, budget: int) -> DataFrame:
+    """divide() for one family of any size: each turn sums what is full at the share of the turn before, which grows."""
+    nodes = cut(nodes, "op2-root")
+    left, of = budget, nodes.agg(F.sum("weight")).first()[0] or 0
+    while True:
+        full = _wide("capacity") * F.lit(of).cast("decimal(19, 0)") <= _wide("weight") * F.lit(left).cast("decimal(19, 0)")
+        sums = nodes.agg(F.sum(F.when(full, F.col("capacity"))).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("of")).first()
+        if not sums["of"]:
+            return nodes.withColumn("given", F.col("capacity"))
+        now = budget - (sums["full"] or 0), sums["of"]
+        if now == (left, of):
+            share = F.expr(f"cast({left} as decimal(19, 0)) * cast(weight as decimal(18, 0)) div cast({of} as bigint)")
+            return nodes.withColumn("given", F.when(full, F.col("capacity")).otherwise(share))
+        left, of = now
+
+
 def budgets(leaves: DataFrame, percent: int, epochs: int, weights: dict[str, dict[str, int]]) -> DataFrame:
-    """domain, language, origin, tokens, given for these leaves (with tokens); the root gets `percent` of all tokens."""
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-    known = leaves.withColumns({"capacity": F.col("tokens") * epochs, "budget": F.floor(total * percent / 100).cast("long") if percent % 100 else total * (percent // 100)})
+    """domain, language, origin, tokens, given, open (no weight of 0 above it) for these leaves (with tokens); the root gets
+    `percent` of all tokens."""
+    total = leaves.agg(F.sum("tokens")).first()[0] or 0
+    open_ = F.lit(True)
+    for level in LEVELS:
+        open_ = open_ & (_weight(level, weights.get(level, {})) > 0)
+    known = leaves.withColumn("open", open_).withColumn("capacity", F.when(F.col("open"), F.col("tokens") * epochs).otherwise(F.lit(0).cast("long")))
     for depth, level in enumerate(LEVELS):
         path = LEVELS[: depth + 1]
-        nodes = known.groupBy(*path).agg(F.sum("capacity").alias("capacity"), F.first("budget").alias("budget")).withColumn("weight", _weight(level, weights.get(level, {})))
-        given = divide(nodes, path[:-1], level).select(*path, F.col("given").alias("budget"))
-        known = known.drop("budget").join(given, path)
-    return known.select(*LEVELS, "tokens", F.col("budget").alias("given"))
+        weight = _weight(level, weights.get(level, {}))
+        if depth == 0:
+            nodes = known.groupBy(level).agg(F.sum("capacity").alias("capacity")).withColumn("weight", weight)
+            given = divide_root(nodes, total * percent // 100)
+        else:
+            nodes = known.groupBy(*path).agg(F.sum("capacity").alias("capacity"), F.first("budget").alias("budget")).withColumn("weight", weight)
+            given = divide(nodes, path[:-1], level)
+        known = known.drop("budget").join(given.select(*path, F.col("given").alias("budget")), path)
+    return known.select(*LEVELS, "tokens", F.col("budget").alias("given"), "open")
 
 
 def seeded(seed: int, epoch: F.Column, key: F.Column) -> F.Column:
@@ -83,20 +116,20 @@ def seeded(seed: int, epoch: F.Column, key: F.Column) -> F.Column:
     return F.shiftleft(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), 3)
 
 
-def mix(docs: DataFrame, percent: int = 80, epochs: int = 2, weights: dict[str, dict[str, int]] | None = None, seed: int = 17) -> DataFrame:
-    """The rows of docs that are taken (whole, with their columns), with domain, language, origin, tokens and copies."""
+def mix(docs: DataFrame, percent: int = 80, epochs: int = 2, weights: dict[str, dict[str, int]] | None = None, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, domain, language, origin, tokens, copies (and the columns in `carry`) of the rows of docs that are taken."""
     weights = {"domain": DOMAIN_WEIGHTS, "language": LANGUAGE_WEIGHTS} if weights is None else weights
-    own = docs.withColumns(leaf_columns()).withColumn("tokens", tokens(plain_text()))
-    slim = cut(own.select("doc_id", *LEVELS, "tokens"), "op2-tokens")
+    own = docs.select("doc_id", *carry, *(c.alias(n) for n, c in leaf_columns().items()), tokens(plain_text()).alias("tokens"))
+    slim = cut(own, "op2-tokens")
     leaves = slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     given = cut(budgets(leaves, percent, epochs, weights), "op2-budgets")
     whole = F.when(F.col("tokens") > 0, F.expr("given div tokens")).otherwise(F.lit(1 if epochs else 0)).cast("long")
-    plan = given.select(*LEVELS, whole.alias("whole"), (F.col("given") - whole * F.col("tokens")).alias("rest"))
+    plan = given.filter("open").select(*LEVELS, whole.alias("whole"), (F.col("given") - whole * F.col("tokens")).alias("rest"))
     # the epoch of a leaf's prefix is that after its whole ones; the few leaves are broadcast if they are as small as expected
     epoch = slim.join(plan.select(*LEVELS, "whole"), LEVELS)
     placed = running(epoch, LEVELS, seeded(seed, F.col("whole"), F.col("doc_id")), F.col("tokens"), "before", carry=plan.select(*LEVELS, "rest"))
     taken = placed.withColumn("copies", F.col("whole") + (F.col("before") + F.col("tokens") <= F.col("rest")).cast("long"))
-    return taken.filter("copies > 0").select("doc_id", *LEVELS, "tokens", "copies")
+    return taken.filter("copies > 0").select("doc_id", *carry, *LEVELS, "tokens", "copies")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

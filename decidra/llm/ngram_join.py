@@ -101,15 +101,17 @@ def _sketch(s: np.ndarray) -> np.ndarray:
 
 
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set_id, check: equal sets have equal ids and checks; empty sets have none."""
+    """The columns of docs but text, and n_shingles, set_id, check: equal sets have equal ids and checks; empty sets none."""
+    names = [c for c in docs.columns if c != "text"]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [(len(s), *(_digest(s) if len(s) else (None, None))) for s in shingle_sets(batch["text"], n)]
             sizes, ids, checks = zip(*found, strict=True)
-            yield pa.record_batch({"doc_id": batch["doc_id"], "n_shingles": pa.array(sizes, pa.int64()), "set_id": pa.array(ids, pa.int64()), "check": pa.array(checks, pa.int64())})
+            yield pa.record_batch({k: batch[k] for k in names} | {"n_shingles": pa.array(sizes, pa.int64()), "set_id": pa.array(ids, pa.int64()), "check": pa.array(checks, pa.int64())})
 
-    return docs.mapInArrow(name, "doc_id long, n_shingles long, set_id long, check long")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
+    return docs.mapInArrow(name, ", ".join([*kinds, "n_shingles long, set_id long, check long"]))
 
 
 def representatives(named: DataFrame) -> DataFrame:
@@ -242,6 +244,8 @@ def _counts(ids: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch
     return pa.record_batch([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["bucket", "ids", "counts"])
 
 
+#: A set travels with its open n-grams, once for each of them, if they are no more than this.
+HEAD = 200
 #: Stands for a missing doc_id.
 NO_ID = -(1 << 63)
 
@@ -389,11 +393,13 @@ def near_components(sets: DataFrame, t: int, rounds: int = 4) -> DataFrame | Non
         before = todo
         if last:
             rest = at.join(tokens.select("gram"), "gram", "left_semi").select("gram", "doc_id", "component")
-            own = rest.groupBy("doc_id").agg(F.collect_list("gram").alias("head")).join(sets.select("doc_id", "n", F.size("grams").alias("m"), "bits"), "doc_id")
+            heads = rest.groupBy("doc_id").agg(F.count("*").alias("c"), F.collect_list("gram").alias("head"))
+            heads = heads.select("doc_id", F.when(F.col("c") <= HEAD, F.col("head")).alias("head"))
+            own = heads.join(sets.select("doc_id", "n", F.size("grams").alias("m"), "bits"), "doc_id")
             rest = cut(rest.join(own, "doc_id"), "op5-rest")
             other = rest.select("gram", *(F.col(c).alias(f"other_{c}") for c in ("n", "m", "bits", "component", "head")), F.col("doc_id").alias("other"))
-            # a pair is made where its first common n-gram is, so once
-            once = (F.col("gram") == F.array_min(F.array_intersect("head", "other_head")))
+            # a pair is made where its first common n-gram is, so once; that of a very long set, at each of them
+            once = F.coalesce(F.col("gram") == F.array_min(F.array_intersect("head", "other_head")), F.lit(True))
             new_pair = (F.col("component") != F.col("other_component")) & (F.col("doc_id") < F.col("other"))
             pairs = _named(rest.withColumnRenamed("gram", "g").join(other, (F.col("g") == F.col("gram")) & new_pair & can_link(t) & sketches_allow(t) & once))
         else:
@@ -408,11 +414,12 @@ def near_components(sets: DataFrame, t: int, rounds: int = 4) -> DataFrame | Non
     return components(edges, "op5-components") if edges is not None else None
 
 
-def ngram_join(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
-    """doc_id, n_shingles, set_id, component_id for every row of docs; links at 100 * intersection >= t * union."""
+def ngram_join(docs: DataFrame, n: int = 5, t: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, set_id, component (a number that its sets share), component_id, and the columns in `carry`, for
+    every row of docs; links at 100 * intersection >= t * union."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
-    named = cut(classes(own, n), "op5-classes")
+    named = cut(classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, plain_text().alias("text")), n), "op5-classes")
     reps = cut(representatives(named), "op5-reps")
     least = F.ceil(F.lit(t) * F.col("n") / 100)
     need = F.greatest(F.lit(1), F.floor(least / 5))
@@ -420,9 +427,9 @@ def ngram_join(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
     labels = near_components(ordered_sets(own, cut(chosen, "op5-chosen"), n, t), t)
     own_label = reps.withColumn("component", F.col("node")) if labels is None else reps.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = own_label.groupBy("component").agg(F.min("rep").alias("component_id"))
-    lead = own_label.join(least, "component").select("set_id", "check", "node", "component_id")
+    lead = own_label.join(least, "component").select("set_id", "check", "node", "component", "component_id")
     joined = named.join(lead, ["set_id", "check"], "left")
-    return joined.select("doc_id", "n_shingles", F.col("node").alias("set_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return joined.select("doc_id", *carry, "n_shingles", F.col("node").alias("set_id"), "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decidra.llm.common import cut, plain_text, running, slices, small_batches, spread, table
-from decidra.llm.tokens import END, ids
+from decidra.llm.tokens import END, TEXT_BYTES, ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -164,7 +164,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None =
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ids(vocabulary)
-        for batch in slices(batches):
+        for batch in slices(batches, most=TEXT_BYTES):
             flat, bounds = bpe.encode(batch["text"])
             out: list[list] = [[], [], [], [], []]
             for doc, a, b in zip(batch["doc_id"].to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

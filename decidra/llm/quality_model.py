@@ -1,15 +1,16 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Bytes are embedded (with a plane that tells whether the next five bytes also stand a few places back), learned filters of
-eight bytes slide over the text, and their activations are averaged over overlapping chunks of 256 bytes that cover the
-whole document. A layer turns each chunk into detectors, which are max-pooled (and averaged) over all chunks and combined
-into one probability that the quality label is 1.
+Bytes are embedded, learned filters of eight bytes slide over the text, and their activations are averaged over overlapping
+chunks of 256 bytes that cover the whole document. A layer turns each chunk into detectors, which are max-pooled (and
+averaged) over all chunks and combined into one probability that the quality label is 1.
 
 The network is fitted on the driver to at most `per_class` labelled documents of either label, chosen by a hash of
 doc_id; the sample does not grow with the input. Only rows with crc32(doc_id) mod 4 <> 2 are ever learned from. The text
-is the only input. Scoring reads every whole text, a few MB at a time.
+is the only input. Scoring reads every whole text, a MB at a time, and holds a few bytes for each byte of it. There every sum
+is made number by number in a fixed order (a filter is a sum of one table row for each of its bytes), so a score depends on
+the text alone and not on what is scored with it.
 
-A null or empty text is scored as one chunk without bytes. Repeated rows get equal scores. If the labels lack one of the
+A null or empty text is scored as one chunk without bytes. Repeated rows and equal texts get equal scores. If the labels lack one of the
 two classes, there is nothing to learn and every score is 0.5. Columns beyond doc_id and text are ignored.
 """
 
@@ -25,56 +26,42 @@ from pyspark.sql import functions as F
 from decidra.llm.common import plain_text, slices, small_batches, table
 
 CHUNK, STEP, WIDTH, STRIDE = 256, 128, 8, 4
-EMBED, FILTERS, DETECTORS = 6, 16, 12
-#: How far back the recurrence plane looks, in bytes.
-BACK = range(3, 21)
+EMBED, FILTERS, DETECTORS = 6, 32, 64
+#: Half chunks whose filters are computed at once when texts are scored.
+BLOCK = 1024
 SCORES = "doc_id long, score double"
 
 
-def planes(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Padded bytes, the recurrence plane, which bytes are text, and where texts start in half chunks."""
+def laid_out(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes, each text filled up to whole half chunks with 256, and where texts start in half chunks."""
     n = len(text)
     at = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + n + 1].astype(np.int64)
     data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
     size = np.diff(at)
-    halves = np.maximum(2, -(-size // STEP))
-    first = np.concatenate([[0], np.cumsum(halves)])
-    out = np.zeros(first[-1] * STEP + WIDTH, np.uint8)
-    real = np.zeros(len(out), bool)
-    place = np.arange(len(data)) + np.repeat(first[:-1] * STEP - (at[:-1] - at[0]), size)
-    out[place] = data
-    real[place] = True
-    wide = out.astype(np.uint64)
-    gram = np.zeros(len(out), np.uint64)
-    for k in range(5):
-        gram[: len(out) - k] |= wide[k:] << np.uint64(8 * k)
-    back = np.zeros(len(out), bool)
-    for k in BACK:
-        back[k:] |= gram[k:] == gram[:-k]
-    back &= real
-    return out, back, real, first
+    first = np.concatenate([[0], np.cumsum(np.maximum(2, -(-size // STEP)))])
+    out = np.full(first[-1] * STEP + WIDTH, 256, np.int16)
+    out[np.arange(len(data)) + np.repeat(first[:-1] * STEP - (at[:-1] - at[0]), size)] = data
+    return out, first
 
 
 def start(seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     init = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
     return {
-        "emb": init(256, EMBED, scale=0.5), "w1": init(WIDTH * (EMBED + 1), FILTERS, scale=0.15), "b1": np.zeros(FILTERS, np.float32),
+        "emb": init(256, EMBED, scale=0.5), "w1": init(WIDTH * EMBED, FILTERS, scale=0.15), "b1": np.zeros(FILTERS, np.float32),
         "w2": init(FILTERS, DETECTORS, scale=0.3), "b2": np.full(DETECTORS, 0.1, np.float32),
-        "w3": init(2 * DETECTORS, scale=0.2), "b3": np.zeros(1, np.float32), "scale": np.ones(1, np.float32),
+        "w3": init(2 * DETECTORS, scale=0.2), "b3": np.zeros(1, np.float32),
     }
 
 
 def forward(p: dict[str, np.ndarray], text: pa.Array) -> tuple[np.ndarray, dict]:
     """The logit of each text, and what backward() needs."""
-    data, back, real, first = planes(text)
+    data, first = laid_out(text)
+    real = data < 256
     places = (len(data) - WIDTH) // STRIDE
-    x = np.empty((len(data), EMBED + 1), np.float32)
-    x[:, :EMBED] = p["emb"][data]
-    x[:, EMBED] = back
-    x *= real[:, None]
+    x = np.append(p["emb"], np.zeros((1, EMBED), p["emb"].dtype), 0)[data]
     step = x.strides[0]
-    windows = np.lib.stride_tricks.as_strided(x, (places, WIDTH * (EMBED + 1)), (STRIDE * step, x.strides[1]))
+    windows = np.lib.stride_tricks.as_strided(x, (places, WIDTH * EMBED), (STRIDE * step, x.strides[1]))
     mask = real[: places * STRIDE : STRIDE]
     act = np.maximum(windows @ p["w1"] + p["b1"], 0) * mask[:, None]
     per = STEP // STRIDE
@@ -111,28 +98,59 @@ def backward(p: dict[str, np.ndarray], c: dict, dlogit: np.ndarray) -> dict[str,
     dhalf[c["left"] + 1] += dmean
     dact = np.repeat(dhalf, STEP // STRIDE, axis=0) * (c["act"] > 0)
     g["w1"], g["b1"] = c["windows"].T @ dact, dact.sum(0)
-    dwin = (dact @ p["w1"].T).reshape(-1, WIDTH, EMBED + 1)[:, :, :EMBED]
+    dwin = (dact @ p["w1"].T).reshape(-1, WIDTH, EMBED)
     demb = np.zeros((256, EMBED), np.float64)
     for k in range(WIDTH):
         at = np.arange(len(dwin)) * STRIDE + k
         d = dwin[:, k] * c["real"][at][:, None]
         for e in range(EMBED):
-            demb[:, e] += np.bincount(c["data"][at], d[:, e], 256)
+            demb[:, e] += np.bincount(c["data"][at], d[:, e], 257)[:256]
     g["emb"] = demb.astype(np.float32)
     return g
 
 
+def logits(p: dict[str, np.ndarray], text: pa.Array) -> np.ndarray:
+    """forward() without matrix products, whose sums depend on the number of rows."""
+    data, first = laid_out(text)
+    tables = [np.append(p["emb"] @ p["w1"][k * EMBED : (k + 1) * EMBED], np.zeros((1, FILTERS), np.float32), 0) for k in range(WIDTH)]
+    per = STEP // STRIDE
+    half = np.zeros((first[-1], FILTERS), np.float32)
+    mask = (data[: first[-1] * STEP : STRIDE] < 256).reshape(-1, per)
+    for a in range(0, int(first[-1]), BLOCK):
+        b = min(a + BLOCK, int(first[-1]))
+        act = np.tile(p["b1"], ((b - a) * per, 1))
+        for k, table_ in enumerate(tables):
+            act += table_[data[a * STEP + k : b * STEP + k : STRIDE]]
+        act = np.maximum(act, 0).reshape(b - a, per, FILTERS)
+        for k in range(per):
+            half[a:b] += act[:, k] * mask[a:b, k, None]
+    count = mask.sum(1).astype(np.float32)
+    chunk = np.ones(len(half), bool)
+    chunk[first[1:] - 1] = False
+    left = np.flatnonzero(chunk)
+    mean = (half[left] + half[left + 1]) / np.maximum(count[left] + count[left + 1], 1)[:, None]
+    z = np.tile(p["b2"], (len(mean), 1))
+    for k in range(FILTERS):
+        z += mean[:, k, None] * p["w2"][k]
+    z = np.maximum(z, 0)
+    begin = first[:-1] - np.arange(len(first) - 1)
+    features = np.concatenate([np.maximum.reduceat(z, begin, axis=0), np.add.reduceat(z, begin, axis=0) / np.diff(np.append(begin, len(z)))[:, None].astype(np.float32)], 1)
+    out = np.full(len(features), p["b3"][0], np.float32)
+    for k in range(2 * DETECTORS):
+        out += features[:, k] * p["w3"][k]
+    return out
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x.astype(np.float64), -30, 30)))
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 7) -> dict[str, np.ndarray] | None:
+def fit(texts: list[str], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.02, seed: int = 7) -> dict[str, np.ndarray] | None:
     """Weights after Adam on balanced log loss; None without both labels."""
     labels = np.asarray(labels, np.float32)
     if len(set(labels.tolist())) < 2:
         return None
     p, rng = start(seed), np.random.default_rng(seed)
-    p.pop("scale")
     weight = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)
     m, v, t = {k: 0 for k in p}, {k: 0 for k in p}, 0
     epochs = max(epochs, -(-150 * batch // len(texts)))  # 150 steps at least
@@ -173,7 +191,7 @@ def scored(docs: DataFrame, weights: dict[str, np.ndarray] | None, keep: tuple[s
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 1 << 20):
             text = batch["_text"].cast(pa.string())
-            logit = forward(weights, text)[0] if weights else np.zeros(len(text))
+            logit = logits(weights, text) if weights else np.zeros(len(text))
             yield pa.record_batch([*(batch[k] for k in names), pa.array(sigmoid(logit), pa.float64())], names=[*names, "score"])
 
     names = ["doc_id", *keep]

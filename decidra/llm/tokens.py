@@ -16,8 +16,10 @@ import regex
 
 #: The id after each document.
 END = 0
-#: Distinct pretokens whose ids a task keeps.
-MOST_KEPT = 1_000_000
+#: Bytes of distinct pretokens whose ids a worker keeps; with their dictionary they take about ten times as much.
+KEPT_BYTES = 4 << 20
+#: Bytes of text whose ids are made at once: the arrays take about 60 bytes for each.
+TEXT_BYTES = 1 << 20
 
 _WS, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
@@ -75,14 +77,14 @@ def pretokens(code: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Ids:
-    """Token ids of texts. Keeps the ids of pretokens seen before, up to MOST_KEPT."""
+    """Token ids of texts. Keeps the ids of pretokens seen before, up to KEPT_BYTES."""
 
     def __init__(self, path: str | None = None):
         self.bpe = encoder(path)
         self.known: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.held = 0
 
     def _learn(self, words: list[bytes]) -> None:
         encode, known = self.bpe._core_bpe.encode_single_piece, self.known
@@ -118,10 +120,14 @@ class Ids:
         at = np.frombuffer(held.buffers()[1], np.int64)[: len(held) + 1].tolist()
         data = held.buffers()[2].to_pybytes()
         distinct = [data[a:b] for a, b in zip(at, at[1:])]
-        if len(self.known) + len(distinct) > MOST_KEPT:
+        new = [w for w in distinct if w not in self.known]
+        size = sum(map(len, new))
+        if self.known and self.held + size > KEPT_BYTES:
             self.known.clear()
-            self.used = 0
-        self._learn([w for w in distinct if w not in self.known])
+            self.used = self.held = 0
+            new, size = distinct, len(data)
+        self.held += size
+        self._learn(new)
         number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
         length = self.start[number + 1] - self.start[number]
         ends = np.cumsum(length)

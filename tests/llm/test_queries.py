@@ -80,6 +80,25 @@ def test_pipeline_against_plain_stages(spark, sf):
     assert pieces == collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in p.pack(spark, held(spark.createDataFrame(mixed, docs.select(p.COLUMNS).schema)), sf).collect())
 
 
+def test_pipeline_on_odd_rows(spark, sf):
+    """Nulls, rows that share a doc_id, repeated rows, a long text, no rows."""
+    import corpus_pipeline as p
+
+    base = [f"word{i * 7919 % 104729}" for i in range(200)]
+    a, b, other = " ".join(base), " ".join(base[:190]), " ".join(reversed(base))
+    long = " ".join(f"long{i}" for i in range(60_000))
+    rows = [(3, a), (5, b), (5, other), (5, other), (None, None), (None, ""), (None, b + " end"), (7, long), (8, long + " x"), (9, "")]
+    docs = spark.createDataFrame([(i, t, None, None, None, "clash") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _sha string").repartition(3)
+    seen = lambda df: sorted(map(repr, ((r.doc_id, r.text) for r in df.collect())))
+    assert seen(p.near(spark, docs, sf)) == sorted(map(repr, [(3, a), (5, other), (None, None), (None, ""), (7, long), (9, "")]))
+    assert seen(p.exact(spark, docs, sf)) == sorted(map(repr, [(3, a), (5, b), (5, other), (None, b + " end"), (7, long), (8, long + " x"), (9, "")]))
+    mixed = [(r.doc_id, r.text) for r in p.mix(spark, docs, sf).collect()]
+    assert set(mixed) <= set(rows) and sum(len((t or "").split()) for _, t in mixed) <= 0.9 * sum(len((t or "").split()) for _, t in rows)
+    assert p.pack(spark, docs, sf).select("doc_id", "piece").filter("piece = 0").count() == len(rows)
+    for _, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_the_rest_does_not_import_llm():
     import os
     import re

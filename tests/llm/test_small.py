@@ -87,35 +87,51 @@ def test_mixing(docs, rows, empty, spark):
     assert sum(r.tokens * r.copies for r in taken) <= total * 80 // 100
 
 
-def brute_budget(tree, budget, weights):
-    """tree: nested dict of capacities; fills children by weight, level by level."""
+def brute_budget(tree, budget, weights, level=0):
+    """tree: nested dict of capacities; fills children by weight, level by level. weights: by level."""
     if not isinstance(tree, dict):
         return budget
-    size = lambda t: sum(map(size, t.values())) if isinstance(t, dict) else t
-    left, open_, given = budget, dict(tree), {}
+    own = weights[level]
+
+    def size(t, at):
+        return sum(size(x, at + 1) for k, x in t.items() if weights[at].get(k, 1)) if isinstance(t, dict) else t
+
+    left, open_, given = budget, {k for k in tree if own.get(k, 1)}, dict.fromkeys(tree, 0)
     while open_:
-        total = sum(weights.get(k, 1) for k in open_)
-        full = [k for k in open_ if size(open_[k]) * total <= left * weights.get(k, 1)]
+        total = sum(own.get(k, 1) for k in open_)
+        full = [k for k in open_ if size(tree[k], level + 1) * total <= left * own.get(k, 1)]
         if not full:
-            given |= {k: left * weights.get(k, 1) // total for k in open_}
+            given |= {k: left * own.get(k, 1) // total for k in open_}
             break
-        k = min(full, key=lambda k: (size(open_[k]) / weights.get(k, 1), k))
-        given[k] = size(open_[k])
+        k = min(full, key=lambda k: (size(tree[k], level + 1) / own.get(k, 1), k))
+        given[k] = size(tree[k], level + 1)
         left -= given[k]
-        del open_[k]
-    return {k: brute_budget(tree[k], given[k], weights) for k in tree}
+        open_.remove(k)
+    return {k: brute_budget(tree[k], given[k], weights, level + 1) for k in tree}
+
 
+NO_WEIGHTS = [{}, {"domain": {"d0": 0}}, {"language": {"en": 0}}, {"origin": {"a": 0}}, {"domain": {"d1": 0}, "language": {"de": 0}, "origin": {"b": 0}}, {"domain": {"d0": 0, "d1": 0}}]
 
-def test_shortages_go_to_siblings_first(spark):
+
+@pytest.mark.parametrize("weights", [{"domain": {"d0": 2}, "language": {"en": 3}, "origin": {"b": 5}}, *NO_WEIGHTS])
+def test_shortages_go_to_siblings_first(spark, weights):
     leaves = {"d0": {"en": {"a": 100, "b": 1000}, "de": {"a": 10}}, "d1": {"en": {"a": 50, "b": 40}, "fr": {"c": 900}}}
     rows = [(d, lang, o, n) for d, x in leaves.items() for lang, y in x.items() for o, n in y.items()]
-    weights = {"domain": {"d0": 2}, "language": {"en": 3}, "origin": {"b": 5}}
-    flat = {k: v for w in weights.values() for k, v in w.items()}
-    for percent in (10, 50, 77, 100):
-        df = mixing.budgets(spark.createDataFrame(rows, "domain string, language string, origin string, tokens long"), percent, 1, weights)
-        want = brute_budget(leaves, sum(r[3] for r in rows) * percent // 100, flat)
-        assert all(r.given == want[r.domain][r.language][r.origin] for r in df.collect())
-        assert sum(r.given for r in df.collect()) > 2100 * percent / 100 - 8
+    levels = [weights.get(k, {}) for k in mixing.LEVELS]
+    for percent in (10, 77, 100):
+        got = mixing.budgets(spark.createDataFrame(rows, "domain string, language string, origin string, tokens long"), percent, 1, weights).collect()
+        want = brute_budget(leaves, sum(r[3] for r in rows) * percent // 100, levels)
+        assert all(r.given == want[r.domain][r.language][r.origin] for r in got)
+        held = sum(r[3] for r in rows if all(w.get(k, 1) for w, k in zip(levels, r)))
+        assert sum(r.given for r in got) > min(held, 2100 * percent // 100) - 8
+
+
+def test_a_weight_of_zero_takes_nothing(spark):
+    rows = [(i, ["a b c", "", None, "d " * 40][i % 4], ["en", "de"][i % 2], f"s{i % 3}", "x", 3) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, domain string, copies int")
+    got = mixing.mix(docs, 100, 1, {"language": {"en": 0}}).collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows if r[2] == "de"} and all(r.copies == 1 for r in got if r.tokens)
+    assert mixing.mix(docs, 100, 1, {"language": {"en": 0, "de": 0}}).count() == 0
 
 
 def test_running_sums_do_not_depend_on_ranges(spark):
@@ -156,7 +172,11 @@ def test_quality_model(docs, rows, empty, spark):
     weights = quality_model.train(docs, labels)
     got = quality_model.scored(docs, weights).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
-    assert len({r.score for r in got if r.doc_id == 5}) == 1
+    by_text = collections.defaultdict(set)
+    for parts in (1, 3, 7):
+        for r in quality_model.scored(docs.repartition(parts), weights).collect():
+            by_text[dict((x[0], x[1]) for x in rows)[r.doc_id]].add(r.score)
+    assert all(len(x) == 1 for x in by_text.values())
     assert quality_model.train(empty, labels.limit(0)) is None
     assert {r.score for r in quality_model.scored(docs, None).collect()} == {0.5}
     assert quality_model.scored(empty, weights).count() == 0
@@ -167,10 +187,11 @@ def test_quality_gradient():
     import numpy as np
     import pyarrow as pa
 
-    p = {k: v.astype(np.float64) for k, v in quality_model.start(3).items() if k != "scale"}
+    p = {k: v.astype(np.float64) for k, v in quality_model.start(3).items()}
     text = pa.array(["some text here " * 40, "", "other"], pa.string())
     d = np.array([0.3, -0.2, 0.5])
-    _, kept = quality_model.forward(p, text)
+    logit, kept = quality_model.forward(p, text)
+    assert np.allclose(quality_model.logits({k: v.astype(np.float32) for k, v in p.items()}, text), logit, atol=1e-4)
     grads = quality_model.backward(p, kept, d)
     for name, at in (("w1", (3, 2)), ("w2", (1, 1)), ("w3", (4,)), ("b2", (0,)), ("emb", (ord("e"), 1))):
         step = 1e-3
