@@ -353,21 +353,11 @@ def _named(x: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _hops(links: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """node, component: every node of links or labels under the smallest label that is at most two links away, so nodes
-    with one label are connected. Coarser than components(), and much cheaper."""
-    both = links.union(links.select("b", "a")).toDF("node", "component")
-    near = both if labels is None else both.union(labels)
-    near = cut(near.groupBy("node").agg(F.least(F.min("component"), F.col("node")).alias("component")), "op5-near")
-    on = near.join(near.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left")
-    return cut(on.select("node", F.coalesce("next", "component").alias("component")), "op5-labels")
-
-
-def near_components(sets: DataFrame, t: int, rounds: int = 4) -> DataFrame | None:
+def near_components(sets: DataFrame, t: int, rounds: int = 8) -> DataFrame | None:
     """node, component over the sets of ordered_sets(); sets without links may be missing. None: no sets.
 
     Each round names a leader in every n-gram, first the document in the middle, then one from the largest label there,
-    and compares each set with one leader of another label. When the pairs between different labels are few, or a round has not halved them, or
+    and compares each set with one leader of another label. When the pairs between different labels are few, or a round has linked few sets, or
     after `rounds`, each of those pairs is compared."""
     # a document whose n-grams are common among those left stands in the middle of its near copies
     core = F.aggregate("grams", F.lit(0), lambda s, g: s + g["class"]) / F.col("n")
@@ -376,7 +366,7 @@ def near_components(sets: DataFrame, t: int, rounds: int = 4) -> DataFrame | Non
     short = F.col("n") - F.ceil(F.lit(t) * F.col("n") / 100) + 1 - (F.col("n") - F.size("grams"))
     prefix = sets.filter(short > 0).select("doc_id", "core", F.explode(F.slice("grams", F.lit(1), short.cast("int"))).alias("g"))
     prefix = cut(prefix.select("doc_id", "core", F.col("g.gram").alias("gram")), "op5-prefix")
-    entries, edges, labels, before = prefix.count(), None, None, 0
+    entries, own, edges, labels, fresh = prefix.count(), sets.count(), None, None, 0
     if not entries:
         return None
     for turn in range(rounds + 1):
@@ -389,14 +379,13 @@ def near_components(sets: DataFrame, t: int, rounds: int = 4) -> DataFrame | Non
         todo = tokens.agg(F.sum("open")).first()[0] or 0
         if not todo:
             break
-        last = turn == rounds or todo <= 4 * entries or turn > 0 and 2 * todo > before
-        before = todo
+        last = turn == rounds or todo <= 4 * entries or turn > 0 and 20 * fresh < own
         if last:
             rest = at.join(tokens.select("gram"), "gram", "left_semi").select("gram", "doc_id", "component")
             heads = rest.groupBy("doc_id").agg(F.count("*").alias("c"), F.collect_list("gram").alias("head"))
             heads = heads.select("doc_id", F.when(F.col("c") <= HEAD, F.col("head")).alias("head"))
-            own = heads.join(sets.select("doc_id", "n", F.size("grams").alias("m"), "bits"), "doc_id")
-            rest = cut(rest.join(own, "doc_id"), "op5-rest")
+            held = heads.join(sets.select("doc_id", "n", F.size("grams").alias("m"), "bits"), "doc_id")
+            rest = cut(rest.join(held, "doc_id"), "op5-rest")
             other = rest.select("gram", *(F.col(c).alias(f"other_{c}") for c in ("n", "m", "bits", "component", "head")), F.col("doc_id").alias("other"))
             # a pair is made where its first common n-gram is, so once; that of a very long set, at each of them
             once = F.coalesce(F.col("gram") == F.array_min(F.array_intersect("head", "other_head")), F.lit(True))
@@ -410,7 +399,8 @@ def near_components(sets: DataFrame, t: int, rounds: int = 4) -> DataFrame | Non
         edges = new if edges is None else edges.union(new)
         if last:
             break
-        labels = _hops(new, labels)
+        labels = cut(components(new if labels is None else new.union(labels.toDF("a", "b")), "op5-rounds"), "op5-labels")
+        fresh = new.count()
     return components(edges, "op5-components") if edges is not None else None
 
 
