@@ -44,8 +44,9 @@ def measures(weights: dict[str, float], scores: dict[str, Column], confidence: C
     for w in weights.values():
         asked += w
     coverage = round_half_up(used / F.lit(max(1.0, asked)) * 100)
-    # NaN, like a text that is no number, leaves the confidence unknown
-    own = F.when(~F.isnan(confidence), clamp(confidence))
+    # a missing confidence counts as 0; NaN, like a text that is no number, leaves it unknown
+    known = F.coalesce(confidence, F.lit(0.0))
+    own = F.when(~F.isnan(known), clamp(known))
     return {"used": used, "match_score": round_half_up(total / used), "coverage": coverage, "confidence": round_half_up(coverage * 0.7 + own * 0.3)}
 
 
@@ -78,6 +79,10 @@ def weakest(items: Column, k: int = 2) -> Column:
     return _sorted(items, lambda x: x["score"], False, k)
 
 
+def heaviest(items: Column, k: int = 4) -> Column:
+    return _sorted(items, lambda x: x["weight"], True, k)
+
+
 def reason_texts(items: Column) -> Column:
     return F.transform(strongest(items), lambda x: F.concat(x["label"], F.lit(GOOD_SCORE[0]), number_text(x["weight"]), F.lit(GOOD_SCORE[1]), number_text(x["score"]), F.lit(GOOD_SCORE[2])))
 
@@ -105,13 +110,18 @@ def advise_all(products: DataFrame, weights: dict[str, float], scores: dict[str,
 
 
 def advise_long(scores: DataFrame, weights: DataFrame) -> DataFrame:
-    """id, match_score, coverage for weights that come as a table (key, weight): scores is (id, key, score).
-
-    Weights are a request's few rows; products without any usable score drop out."""
-    total = weights.agg(F.sum("weight")).first()[0] or 0.0
-    own = scores.join(weights, "key").withColumn("score", usable_score(F.col("score"))).filter("score is not null")
-    sums = own.groupBy("id").agg(F.sum(F.col("score") * F.col("weight")).alias("t"), F.sum("weight").alias("u"))
-    return sums.select("id", round_half_up(F.col("t") / F.col("u")).alias("match_score"), round_half_up(F.col("u") / F.lit(max(1.0, float(total))) * 100).alias("coverage"))
+    """id, match_score, coverage for weights that come as a table (key, weight, ord): scores is (id, key, score).
+
+    Products are added up in the weights' order, whatever order the shuffle gives. Weights are a request's few rows; products
+    without any usable score drop out."""
+    added = lambda items, x: F.aggregate(items, F.lit(0.0), lambda s, i: s + x(i))
+    asked = weights.agg(F.array_sort(F.collect_list(F.struct("ord", "weight"))).alias("_asked"))
+    asked = asked.select(F.greatest(F.lit(1.0), added("_asked", lambda i: i["weight"])).alias("asked"), F.lit(1).alias("_one"))
+    own = scores.join(F.broadcast(weights), "key").withColumn("score", usable_score(F.col("score"))).filter("score is not null")
+    items = own.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "score", "weight"))).alias("items"))
+    sums = items.select("id", added("items", lambda i: i["score"] * i["weight"]).alias("t"), added("items", lambda i: i["weight"]).alias("u"), F.lit(1).alias("_one"))
+    sums = sums.join(F.broadcast(asked), "_one")  # one row
+    return sums.select("id", round_half_up(F.col("t") / F.col("u")).alias("match_score"), round_half_up(F.col("u") / F.col("asked") * 100).alias("coverage"))
 
 
 # --- weights from answers

@@ -89,10 +89,38 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFra
     return existing.join(incoming.select(key), key, "left_anti").select(existing.columns).unionByName(incoming.select(existing.columns))
 
 
+def first_of(rows: DataFrame, keys: tuple[str, ...] = ("origin_product_no", "source_url")) -> DataFrame:
+    """rows without those that share a key value with a row of a smaller id."""
+    for key in keys:
+        least = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("_least"))
+        rows = rows.join(least, key, "left").filter(F.col(key).isNull() | (F.col("id") == F.col("_least"))).drop("_least")
+    return rows
+
+
 def insert_new(existing: DataFrame, incoming: DataFrame, keys: tuple[str, ...] = ("origin_product_no", "source_url")) -> DataFrame:
-    """The registry with those incoming rows that clash with none of its rows."""
-    clash = matching(incoming, existing, keys).select("id")
-    return incoming.join(clash, "id", "left_anti").select(existing.columns).unionByName(existing)
+    """The registry with those incoming rows that clash with none of its rows, nor with an incoming row before them."""
+    for key in keys:
+        incoming = incoming.join(existing.filter(F.col(key).isNotNull()).select(key), key, "left_anti")
+    return first_of(incoming, keys).select(existing.columns).unionByName(existing)
+
+
+def register(existing: DataFrame, incoming: DataFrame, keys: tuple[str, ...] = ("origin_product_no", "source_url")) -> DataFrame:
+    """The registry after each incoming row has updated the row that it equals in one of the keys, or joined the registry.
+
+    An existing row keeps its id. If an incoming row equals several, the smallest id is updated; if several equal one row, the
+    last of them counts. Of new rows that share a key value, the first joins."""
+    hits = None
+    for key in keys:
+        old = existing.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("_old"))
+        hit = incoming.select(F.col("id").alias("_new"), key).join(old, key).select("_new", "_old")
+        hits = hit if hits is None else hits.union(hit)
+    hits = hits.groupBy("_new").agg(F.min("_old").alias("_old"))
+    last = hits.groupBy("_old").agg(F.max("_new").alias("_new"))
+    others = [c for c in existing.columns if c != "id"]
+    values = incoming.join(last, F.col("id") == F.col("_new")).select(F.col("_old").alias("id"), F.struct(*others).alias("_values"))
+    updated = existing.join(values, "id", "left").select("id", *(F.when(F.col("_values").isNotNull(), F.col(f"_values.{c}")).otherwise(F.col(c)).alias(c) for c in others))
+    new = first_of(incoming.join(hits, F.col("id") == F.col("_new"), "left_anti"), keys)
+    return updated.unionByName(new.select(updated.columns))
 
 
 def update(products: DataFrame, wanted, now: Column, **values) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from decidra.functions.scalars import clamp, count_score, grouped, matches, round1
 from decidra.schemas import FIVE_CRITERIA, OVER_BUDGET, STRONG_CRITERION, WITHIN_BUDGET
+from decidra.sources.scratch import written
 
 
 def score(budget: float, weights: dict[str, float]) -> Column:
@@ -50,16 +51,20 @@ def with_rank(df: DataFrame, *order: Column, by: tuple[str, ...] = ()) -> DataFr
 
 def rank_all(df: DataFrame, key: Column, id_column: str = "id") -> DataFrame:
     """Adds `rank` by descending key (then id) over any number of rows, without one task that sees them all: rows are
-    range-partitioned in order, counted per partition, and numbered from the partition's offset."""
-    placed = df.withColumn("_key", key).repartitionByRange(F.desc("_key"), F.col(id_column)).sortWithinPartitions(F.desc("_key"), F.col(id_column))
-    # the number within a partition is in the low 33 bits
-    numbered = placed.withColumn("_at", F.monotonically_increasing_id())
-    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    range-partitioned in order, counted per partition, and numbered from the partition's offset.
+
+    The placed rows are written once, with their partition and place in it. Counts and rows read that table: two plans of the
+    same range partitioning would sample different bounds and number different rows. id_column must be unique."""
+    order = [F.desc("_key"), F.asc(id_column)]
+    placed = df.withColumn("_key", key).repartitionByRange(*order).sortWithinPartitions(*order)
+    # the place in the partition is in the low 33 bits
+    at = F.monotonically_increasing_id()
+    placed = written(placed.select(*df.columns, F.shiftright(at, 33).alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "ranked")
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    out = numbered.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # a row per partition
-    return out.withColumn("rank", (F.col("_before") + within + 1).cast("long")).drop("_key", "_at", "_part", "_before")
+    out = placed.join(F.broadcast(offsets), "_part")  # a row per partition
+    return out.withColumn("rank", (F.col("_before") + F.col("_at") + 1).cast("long")).drop("_at", "_part", "_before")
 
 
 # --- market

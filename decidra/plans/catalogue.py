@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +12,7 @@ from decidra.functions import scalars as S
 from decidra.operators import advisor, catalog, pages, recommend, reviews
 from decidra.schemas import FIVE_CRITERIA
 from decidra.sources.readers import product_facts, table
+from decidra.sources.scratch import new_path
 from decidra.streaming.reviews import distinct_events
 
 BUDGET = 910.0
@@ -109,6 +108,12 @@ def _recommended(budget: float, weights: dict[str, float]):
     return run
 
 
+def recommend_rank_lineitem(spark, d):
+    """All line items by price: a full ranking of the largest table."""
+    own = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_extendedprice").alias("price"))
+    return recommend.rank_all(own, F.col("price"))
+
+
 def _exploded(df: DataFrame, items: F.Column, name: str, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode(items).alias("pos", name)).withColumn("pos", F.col("pos") + 1)
 
@@ -185,7 +190,7 @@ def advisor_match_long(spark, d):
     """The same match and coverage for weights that are a table."""
     own = facts(spark, d).filter(F.col("review_analysis").isNotNull())
     unpivoted = own.select("id", F.explode(F.create_map(*(x for k, c in scores().items() for x in (F.lit(k), c)))).alias("key", "score"))
-    return advisor.advise_long(unpivoted, spark.createDataFrame(list(_active.items()), "key string, weight double"))
+    return advisor.advise_long(unpivoted, spark.createDataFrame([(key, w, k) for k, (key, w) in enumerate(_active.items())], "key string, weight double, ord int"))
 
 
 def _with_items(spark, d) -> DataFrame:
@@ -204,6 +209,12 @@ def advisor_weakest2(spark, d):
     return _exploded(_with_items(spark, d), advisor.weakest(F.col("items")), "i", "id").select("id", "pos", "i.key")
 
 
+def advisor_winner_top4(spark, d):
+    """The four heaviest criteria of the best product."""
+    best = advisor.advise(_with_items(spark, d).filter(F.col("category").contains(CATEGORY)), ADVISOR, scores(), F.col("confidence").cast("double"), k=1)
+    return _exploded(best, advisor.heaviest(F.col("items")), "i", "id").select("id", "pos", "i.key", "i.weight")
+
+
 #: id, cautions and negative points as stored (JSON text), scores.
 CAUTION_ROWS = [
     (1, '[" loud at night ", "", 3, null, "loud at night", "heavy"]', '[{"topic": "size", "summary": "too big"}, {"topic": "cord"}]', 40.0, 75.0),
@@ -319,6 +330,12 @@ def upsert_products(spark, d):
     return catalog.upsert(*_sides(spark, d)).select("id", "name")
 
 
+def register_products(spark, d):
+    own = _registry(spark, d)
+    incoming = own.filter("id % 3 = 0").withColumns({"name": F.concat("name", F.lit(" (new)")), "source_url": F.concat("source_url", F.lit("?new"))})
+    return catalog.register(own.filter("id % 4 = 0"), incoming).select("id", "name", "origin_product_no", "source_url")
+
+
 def insert_products(spark, d):
     return catalog.insert_new(*_sides(spark, d)).select("id", "name")
 
@@ -360,10 +377,10 @@ def review_analysis_stub(spark, d):
 
 def stream_distinct_events(spark, d):
     """Events as a stream, each event_id once; read as files arrive, and written until all there are is read."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="decidra-")
-    at = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = new_path(spark, "stream")
+    # files come in any order of time, so no id is forgotten
     schema = table(spark, d, "events").schema
-    events = distinct_events(spark.readStream.schema(schema).parquet(f"{d}/events*.parquet"))
+    events = distinct_events(spark.readStream.schema(schema).parquet(f"{d}/events*.parquet"), "36500 days")
     events.select("event_id", "event_type", "value").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out")
 
@@ -374,12 +391,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "market_top5": market_top5, "market_top5_per_category": market_top5_per_category, "market_breakdown": market_breakdown, "market_reasons": market_reasons,
         "catalog_search": catalog_search, "catalog_sort_analysis": _sorted("analysis"), "catalog_sort_confidence": _sorted("confidence"), "catalog_sort_newest": _sorted("newest"), "catalog_sort_created": _sorted("created"),
         "catalog_sort_name_ko": catalog_sort_name_ko, "analyzed_count": analyzed_count, "products_by_ids": products_by_ids, "product_pick": product_pick,
-        "advisor_match": advisor_match, "advisor_match_per_category": advisor_match_per_category, "advisor_match_long": advisor_match_long, "advisor_breakdown": advisor_breakdown,
+        "advisor_match": advisor_match, "advisor_match_per_category": advisor_match_per_category, "advisor_match_long": advisor_match_long, "advisor_winner_top4": advisor_winner_top4, "recommend_rank_lineitem": recommend_rank_lineitem, "advisor_breakdown": advisor_breakdown,
         "advisor_strongest3": advisor_strongest3, "advisor_weakest2": advisor_weakest2, "advisor_cautions": advisor_cautions,
         "weights_adjusted": weights_adjusted, "weights_top4": weights_top4, "analysis_join_weights": analysis_join_weights,
         "reviews_clean_dedupe": reviews_clean_dedupe, "reviews_cap100": reviews_cap100, "reviews_dedupe_by_key": reviews_dedupe_by_key, "review_analysis_stub": review_analysis_stub,
         "page_title": page_title, "page_product_name": page_product_name, "page_meta": page_meta, "page_probe": page_probe, "url_normalize": url_normalize, "url_allowed": url_allowed, "url_parameters": url_parameters, "url_links": url_links,
-        "duplicate_origin": duplicate_origin, "upsert_products": upsert_products, "insert_products": insert_products, "update_product": update_product, "delete_product": delete_product,
+        "duplicate_origin": duplicate_origin, "upsert_products": upsert_products, "register_products": register_products, "insert_products": insert_products, "update_product": update_product, "delete_product": delete_product,
         "json_extract_scores": json_extract_scores, "normalize_scores": normalize_scores, "display_date": display_date, "stream_distinct_events": stream_distinct_events,
     }
 
@@ -499,6 +516,11 @@ f AS (SELECT doc_id, review, min(i) AS i FROM l GROUP BY ALL)"""
         "url_links": f"SELECT page_id, {scheme} || '://' || {host} || regexp_extract({bare}, '^[A-Za-z]+://[^/]*(.*)', 1) AS place, regexp_replace(url, '[^0-9]', '', 'g') AS digits, CASE {host} WHEN 'm.therou.example.com' THEN '/m/reviews' WHEN 'therha.example.com' THEN '/reviews' END AS feed FROM pages",
         "duplicate_origin": f"WITH {reg} SELECT a.id, b.id AS other_id FROM reg a JOIN reg b ON a.origin = b.origin AND a.id <> b.id",
         "upsert_products": f"WITH {reg} SELECT id, name FROM old WHERE id NOT IN (SELECT id FROM inc) UNION ALL SELECT id, name FROM inc",
+        "register_products": f"""WITH {reg}, o AS (SELECT * FROM reg WHERE id % 4 = 0), i AS (SELECT id, name || ' (new)' AS name, origin, url || '?new' AS url FROM reg WHERE id % 3 = 0)
+  SELECT o.id, coalesce(i.name, o.name) AS name, o.origin AS origin_product_no, coalesce(i.url, o.url) AS source_url FROM o LEFT JOIN i ON i.origin = o.origin OR i.url = o.url
+  UNION ALL SELECT id, name, origin, url FROM i WHERE NOT EXISTS (FROM o WHERE o.origin = i.origin OR o.url = i.url)""",
+        "advisor_winner_top4": _advisor_sql() + f", w AS (SELECT * FROM m WHERE contains(category, '{CATEGORY}') ORDER BY match_score DESC, sure DESC NULLS LAST, id LIMIT 1), c AS (" + " UNION ALL ".join(f"SELECT id, '{key}' AS key, {w}::DOUBLE AS weight, {k} AS ord, {_scores_sql[key]} AS score FROM w" for k, (key, w) in enumerate(_active.items()) if key in SCORED) + ") SELECT id, row_number() OVER (ORDER BY weight DESC, ord) AS pos, key, weight FROM c WHERE score IS NOT NULL QUALIFY pos <= 4",
+        "recommend_rank_lineitem": "SELECT l_orderkey * 10 + l_linenumber AS id, l_extendedprice AS price, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS rank FROM lineitem",
         "insert_products": f"WITH {reg} SELECT id, name FROM old UNION ALL SELECT id, name FROM inc WHERE origin NOT IN (SELECT origin FROM old) AND url NOT IN (SELECT url FROM old)",
         "update_product": f"WITH {reg} SELECT id, CASE WHEN id = 4 THEN 'renamed' ELSE name END AS name, CASE WHEN id = 4 THEN 7 ELSE origin END AS origin_product_no, CASE WHEN id = 4 THEN '2025-02-03' ELSE '2024-01-01' END AS updated FROM reg",
         "delete_product": f"WITH {reg} SELECT id, name FROM reg WHERE id <> 4",

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from decidra.functions import scalars as S
-from decidra.operators import catalog, reviews
+from decidra.operators import advisor, catalog, recommend, reviews
 from decidra.sources import readers
 from decidra.streaming import reviews as stream
 
@@ -139,3 +139,35 @@ def test_exchange(spark):
     assert one(spark, ["x", "y"], "array<string>", lambda r: X.review_prompt(F.lit("P"), F.lit("C"), r, ["noise"])).endswith("1. x\n2. y")
     df = spark.createDataFrame([("ask",), (" ",), (None,)], "p string").select(X.answered(F.col("p"), str.upper).alias("a"))
     assert sorted(r.a or "" for r in df.collect()) == ["", "", "ASK"]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("wide", [False, True])
+def test_rank_all_over_many_rows(spark, adaptive, wide):
+    n, before = 1_000_000, spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        df = spark.range(n).selectExpr("id", "cast(id * 7919 % 1000 as double) as score", *(["repeat(cast(id as string), 20) as more"] if wide else []))
+        got = recommend.rank_all(df, F.col("score"))
+        seen = got.agg(F.count("*").alias("n"), F.count_distinct("rank").alias("k"), F.min("rank").alias("a"), F.max("rank").alias("b")).first()
+        assert tuple(seen) == (n, n, 1, n)
+        # neighbours are in order
+        far = got.filter("rank in (1, 2, 1000, 1001, 999999, 1000000)").orderBy("rank").select("score", "id").collect()
+        assert far == sorted(far, key=lambda r: (-r.score, r.id)) and far[0].score == 999
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_registry_clashes(spark):
+    kinds = "id long, name string, origin_product_no long, source_url string"
+    old = spark.createDataFrame([(1, "a", 10, "u1"), (2, "b", None, "u2"), (3, "c", 30, None)], kinds)
+    new = spark.createDataFrame([(4, "d", 10, "u9"), (5, "e", 50, "u2"), (6, "f", 60, "u6"), (7, "g", 60, "u7"), (8, "h", None, None)], kinds)
+    assert sorted(r.id for r in catalog.insert_new(old, new).collect()) == [1, 2, 3, 6, 8]
+    got = {r.id: tuple(r)[1:] for r in catalog.register(old, new).collect()}
+    assert got == {1: ("d", 10, "u9"), 2: ("e", 50, "u2"), 3: ("c", 30, None), 6: ("f", 60, "u6"), 8: ("h", None, None)}
+
+
+def test_a_missing_confidence_counts_as_zero(spark):
+    df = spark.createDataFrame([(1, 90.0, None), (2, 90.0, 80.0), (3, 90.0, float("nan"))], "id long, noise double, confidence_score double").withColumn("review_analysis", F.lit("{}"))
+    got = {r.id: r.confidence for r in advisor.advise(df, {"noise": 8.0}, {"noise": F.col("noise")}, F.col("confidence_score")).collect()}
+    assert got == {1: 70, 2: 94, 3: None}
