@@ -1,7 +1,8 @@
 """Licence scan: a trained paragraph classifier, in DataFrame and ML operations only.
 
 Every line of a text is a paragraph. As notices are often broken into lines, the seam after a line is read as well: its last
-`REACH` words and the `REACH` that follow in the next lines, up to a line without a word (a lone comment sign has none).
+`REACH` words and the `REACH` that follow in the next lines, up to a line without a word (a lone comment sign has none),
+in blocks of lines with a word that licences use (HINT); lines are read whatever their words.
 The words and word pairs of either are hashed into a sparse vector, and a multinomial logistic regression gives the probabilities of the licence families, of a licence that is none of them ("unknown"), and of no
 licence at all. The raw scores are divided by a temperature that is fitted on examples held out from training, and a
 family is believed only from `least` on. A family is reported once the line or seam also holds enough of one of its
@@ -15,7 +16,7 @@ Training examples are templates in varying carrier sentences (a fixed number), m
 at most `negatives` paragraphs of the corpus for "none", of documents chosen by a hash. Templates are short notices as
 projects print them.
 
-A null or empty text has no paragraphs and no licence. Rows that share a doc_id are reported together, once. Columns
+A null or empty text has no paragraphs and no licence. Very long texts are read whole, repeated paragraphs count each. Rows that share a doc_id are reported together, once. Columns
 beyond doc_id and text are ignored. A corpus without text is classified from the built-in examples alone.
 """
 
@@ -57,6 +58,8 @@ NONE_TEXTS = [
 FEATURES = 1 << 14
 #: Words on each side of a seam: more than the longest template has (27).
 REACH = 30
+#: Words of which every template has one.
+HINT = r"(?i)licen[sc]|copyright|reserved|creative|public|permi|redistribut|\bcc|apache|mozilla|terms"
 #: What must stand in a text that is said to be of such a family.
 VERSIONS = {"gpl-3.0": ["version 3", "license 3", "license v3", "gpl 3", "gpl v3"], "gpl-2.0": ["version 2", "license 2", "license v2", "gpl 2", "gpl v2"]}
 
@@ -86,10 +89,11 @@ def lines_and_seams(docs: DataFrame) -> DataFrame:
     blocks = F.filter(F.split(F.concat(F.lit("\n"), text, F.lit("\n")), r"\n[^\p{L}\p{N}]*\n"), lambda b: b.rlike(r"[\p{L}\p{N}]"))
     n_lines = F.size(F.filter(F.split(text, "\n"), lambda p: F.trim(p) != ""))
     each = docs.select("doc_id", n_lines.alias("n_lines"), F.xxhash64(text).alias("row"), F.posexplode_outer(blocks).alias("at", "own"))
-    each = each.select("doc_id", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("n_lines")).alias("n_lines"), F.xxhash64("row", "at").alias("block"), F.filter(F.transform(F.split("own", "\n"), tokens), lambda w: F.size(w) > 0).alias("lines"))
-    each = each.withColumn("heads", F.transform("lines", lambda w: F.slice(w, 1, REACH)))
+    each = each.select("doc_id", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("n_lines")).alias("n_lines"), F.xxhash64("row", "at").alias("block"), F.coalesce(F.col("own").rlike(HINT), F.lit(False)).alias("hinted"), F.filter(F.transform(F.split("own", "\n"), tokens), lambda w: F.size(w) > 0).alias("lines"))
+    # no word follows where no seam is read
+    each = each.withColumn("heads", F.when(F.col("hinted"), F.transform("lines", lambda w: F.slice(w, 1, REACH))).otherwise(F.array().cast("array<array<string>>")))
     # at most REACH lines hold the REACH words that follow
-    after = lambda i: F.slice(F.flatten(F.slice("heads", i + 2, REACH)), 1, REACH)
+    after = lambda i: F.when(F.col("hinted"), F.slice(F.flatten(F.slice("heads", i + 2, REACH)), 1, REACH)).otherwise(F.array().cast("array<string>"))
     each = each.select("doc_id", "n_lines", "block", F.posexplode_outer(F.transform("lines", lambda w, i: F.struct(w.alias("words"), after(i).alias("after")))).alias("i", "line"))
     each = each.select("doc_id", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("n_lines")).alias("n_lines"), "block", F.col("line.words").alias("words"), F.col("line.after").alias("after"))
     last = F.slice("words", F.greatest(F.size("words") - REACH + 1, F.lit(1)), REACH)
