@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,11 +24,54 @@ WIDTH = PATH + LEAF + WORDS + NUMBERS
 MARK = "data-main-text"
 
 
+#: Tags at which the search for an open block to end stops, found or not.
+CONTAINERS = frozenset("table ul ol dl article section div body".split())
+ENDED = frozenset({"p", *(t for tags in ALIKE.values() for t in tags)})
+
+
+def _place(word: str, size: int) -> int:
+    return zlib.crc32(word.encode()) % size
+
+
+_named: dict[tuple, int] = {}
+
+
+def _own_bits(tag: str, names: tuple[str, ...]) -> int:
+    bits = _named.get((tag, names))
+    if bits is None:
+        bits = 1 << _place(tag, PATH)
+        for name in names:
+            bits |= 1 << _place("." + name, PATH)
+        if len(_named) > 20_000:
+            _named.clear()
+        _named[tag, names] = bits
+    return bits
+
+
+class _Open:
+    """An open tag. What its whole path says is carried along, so a block costs the same at any depth."""
+
+    __slots__ = ("tag", "at", "bits", "leaf", "linked", "marked", "ender")
+
+    def __init__(self, tag: str, names: tuple[str, ...], marked: bool, up: _Open | None, at: int):
+        self.tag, self.at = tag, at
+        self.bits = _own_bits(tag, names) | (up.bits if up else 0)
+        self.leaf = tag if tag in BREAKS else up.leaf if up else None
+        self.linked = tag == "a" or up is not None and up.linked
+        self.marked = marked or up is not None and up.marked
+        # the next tag outwards that a new block may end, or that shields those behind it
+        self.ender = None if up is None else up if up.tag in CONTAINERS or up.tag in ENDED else up.ender
+
+    def path_bits(self) -> int:
+        return self.bits | 1 << PATH + _place(self.leaf or self.tag, LEAF)
+
+
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, ...], bool]] = []
-        self.found: list[tuple[str, tuple, float, bool]] = []
+        self.open: list[_Open] = []
+        self.n_open: Counter[str] = Counter()
+        self.found: list[tuple[str, int, float, bool]] = []
         self.parts: list[str] = []
         self.linked = 0
         self.hidden = 0
@@ -35,12 +79,14 @@ class _Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            path = tuple((tag, names) for tag, names, _ in self.open)
-            self.found.append((text, path, min(1.0, self.linked / len(text)), any(m for _, _, m in self.open)))
+            top = self.open[-1] if self.open else None
+            self.found.append((text, top.path_bits() if top else 0, min(1.0, self.linked / len(text)), top is not None and top.marked))
         self.parts, self.linked = [], 0
 
     def close_to(self, at: int) -> None:
-        self.hidden -= sum(t in HIDDEN for t, _, _ in self.open[at:])
+        for own in self.open[at:]:
+            self.n_open[own.tag] -= 1
+            self.hidden -= own.tag in HIDDEN
         del self.open[at:]
 
     def handle_starttag(self, tag, attrs):
@@ -49,16 +95,19 @@ class _Blocks(HTMLParser):
         if tag in BREAKS:
             self.flush()
             stop = ALIKE.get(tag, ()) + (("p",) if tag != "label" and tag != "button" else ())
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] in stop:
-                    self.close_to(i)
+            own = self.open[-1] if self.open else None
+            while own is not None:
+                if own.tag in stop:
+                    self.close_to(own.at)
                     break
-                if self.open[i][0] in ("table", "ul", "ol", "dl", "article", "section", "div", "body"):
+                if own.tag in CONTAINERS:
                     break
+                own = own.ender
         if tag not in VOID:
             named = dict(attrs)
             names = tuple(re.findall(r"[a-z]+", f"{named.get('class') or ''} {named.get('id') or ''} {named.get('role') or ''}".lower()))
-            self.open.append((tag, names, MARK in named))
+            self.open.append(_Open(tag, names, MARK in named, self.open[-1] if self.open else None, len(self.open)))
+            self.n_open[tag] += 1
             self.hidden += tag in HIDDEN
 
     def handle_startendtag(self, tag, attrs):
@@ -69,24 +118,27 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BREAKS:
             self.flush()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.close_to(i)
-                break
+        if self.n_open[tag]:
+            at = len(self.open) - 1
+            while self.open[at].tag != tag:
+                at -= 1
+            self.close_to(at)
 
     def handle_data(self, data):
         if self.hidden:
             return
         self.parts.append(data)
-        if any(t == "a" for t, _, _ in self.open[-4:]):
+        if self.open and self.open[-1].linked:
             self.linked += len(data)
 
 
-def blocks(html: str) -> list[tuple[str, tuple, float, bool]]:
-    """(text, path of (tag, class words), share of linked characters, marked) of every leaf block, in page order.
+def blocks(html: str) -> list[tuple[str, int, float, bool]]:
+    """(text, bits of its path's hashed tags and class words, share of linked characters, marked) of every leaf block, in
+    page order.
 
     Character references are decoded, white space is one space, scripts and the like are left out. Broken markup is
-    read on as browsers do: a paragraph ends where the next block starts, and a stray end tag is ignored."""
+    read on as browsers do: a paragraph ends where the next block starts, and a stray end tag is ignored. Time grows with
+    the length of the page, however deep its tags nest."""
     parser = _Blocks()
     parser.feed(html)
     parser.close()
@@ -94,35 +146,12 @@ def blocks(html: str) -> list[tuple[str, tuple, float, bool]]:
     return parser.found
 
 
-def _place(word: str, size: int) -> int:
-    return zlib.crc32(word.encode()) % size
-
-
-_cache: dict[tuple, np.ndarray] = {}
-
-
-def _path_vector(path: tuple) -> np.ndarray:
-    kept = _cache.get(path)
-    if kept is None:
-        kept = np.zeros(PATH + LEAF, np.float32)
-        for tag, names in path:
-            kept[_place(tag, PATH)] = 1
-            for name in names:
-                kept[_place("." + name, PATH)] = 1
-        if path:
-            leaf = next((t for t, _ in reversed(path) if t in BREAKS), path[-1][0])
-            kept[PATH + _place(leaf, LEAF)] = 1
-        if len(_cache) > 20_000:
-            _cache.clear()
-        _cache[path] = kept
-    return kept
-
-
-def vectors(found: list[tuple[str, tuple, float, bool]]) -> np.ndarray:
+def vectors(found: list[tuple[str, int, float, bool]]) -> np.ndarray:
     """A row for each block: tag path, hashed words, and a few numbers."""
     out = np.zeros((len(found), WIDTH), np.float32)
-    for i, (text, path, linked, _) in enumerate(found):
-        out[i, : PATH + LEAF] = _path_vector(path)
+    packed = np.frombuffer(b"".join(bits.to_bytes((PATH + LEAF) // 8, "little") for _, bits, _, _ in found), np.uint8)
+    out[:, : PATH + LEAF] = np.unpackbits(packed, bitorder="little").reshape(len(found), PATH + LEAF)
+    for i, (text, _, linked, _) in enumerate(found):
         words = text.split(" ")
         at = PATH + LEAF
         counts = np.bincount([hash_word(w) for w in words], minlength=WORDS)

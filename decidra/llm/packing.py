@@ -5,7 +5,7 @@ one. What to put together depends on lengths alone, so the pieces are counted by
 `capacity` of them), and the plan is made on these counts: around the largest piece left, undominated fillings of the
 room are enumerated from large to small, with the best-fit filling as incumbent and its waste as bound; a filling is used
 for as many sequences as its counts allow at once. The last pieces, where waste arises, get a branch and bound over
-sequences. Pieces are then numbered within their length (running(): a common length is numbered by many tasks), and a
+sequences, and more of them where the plan does not meet the lower bound on sequences. Pieces are then numbered within their length (running(): a common length is numbered by many tasks), and a
 piece's number tells its sequence and place, without any shuffle of ids.
 
 A null text is empty: only the end id. Rows that share a doc_id are packed like different documents. Columns beyond
@@ -89,6 +89,29 @@ def least(left: dict[int, int], capacity: int) -> int:
     return max(-(-total // capacity), sum(n for x, n in left.items() if 2 * x > capacity))
 
 
+def lower_bound(counts: dict[int, int], capacity: int, most: int = 100) -> int:
+    """least(), raised by two arguments that hold for every packing.
+
+    For each e: pieces above capacity - e stand apart from all of e or more, those above half of the capacity from one
+    another, and what pieces of e or more hold beyond the room beside them needs sequences of its own. For each k up to
+    `most`: with x counted as floor((k + 1) x / capacity) / k sequences (as x / capacity, where that division is even), no
+    sequence counts for more than one."""
+    best = least(counts, capacity)
+    upto, total, number = [0] * (capacity + 1), [0] * (capacity + 1), 0
+    for x in range(1, capacity + 1):
+        number += counts.get(x, 0)
+        upto[x], total[x] = number, total[x - 1] + x * counts.get(x, 0)
+    half = capacity // 2
+    for e in range(1, half + 1):
+        beside = upto[capacity - e] - upto[half]
+        room = beside * capacity - (total[capacity - e] - total[half])
+        best = max(best, number - upto[half] + max(0, -(-(total[half] - total[e - 1] - room) // capacity)))
+    for k in range(2, most + 1):
+        shares = sum(n * (k * x if (k + 1) * x % capacity == 0 else capacity * ((k + 1) * x // capacity)) for x, n in counts.items())
+        best = max(best, -(-shares // (k * capacity)))
+    return best
+
+
 def complete(left: dict[int, int], capacity: int, nodes: int) -> list[tuple[int, ...]]:
     """Branch and bound over sequences: each takes the largest piece left and one of its best fillings."""
     bound = least(left, capacity)
@@ -122,9 +145,30 @@ def _less(left: dict[int, int], used: dict[int, int]) -> dict[int, int]:
 
 
 def pack_counts(counts: dict[int, int], capacity: int, tail: int = 60, nodes: int = 3000) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, number of such sequences) for these numbers of pieces by length."""
+    """(lengths in a sequence, number of such sequences) for these numbers of pieces by length.
+
+    One completion at a time until `tail` pieces are left, which get the branch and bound over sequences. A plan that meets
+    lower_bound() is known to need the fewest sequences. Where it does not, four times as many pieces are left to the search,
+    until that is all of them or it has found nothing better twice; no plan could save more than the sequences beyond the bound."""
     if any(not 0 < x <= capacity for x in counts):
         raise ValueError("a piece must have 1 to capacity tokens")
+    bound, pieces = lower_bound(counts, capacity), sum(counts.values())
+    best: list[tuple[tuple[int, ...], int]] = []
+    idle = 0
+    while True:
+        plan = _plan(counts, capacity, tail, nodes)
+        better = not best or _sequences(plan) < _sequences(best)
+        best, idle = (plan, 0) if better else (best, idle + 1)
+        if _sequences(best) == bound or tail >= pieces or idle == 2:
+            return best
+        tail *= 4
+
+
+def _sequences(plan: list[tuple[tuple[int, ...], int]]) -> int:
+    return sum(times for _, times in plan)
+
+
+def _plan(counts: dict[int, int], capacity: int, tail: int, nodes: int) -> list[tuple[tuple[int, ...], int]]:
     left = {x: n for x, n in counts.items() if n}
     lengths, pieces = sorted(left), sum(left.values())
     plan: list[tuple[tuple[int, ...], int]] = []
@@ -135,6 +179,8 @@ def pack_counts(counts: dict[int, int], capacity: int, tail: int = 60, nodes: in
         left[top] += 1
         need = Counter((top, *chosen))
         times = min(left[x] // k for x, k in need.items())
+        # what is over stays for the search
+        times = min(times, -(-(pieces - tail) // len((top, *chosen))))
         plan.append(((top, *chosen), times))
         for x, k in need.items():
             left[x] -= k * times

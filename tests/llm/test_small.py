@@ -337,6 +337,50 @@ def test_suffix_dedup_without_ids(spark, portion):
     assert bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == bag((r[0], *w) for r, w in zip(rows, want, strict=True))
 
 
+def fewest(items, capacity):
+    """The fewest sequences, by trying every placement."""
+    items, best = sorted(items, reverse=True), len(items)
+
+    def enter(i, filled):
+        nonlocal best
+        if len(filled) >= best:
+            return
+        if i == len(items):
+            best = len(filled)
+            return
+        for j in range(len(filled)):
+            if filled[j] + items[i] <= capacity and filled[j] not in filled[:j]:
+                filled[j] += items[i]
+                enter(i + 1, filled)
+                filled[j] -= items[i]
+        enter(i + 1, [*filled, items[i]])
+
+    enter(0, [])
+    return best
+
+
+def test_packing_against_every_placement():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        capacity = rng.choice([7, 10, 12, 20])
+        items = [rng.randint(1, capacity) for _ in range(rng.randint(1, 9))]
+        counts, least = collections.Counter(items), fewest(items, capacity)
+        assert packing.lower_bound(counts, capacity) <= least == sum(t for _, t in packing.pack_counts(counts, capacity))
+
+
+def test_packing_of_many_pieces_meets_its_bound():
+    import random
+
+    rng = random.Random(4)
+    for low, high in ((700, 1100), (1000, 1060)):
+        counts = collections.Counter(rng.randint(low, high) for _ in range(3000))
+        assert sum(t for _, t in packing.pack_counts(counts, 2048)) == packing.lower_bound(counts, 2048)
+    counts = {x: 10**8 for x in range(1, 2049)}
+    assert sum(t for _, t in packing.pack_counts(counts, 2048)) == packing.lower_bound(counts, 2048)
+
+
 def test_suffix_array():
     import random
 
@@ -374,6 +418,30 @@ def test_html_on_unseen_pages():
     assert wrong < 0.01 * n
 
 
+def test_html_of_deep_pages():
+    import time
+
+    from decidra.llm.html_blocks import PATH, blocks, vectors
+
+    n, began = 100_000, time.perf_counter()
+    found = blocks('<div class="a">x' * n)
+    assert len(found) == n and len({b[1] for b in found[1:]}) == 1
+    v = vectors(found[:2] + found[-2:])
+    assert v.shape[0] == 4 and (v[:, :PATH].sum(1) == 2).all()
+    # stray ends and inline tags that stay open do not make blocks dearer
+    assert len(blocks("<span>" * n + "</b>x" * n)) == 1
+    assert len(blocks("<li><div>" + "<span>" * n + "<li>x</li>" * n)) == n
+    assert time.perf_counter() - began < 60
+
+
+def test_html_of_links_in_deep_markup():
+    from decidra.llm.html_blocks import blocks
+
+    assert [b[2] for b in blocks("<p><a href=x><b><i><u><em><q>all of it</a><p>none")] == [1.0, 0.0]
+    # a block ends an open one of its kind, but none outside its container
+    assert [b[0] for b in blocks("<ul><li>a<li>b<div><span>c<li>d</ul>e<p>f<p>g")] == ["a", "b", "c", "d", "e", "f", "g"]
+
+
 # --- op9
 
 
