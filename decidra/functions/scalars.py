@@ -112,6 +112,13 @@ def normalized_score(value: Column) -> Column:
     return F.when(kind != "VOID", clamp(round_half_up(x).cast("double")))
 
 
+def json_coerced(value: Column) -> Column:
+    """A JSON value as a number: 0 if missing or null, texts as numbers where they are such, else NaN."""
+    kind = F.schema_of_variant(value)
+    x = F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "int").cast("double")).when(kind == "STRING", to_number(F.try_variant_get(value, "$", "string"))).otherwise(json_number(value))
+    return F.when(kind.isNull() | (kind == "VOID"), 0.0).otherwise(F.coalesce(x, F.lit(float("nan"))))
+
+
 def json_texts(value: Column, limit: int) -> Column:
     """The first texts of a JSON array, trimmed; other elements, empty ones and other values are left out."""
     own = F.when(F.schema_of_variant(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decidra.functions.scalars import clamp, fixed1, number_text, round_half_up, usable_score
+from decidra.functions.scalars import clamp, fixed1, json_coerced, json_points, json_texts, number_text, round_half_up, usable_score
 from decidra.operators.recommend import with_rank
-from decidra.schemas import CRITERION_LABELS, GOOD_SCORE, LOW_SCORE, NO_REASON_STORED
+from decidra.schemas import CRITERION_LABELS, GOOD_SCORE, LOW_SCORE, NO_REASON_STORED, NO_SUMMARY
 
 
 def clean_weights(weights: object) -> dict[str, float]:
@@ -103,6 +103,29 @@ def advise(products: DataFrame, weights: dict[str, float], scores: dict[str, Col
     return with_rank(found.orderBy(*order).limit(k), *order)
 
 
+def stored_reasons(analysis: Column, keys: list[str]) -> Column:
+    """The texts that an analysis (a variant) gives for these criteria, as a map; under its older name if need be."""
+    new, old = (F.try_variant_get(analysis, f"$.{name}", "variant") for name in ("criterionReasons", "criterion_reasons"))
+    own = F.when(F.coalesce(F.schema_of_variant(new), F.lit("VOID")) != "VOID", new).otherwise(old)
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return F.create_map(*(x for k in keys for x in (F.lit(k), text(F.try_variant_get(own, f"$.{k}", "variant")))))
+
+
+def answers(products: DataFrame, weights: dict[str, float], scores: dict[str, Column], category: str | None = None, k: int = 5) -> DataFrame:
+    """advise() over analyses as they are stored (review_analysis, JSON text), with all that is shown: review_count, summary,
+    reasons, cautions, best_for and criteria (the breakdown), for the k rows that stay alone."""
+    weights = active(weights)
+    v = F.try_parse_json("review_analysis")
+    part = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
+    best = advise(products.withColumns({f"_{key}": c for key, c in scores.items()}), weights, {key: F.col(f"_{key}") for key in scores}, json_coerced(part("confidenceScore")), category, k)
+    best = best.withColumn("criteria", breakdown(weights, {key: F.col(f"_{key}") for key in scores}, stored_reasons(v, list(weights))))
+    items = F.col("criteria")
+    return best.withColumns({
+        "review_count": json_coerced(part("reviewCount")), "summary": F.coalesce(F.try_variant_get(v, "$.summary", "string"), F.lit(NO_SUMMARY)),
+        "reasons": reason_texts(items), "cautions": caution_texts(items, json_texts(part("cautions"), 2), json_points(part("negativePoints"), 2)), "best_for": json_texts(part("bestFor"), 3),
+    }).drop("used", *(f"_{key}" for key in scores))
+
+
 def advise_all(products: DataFrame, weights: dict[str, float], scores: dict[str, Column], confidence: Column, k: int = 5) -> DataFrame:
     """advise() for every category at once."""
     found = products.filter(F.col("review_analysis").isNotNull()).withColumns(measures(active(weights), scores, confidence)).filter("used > 0")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from decidra.functions import exchange as X
 from decidra.functions import scalars as S
 from decidra.operators import advisor, catalog, pages, recommend, reviews
-from decidra.schemas import FIVE_CRITERIA
+from decidra.schemas import FIVE_CRITERIA, GOOD_SCORE, LOW_SCORE, NO_REASON_STORED, NO_SUMMARY
 from decidra.sources.readers import product_facts, table
 from decidra.sources.scratch import new_path
 from decidra.streaming.reviews import distinct_events
@@ -23,6 +23,7 @@ ADVISOR = {"noise": 8.0, "portability": 5.0, "cooling_capacity": 4.0, "value": 3
 #: The advisor's criteria over product facts; a score is unknown where (id + place) is a multiple of 7.
 SCORED = {"noise": "quietness", "portability": "portability", "cooling_capacity": "cooling", "power_consumption": "battery", "durability_service": "after_service"}
 CATEGORY = "SMALL"
+ONE_CATEGORY = "PROMO"
 
 # --- shared SQL -------------------------------------------------------------------------------------------------------
 
@@ -215,6 +216,46 @@ def advisor_winner_top4(spark, d):
     return _exploded(best, advisor.heaviest(F.col("items")), "i", "id").select("id", "pos", "i.key", "i.weight")
 
 
+#: What a stored analysis says besides numbers; its reasons are under their older name.
+SAID = '"cautions": [" loud ", "", 4], "negativePoints": [{"topic": "size", "summary": "too big"}], "bestFor": ["car ", "tent", "van", "home"], "criterion_reasons": {"noise": "quiet", "value": 3}'
+
+
+def advisor_answers(spark, d):
+    """All that is shown with the best products, lists joined."""
+    summary = F.when(F.col("id") % 2 == 0, F.concat(F.lit('"about '), "id", F.lit('"'))).otherwise("null")
+    text = F.concat(F.lit('{"confidenceScore": "'), "confidence", F.lit('", "reviewCount": '), "review_count", F.lit(', "summary": '), summary, F.lit(f", {SAID}}}"))
+    best = advisor.answers(facts(spark, d).filter(F.col("category").contains(CATEGORY)).withColumn("review_analysis", text), ADVISOR, scores())
+    joined = lambda name: F.array_join(name, "|").alias(name)
+    criteria = F.array_join(F.transform("criteria", lambda i: F.concat_ws("=", i["key"], i["reason"])), "|").alias("criteria")
+    return best.select("id", "rank", "match_score", "coverage", F.col("confidence").alias("sure"), "review_count", "summary", joined("reasons"), joined("cautions"), joined("best_for"), criteria)
+
+
+def advisor_match_in_category(spark, d):
+    best = advisor.advise(facts(spark, d), ADVISOR, scores(), F.col("confidence").cast("double"), category=ONE_CATEGORY)
+    return best.select("id", "match_score", "coverage", F.col("confidence").alias("sure"), "rank")
+
+
+def advisor_reasons(spark, d):
+    return _exploded(_with_items(spark, d), advisor.reason_texts(F.col("items")), "reason", "id")
+
+
+def catalog_search_brand(spark, d):
+    return catalog.search(facts(spark, d), "brand#1", columns=("name", "category", "brand")).select("id", "brand")
+
+
+def product_links(spark, d):
+    """A link to each product's answers, without what is unknown."""
+    own = facts(spark, d)
+    return own.select("id", X.link("/advisor", category=F.col("category"), confidence=F.col("confidence").cast("string")).alias("link"))
+
+
+def review_requests(spark, d):
+    """How many reviews are asked for, on how many pages, and which products are ready for it."""
+    own = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_size") * 3 - 20).alias("asked"), (F.col("p_partkey") % 3).alias("checkout_merchant_no"), F.when(F.col("p_size") > 9, F.col("p_size")).alias("origin_product_no"))
+    own = own.withColumn("requested", S.requested_reviews(F.col("asked").cast("double")))
+    return own.select("id", F.col("requested").cast("int").alias("requested"), S.page_count(F.col("requested")).cast("int").alias("pages"), catalog.collection_ready().alias("ready"))
+
+
 #: id, cautions and negative points as stored (JSON text), scores.
 CAUTION_ROWS = [
     (1, '[" loud at night ", "", 3, null, "loud at night", "heavy"]', '[{"topic": "size", "summary": "too big"}, {"topic": "cord"}]', 40.0, 75.0),
@@ -393,6 +434,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "catalog_sort_name_ko": catalog_sort_name_ko, "analyzed_count": analyzed_count, "products_by_ids": products_by_ids, "product_pick": product_pick,
         "advisor_match": advisor_match, "advisor_match_per_category": advisor_match_per_category, "advisor_match_long": advisor_match_long, "advisor_winner_top4": advisor_winner_top4, "recommend_rank_lineitem": recommend_rank_lineitem, "advisor_breakdown": advisor_breakdown,
         "advisor_strongest3": advisor_strongest3, "advisor_weakest2": advisor_weakest2, "advisor_cautions": advisor_cautions,
+        "advisor_answers": advisor_answers, "advisor_match_in_category": advisor_match_in_category, "advisor_reasons": advisor_reasons, "catalog_search_brand": catalog_search_brand, "product_links": product_links, "review_requests": review_requests,
         "weights_adjusted": weights_adjusted, "weights_top4": weights_top4, "analysis_join_weights": analysis_join_weights,
         "reviews_clean_dedupe": reviews_clean_dedupe, "reviews_cap100": reviews_cap100, "reviews_dedupe_by_key": reviews_dedupe_by_key, "review_analysis_stub": review_analysis_stub,
         "page_title": page_title, "page_product_name": page_product_name, "page_meta": page_meta, "page_probe": page_probe, "url_normalize": url_normalize, "url_allowed": url_allowed, "url_parameters": url_parameters, "url_links": url_links,
@@ -465,6 +507,8 @@ f AS (SELECT doc_id, review, min(i) AS i FROM l GROUP BY ALL)"""
     points = f"coalesce(list_filter(list_transform(CASE WHEN json_type(negatives) = 'ARRAY' THEN json_extract(negatives, '$[*]') END, lambda v: {point}), lambda t: t <> '')[1:2], [])"
     number = lambda x: f"CASE WHEN {x} = floor({x}) THEN ({x})::BIGINT::VARCHAR ELSE ({x})::VARCHAR END"
     low = lambda c, label: f"'{label} 점수는 ' || {number(c)} || '점으로 상대적으로 낮습니다.'"
+    good = f"label || '{GOOD_SCORE[0]}' || {number('weight')} || '{GOOD_SCORE[1]}' || {number('score')} || '{GOOD_SCORE[2]}'"
+    short = f"label || '{LOW_SCORE[0]}' || {number('score')} || '{LOW_SCORE[1]}'"
     raw_title = "nullif(regexp_extract(html, '(?i)<title[^>]*>([\\s\\S]*?)</title>', 1), '')"
     score_keys = list(advisor.CRITERION_LABELS)
     num = "CASE WHEN json_type(x) = 'NULL' THEN NULL WHEN json_type(x) = 'BOOLEAN' THEN (x::BOOLEAN)::INTEGER::DOUBLE WHEN json_type(x) = 'VARCHAR' THEN CASE WHEN (x ->> '$') = '' THEN 0.0 ELSE try_cast(x ->> '$' AS DOUBLE) END ELSE try_cast(x AS DOUBLE) END"
@@ -490,6 +534,18 @@ f AS (SELECT doc_id, review, min(i) AS i FROM l GROUP BY ALL)"""
         "product_pick": f"WITH {PF} SELECT id, name FROM pf ORDER BY id LIMIT 1",
         "advisor_match": f"{_advisor_sql()} SELECT id, match_score, coverage, sure, row_number() OVER (ORDER BY match_score DESC, sure DESC, id) AS rank FROM m WHERE contains(category, '{CATEGORY}') QUALIFY rank <= 5",
         "advisor_match_per_category": f"{_advisor_sql()} SELECT category, id, match_score, coverage, sure, row_number() OVER (PARTITION BY category ORDER BY match_score DESC, sure DESC, id) AS rank FROM m QUALIFY rank <= 5",
+        "advisor_match_in_category": f"{_advisor_sql()} SELECT id, match_score, coverage, sure, row_number() OVER (ORDER BY match_score DESC, sure DESC, id) AS rank FROM m WHERE category = '{ONE_CATEGORY}' QUALIFY rank <= 5",
+        "advisor_reasons": f"{strong} SELECT id, pos, {good} AS reason FROM r WHERE pos <= 3",
+        "advisor_answers": f"""{_advisor_sql()}, w AS (SELECT *, row_number() OVER (ORDER BY match_score DESC, sure DESC, id) AS rank FROM m WHERE contains(category, '{CATEGORY}') QUALIFY rank <= 5),
+  i AS ({" UNION ALL ".join(f"SELECT id, {k} AS ord, '{key}' AS key, '{advisor.CRITERION_LABELS[key]}' AS label, {_scores_sql.get(key, 'NULL::DOUBLE')} AS score, {w}::DOUBLE AS weight FROM w" for k, (key, w) in enumerate(_active.items()))}),
+  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score * weight DESC NULLS LAST, ord) AS up, row_number() OVER (PARTITION BY id ORDER BY score NULLS LAST, ord) AS down FROM i),
+  t AS (SELECT id, string_agg({good}, '|' ORDER BY up) FILTER (up <= 3 AND score IS NOT NULL) AS reasons, 'loud|size: too big|' || string_agg({short}, '|' ORDER BY down) FILTER (down <= 2 AND score IS NOT NULL) AS cautions,
+        string_agg(key || '=' || CASE WHEN key = 'noise' THEN 'quiet' ELSE '{NO_REASON_STORED}' END, '|' ORDER BY weight DESC, ord) AS criteria FROM r GROUP BY id)
+  SELECT id, rank, match_score, coverage, sure, review_count::DOUBLE AS review_count, CASE WHEN id % 2 = 0 THEN 'about ' || id ELSE '{NO_SUMMARY}' END AS summary, reasons, cautions, 'car|tent|van' AS best_for, criteria FROM w JOIN t USING (id)""",
+        "catalog_search_brand": f"WITH {PF} SELECT id, brand FROM pf WHERE contains(lower(name), 'brand#1') OR contains(lower(category), 'brand#1') OR contains(lower(brand), 'brand#1')",
+        "product_links": f"WITH {PF} SELECT id, '/advisor?category=' || url_encode(category) || coalesce('&confidence=' || confidence, '') AS link FROM pf",
+        "review_requests": """WITH r AS (SELECT p_partkey AS id, p_size, greatest(1, least(100, coalesce(CASE WHEN p_partkey % 4 <> 0 THEN p_size * 3 - 20 END, 20))) AS n FROM part)
+  SELECT id, n::INTEGER AS requested, ceil(n / 20.0)::INTEGER AS pages, id % 3 <> 0 AND p_size > 9 AS ready FROM r""",
         "advisor_match_long": f"{_advisor_sql()} SELECT id, match_score, coverage FROM m",
         "advisor_breakdown": f"{items} SELECT id, row_number() OVER (PARTITION BY id ORDER BY weight DESC, ord)::INTEGER AS pos, key, label, score, weight, CASE WHEN score * weight = floor(score * weight) THEN score * weight ELSE round((score * weight)::DECIMAL(38, 18), 1)::DOUBLE END AS contribution FROM i",
         "advisor_strongest3": f"{strong} SELECT id, pos, key FROM r WHERE pos <= 3", "advisor_weakest2": f"{weak} SELECT id, pos, key FROM r WHERE pos <= 2",

@@ -45,6 +45,7 @@ STRONG_CRITERION = "점수가 높아 선택 조건과 잘 맞습니다."
 WITHIN_BUDGET = "설정한 예산 범위에 들어옵니다."
 OVER_BUDGET = ("예산보다 ", "원 높습니다.")
 NO_REASON_STORED = "현재 리뷰 분석에서 별도 설명이 저장되지 않았습니다."
+NO_SUMMARY = "리뷰 분석 요약이 없습니다."
 NO_EVIDENCE = "리뷰에서 판단할 근거가 충분하지 않습니다."
 GOOD_SCORE = (" 중요도 ", "/10에서 제품 점수 ", "점을 기록했습니다.")
 LOW_SCORE = (" 점수는 ", "점으로 상대적으로 낮습니다.")

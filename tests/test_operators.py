@@ -171,3 +171,18 @@ def test_a_missing_confidence_counts_as_zero(spark):
     df = spark.createDataFrame([(1, 90.0, None), (2, 90.0, 80.0), (3, 90.0, float("nan"))], "id long, noise double, confidence_score double").withColumn("review_analysis", F.lit("{}"))
     got = {r.id: r.confidence for r in advisor.advise(df, {"noise": 8.0}, {"noise": F.col("noise")}, F.col("confidence_score")).collect()}
     assert got == {1: 70, 2: 94, 3: None}
+
+
+def test_answers_of_odd_analyses(spark):
+    rows = [
+        (1, "c", "{}", 80.0), (2, "c", "no json", 70.0), (3, "c", '{"confidenceScore": "x", "summary": null, "bestFor": "all"}', 60.0), (4, "c", None, 99.0),
+        (5, "c", '{"confidenceScore": "50", "summary": "s", "reviewCount": true, "criterionReasons": {"noise": 3}, "criterion_reasons": {"noise": "old"}}', 50.0), (6, "d", "{}", 90.0), (7, "c", "{}", None),
+        (8, "c", '{"criterionReasons": null, "criterion_reasons": {"noise": "old"}, "cautions": ["a", "a", "b"]}', 40.0),
+    ]
+    df = spark.createDataFrame(rows, "id long, category string, review_analysis string, score double")
+    got = {r.id: r for r in advisor.answers(df, {"noise": 2.0, "value": 0.0}, {"noise": F.col("score")}, "c").collect()}
+    assert {k: r["rank"] for k, r in got.items()} == {1: 1, 2: 2, 3: 3, 5: 4, 8: 5}
+    assert [got[k].confidence for k in (1, 2, 3, 5)] == [70, 70, None, 85] and [got[k].review_count for k in (1, 5)] == [0.0, 1.0]
+    assert got[5].summary == "s" and len({got[k].summary for k in (1, 2, 3)}) == 1 and got[3].best_for == []
+    assert got[8].criteria[0].reason == "old" and got[5].criteria[0].reason == got[1].criteria[0].reason != "old"
+    assert got[8].cautions[:1] == ["a"] and len(got[8].cautions) == 2
