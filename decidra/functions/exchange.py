@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from decidra.functions.scalars import collapse, host, protocol, to_number, url_text
+from decidra.functions.scalars import clamp, collapse, host, json_number, protocol, to_number, url_text
 
 
 def parameters(url: Column) -> Column:
@@ -63,6 +63,27 @@ def transfer(text: Column, tag: str, product: Column) -> Column:
     return F.when(mine, F.slice(F.array_distinct(F.filter(F.coalesce(texts, F.array().cast("array<string>")), lambda t: t != "")), 1, 100))
 
 
+def transfer_message(tag: str | Column, product: Column, reviews: Column, **about: Column) -> Column:
+    """The message that transfer() reads: at most 100 reviews, and what is known about their source. Null without reviews."""
+    few = F.slice(reviews, 1, 100)
+    body = F.struct(F.lit(tag).alias("type"), product.cast("string").alias("productId"), *(v.alias(name) for name, v in about.items()), few.alias("reviews"))
+    return F.when(F.size(few) > 0, F.to_json(body))
+
+
+def session_text(category: Column, use_case: Column, answers: Column, weights: Column) -> Column:
+    """What a visitor's session keeps: answers and weights are maps; what is null is left out."""
+    return F.to_json(F.struct(category.alias("category"), use_case.alias("useCase"), answers.alias("answers"), weights.alias("weights")))
+
+
+def number_weights(text: Column, path: str = "$") -> Column:
+    """The weights of a JSON object (at a path of the text) that are numbers, within 0 to 10, as a map. Numeric texts and other
+    values are left out; the map is empty for null and where there is no object."""
+    v = F.try_variant_get(F.try_parse_json(text), path, "variant")
+    own = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,variant>"))
+    given = F.map_filter(F.transform_values(own, lambda _, x: json_number(x)), lambda _, x: x.isNotNull())
+    return F.coalesce(F.transform_values(given, lambda _, x: clamp(x, high=10.0)), F.create_map().cast("map<string,double>"))
+
+
 def selection(ids: list, least: int = 2, most: int = 5) -> list:
     """The selected ids. ValueError unless there are 2 to 5."""
     if not least <= len(ids) <= most:

@@ -84,6 +84,12 @@ def duplicates(products: DataFrame, key: str = "origin_product_no") -> DataFrame
     return products.select("id", key).join(other, key).filter(F.col("id") != F.col("other_id")).select("id", "other_id")
 
 
+def shared(products: DataFrame, key: str = "origin_product_no") -> DataFrame:
+    """The products whose key value another product has too: ids are compared per value, so no pairs are made."""
+    several = products.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("_a"), F.max("id").alias("_b")).filter(F.col("_a") != F.col("_b"))
+    return products.join(several, key, "left_semi").select(products.columns)
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
     """The registry after incoming rows have replaced those with their key, or joined it."""
     return existing.join(incoming.select(key), key, "left_anti").select(existing.columns).unionByName(incoming.select(existing.columns))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from decidra.functions.exchange import transfer
 from decidra.functions.scalars import collapse, normalized_score, strip_code_fence, trim
 from decidra.schemas import CRITERION_LABELS, NO_EVIDENCE
 
@@ -33,6 +34,32 @@ def dedupe_by_key(reviews: DataFrame, group: str, key: Column, content: str, ord
     return numbered.filter(F.col("pos") <= most) if most else numbered
 
 
+def first_messages(messages: DataFrame, tag: str) -> DataFrame:
+    """product, at, reviews: the first message of type `tag` of each product (product, at, message). It is the only one that is
+    processed, even if it is about another product: then its reviews are null."""
+    kind = F.try_variant_get(F.try_parse_json("message"), "$.type", "string")
+    first = messages.filter(kind == tag).groupBy("product").agg(F.min(F.struct("at", "message")).alias("_m")).select("product", "_m.*")
+    return first.select("product", "at", transfer(F.col("message"), tag, F.col("product").cast("string")).alias("reviews"))
+
+
+def collected(pages: DataFrame, most: int = 20, size: int = 20) -> DataFrame:
+    """product, pos, content: the reviews that reading the pages of a feed in turn gives, at most `most` different ones.
+
+    pages: product, page (from 0), status, last, contents (id, content). As many pages are read as `most` needs; a short one,
+    the last one, or enough reviews end it. A page that is reached with another status than 200 fails the product: none
+    of its reviews is given. A review without content is skipped; one without id is known by its content."""
+    asked = pages.filter(F.col("page") < -(-most // size))
+    bad = F.coalesce(F.col("status"), F.lit(200)) != 200
+    ends = bad | F.coalesce("last", F.lit(False)) | (F.coalesce(F.size("contents"), F.lit(0)) < size)
+    ended = asked.filter(ends).groupBy("product").agg(F.min(F.struct("page", bad.alias("bad"))).alias("_end"))
+    read = asked.join(ended, "product", "left").filter(~bad & (F.col("_end").isNull() | (F.col("page") <= F.col("_end.page"))))
+    each = read.select("product", "page", F.posexplode("contents").alias("at", "r")).select("product", "page", "at", "r.id", "r.content")
+    found = dedupe_by_key(each, "product", F.col("id"), "content", ["page", "at"], most)
+    found = found.withColumn("_n", F.max("pos").over(Window.partitionBy("product")))  # at most `most` rows
+    failed = ended.filter("_end.bad").select("product", F.lit(True).alias("_bad"))
+    return found.join(failed, "product", "left").filter(F.col("_bad").isNull() | (F.col("_n") >= most)).select("product", "pos", "content")
+
+
 # --- analysis
 
 

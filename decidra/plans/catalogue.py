@@ -307,6 +307,47 @@ def reviews_dedupe_by_key(spark, d):
     return reviews.dedupe_by_key(turns, "conv_id", key, "text", ["turn"], most=100).select("conv_id", "pos", "turn", "text")
 
 
+def review_messages_once(spark, d):
+    """The first message with reviews of each conversation, the turn being its time; the rest is processed no more."""
+    own = table(spark, d, "conversations").select(F.col("conv_id").alias("product"), F.col("turn").alias("at"), reviews.distinct_reviews(F.col("text")).alias("said"))
+    about = F.when(F.col("product") % 10 == 3, F.lit("another")).otherwise(F.col("product").cast("string"))
+    message = X.transfer_message(F.when(F.col("at") == 0, F.lit("other")).otherwise(F.lit("reviews")), about, F.col("said"), sourceUrl=F.lit("https://shop.example.com/1"))
+    first = reviews.first_messages(own.select("product", "at", message.alias("message")).filter("message is not null"), "reviews")
+    return first.select(F.col("product").alias("conv_id"), F.col("at").alias("turn"), F.size("reviews").alias("n"), F.md5(F.array_join("reviews", "\n")).alias("digest"))
+
+
+def review_collection(spark, d):
+    """Lines of documents as pages of 20 reviews, at most 25 of which are collected; some second pages fail."""
+    lines = F.split("text", "\n")
+    cut = F.transform(F.sequence(F.lit(0), ((F.size(lines) - 1) / 20).cast("int")), lambda p: F.slice(lines, p * 20 + 1, 20))
+    each = table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("product"), F.posexplode(cut).alias("page", "own"))
+    review = lambda r: F.struct(F.when(F.length(r) % 7 == 0, F.concat(F.lit("n"), F.length(r))).alias("id"), r.alias("content"))
+    status = F.when((F.col("product") % 11 == 0) & (F.col("page") == 1), 500)
+    feed = each.select("product", "page", status.alias("status"), F.lit(None).cast("boolean").alias("last"), F.transform("own", review).alias("contents"))
+    return reviews.collected(feed, 25).select(F.col("product").alias("doc_id"), "pos", "content")
+
+
+def session_weights(spark, d):
+    """Weights as a session keeps them, read back: numbers alone, within 0 to 10."""
+    weights = F.create_map(F.lit("noise"), F.col("c_acctbal") / 500, F.lit("value"), F.col("c_nationkey").cast("double"))
+    own = table(spark, d, "customer").select("c_custkey", X.session_text(F.col("c_mktsegment"), F.lit(None).cast("string"), F.create_map(F.lit("people"), F.lit("3_4")), weights).alias("t"))
+    return own.select("c_custkey", F.explode(X.number_weights(F.col("t"), "$.weights")).alias("key", "weight"))
+
+
+def event_weights(spark, d):
+    return table(spark, d, "events").select("event_id", F.explode(X.number_weights(F.col("props"))).alias("key", "weight"))
+
+
+def pages_allowed(spark, d):
+    """Pages of allowed hosts, and which of them refuse by their status."""
+    status = F.expr("CASE page_id % 5 WHEN 0 THEN 418 WHEN 1 THEN 403 WHEN 2 THEN 204 WHEN 3 THEN 200 END")
+    return pages.product_info(pages.allowed(table(spark, d, "pages"), HOSTS), status).select("page_id", "blocked", "title")
+
+
+def shared_origin(spark, d):
+    return catalog.shared(_registry(spark, d)).select("id", "origin_product_no")
+
+
 def page_title(spark, d):
     return table(spark, d, "pages").select("page_id", S.page_title(F.col("html")).alias("title"))
 
@@ -437,6 +478,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "advisor_answers": advisor_answers, "advisor_match_in_category": advisor_match_in_category, "advisor_reasons": advisor_reasons, "catalog_search_brand": catalog_search_brand, "product_links": product_links, "review_requests": review_requests,
         "weights_adjusted": weights_adjusted, "weights_top4": weights_top4, "analysis_join_weights": analysis_join_weights,
         "reviews_clean_dedupe": reviews_clean_dedupe, "reviews_cap100": reviews_cap100, "reviews_dedupe_by_key": reviews_dedupe_by_key, "review_analysis_stub": review_analysis_stub,
+        "review_messages_once": review_messages_once, "review_collection": review_collection, "session_weights": session_weights, "event_weights": event_weights, "pages_allowed": pages_allowed, "shared_origin": shared_origin,
         "page_title": page_title, "page_product_name": page_product_name, "page_meta": page_meta, "page_probe": page_probe, "url_normalize": url_normalize, "url_allowed": url_allowed, "url_parameters": url_parameters, "url_links": url_links,
         "duplicate_origin": duplicate_origin, "upsert_products": upsert_products, "register_products": register_products, "insert_products": insert_products, "update_product": update_product, "delete_product": delete_product,
         "json_extract_scores": json_extract_scores, "normalize_scores": normalize_scores, "display_date": display_date, "stream_distinct_events": stream_distinct_events,
@@ -561,6 +603,25 @@ f AS (SELECT doc_id, review, min(i) AS i FROM l GROUP BY ALL)"""
         "reviews_dedupe_by_key": f"""WITH t AS (SELECT conv_id, turn, {_collapse("text")} AS text FROM conversations WHERE role = 'user'),
   k AS (SELECT *, coalesce(CASE WHEN turn % 4 = 0 THEN 'first' END, text) AS key FROM t WHERE text <> ''), f AS (SELECT conv_id, key, min(turn) AS turn FROM k GROUP BY ALL)
   SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM k JOIN f USING (conv_id, key, turn) QUALIFY pos <= 100""",
+        "review_messages_once": f"""WITH l AS (SELECT conv_id, turn, generate_subscripts(xs, 1) AS i, unnest(xs) AS review FROM (SELECT conv_id, turn, {lines} AS xs FROM conversations)),
+  f AS (SELECT conv_id, turn, review, min(i) AS i FROM l WHERE turn <> 0 GROUP BY conv_id, turn, review QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY min(i)) <= 100),
+  m AS (SELECT conv_id, turn, count(*)::INTEGER AS n, md5(string_agg(review, chr(10) ORDER BY i)) AS digest FROM f GROUP BY conv_id, turn QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1)
+  SELECT conv_id, turn, CASE WHEN conv_id % 10 <> 3 THEN n END AS n, CASE WHEN conv_id % 10 <> 3 THEN digest END AS digest FROM m""",
+        "review_collection": f"""WITH l AS (SELECT doc_id, unnest(xs) AS raw, generate_subscripts(xs, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS xs FROM documents)),
+  p AS (SELECT doc_id, i // 20 AS page, count(*) AS n FROM l GROUP BY ALL),
+  e AS (SELECT doc_id, min(page) AS stop FROM p WHERE page < 2 AND (n < 20 OR doc_id % 11 = 0 AND page = 1) GROUP BY doc_id),
+  c AS (SELECT l.doc_id, i, {_collapse("raw")} AS content, CASE WHEN length(raw) % 7 = 0 THEN 'n' || length(raw) END AS id FROM l LEFT JOIN e USING (doc_id)
+        WHERE i < 40 AND NOT (doc_id % 11 = 0 AND i // 20 = 1) AND (stop IS NULL OR i // 20 <= stop)),
+  f AS (SELECT doc_id, i, content FROM c WHERE content <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, coalesce(id, content) ORDER BY i) = 1),
+  o AS (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INTEGER AS pos, count(*) OVER (PARTITION BY doc_id) AS n FROM f)
+  SELECT doc_id, pos, content FROM o LEFT JOIN e USING (doc_id) WHERE pos <= 25 AND NOT coalesce(doc_id % 11 = 0 AND stop = 1 AND n < 25, FALSE)""",
+        "session_weights": """SELECT c_custkey, 'noise' AS key, greatest(0, least(10, c_acctbal / 500)) AS weight FROM customer WHERE c_acctbal IS NOT NULL
+  UNION ALL SELECT c_custkey, 'value', greatest(0, least(10, c_nationkey::DOUBLE)) FROM customer WHERE c_nationkey IS NOT NULL""",
+        "event_weights": "SELECT event_id, key, greatest(0, least(10, (props ->> ('$.' || key))::DOUBLE)) AS weight FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) WHERE json_type(props, '$.' || key) IN ('UBIGINT', 'BIGINT', 'DOUBLE')",
+        "pages_allowed": f"""WITH p AS (SELECT *, CASE page_id % 5 WHEN 0 THEN 418 WHEN 1 THEN 403 WHEN 2 THEN 204 WHEN 3 THEN 200 END AS status FROM pages WHERE {scheme} = 'https' AND ({' OR '.join(f"{host} = '{h}' OR ends_with({host}, '.{h}')" for h in HOSTS)})),
+  i AS (SELECT page_id, title, blocked OR coalesce(status NOT BETWEEN 200 AND 299, FALSE) AS blocked FROM ({_page_info_sql('p')}) JOIN p USING (page_id))
+  SELECT page_id, blocked, CASE WHEN NOT blocked THEN title END AS title FROM i""",
+        "shared_origin": f"WITH {reg} SELECT id, origin AS origin_product_no FROM reg QUALIFY count(*) OVER (PARTITION BY origin) > 1",
         "page_title": f"SELECT page_id, {_decode(raw_title)} AS title FROM pages",
         "page_product_name": f"SELECT page_id, CASE WHEN NOT blocked THEN {_product_name_sql('title')} END AS product_name, blocked FROM ({_page_info_sql('pages')})",
         "page_meta": f"WITH {_values(META_ROWS, 'h', 'page_id, html')} SELECT page_id, blocked, CASE WHEN NOT blocked THEN {_product_name_sql('title')} END AS product_name, CASE WHEN NOT blocked THEN title END AS title, CASE WHEN NOT blocked THEN description END AS description, CASE WHEN NOT blocked THEN image END AS image FROM ({_page_info_sql('h')})",

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from decidra.functions.scalars import WS
 from decidra.schemas import MARKET_SEARCH_RESULT, PRODUCT
 
+_SPACES = re.compile(f"[{WS}]+")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,24 +67,31 @@ class _ReviewReader(DataSourceReader):
         return [_Product(p, os.path.join(self.folder, p)) for p in sorted(os.listdir(self.folder))]
 
     def read(self, partition: _Product) -> Iterator[tuple]:
-        size, given = 20, 0
+        size, found = 20, {}
         for page in range(-(-self.most // size)):
             at = os.path.join(partition.path, f"{page}.json")
             if not os.path.exists(at):
-                return
+                break
             with open(at, encoding="utf-8") as f:
                 body = json.load(f)
-            rows = body.get("contents") or []
+            if body.get("status", 200) != 200:
+                return  # nothing of this product
+            rows = body.get("contents")
+            rows = rows if isinstance(rows, list) else []
             for pos, r in enumerate(rows):
-                yield partition.product, page, pos, r.get("contentsId"), r.get("reviewContent")
-            given += len(rows)
-            if body.get("last") or len(rows) < size:
-                return
+                own, said = r.get("contentsId"), r.get("reviewContent")
+                content = _SPACES.sub(" ", said).strip(" ") if isinstance(said, str) else ""
+                if content and len(found) < self.most:
+                    found.setdefault(own if isinstance(own, str) else content, (partition.product, page, pos, own, content))
+            if len(found) >= self.most or body.get("last") is True or len(rows) < size:
+                break
+        yield from found.values()  # 100 at most
 
 
 class ReviewPages(DataSource):
-    """A paged review feed: a folder per product with a JSON file per page. A task reads one product's pages in turn, up to
-    the pages that `maxReviews` needs, and stops at the last, a short or an empty page."""
+    """A paged review feed: a folder per product with a JSON file per page, which all executors can open. A task reads one
+    product's pages in turn, until it has `maxReviews` different reviews, or the last, a short or an empty page; a page whose
+    status is not 200 discards the product's reviews. For pages in tables or in remote storage see operators.reviews.collected."""
 
     @classmethod
     def name(cls) -> str:

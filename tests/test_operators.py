@@ -109,6 +109,58 @@ def test_review_source_and_stream(spark, tmp_path):
     assert sorted(r.content for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [f"text {i}" for i in range(5)]
 
 
+def test_review_source_obeys_its_maximum(spark, tmp_path):
+    def put(product, number, contents, **more):
+        (tmp_path / product).mkdir(exist_ok=True)
+        (tmp_path / product / f"{number}.json").write_text(json.dumps({"contents": contents, **more}))
+
+    full = [{"contentsId": None, "reviewContent": f" text {k} "} for k in range(20)]
+    put("over", 0, full)
+    put("over", 1, full[:3] + [{"contentsId": f"i{k}", "reviewContent": f"more {k}"} for k in range(17)])
+    put("bad", 0, full)
+    put("bad", 1, [], status=500)
+    put("enough", 0, full)
+    put("enough", 1, [], status=500)
+    put("odd", 0, "no list")
+    read = lambda n: {r.product_id: r["count"] for r in readers.review_pages(spark, str(tmp_path), n).groupBy("product_id").count().collect()}
+    assert read(25) == {"over": 25} and read(20) == {"over": 20, "bad": 20, "enough": 20} and read(100) == {"over": 37}
+
+
+def test_collected(spark):
+    full = [(None, f" text  {k} ") for k in range(20)]
+    rows = [
+        ("over", 0, None, None, full), ("over", 1, 200, None, full[:3] + [(f"i{k}", "more") for k in range(17)]), ("last", 0, None, True, full), ("last", 1, None, None, full), ("bad", 0, None, None, full),
+        ("bad", 1, 500, None, full), ("odd", 0, None, None, None), ("later", 0, None, None, full[:5]), ("later", 1, 500, None, []), (None, 0, None, None, [("a", "x"), ("a", "y"), ("b", None), ("c", " ")]),
+    ]
+    pages = spark.createDataFrame(rows, "product string, page int, status int, last boolean, contents array<struct<id: string, content: string>>")
+    count = lambda n: {r["product"]: r["count"] for r in reviews.collected(pages, n).groupBy("product").count().collect()}
+    assert count(30) == {"over": 30, "last": 20, "later": 5, None: 1} and count(20) == {"over": 20, "last": 20, "bad": 20, "later": 5, None: 1}
+    assert [r.content for r in reviews.collected(pages, 2).filter("product = 'last'").orderBy("pos").collect()] == ["text 0", "text 1"]
+    assert reviews.collected(pages.limit(0)).count() == 0
+
+
+def test_messages_and_sessions(spark):
+    from decidra.functions import exchange as X
+
+    said = spark.createDataFrame([("p", ["a", "b"]), ("q", []), ("r", None)], "p string, said array<string>")
+    sent = {r.p: r.m for r in said.select("p", X.transfer_message("t", F.col("p"), F.col("said"), url=F.lit("u")).alias("m")).collect()}
+    assert json.loads(sent["p"]) == {"type": "t", "productId": "p", "url": "u", "reviews": ["a", "b"]} and sent["q"] is None and sent["r"] is None
+    other = json.dumps({"type": "t", "productId": "x", "reviews": ["z"]})
+    rows = [("p", 2, sent["p"]), ("p", 1, "no json"), ("p", 3, sent["p"].replace("a", "c")), ("q", 1, other), ("q", 2, sent["p"]), ("r", 1, None)]
+    got = reviews.first_messages(spark.createDataFrame(rows, "product string, at int, message string"), "t").collect()
+    assert {r["product"]: (r["at"], r.reviews) for r in got} == {"p": (2, ["a", "b"]), "q": (1, None)}
+    weights = lambda t: one(spark, t, "string", X.number_weights)
+    assert weights('{"a": 3, "b": "4", "c": 12.5, "d": -1, "e": null, "f": true, "g": [1]}') == {"a": 3.0, "c": 10.0, "d": 0.0}
+    assert weights(None) == weights("x") == weights("[1]") == weights("{}") == {}
+
+
+def test_refused_pages(spark):
+    from decidra.operators import pages
+
+    df = spark.createDataFrame([(1, "ok", 200), (2, "ok", 418), (3, "Access Denied", 200), (4, "ok", None), (5, None, 404)], "page_id int, html string, status int")
+    assert [r.b for r in df.select("page_id", pages.refused(F.col("html"), F.col("status")).alias("b")).orderBy("page_id").collect()] == [False, True, True, False, True]
+
+
 def test_static_products(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps([{"id": 1, "name": "가", "price": 5, "cons": ["x"], "isDiscontinued": False}, {"id": 2}], indent=1))
     got = readers.static_products(spark, str(tmp_path / "p.json")).orderBy("id").collect()
