@@ -12,7 +12,7 @@ from decidra.functions import scalars as S
 from decidra.operators import advisor, catalog, pages, recommend, reviews
 from decidra.schemas import FIVE_CRITERIA, GOOD_SCORE, LOW_SCORE, NO_REASON_STORED, NO_SUMMARY
 from decidra.sources.readers import product_facts, table
-from decidra.sources.scratch import new_path
+from decidra.sources.scratch import new_path, written
 from decidra.streaming.reviews import distinct_events
 
 BUDGET = 910.0
@@ -127,20 +127,27 @@ def recommend_cautions(spark, d):
     return _exploded(product_facts(spark, d), recommend.cautions(BUDGET, F.array("name", "brand", "category")), "caution", "id")
 
 
+def _market_facts(spark, d) -> DataFrame:
+    """What the market scores read, written once: the greatest review count needs all rows before any is scored, and line items
+    would be read and summed twice."""
+    columns = ["id", "category", "is_discontinued", "availability_score", "sales_rank_score", "review_count", "review_score", "brand_trust_score", "popularity_score", "recency_score"]
+    return written(product_facts(spark, d).select(columns), "market")
+
+
 def market_top5(spark, d):
-    return recommend.market_top(product_facts(spark, d)).select("id", "market_score", "rank")
+    return recommend.market_top(_market_facts(spark, d)).select("id", "market_score", "rank")
 
 
 def market_top5_per_category(spark, d):
-    return recommend.market_top_by_category(product_facts(spark, d)).select("category", "id", "market_score", "rank")
+    return recommend.market_top_by_category(_market_facts(spark, d)).select("category", "id", "market_score", "rank")
 
 
 def market_breakdown(spark, d):
-    return recommend.market_scored(product_facts(spark, d)).select("id", "market_score", *(f"part_{p}" for p in _MARKET))
+    return recommend.market_scored(_market_facts(spark, d)).select("id", "market_score", *(f"part_{p}" for p in _MARKET))
 
 
 def market_reasons(spark, d):
-    return _exploded(recommend.market_scored(product_facts(spark, d)), recommend.market_reasons(), "reason", "id")
+    return _exploded(recommend.market_scored(_market_facts(spark, d)), recommend.market_reasons(), "reason", "id")
 
 
 def catalog_search(spark, d):
