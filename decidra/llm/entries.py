@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decidra.llm import chat_format, exact_dedup, html_extract, license_scan, mixing, ngram_join, packing, quality_model, quality_rules, suffix_dedup
+from decidra.llm import chat_format, exact_dedup, html_extract, license_scan, mixing, ngram_join, packing, quality_model, quality_rules, simhash_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extract": html_extract.op8_html_extract,
         "op9_packing": packing.op9_packing,
         "op10_license_scan": license_scan.op10_license_scan,
+        "op13_simhash_dedup": simhash_dedup.op13_simhash_dedup,
     }
 
 

@@ -17,7 +17,7 @@ def test_against_sql(name, spark, sf, agree):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in entries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in entries.queries()) == list(range(1, 14))
     assert set(entries.queries()) | {"pipeline"} <= set(__spark_entry__.queries())
 
 
