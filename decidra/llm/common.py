@@ -55,16 +55,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is not None:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_older(name: str, keep: int = 1) -> None:
+    """Deletes the tables cut under this name but the last `keep`: for rounds that each read the table before only."""
+    own = [x for x in _scratch if x[1].rpartition("/")[2].rpartition("-")[0] == name]
+    for x in own[: len(own) - keep]:
+        _delete(*x)
+        _scratch.remove(x)
+
+
 def drop_scratch() -> None:
     """Deletes the scratch tables of this process; results that read them must be written by then."""
     while _scratch:
-        spark, path = _scratch.pop()
         try:
-            sc = spark.sparkContext
-            if sc._jsc is None:
-                continue
-            where = sc._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(*_scratch.pop())
         except Exception:  # noqa: BLE001 - the session has ended: nothing is left to ask
             return
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decidra.llm import chat_format, exact_dedup, html_extract, license_scan, mixing, ngram_join, packing, quality_model, quality_rules, simhash_dedup, suffix_dedup
+from decidra.llm import chat_format, exact_dedup, html_extract, license_scan, mixing, ngram_join, packing, quality_model, quality_rules, simhash_dedup, suffix_dedup, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extract": html_extract.op8_html_extract,
         "op9_packing": packing.op9_packing,
         "op10_license_scan": license_scan.op10_license_scan,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
         "op13_simhash_dedup": simhash_dedup.op13_simhash_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_host_quality": quality_rules.SQL, "op2_mixing": mixing.SQL, "op6_chat_format": chat_format.SQL, "op3_exact_dedup": exact_dedup.SQL}
+    return {"op1_host_quality": quality_rules.SQL, "op2_mixing": mixing.SQL, "op6_chat_format": chat_format.SQL, "op3_exact_dedup": exact_dedup.SQL, "op11_vector_codes": vector_codes.SQL}
