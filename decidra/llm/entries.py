@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decidra.llm import chat_format, exact_dedup, html_extract, license_scan, mixing, ngram_join, packing, quality_model, quality_rules, simhash_dedup, suffix_dedup, vector_codes
+from decidra.llm import chat_format, exact_dedup, html_extract, license_scan, mixing, ngram_join, packing, quality_model, quality_rules, simhash_dedup, suffix_dedup, token_alignment, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": packing.op9_packing,
         "op10_license_scan": license_scan.op10_license_scan,
         "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_token_alignment": token_alignment.op12_token_alignment,
         "op13_simhash_dedup": simhash_dedup.op13_simhash_dedup,
     }
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -86,10 +87,15 @@ class Ids:
         self.start = np.zeros(1 << 14, np.int64)
         self.used = self.held = 0
 
+    def begins(self, code: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return pretokens(code, first)
+
+    def each(self, words: list[bytes]) -> Iterable[list[int]]:
+        return map(self.bpe._core_bpe.encode_single_piece, words)
+
     def _learn(self, words: list[bytes]) -> None:
-        encode, known = self.bpe._core_bpe.encode_single_piece, self.known
-        for word in words:
-            ids = encode(word)
+        known = self.known
+        for word, ids in zip(words, self.each(words), strict=True):
             k, end = len(known), self.used + len(ids)
             if end > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
@@ -108,7 +114,7 @@ class Ids:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        begins = pretokens(code, first)
+        begins = self.begins(code, first)
         data = joined.encode()
         offsets = np.append(begins, len(code))
         if len(data) > len(code):
@@ -136,6 +142,49 @@ class Ids:
         return self.flat[at], bounds
 
 
+class PieceIds(Ids):
+    """Ids of a sentencepiece BPE model that puts a space before each text, whose pieces hold a space at the start only (or
+    are nothing but spaces), and that falls back on bytes: what follows a run of spaces never merges with what is before it.
+
+    Texts must start with the space that the model adds. A stretch that the model's pieces do not give back byte for byte
+    (one with U+2581) gets the id of the unknown piece, which is not used otherwise."""
+
+    def __init__(self, path: str | None = None):
+        self.pieces, self.bytes_of = piece_model(path)
+        self.known, self.used, self.held = {}, 0, 0
+        self.flat, self.start = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+
+    def begins(self, code: np.ndarray, first: np.ndarray) -> np.ndarray:
+        space = code == 32
+        new = space.copy()
+        new[1:] &= ~space[:-1]
+        new[first[first < len(code)]] = True
+        return np.flatnonzero(new)
+
+    def each(self, words: list[bytes]) -> Iterable[list[int]]:
+        alone = self.pieces.piece_to_id("\u2581")
+        for word, ids in zip(words, self.pieces.encode([w[1:].decode() for w in words], num_threads=1), strict=True):
+            ids = ids or [alone]
+            yield ids if b"".join(map(self.bytes_of.__getitem__, ids)) == word else [self.pieces.unk_id()]
+
+
+@functools.cache
+def piece_model(path: str | None = None):
+    """The public sentencepiece model in this file, and the bytes that each of its pieces stands for."""
+    import public_tokenizers as public
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path or public.path("piece_bpe_32k.model"))
+    pieces = map(model.id_to_piece, range(model.get_piece_size()))
+    return model, [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
+
+
+@functools.cache
+def piece_ids(path: str | None = None) -> PieceIds:
+    """One of these in each Python worker."""
+    return PieceIds(path)
+
+
 @functools.cache
 def ids(path: str | None = None) -> Ids:
     """One of these in each Python worker."""
