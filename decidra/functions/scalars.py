@@ -269,3 +269,28 @@ def contains_any(text: Column, markers: tuple[str, ...]) -> Column:
     for m in markers:
         out = out | text.contains(m)
     return F.coalesce(out, F.lit(False))
+
+
+# --- dates
+
+
+def epoch_ms(text: Column) -> Column:
+    """A date text as milliseconds since 1970 in UTC, null where it is none of these: ISO years, months and days (in UTC); ISO
+    times with T or a space (with an offset, or in the session's zone); `2024/01/02`, `Jan 2, 2024`, `2 Jan 2024` and these with a
+    time; `Tue, 02 Jan 2024 03:04:05 GMT` and the same with an offset."""
+    t = trim(text)
+    day, time = r"\d{4}-\d{2}-\d{2}", r"\d{2}:\d{2}(:\d{2}(\.\d+)?)?"
+    iso_day = F.when(t.rlike(rf"^({day}|\d{{4}}(-\d{{2}})?)$"), F.concat(F.rpad(t, 10, "-01-01").substr(1, 10), F.lit("T00:00:00Z")))
+    seconds = F.regexp_replace(t, r"([T ]\d{2}:\d{2})( ?([Z+-].*)?)$", "$1:00$2")
+    full_offset = F.regexp_replace(seconds, r"([+-]\d{2})$", "$1:00")
+    iso_time = F.when(t.rlike(rf"^{day}[T ]{time}( ?(Z|[+-]\d{{2}}(:?\d{{2}})?))?$"), full_offset)
+    parsed = lambda x, form: F.try_to_timestamp(x, F.lit(form))
+    at = [F.coalesce(iso_day, iso_time).try_cast("timestamp")]
+    for pattern, form in (
+        (r"^\d{4}/\d{1,2}/\d{1,2}$", "y/M/d"), (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", "y/M/d H:mm:ss"), (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, y"),
+        (r"^[A-Z][a-z]{2} \d{1,2}, \d{4} \d{1,2}:\d{2}:\d{2}$", "MMM d, y H:mm:ss"), (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM y"), (r"^\d{1,2} [A-Z][a-z]{2} \d{4} \d{1,2}:\d{2}:\d{2}$", "d MMM y H:mm:ss"),
+    ):
+        at.append(parsed(F.when(t.rlike(pattern), t), form))
+    # the name of the weekday is not checked against the date
+    mail = F.when(t.rlike(r"^([A-Z][a-z]{2}, )?\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} (GMT|UTC|Z|[+-]\d{4})$"), F.regexp_replace(F.regexp_replace(t, r"^[A-Z][a-z]{2}, ", ""), "(GMT|UTC|Z)$", "+0000"))
+    return F.unix_millis(F.coalesce(*at, parsed(mail, "d MMM y HH:mm:ss Z")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decidra.functions.scalars import matches
+from decidra.operators.registry import UPDATED
 
 
 def search(products: DataFrame, query: str = "", analyzed_only: bool = False, columns: tuple[str, ...] = ("name", "category")) -> DataFrame:
@@ -91,7 +92,7 @@ def shared(products: DataFrame, key: str = "origin_product_no") -> DataFrame:
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
-    """The registry after incoming rows have replaced those with their key, or joined it."""
+    """The registry after incoming rows have replaced those with their key, all columns of them, or joined it."""
     return existing.join(incoming.select(key), key, "left_anti").select(existing.columns).unionByName(incoming.select(existing.columns))
 
 
@@ -110,10 +111,10 @@ def insert_new(existing: DataFrame, incoming: DataFrame, keys: tuple[str, ...] =
     return first_of(incoming, keys).select(existing.columns).unionByName(existing)
 
 
-def register(existing: DataFrame, incoming: DataFrame, keys: tuple[str, ...] = ("origin_product_no", "source_url")) -> DataFrame:
+def register(existing: DataFrame, incoming: DataFrame, keys: tuple[str, ...] = ("origin_product_no", "source_url"), now: Column | None = None) -> DataFrame:
     """The registry after each incoming row has updated the row that it equals in one of the keys, or joined the registry.
 
-    An existing row keeps its id. If an incoming row equals several, the smallest id is updated; if several equal one row, the
+    An existing row keeps all but the columns of registry.UPDATED; updated_at becomes now, if given. If an incoming row equals several, the smallest id is updated; if several equal one row, the
     last of them counts. Of new rows that share a key value, the first joins."""
     hits = None
     for key in keys:
@@ -122,9 +123,13 @@ def register(existing: DataFrame, incoming: DataFrame, keys: tuple[str, ...] = (
         hits = hit if hits is None else hits.union(hit)
     hits = hits.groupBy("_new").agg(F.min("_old").alias("_old"))
     last = hits.groupBy("_old").agg(F.max("_new").alias("_new"))
-    others = [c for c in existing.columns if c != "id"]
+    others = [c for c in existing.columns if c in UPDATED]
     values = incoming.join(last, F.col("id") == F.col("_new")).select(F.col("_old").alias("id"), F.struct(*others).alias("_values"))
-    updated = existing.join(values, "id", "left").select("id", *(F.when(F.col("_values").isNotNull(), F.col(f"_values.{c}")).otherwise(F.col(c)).alias(c) for c in others))
+    changed = F.col("_values").isNotNull()
+    new_values = {c: F.when(changed, F.col(f"_values.{c}")).otherwise(F.col(c)) for c in others}
+    if now is not None:
+        new_values["updated_at"] = F.when(changed, now).otherwise(F.col("updated_at"))
+    updated = existing.join(values, "id", "left").withColumns(new_values).select(existing.columns)
     new = first_of(incoming.join(hits, F.col("id") == F.col("_new"), "left_anti"), keys)
     return updated.unionByName(new.select(updated.columns))
 

@@ -467,9 +467,9 @@ def review_analysis_stub(spark, d):
 def stream_distinct_events(spark, d):
     """Events as a stream, each event_id once; read as files arrive, and written until all there are is read."""
     at = new_path(spark, "stream")
-    # files come in any order of time, so no id is forgotten
+    # all there is comes in one batch, which the watermark follows; ids stay in the state for a day of event time behind it
     schema = table(spark, d, "events").schema
-    events = distinct_events(spark.readStream.schema(schema).parquet(f"{d}/events*.parquet"), "36500 days")
+    events = distinct_events(spark.readStream.schema(schema).parquet(f"{d}/events*.parquet"), "1 day")
     events.select("event_id", "event_type", "value").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out")
 
