@@ -2,14 +2,17 @@
 
 Documents become token ids plus an end id; only those over the capacity are cut, into full pieces behind a shorter first
 one. What to put together depends on lengths alone, so the pieces are counted by length (one row per length, at most
-`capacity` of them), and the plan is made on these counts: around the largest piece left, undominated fillings of the
-room are enumerated from large to small, with the best-fit filling as incumbent and its waste as bound; a filling is used
-for as many sequences as its counts allow at once. The last pieces, where waste arises, get a branch and bound over
-sequences, and more of them where the plan does not meet the lower bound on sequences. Pieces are then numbered within their length (running(): a common length is numbered by many tasks), and a
-piece's number tells its sequence and place, without any shuffle of ids.
+`capacity` of them), and the plan is made on these counts. The best-fit plan of all pieces is the incumbent. Around the
+largest piece left, undominated fillings of the room are enumerated from large to small, with the best-fit filling as
+incumbent and its waste as bound; a filling is used for as many sequences as its counts allow at once. The last pieces,
+where waste arises, get a branch and bound over sequences, and more of them where the plan does not meet the lower bound;
+then a fractional plan (column generation over fillings) gives a better bound, and rounded and completed another plan. Pieces
+are then numbered within their length (running(): a common length is numbered by many tasks), and a piece's number tells its
+sequence and place, without any shuffle of ids.
 
 A null text is empty: only the end id. Rows that share a doc_id are packed like different documents. Columns beyond
-doc_id and text are ignored; no documents give no rows.
+doc_id and text are ignored; no documents give no rows. Equal lengths are
+interchangeable, and very long texts are cut; neither changes the number of sequences.
 """
 
 from __future__ import annotations
@@ -144,21 +147,151 @@ def _less(left: dict[int, int], used: dict[int, int]) -> dict[int, int]:
     return {x: m for x, n in left.items() if (m := n - used.get(x, 0))}
 
 
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The best-fit plan: pieces from long to short, each to the fullest sequence that has room. Equal sequences are filled
+    together, so its cost depends on the lengths and not on the number of pieces."""
+    rooms: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+
+    def keep(room: int, chosen: tuple[int, ...], times: int) -> None:
+        if times:
+            rooms.setdefault(room, []).append((chosen, times))
+
+    for x in sorted(counts, reverse=True):
+        n, fits = counts[x], sorted(r for r in rooms if r >= x)
+        for r in [*fits, capacity]:
+            own = rooms.pop(r) if r in rooms else []
+            while n and (own or r == capacity):
+                # a piece makes its sequence the fullest one, so equal pieces fill it before the next
+                chosen, times = own.pop() if own else ((), -(-n // (r // x)))
+                each = min(r // x, n)
+                full = min(times, n // each)
+                keep(r - each * x, chosen + (x,) * each, full)
+                n -= full * each
+                rest = times - full
+                if rest and n:
+                    keep(r - n * x, chosen + (x,) * n, 1)
+                    rest, n = rest - 1, 0
+                if chosen and rest:
+                    own.append((chosen, rest))
+            for chosen, times in own:
+                keep(r, chosen, times)
+    return [x for own in rooms.values() for x in own]
+
+
+def relaxed(counts: dict[int, int], capacity: int, columns: int = 1000) -> tuple[int, list[tuple[tuple[int, ...], float]]]:
+    """A lower bound on sequences, and fillings with the fractional number of sequences of each: the linear relaxation of packing,
+    by column generation. The best new filling for the prices of the lengths comes from a table over rooms.
+
+    After `columns` fillings the search stops; the bound (prices, over the best filling's price) holds at any point."""
+    lengths = np.array(sorted(x for x, n in counts.items() if n), np.int64)
+    need = np.array([counts[x] for x in lengths.tolist()], float)
+    m = len(lengths)
+    fill = [np.eye(m, dtype=np.int64)[k] * (capacity // x) for k, x in enumerate(lengths.tolist())]
+    inverse = np.diag(1.0 / (capacity // lengths))
+    amount, bound = inverse @ need, 0.0
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    for _ in range(columns):
+        price = inverse.sum(0)
+        worth, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        for room in range(1, capacity + 1):
+            worth[room] = worth[room - 1]
+            if k := fits[room]:
+                own = worth[room - lengths[:k]] + price[:k]
+                best = own.argmax()
+                if own[best] > worth[room]:
+                    worth[room], pick[room] = own[best], best
+        bound = max(bound, price @ need / max(1.0, worth[capacity]))
+        if worth[capacity] <= 1 + 1e-9:
+            break
+        new, room = np.zeros(m, np.int64), capacity
+        while room:
+            if pick[room] >= 0:
+                new[pick[room]] += 1
+                room -= lengths[pick[room]]
+            else:
+                room -= 1
+        step = inverse @ new
+        ratio = np.where(step > 1e-9, amount / np.maximum(step, 1e-9), np.inf)
+        leave = int(ratio.argmin())
+        inverse[leave] /= step[leave]
+        others = np.arange(m) != leave
+        inverse[others] -= np.outer(step[others], inverse[leave])
+        fill[leave], amount = new, np.maximum(inverse @ need, 0)
+    return int(np.ceil(bound - 1e-6)), [(tuple(np.repeat(lengths, f)[::-1].tolist()), float(a)) for f, a in zip(fill, amount, strict=True)]
+
+
+def coarse(counts: dict[int, int], capacity: int, up: bool, steps: int = 256) -> tuple[dict[int, int], int, int]:
+    """(numbers of pieces by length in steps, capacity in steps, length of a step). Lengths rounded up give fillings that hold for
+    the pieces; rounded down, a bound that holds for them."""
+    step = max(1, capacity // steps)
+    out: Counter[int] = Counter()
+    for x, n in counts.items():
+        out[-(-x // step) if up else x // step] += n
+    del out[0]
+    return dict(out), capacity // step, step
+
+
+def rounded(counts: dict[int, int], capacity: int, nodes: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan from a fractional one: each of its fillings as often as it goes into its number, with the pieces of its lengths
+    in turn, what is left by the better of completion and best fit."""
+    own, room, step = coarse(counts, capacity, up=True)
+    runs: dict[int, list[list[int]]] = {}
+    for x in sorted(counts):
+        runs.setdefault(-(-x // step), []).append([x, counts[x]])
+    plan = []
+    for kind, amount in relaxed(own, room)[1]:
+        need = Counter(kind)
+        times = min([int(amount + 1e-6), *(own[x] // k for x, k in need.items())])
+        for x, k in need.items():
+            own[x] -= k * times
+        while times:
+            chosen, each = [], times
+            for x, k in need.items():
+                # k pieces of the longest run that is left; a run with fewer gives them to one sequence, with the next run's
+                if runs[x][-1][1] >= k:
+                    chosen += [runs[x][-1][0]] * k
+                    each = min(each, runs[x][-1][1] // k)
+                else:
+                    each = 1
+                    at = len(runs[x])
+                    while k:
+                        at -= 1
+                        chosen += [runs[x][at][0]] * min(k, runs[x][at][1])
+                        k -= min(k, runs[x][at][1])
+            for x in need:
+                for length, k in Counter(c for c in chosen if -(-c // step) == x).items():
+                    run = next(r for r in reversed(runs[x]) if r[0] == length)
+                    run[1] -= k * each
+                while runs[x] and not runs[x][-1][1]:
+                    runs[x].pop()
+            plan.append((tuple(sorted(chosen, reverse=True)), each))
+            times -= each
+    rest = {x: n for own in runs.values() for x, n in own if n}
+    return plan + min(_plan(rest, capacity, 60, nodes), best_fit(rest, capacity), key=_sequences) if rest else plan
+
+
 def pack_counts(counts: dict[int, int], capacity: int, tail: int = 60, nodes: int = 3000) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in a sequence, number of such sequences) for these numbers of pieces by length.
 
-    One completion at a time until `tail` pieces are left, which get the branch and bound over sequences. A plan that meets
-    lower_bound() is known to need the fewest sequences. Where it does not, four times as many pieces are left to the search,
-    until that is all of them or it has found nothing better twice; no plan could save more than the sequences beyond the bound."""
+    The best-fit plan of all pieces is the first incumbent, so no result needs more sequences. Then one completion at a time until
+    `tail` pieces are left, which get the branch and bound over sequences. A plan that meets lower_bound() is known to need
+    the fewest sequences. Where it does not, the fractional plan of relaxed() is rounded and completed, and its bound counts,
+    too; then four times as many pieces are left to the search, until that is all of them or it has found nothing better twice; no
+    plan could save more than the sequences beyond the bound."""
     if any(not 0 < x <= capacity for x in counts):
         raise ValueError("a piece must have 1 to capacity tokens")
-    bound, pieces = lower_bound(counts, capacity), sum(counts.values())
-    best: list[tuple[tuple[int, ...], int]] = []
-    idle = 0
+    bound, pieces, first = lower_bound(counts, capacity), sum(counts.values()), tail
+    best = best_fit(counts, capacity)
+    if _sequences(best) == bound:
+        return best
+    completed, idle = None, 0
     while True:
         plan = _plan(counts, capacity, tail, nodes)
-        better = not best or _sequences(plan) < _sequences(best)
-        best, idle = (plan, 0) if better else (best, idle + 1)
+        completed, idle = (plan, 0) if completed is None or _sequences(plan) < _sequences(completed) else (completed, idle + 1)
+        if tail == first and min(map(_sequences, (best, plan))) > bound:
+            bound = max(bound, relaxed(*coarse(counts, capacity, up=False)[:2])[0])
+            best = min(best, rounded(counts, capacity, nodes), key=_sequences)
+        best = min(best, completed, key=_sequences)
         if _sequences(best) == bound or tail >= pieces or idle == 2:
             return best
         tail *= 4
