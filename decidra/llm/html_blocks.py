@@ -13,8 +13,8 @@ BREAKS = frozenset(
     "address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr "
     "html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Text in these is never shown.
-HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video map textarea".split())
+#: Text in these is never main text: scripts, styles, what stands in for them or for media that are not shown, drawings, and a form's field.
+HIDDEN = frozenset("script style noscript template svg iframe canvas audio video map textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A new block of these kinds ends an open one of the same kind.
 ALIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
@@ -33,45 +33,63 @@ def _place(word: str, size: int) -> int:
     return zlib.crc32(word.encode()) % size
 
 
-_named: dict[tuple, int] = {}
+_named: dict[tuple[str, ...], int] = {}
 
 
-def _own_bits(tag: str, names: tuple[str, ...]) -> int:
-    bits = _named.get((tag, names))
+def _word_bits(names: tuple[str, ...]) -> int:
+    bits = _named.get(names)
     if bits is None:
-        bits = 1 << _place(tag, PATH)
+        bits = 0
         for name in names:
             bits |= 1 << _place("." + name, PATH)
         if len(_named) > 20_000:
             _named.clear()
-        _named[tag, names] = bits
+        _named[names] = bits
     return bits
 
 
 class _Open:
-    """An open tag. What its whole path says is carried along, so a block costs the same at any depth."""
+    """A tag of the page's tree. What a whole path says is carried from tag to tag, so a block costs the same at any depth."""
 
-    __slots__ = ("tag", "at", "bits", "leaf", "linked", "marked", "ender")
+    __slots__ = ("tag", "names", "up", "at", "bits", "leaf", "linked", "marked", "ender", "size", "heads")
 
     def __init__(self, tag: str, names: tuple[str, ...], marked: bool, up: _Open | None, at: int):
-        self.tag, self.at = tag, at
-        self.bits = _own_bits(tag, names) | (up.bits if up else 0)
+        self.tag, self.names, self.up, self.at = tag, names, up, at
+        self.bits = self.size = self.heads = 0
         self.leaf = tag if tag in BREAKS else up.leaf if up else None
         self.linked = tag == "a" or up is not None and up.linked
         self.marked = marked or up is not None and up.marked
         # the next tag outwards that a new block may end, or that shields those behind it
         self.ender = None if up is None else up if up.tag in CONTAINERS or up.tag in ENDED else up.ender
 
-    def path_bits(self) -> int:
-        return self.bits | 1 << PATH + _place(self.leaf or self.tag, LEAF)
+
+def _wraps(own: _Open, size: int, heads: int) -> bool:
+    """Whether a tag wraps the page: then its class words tell nothing about a block, whatever they are. It does if nearly all text
+    is in it, or more than half together with the page's headings of the first rank."""
+    return own.tag in ("html", "body") or 20 * own.size >= 19 * size or 2 * own.size > size and heads > 0 and own.heads == heads
+
+
+def _tell(tree: list[_Open]) -> None:
+    """Gives every tag the bits of its path: all tags, and the class words of those that do not wrap the page."""
+    for own in reversed(tree):
+        own.heads += own.tag == "h1"
+        if own.up is not None:
+            own.up.size += own.size
+            own.up.heads += own.heads
+    size, heads = (sum(getattr(x, k) for x in tree if x.up is None) for k in ("size", "heads"))
+    for own in tree:
+        own.bits = 1 << _place(own.tag, PATH) | (own.up.bits if own.up else 0)
+        if own.names and not _wraps(own, size, heads):
+            own.bits |= _word_bits(own.names)
 
 
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[_Open] = []
+        self.tree: list[_Open] = []
         self.n_open: Counter[str] = Counter()
-        self.found: list[tuple[str, int, float, bool]] = []
+        self.found: list[tuple[str, _Open | None, float]] = []
         self.parts: list[str] = []
         self.linked = 0
         self.hidden = 0
@@ -80,7 +98,9 @@ class _Blocks(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             top = self.open[-1] if self.open else None
-            self.found.append((text, top.path_bits() if top else 0, min(1.0, self.linked / len(text)), top is not None and top.marked))
+            self.found.append((text, top, min(1.0, self.linked / len(text))))
+            if top:
+                top.size += len(text)
         self.parts, self.linked = [], 0
 
     def close_to(self, at: int) -> None:
@@ -107,6 +127,7 @@ class _Blocks(HTMLParser):
             named = dict(attrs)
             names = tuple(re.findall(r"[a-z]+", f"{named.get('class') or ''} {named.get('id') or ''} {named.get('role') or ''}".lower()))
             self.open.append(_Open(tag, names, MARK in named, self.open[-1] if self.open else None, len(self.open)))
+            self.tree.append(self.open[-1])
             self.n_open[tag] += 1
             self.hidden += tag in HIDDEN
 
@@ -143,7 +164,9 @@ def blocks(html: str) -> list[tuple[str, int, float, bool]]:
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.found
+    _tell(parser.tree)
+    bits = lambda own: own.bits | 1 << PATH + _place(own.leaf or own.tag, LEAF) if own else 0
+    return [(text, bits(own), linked, own is not None and own.marked) for text, own, linked in parser.found]
 
 
 def vectors(found: list[tuple[str, int, float, bool]]) -> np.ndarray:

@@ -9,7 +9,8 @@ The pages carry no labels, so the network is trained on pages that a seeded gene
 wrappers with menus, headers, footers, sidebars, notices, adverts, forms and reader comments, in which the main text is
 known. Their number is a parameter and does not depend on the input.
 
-A null or empty page, and one without main text, gives an empty text. Nothing of a kept block is dropped or cut.
+A null or empty page, and one without main text, gives an empty text. Nothing of a kept block is dropped or cut. Very long
+pages run alone. A block whose logit is exactly 0 (a tie) is not main text.
 Repeated rows are extracted one by one. Columns beyond page_id, url and html are ignored.
 """
 
@@ -121,10 +122,13 @@ def training_page(rng: random.Random) -> str:
     some = lambda *makers: "".join(rng.choice(makers)() for _ in range(rng.choice([0, 1, 1, 2])))
     body = (header() if rng.random() < 0.4 else "") + (menu() if rng.random() < 0.8 else "") + some(advert, notice, form, sidebar)
     body += article() + some(comments, sidebar, advert, form, notice) + (footer() if rng.random() < 0.9 else "")
-    if rng.random() < 0.3:
-        body = tag("div", body, rng.choice(["wrap", "container", "page", "row", ""]))
+    # words on outer tags tell nothing: some name what the page is without
+    outer = ["wrap", "container", "page", "row", "", "no-sidebar", "single ad-free", "widget-area", "comments-open", "has-banner", "nav-below", "logged-in footer-dark", "site", "content-area"]
+    while rng.random() < 0.35:
+        body = tag(rng.choice(["div", "div", "section", "main"]), body, rng.choice(outer))
+    named = lambda: f' class="{rng.choice(outer)}"' if rng.random() < 0.5 else ""
     head = f"<head><title>{words(2, 9)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>" if rng.random() < 0.9 else ""
-    return f"<!DOCTYPE html><html>{head}<body>{body}</body></html>"
+    return f"<!DOCTYPE html><html{named()}>{head}<body{named()}>{body}</body></html>"
 
 
 # --- the network ------------------------------------------------------------------------------------------------------
@@ -148,8 +152,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _run(p: dict[str, np.ndarray], d: str, gates: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
     """Hidden states (time, page, unit) in one direction. Padding leaves the state as it is."""
     n = UNITS
-    h = c = np.zeros((gates.shape[1], n), np.float32)
-    out, kept = np.zeros((*gates.shape[:2], n), np.float32), []
+    h = c = np.zeros((gates.shape[1], n), gates.dtype)
+    out, kept = np.zeros((*gates.shape[:2], n), gates.dtype), []
     steps = range(len(gates)) if d == "f" else range(len(gates) - 1, -1, -1)
     for t in steps:
         a = gates[t] + h @ p["h" + d]
@@ -235,15 +239,16 @@ def train(pages: int = 600, epochs: int = 8, batch: int = 20, rate: float = 0.02
 
 def label(p: dict[str, np.ndarray], pages: list[np.ndarray], most: int = 4000) -> list[np.ndarray]:
     """For each page (vectors), which of its blocks are main text. Pages of like length run together, `most` blocks at once
-    (or one page)."""
+    (or one page). Sums are in double precision and rounded, so what a page runs with does not change its labels."""
+    p = {k: x.astype(np.float64) for k, x in p.items()}
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
     group: list[int] = []
 
     def run() -> None:
         x, mask = padded([pages[k] for k in group])
-        logit = forward(p, x, mask)
+        logit = forward(p, x.astype(np.float64), mask)
         for j, k in enumerate(group):
-            out[k] = logit[: len(pages[k]), j] > 0
+            out[k] = np.round(logit[: len(pages[k]), j], 9) > 0
 
     for k in sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k])):
         if group and len(pages[k]) * (len(group) + 1) > most:
