@@ -6,8 +6,9 @@ partition is then sorted externally on these and the whole texts, which puts equ
 compares each whole text with its neighbour. Of equal texts the one with the most code points stays, then the smallest doc_id.
 
 A text with very many copies would fill one range. Copies are therefore counted first (map-side combined, by a 64-bit
-hash, which only steers placement), and the rows of such a text get a salt as second sort key: its copies form several
-runs whose leaders (a bounded number) are merged afterwards. All other texts have salt 0 and are decided by the sort
+hash, which only steers placement), and the rows of such a text get a salt as second sort key, by their place in the input, so that
+rows without doc_id or with one doc_id are dealt as well: its copies form several runs whose leaders (a bounded number) are
+merged afterwards. All other texts have salt 0 and are decided by the sort
 alone.
 
 Nulls count as empty, and all texts without content form one group. A null doc_id sorts after the others. Repeated rows
@@ -46,7 +47,7 @@ def exact_dedup(docs: DataFrame, salts: int = 64, hot_rows: int = 1000) -> DataF
     counts = base.groupBy("_hash").agg(F.count("*").alias("_n"))
     total = docs.count()
     hot = [r["_hash"] for r in counts.filter(F.col("_n") > max(hot_rows, total // (4 * parts))).select("_hash").collect()]
-    salted = base.withColumn("_salt", F.when(F.col("_hash").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(salts)) + 1).otherwise(F.lit(0))) if hot else base
+    salted = base.withColumn("_salt", F.when(F.col("_hash").isin(hot), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)) + 1).otherwise(F.lit(0))) if hot else base
     place = ["_head", "_hash", *(["_salt"] if hot else [])]
     run = Window.partitionBy(*place, "_norm")
     best_first = run.orderBy(F.col("_len").desc(), F.col("doc_id").asc_nulls_last())
