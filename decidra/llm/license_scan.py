@@ -6,7 +6,7 @@ in blocks of lines with a word that licences use (HINT); lines are read whatever
 The words and word pairs of either are hashed into a sparse vector, and a multinomial logistic regression gives the probabilities of the licence families, of a licence that is none of them ("unknown"), and of no
 licence at all. The raw scores are divided by a temperature that is fitted on examples held out from training, and a
 family is believed only from `least` on. A family is reported once the line or seam also holds enough of one of its
-templates' word pairs and, where families differ by it, the version; a prediction that is not confirmed counts as unknown.
+templates' word pairs and, where families differ by it, the version, and nothing of a sister licence; a prediction that is not confirmed counts as unknown.
 
 n_license counts the lines that name a family, and once for each block of lines a family that only its seams name.
 n_unknown counts the unknown lines, but for those that are pieces of a notice named in their block (half of their pairs are
@@ -14,7 +14,7 @@ in one of its templates); in a block without named or unknown lines, unknown sea
 
 Training examples are templates in varying carrier sentences (a fixed number), made-up licence names for "unknown", and
 at most `negatives` paragraphs of the corpus for "none", of documents chosen by a hash. Templates are short notices as
-projects print them.
+projects print them and the ids of source files, no full licence texts.
 
 A null or empty text has no paragraphs and no licence. Very long texts are read whole, repeated paragraphs count each. Rows that share a doc_id are reported together, once. Columns
 beyond doc_id and text are ignored. A corpus without text is classified from the built-in examples alone.
@@ -36,32 +36,47 @@ from decidra.llm.common import plain_text, table
 TEMPLATES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0", "Apache License 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http www apache org licenses LICENSE-2.0"],
     "mit": ["under the MIT License", "MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"],
-    "bsd": ["under the BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "bsd": ["under the BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
     "gpl-3.0": ["under the GNU General Public License, version 3", "GNU General Public License v3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "gpl-2.0": ["under the GNU General Public License, version 2", "GNU General Public License v2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License"],
-    "lgpl": ["under the GNU Lesser General Public License", "GNU Lesser General Public License v3.0"],
-    "agpl-3.0": ["under the GNU Affero General Public License", "GNU Affero General Public License v3.0"],
+    "lgpl": ["under the GNU Lesser General Public License", "GNU Lesser General Public License v3.0", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License", "under the terms of the GNU Library General Public License as published by the Free Software Foundation, either version 2 of the License"],
+    "agpl-3.0": ["under the GNU Affero General Public License", "GNU Affero General Public License v3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "mpl-2.0": ["under the Mozilla Public License, version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "cc-by": ["under CC BY 4.0", "under a Creative Commons Attribution 4.0 International License"],
     "cc-by-sa": ["under CC BY-SA 4.0", "under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "cc-by-nc": ["under CC BY-NC 4.0", "under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc0": ["CC0 1.0 Universal", "dedicated to the public domain under CC0"],
     "isc": ["under the ISC License", "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted"],
+    "zlib": ["under the zlib License", "This software is provided as is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software"],
+    "unlicense": ["under the Unlicense", "This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
     "all-rights-reserved": ["All rights reserved", "Copyright 2020 the authors. All rights reserved"],
 }
+# The ids of these families in source files.
+SPDX = {
+    "apache-2.0": ["Apache-2.0"], "mit": ["MIT"], "bsd": ["BSD-3-Clause", "BSD-2-Clause"], "gpl-3.0": ["GPL-3.0-only", "GPL-3.0-or-later"], "gpl-2.0": ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-2.0"], "lgpl": ["LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "agpl-3.0": ["AGPL-3.0-only", "AGPL-3.0-or-later"], "mpl-2.0": ["MPL-2.0"], "cc-by": ["CC-BY-4.0"], "cc-by-sa": ["CC-BY-SA-4.0"], "cc-by-nc": ["CC-BY-NC-4.0"], "cc0": ["CC0-1.0"], "isc": ["ISC"], "zlib": ["Zlib"], "unlicense": ["Unlicense"],
+}
+for _family, _ids in SPDX.items():
+    TEMPLATES[_family] += [f"SPDX-License-Identifier: {i}" for i in _ids]
 CARRIERS = ["{}.", "{}", "Licensed {}.", "Released {}.", "This work is licensed {}.", "This software is distributed {}, see the file LICENSE.", "The code of this project is available {}.", "See the notice below. {}. More follows in the text.", "Copyright the authors. {}."]
 INVENTED = ["Zorbium", "Palladion", "Open Harvest", "Blue River", "Quintessa", "Northgate Community", "Tessel", "Verdant Data", "Old Mill", "Corpus Users"]
 NONE_TEXTS = [
     "The river was high after the rain and the road to the village stayed closed.", "In the second part we look at the results and compare them by year.", "Call us on weekdays between nine and five.",
     "A list of names follows.", "Version 2 of the plan was better than version 3.", "He was free to use the general public library.", "Rights and duties were discussed under the old oak.", "Terms and conditions of the race: be on time.",
+    "This program is free software: you can redistribute it and or modify", "This library is free software", "or at your option any later version",
 ]
 FEATURES = 1 << 14
 #: Words on each side of a seam: more than the longest template has (27).
 REACH = 30
 #: Words of which every template has one.
-HINT = r"(?i)licen[sc]|copyright|reserved|creative|public|permi|redistribut|\bcc|apache|mozilla|terms"
-#: What must stand in a text that is said to be of such a family.
-VERSIONS = {"gpl-3.0": ["version 3", "license 3", "license v3", "gpl 3", "gpl v3"], "gpl-2.0": ["version 2", "license 2", "license v2", "gpl 2", "gpl v2"]}
+HINT = r"(?i)licen[sc]|copyright|reserved|creative|public|permi|redistribut|\bcc|apache|mozilla|terms|warrant|misrepresented|free to copy"
+#: One of these pairs must stand in a text that is said to be of such a family,
+VERSIONS = {
+    "gpl-3.0": ["version 3", "license 3", "license v3", "gpl 3", "gpl v3"], "gpl-2.0": ["version 2", "license 2", "license v2", "gpl 2", "gpl v2"], "lgpl": ["lesser general", "library general", "identifier lgpl"], "agpl-3.0": ["affero general", "identifier agpl"],
+    **{family: ["identifier " + i.split("-")[0].lower() for i in SPDX[family]] + pairs for family, pairs in {"mit": ["the mit", "mit license", "permission is", "is hereby", "free of", "of charge"], "isc": ["the isc", "isc license", "permission to", "without fee"]}.items()},
+}
+#: and none of these: sister licences and minor versions that share its words.
+BARRED = {"gpl-3.0": ["lesser general", "library general", "affero general"], "gpl-2.0": ["lesser general", "library general", "affero general", "2 1"]}
 
 
 def tokens(text: F.Column) -> F.Column:
@@ -171,7 +186,8 @@ def scan(docs: DataFrame, model: LicenseModel | None = None, least: float = 0.6,
     own = word_pairs(F.col("words"))
     held = F.array_max(F.transform(F.element_at(templates, F.col("family")), lambda t: F.size(F.array_intersect(own, t)) / F.size(t)))
     versions = F.create_map(*(x for family, told in VERSIONS.items() for x in (F.lit(family), F.array(*map(F.lit, told)))))
-    told = F.coalesce(F.arrays_overlap(own, F.try_element_at(versions, F.col("family"))), F.lit(True))
+    barred = F.create_map(*(x for family, no in BARRED.items() for x in (F.lit(family), F.array(*map(F.lit, no)))))
+    told = F.coalesce(F.arrays_overlap(own, F.try_element_at(versions, F.col("family"))), F.lit(True)) & ~F.coalesce(F.arrays_overlap(own, F.try_element_at(barred, F.col("family"))), F.lit(False))
     is_license = F.col("tokens").isNotNull() & (F.col("family") != "none")
     sure = is_license & (F.col("family") != "unknown") & (F.col("probability") >= least)
     # the comparison runs for sure predictions alone
