@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from decidra.functions import exchange as X
 from decidra.functions import scalars as S
-from decidra.operators import registry, requests, reviews
+from decidra.operators import catalog, registry, requests, reviews
 from decidra.plans import catalogue
 from decidra.sources.readers import table
 from decidra.sources.scratch import new_path, written
+from decidra.schemas import CRITERION_LABELS
 from decidra.sources.versions import Versions
 from decidra.streaming import feed
 from decidra.streaming.reviews import distinct_events
@@ -168,11 +169,44 @@ def date_texts_epoch(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.epoch_ms(text).alias("ms"))
 
 
+# --- what a product page and a comparison show ------------------------------------------------------------------------
+
+
+def selection_toggled(spark, d):
+    """A selection of up to five after one more click."""
+    k = F.col("o_orderkey")
+    chosen = F.transform(F.slice(F.array(*map(F.lit, range(5))), 1, (k % 6).cast("int")), lambda x: (x + k) % 7)
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(catalog.toggled(chosen, F.col("o_custkey") % 7).cast("array<string>"), ",").alias("chosen"))
+
+
+def product_topics(spark, d):
+    """The first two topics of each product's points, and the text about its drawbacks."""
+    words = F.split("p_name", " ")
+    points = F.when(F.col("p_partkey") % 6 != 0, F.transform(words, lambda w: F.struct(w.alias("topic"), F.length(w).alias("n"))))
+    negatives = F.when(F.col("p_partkey") % 4 == 0, F.slice(words, 1, 2)).when(F.col("p_partkey") % 4 == 1, F.array().cast("array<string>"))
+    cautions = F.when(F.col("p_partkey") % 3 == 0, F.array("p_brand", "p_type")).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(catalog.top_topics(points, 2), "|").alias("topics"), catalog.drawback_text(negatives, cautions, "none known").alias("drawbacks"))
+
+
+def saved_products(spark, d):
+    """A page of products in which those saved meanwhile stand in their new version."""
+    rows = _registered(spark, d).select("id", "product_name", "review_analysis")
+    saved = rows.filter("id % 12 = 0").select("id", F.upper("product_name").alias("product_name"), F.lit(None).cast("string").alias("review_analysis"))
+    return catalog.replaced(rows, saved)
+
+
+def review_prompts(spark, d):
+    """The instruction for an analysis of each document's lines, as its length and digest."""
+    prompt = X.review_prompt(F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("none")), F.slice(reviews.distinct_reviews(F.col("text")), 1, 3), list(CRITERION_LABELS))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.length(prompt).alias("n"), F.md5(prompt).alias("digest"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "register_outcomes": register_outcomes, "register_keeps_analysis": register_keeps_analysis, "insert_outcomes": insert_outcomes, "registry_versions": registry_versions,
         "stream_review_collection": stream_review_collection, "stream_messages_once": stream_messages_once, "stream_events_once": stream_events_once,
         "request_bodies": request_bodies, "lookup_profiles": lookup_profiles, "date_texts_epoch": date_texts_epoch,
+        "selection_toggled": selection_toggled, "product_topics": product_topics, "saved_products": saved_products, "review_prompts": review_prompts,
     }
 
 
@@ -207,7 +241,18 @@ def oracle_sql() -> dict[str, str]:
     sound = "CASE WHEN rejected IS NULL THEN {} END"
     moment = "o_orderdate::TIMESTAMP + to_hours((o_orderkey % 24)::INTEGER)"
     day = f"date_trunc('day', {moment})"
+    rules = "Use the reviews alone. Give each criterion a score of 0 to 100, or null where they do not tell: " + ", ".join(CRITERION_LABELS) + ". Answer in JSON."
     return {
+        "selection_toggled": """WITH s AS (SELECT o_orderkey, o_custkey % 7 AS v, list_transform(range(o_orderkey % 6), lambda x: (x + o_orderkey) % 7) AS s FROM orders)
+  SELECT o_orderkey, array_to_string(CASE WHEN list_contains(s, v) THEN list_filter(s, lambda x: x <> v) WHEN len(s) < 5 THEN list_append(s, v) ELSE s END, ',') AS chosen FROM s""",
+        "product_topics": """WITH w AS (SELECT *, string_split(p_name, ' ') AS w FROM part)
+  SELECT p_partkey, CASE WHEN p_partkey % 6 <> 0 THEN array_to_string(w[1:2], '|') ELSE '' END AS topics,
+    coalesce(CASE WHEN p_partkey % 4 = 0 THEN nullif(array_to_string(w[1:2], ' · '), '') END, CASE WHEN p_partkey % 3 = 0 THEN p_brand END, 'none known') AS drawbacks FROM w""",
+        "saved_products": f"WITH {_SIDES} SELECT id, CASE WHEN id % 12 = 0 THEN upper(product_name) ELSE product_name END AS product_name, CASE WHEN id % 12 <> 0 THEN review_analysis END AS review_analysis FROM e",
+        "review_prompts": f"""WITH l AS (SELECT doc_id, coalesce(lang, 'none') AS lang, unnest(list_prepend(NULL, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)))) AS raw, generate_subscripts(list_prepend(NULL, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))), 1) AS i FROM documents WHERE text IS NOT NULL),
+  c AS (SELECT doc_id, lang, {catalogue._collapse("raw")} AS r, min(i) AS i FROM l GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY r IS NULL OR r = '', i) AS n FROM c),
+  p AS (SELECT doc_id, 'Product: ' || doc_id || chr(10) || 'Category: ' || any_value(lang) || chr(10) || '{rules}' || chr(10) || chr(10) || 'Reviews:' || chr(10) || coalesce(string_agg(n || '. ' || r, chr(10) ORDER BY n) FILTER (r <> '' AND n <= 3), '') AS p FROM k GROUP BY doc_id)
+  SELECT doc_id, length(p)::INTEGER AS n, md5(p) AS digest FROM p""",
         "register_outcomes": f"WITH {_REGISTER} SELECT * FROM ch", "register_keeps_analysis": f"WITH {_REGISTER} SELECT * FROM r",
         "insert_outcomes": f"""WITH {_SIDES}, h AS (SELECT id, min({{'w': old, 'k': key}}) AS m FROM hk GROUP BY id), a AS (SELECT * FROM i WHERE id NOT IN (SELECT id FROM h)), {_AMONG}
   SELECT id, 'conflict' AS outcome, m.w AS registry_id, m.k AS clash_key FROM h UNION ALL SELECT a.id, CASE WHEN f.id IS NULL THEN 'created' ELSE 'conflict' END, coalesce(f.m.w, a.id), {_KEY} FROM a LEFT JOIN f ON a.id = f.id""",
