@@ -14,7 +14,7 @@ Every pair that can link is compared, none is guessed:
    a time. Of the links in a block of tiles only a spanning forest is sent on (less than one row for each fingerprint), so a
    group of near copies is not expanded into its pairs; components are the same.
 
-What is compared grows with the square of the number of different fingerprints, about a fortieth of all pairs of them: the
+What is compared grows with the square of the number of different fingerprints, about a twentieth of all pairs of them: the
 method compares exactly. README gives the figures.
 
 Texts are lower-cased in A-Z and split at `[\\x20\\x09-\\x0D]`. A text with fewer words than a shingle is one shingle;
