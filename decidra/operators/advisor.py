@@ -171,6 +171,7 @@ def adjusted_weights(weights: DataFrame, answers: DataFrame) -> DataFrame:
     return both.select("session", "key", F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.coalesce("weight", F.lit(0.0))) + F.coalesce("delta", F.lit(0))).alias("weight"), F.coalesce(F.col("ord"), F.lit(1000) + F.col("at")).alias("ord"))
 
 
-def profile_weights(criteria: DataFrame, weights: DataFrame) -> DataFrame:
-    """key, weight, ord of a profile's criteria (key, default_weight, ord), with weights (key, weight) where they are given."""
-    return criteria.join(weights, "key", "left").select("key", F.coalesce("weight", "default_weight").alias("weight"), "ord")
+def profile_weights(criteria: DataFrame, weights: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """key, weight, ord of a profile's criteria (key, default_weight, ord), with weights (key, weight) where they are given; of many
+    profiles, told apart by the columns `by` of both."""
+    return criteria.join(weights, [*by, "key"], "left").select(*by, "key", F.coalesce("weight", "default_weight").alias("weight"), "ord")

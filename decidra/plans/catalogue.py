@@ -115,6 +115,15 @@ def recommend_rank_lineitem(spark, d):
     return recommend.rank_all(own, F.col("price"))
 
 
+def filled(texts: list[str | None], at: F.Column, value: F.Column) -> F.Column:
+    """The text whose number is `at` modulo their number, with the value in place of %k."""
+    out = F.lit(None).cast("string")
+    for k, text in enumerate(texts):
+        if text is not None:
+            out = F.when(at % len(texts) == k, F.replace(F.lit(text), F.lit("%k"), value.cast("string"))).otherwise(out)
+    return out
+
+
 def _exploded(df: DataFrame, items: F.Column, name: str, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode(items).alias("pos", name)).withColumn("pos", F.col("pos") + 1)
 
@@ -167,8 +176,10 @@ NAMES = ["브리즈 캠핑 에어컨", "카투어 이동식 에어컨", "Zeta Co
 
 
 def catalog_sort_name_ko(spark, d):
-    names = spark.createDataFrame(list(enumerate(NAMES, 1)), "id long, name string")
-    return recommend.with_rank(catalog.page(names, "name"), *catalog.sort_order("name")).select("name", "rank")
+    """The products of each order by their Korean or English names."""
+    stem = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("l_partkey") % len(NAMES) + 1).cast("int"))
+    own = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("id"), F.concat_ws(" ", stem, F.expr("l_partkey div 3")).alias("name"))
+    return recommend.with_rank(own, *catalog.sort_order("name"), by=("l_orderkey",)).select("l_orderkey", "name", "rank")
 
 
 def analyzed_count(spark, d):
@@ -263,28 +274,35 @@ def review_requests(spark, d):
     return own.select("id", F.col("requested").cast("int").alias("requested"), S.page_count(F.col("requested")).cast("int").alias("pages"), catalog.collection_ready().alias("ready"))
 
 
-#: id, cautions and negative points as stored (JSON text), scores.
-CAUTION_ROWS = [
-    (1, '[" loud at night ", "", 3, null, "loud at night", "heavy"]', '[{"topic": "size", "summary": "too big"}, {"topic": "cord"}]', 40.0, 75.0),
-    (2, '"no list"', '[{"summary": "too big"}, {}, null, {"topic": "", "summary": ""}, {"topic": "weight"}]', 88.5, 12.0),
-    (3, "[]", "{}", 10.0, 10.0),
-]
+#: Cautions and negative points as stored (JSON text) by id; %k stands for it.
+CAUTIONS = ['[" loud at night %k ", "", 3, null, "loud at night %k", "heavy"]', '"no list %k"', "[]", '["heavy", "heavy"]']
+NEGATIVES = ['[{"topic": "size", "summary": "too big"}, {"topic": "cord"}]', '[{"summary": "heavy"}, {}, null, {"topic": "", "summary": ""}, {"topic": "weight", "summary": "%k"}]', "{}"]
 
 
 def advisor_cautions(spark, d):
-    rows = spark.createDataFrame(CAUTION_ROWS, "id long, cautions string, negatives string, noise double, portability double")
-    items = advisor.breakdown({"noise": 8.0, "portability": 5.0}, {"noise": F.col("noise"), "portability": F.col("portability")})
-    said = advisor.caution_texts(items, S.json_texts(F.try_parse_json("cautions"), 2), S.json_points(F.try_parse_json("negatives"), 2))
-    return _exploded(rows, said, "caution", "id")
+    """What speaks against each product: stored cautions and points, then its weakest criteria."""
+    two = {key: c for key, c in scores().items() if key in ("noise", "portability")}
+    items = advisor.breakdown({"noise": 8.0, "portability": 5.0}, two)
+    stored = lambda texts: F.try_parse_json(filled(texts, F.col("id"), F.col("id")))
+    said = advisor.caution_texts(items, S.json_texts(stored(CAUTIONS), 2), S.json_points(stored(NEGATIVES), 2))
+    return _exploded(facts(spark, d), said, "caution", "id")
+
+
+#: What customers answer: an answer by (c_custkey div the number) modulo their number.
+ANSWERS = {"people": (1, ["1_2", "3_4", "5_plus"]), "space": (3, ["car", "large_tent", "caravan", "house"]), "power": (12, ["power_station", "inverter", "not_sure", "grid"]), "budget": (5, ["under_300", "under_500", "under_800", "any"]), "sleep_use": (2, ["true", "false"]), "frequent_move": (7, ["false", "true"])}
 
 
-START = [("a", "cooling_capacity", 9.0, 0), ("a", "noise", 9.0, 1), ("b", "value", 1.0, 0), ("c", "noise", 4.5, 0)]
-ANSWERS = [("a", "people", "5_plus"), ("a", "space", "car"), ("a", "power", "inverter"), ("a", "budget", "under_500"), ("a", "sleep_use", "true"), ("a", "frequent_move", "true"), ("b", "people", "3_4"), ("b", "space", "caravan"), ("b", "sleep_use", "false")]
+def _sessions(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Weights that customers start with (one of them for two customers in three), and their answers."""
+    own = table(spark, d, "customer")
+    start = F.array(F.struct(F.lit("noise").alias("key"), (F.col("c_nationkey") / 2).alias("weight"), F.lit(0).alias("ord")), F.struct(F.lit("value").alias("key"), (F.col("c_acctbal") / 1000).alias("weight"), F.lit(1).alias("ord")))
+    begun = own.select(F.col("c_custkey").alias("session"), F.explode(F.slice(start, 1, F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(2))).alias("s")).select("session", "s.*")
+    said = [F.struct(F.lit(q).alias("question"), F.element_at(F.array(*map(F.lit, a)), (F.expr(f"c_custkey div {n}") % len(a) + 1).cast("int")).alias("answer")) for q, (n, a) in ANSWERS.items()]
+    return begun, own.select(F.col("c_custkey").alias("session"), F.inline(F.array(*said)))
 
 
 def weights_adjusted(spark, d):
-    start = spark.createDataFrame(START, "session string, key string, weight double, ord int")
-    return advisor.adjusted_weights(start, spark.createDataFrame(ANSWERS, "session string, question string, answer string"))
+    return advisor.adjusted_weights(*_sessions(spark, d))
 
 
 def weights_top4(spark, d):
@@ -295,9 +313,13 @@ CRITERIA = [("noise", 5.0, 0), ("value", 7.0, 1), ("portability", 7.0, 2), ("dra
 
 
 def analysis_join_weights(spark, d):
-    criteria = spark.createDataFrame(CRITERIA, "key string, default_weight double, ord int")
-    own = advisor.profile_weights(criteria, spark.createDataFrame([("noise", 9.0), ("drainage", 7.0)], "key string, weight double"))
-    return recommend.with_rank(own.orderBy(F.desc("weight"), "ord").limit(3), F.desc("weight"), F.col("ord")).select("key", "weight", "rank")
+    """The three heaviest criteria of each customer's profile, with own weights where the customer has them."""
+    own = table(spark, d, "customer")
+    criteria = own.select("c_custkey", F.inline(F.array(*(F.struct(F.lit(k).alias("key"), F.lit(w).alias("default_weight"), F.lit(at).alias("ord")) for k, w, at in CRITERIA))))
+    weights = F.create_map(F.lit("noise"), F.col("c_acctbal") / 1000, F.lit("drainage"), F.col("c_nationkey").cast("double"), F.lit("unasked"), F.lit(9.0))
+    kept = own.filter("c_custkey % 3 > 0").select("c_custkey", F.explode(weights).alias("key", "weight"))
+    found = advisor.profile_weights(criteria, kept, by=("c_custkey",))
+    return recommend.with_rank(found, F.desc("weight"), F.col("ord"), by=("c_custkey",)).filter("rank <= 3").select("c_custkey", "key", "weight", "rank")
 
 
 def reviews_clean_dedupe(spark, d):
@@ -363,17 +385,19 @@ def page_product_name(spark, d):
     return pages.product_info(table(spark, d, "pages")).select("page_id", "product_name", "blocked")
 
 
-META_ROWS = [
-    (1, '<meta property="og:title" content="Cool &amp;amp; Quiet - 네이버 쇼핑"><meta name="description" content="short"><meta property="og:image" content="http://a/b.png">'),
-    (2, "<meta content='Second' property='og:title'><title>Other</title><META NAME=\"description\" CONTENT=\"\">"),
-    (3, '<meta property="og:title" content=""><meta content="Never" property="og:title"><meta name="twitter:title" content="Third | 쿠팡!">'),
-    (4, "<title>\n A  title : 네이버 </title><meta property='og:description' content='x &lt;y&gt;'>"),
-    (5, "<title>Access Denied</title>"),
-]
+#: Heads of pages by page_id, %k standing for it; one in six has none.
+HEADS = [
+    None, '<meta property="og:title" content="Cool &amp;amp; Quiet %k - 네이버 쇼핑"><meta name="description" content="short"><meta property="og:image" content="http://a/%k.png">',
+    "<meta content='Second %k' property='og:title'><title>Other</title><META NAME=\"description\" CONTENT=\"\">",
+    '<meta property="og:title" content=""><meta content="Never" property="og:title"><meta name="twitter:title" content="Third %k | 쿠팡!">',
+    "<title>\n A  title %k : 네이버 </title><meta property='og:description' content='x &lt;%k&gt;'>", "<title>Access Denied %k</title>",
+]
 
 
 def page_meta(spark, d):
-    return pages.product_info(spark.createDataFrame(META_ROWS, "page_id long, html string"))
+    """What pages say about themselves in their heads."""
+    head = F.coalesce(filled(HEADS, F.col("page_id"), F.col("page_id")), F.lit(""))
+    return pages.product_info(table(spark, d, "pages").select("page_id", F.concat(head, "html").alias("html")))
 
 
 def page_probe(spark, d):
@@ -443,14 +467,18 @@ def json_extract_scores(spark, d):
     return own.select("event_id", S.usable_score(S.json_number(F.try_variant_get("v", "$.k", "variant"))).alias("score"))
 
 
-SCORE_ROWS = [(1, '{"criterionScores": {"noise": 72.5, "portability": "72.5", "value": null, "drainage": -3, "installation": 130, "power_consumption": "x", "cooling_capacity": "", "durability_service": true}, "criterionReasons": {"noise": " quiet ", "value": 3}}'), (2, '```json\n{"criterionScores": [1], "criterionReasons": null}\n```'), (3, "no json")]
+#: Analyses as a model gives them, by event_id; %k stands for the event's own value, a whole number of 0 to 99.
+ANALYSES = [
+    '{"criterionScores": {"noise": %k.5, "portability": "%k.5", "value": null, "drainage": -%k, "installation": 1%k, "power_consumption": "x%k", "cooling_capacity": "", "durability_service": true}, "criterionReasons": {"noise": " quiet %k ", "value": 3}}',
+    '```json\n{"criterionScores": [%k], "criterionReasons": null}\n```', '```\n{"criterionScores": {"noise": %k, "value": false}, "criterionReasons": {"drainage": ""}}\n```', "no json %k",
+]
 
 
 def normalize_scores(spark, d):
-    rows = spark.createDataFrame(SCORE_ROWS, "id long, analysis string")
+    rows = table(spark, d, "events").select("event_id", filled(ANALYSES, F.col("event_id"), F.get_json_object("props", "$.k")).alias("analysis"))
     score, reason = reviews.normalized(F.col("analysis"))
-    each = rows.select("id", F.explode(F.map_zip_with(score, reason, lambda _, s, r: F.struct(s.alias("score"), r.alias("reason")))).alias("key", "v"))
-    return each.select("id", "key", "v.score", "v.reason")
+    each = rows.select("event_id", F.explode(F.map_zip_with(score, reason, lambda _, s, r: F.struct(s.alias("score"), r.alias("reason")))).alias("key", "v"))
+    return each.select("event_id", "key", "v.score", "v.reason")
 
 
 def display_date(spark, d):
@@ -458,10 +486,17 @@ def display_date(spark, d):
     return product_facts(spark, d).select("id", S.display_date(text).alias("text"))
 
 
+def analysis_parts(found: DataFrame) -> DataFrame:
+    """What an analysis (product, analysis) says: count, summary, confidence, and its scores joined."""
+    v = F.try_parse_json("analysis")
+    part = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
+    scores = F.array_join(F.array(*(part(f"criterionScores.{k}", "int") for k in advisor.CRITERION_LABELS)).cast("array<string>"), ",")
+    return found.select(F.col("product").cast("long").alias("doc_id"), part("reviewCount", "bigint").alias("review_count"), part("summary", "string").alias("summary"), part("confidenceScore", "int").alias("confidence"), scores.alias("scores"))
+
+
 def review_analysis_stub(spark, d):
     own = table(spark, d, "documents").select(F.col("doc_id").alias("product"), F.posexplode(reviews.distinct_reviews(F.col("text"))).alias("pos", "review"))
-    found = reviews.analyze(own)
-    return found.select(F.col("product").alias("doc_id"), F.try_variant_get(F.try_parse_json("analysis"), "$.reviewCount", "bigint").alias("review_count"))
+    return analysis_parts(reviews.analyze(own))
 
 
 def stream_distinct_events(spark, d):
@@ -503,6 +538,10 @@ def _values(rows: list[tuple], name: str, columns: str) -> str:
     return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(_quote, r)) + ')' for r in rows)})"
 
 
+def _filled_sql(texts: list[str | None], at: str, value: str) -> str:
+    return f"CASE {at} % {len(texts)} " + " ".join(f"WHEN {k} THEN replace({_quote(t)}, '%k', ({value})::VARCHAR)" for k, t in enumerate(texts) if t is not None) + " END"
+
+
 def _lists(parts: list[str]) -> str:
     """An array of those of these that are not null."""
     return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
@@ -539,9 +578,10 @@ def oracle_sql() -> dict[str, str]:
     reg = "reg AS (SELECT p_partkey AS id, p_name AS name, p_partkey // 2 AS origin, 'https://shop.example.com/' || p_partkey AS url FROM part), old AS (SELECT * FROM reg WHERE id % 2 = 0), inc AS (SELECT id, name || ' (new)' AS name, origin, url FROM reg WHERE id % 3 = 0)"
     sort = lambda order: f"WITH {PF} SELECT id, row_number() OVER (ORDER BY {order}, id) AS rank FROM pf QUALIFY rank <= 10"
     rules = _values([(q, a, k, v, i) for i, (q, a, k, v) in enumerate(advisor.RULES)], "rules", "question, answer, key, delta, rank_at")
-    adjusted = f"""WITH {_values(START, "st", "session, key, weight, ord")}, {_values(ANSWERS, "an", "session, question, answer")}, {rules},
+    said_by = " UNION ALL ".join(f"SELECT c_custkey AS session, '{q}' AS question, CASE c_custkey // {n} % {len(a)} {' '.join(f'WHEN {k} THEN {_quote(x)}' for k, x in enumerate(a))} END AS answer FROM customer" for q, (n, a) in ANSWERS.items())
+    adjusted = f"""WITH st AS (SELECT c_custkey AS session, 'noise' AS key, c_nationkey / 2.0::DOUBLE AS weight, 0 AS ord FROM customer UNION ALL SELECT c_custkey, 'value', c_acctbal / 1000, 1 FROM customer WHERE c_custkey % 3 <> 0), an AS ({said_by}), {rules},
 ad AS (SELECT session, key, sum(delta) AS delta, min(rank_at) AS pos FROM an JOIN rules USING (question, answer) GROUP BY ALL),
-w AS (SELECT session, key, least(10.0, coalesce(weight, 0.0) + coalesce(delta, 0))::DOUBLE AS weight, coalesce(ord, 1000 + pos)::INTEGER AS ord FROM st FULL JOIN ad USING (session, key))"""
+w AS (SELECT session, key, least(10.0, greatest(0.0, coalesce(weight, 0.0)) + coalesce(delta, 0))::DOUBLE AS weight, coalesce(ord, 1000 + pos)::INTEGER AS ord FROM st FULL JOIN ad USING (session, key))"""
     lines = f"list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda s: {_collapse('s')}), lambda s: s <> '')"
     first_lines = f"""WITH l AS (SELECT doc_id, generate_subscripts(xs, 1) AS i, unnest(xs) AS review FROM (SELECT doc_id, {lines} AS xs FROM documents)),
 f AS (SELECT doc_id, review, min(i) AS i FROM l GROUP BY ALL)"""
@@ -577,7 +617,8 @@ f AS (SELECT doc_id, review, min(i) AS i FROM l GROUP BY ALL)"""
         "catalog_search": f"WITH {PF} SELECT id, name, category FROM pf WHERE analyzed AND (contains(lower(name), 'small') OR contains(lower(category), 'small'))",
         "catalog_sort_analysis": sort("analyzed DESC, coalesce(confidence, -1) DESC"), "catalog_sort_confidence": sort("coalesce(confidence, -1) DESC"),
         "catalog_sort_newest": sort("updated_at DESC NULLS LAST"), "catalog_sort_created": sort("created_at DESC NULLS FIRST"),
-        "catalog_sort_name_ko": f"WITH {_values(list(enumerate(NAMES, 1)), 'n', 'id, name')} SELECT name, row_number() OVER (ORDER BY name COLLATE ko, id) AS rank FROM n",
+        "catalog_sort_name_ko": f"""WITH n AS (SELECT l_orderkey, l_linenumber AS id, CASE l_partkey % {len(NAMES)} {" ".join(f"WHEN {k} THEN {_quote(x)}" for k, x in enumerate(NAMES))} END || ' ' || l_partkey // 3 AS name FROM lineitem)
+  SELECT l_orderkey, name, row_number() OVER (PARTITION BY l_orderkey ORDER BY name COLLATE ko, id) AS rank FROM n""",
         "analyzed_count": f"WITH {PF} SELECT count(*) FILTER (analyzed) AS n FROM pf",
         "products_by_ids": f"WITH {PF} SELECT id, name FROM pf WHERE id IN (1, 3, 7, 100)",
         "product_pick": f"WITH {PF} SELECT id, name FROM pf ORDER BY id LIMIT 1",
@@ -598,13 +639,13 @@ f AS (SELECT doc_id, review, min(i) AS i FROM l GROUP BY ALL)"""
         "advisor_match_long": f"{_advisor_sql()} SELECT id, match_score, coverage FROM m",
         "advisor_breakdown": f"{items} SELECT id, row_number() OVER (PARTITION BY id ORDER BY weight DESC, ord)::INTEGER AS pos, key, label, score, weight, CASE WHEN score * weight = floor(score * weight) THEN score * weight ELSE round((score * weight)::DECIMAL(38, 18), 1)::DOUBLE END AS contribution FROM i",
         "advisor_strongest3": f"{strong} SELECT id, pos, key FROM r WHERE pos <= 3", "advisor_weakest2": f"{weak} SELECT id, pos, key FROM r WHERE pos <= 2",
-        "advisor_cautions": f"""WITH {_values(CAUTION_ROWS, "c", "id, cautions, negatives, noise, portability")},
-  w AS (SELECT id, list_concat(list_concat({strings("cautions")}, {points}), CASE WHEN noise <= portability THEN [{low("noise", "소음")}, {low("portability", "휴대성")}] ELSE [{low("portability", "휴대성")}, {low("noise", "소음")}] END) AS xs
-        FROM (SELECT id, cautions::JSON AS cautions, negatives::JSON AS negatives, noise::DOUBLE AS noise, portability::DOUBLE AS portability FROM c)),
+        "advisor_cautions": f"""WITH {PF}, c AS (SELECT id, ({_filled_sql(CAUTIONS, 'id', 'id')})::JSON AS cautions, ({_filled_sql(NEGATIVES, 'id', 'id')})::JSON AS negatives, {_scores_sql["noise"]} AS noise, {_scores_sql["portability"]} AS portability FROM pf),
+  w AS (SELECT id, list_concat(list_concat({strings("cautions")}, {points}), list_filter(CASE WHEN noise <= portability THEN [{low("noise", "소음")}, {low("portability", "휴대성")}] ELSE [{low("portability", "휴대성")}, {low("noise", "소음")}] END, lambda x: x IS NOT NULL)) AS xs FROM c),
   e AS (SELECT id, generate_subscripts(xs, 1) AS i, unnest(xs) AS caution FROM w), f AS (SELECT id, caution, min(i) AS i FROM e GROUP BY ALL)
   SELECT id, caution, row_number() OVER (PARTITION BY id ORDER BY i)::INTEGER AS pos FROM f QUALIFY pos <= 4""",
         "weights_adjusted": f"{adjusted} SELECT * FROM w", "weights_top4": f"{adjusted} SELECT session, key, row_number() OVER (PARTITION BY session ORDER BY weight DESC, ord) AS rank FROM w QUALIFY rank <= 4",
-        "analysis_join_weights": f"WITH {_values(CRITERIA, 'c', 'key, d, ord')}, w(key, weight) AS (VALUES ('noise', 9.0), ('drainage', 7.0)) SELECT key, coalesce(weight, d)::DOUBLE AS weight, row_number() OVER (ORDER BY coalesce(weight, d) DESC, ord) AS rank FROM c LEFT JOIN w USING (key) QUALIFY rank <= 3",
+        "analysis_join_weights": f"""WITH {_values(CRITERIA, 'c', 'key, d, ord')}, w AS (SELECT c_custkey, 'noise' AS key, c_acctbal / 1000 AS weight FROM customer WHERE c_custkey % 3 > 0 UNION ALL SELECT c_custkey, 'drainage', c_nationkey::DOUBLE FROM customer WHERE c_custkey % 3 > 0)
+  SELECT c_custkey, key, coalesce(weight, d)::DOUBLE AS weight, row_number() OVER (PARTITION BY c_custkey ORDER BY coalesce(weight, d)::DOUBLE DESC, ord) AS rank FROM (SELECT c_custkey, c.* FROM customer, c) LEFT JOIN w USING (c_custkey, key) QUALIFY rank <= 3""",
         "reviews_clean_dedupe": f"{first_lines} SELECT doc_id, review, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INTEGER AS pos FROM f",
         "reviews_cap100": f"{first_lines} SELECT doc_id, least(100, count(i))::INTEGER AS n FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id",
         "reviews_dedupe_by_key": f"""WITH t AS (SELECT conv_id, turn, {_collapse("text")} AS text FROM conversations WHERE role = 'user'),
@@ -631,7 +672,7 @@ f AS (SELECT doc_id, review, min(i) AS i FROM l GROUP BY ALL)"""
         "shared_origin": f"WITH {reg} SELECT id, origin AS origin_product_no FROM reg QUALIFY count(*) OVER (PARTITION BY origin) > 1",
         "page_title": f"SELECT page_id, {_decode(raw_title)} AS title FROM pages",
         "page_product_name": f"SELECT page_id, CASE WHEN NOT blocked THEN {_product_name_sql('title')} END AS product_name, blocked FROM ({_page_info_sql('pages')})",
-        "page_meta": f"WITH {_values(META_ROWS, 'h', 'page_id, html')} SELECT page_id, blocked, CASE WHEN NOT blocked THEN {_product_name_sql('title')} END AS product_name, CASE WHEN NOT blocked THEN title END AS title, CASE WHEN NOT blocked THEN description END AS description, CASE WHEN NOT blocked THEN image END AS image FROM ({_page_info_sql('h')})",
+        "page_meta": f"WITH h AS (SELECT page_id, coalesce({_filled_sql(HEADS, 'page_id', 'page_id')}, '') || html AS html FROM pages) SELECT page_id, blocked, CASE WHEN NOT blocked THEN {_product_name_sql('title')} END AS product_name, CASE WHEN NOT blocked THEN title END AS title, CASE WHEN NOT blocked THEN description END AS description, CASE WHEN NOT blocked THEN image END AS image FROM ({_page_info_sql('h')})",
         "page_probe": f"SELECT page_id, length(html) AS html_length, contains(html, 'the') OR contains(html, 'product') AS has_marker, {_trim(raw_title)} AS title FROM pages",
         "url_normalize": f"SELECT page_id, regexp_replace({scheme} || '://' || {host} || substr({bare}, length(regexp_extract({bare}, '^[A-Za-z]+://[^/]*')) + 1), '/$', '') AS url FROM pages",
         "url_allowed": f"SELECT page_id, {scheme} = 'https' AND ({' OR '.join(f'''{host} = '{h}' OR ends_with({host}, '.{h}')''' for h in HOSTS)}) AS https_below, {scheme} IN ('http', 'https') AND {host} IN ({', '.join(map(_quote, HOSTS))}) AS exact, {scheme} IN ('http', 'https') AS web FROM pages",
@@ -649,11 +690,13 @@ f AS (SELECT doc_id, review, min(i) AS i FROM l GROUP BY ALL)"""
         "update_product": f"WITH {reg} SELECT id, CASE WHEN id = 4 THEN 'renamed' ELSE name END AS name, CASE WHEN id = 4 THEN 7 ELSE origin END AS origin_product_no, CASE WHEN id = 4 THEN '2025-02-03' ELSE '2024-01-01' END AS updated FROM reg",
         "delete_product": f"WITH {reg} SELECT id, name FROM reg WHERE id <> 4",
         "json_extract_scores": "SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND (props ->> '$.k')::DOUBLE BETWEEN 0 AND 100 THEN (props ->> '$.k')::DOUBLE END AS score FROM events",
-        "normalize_scores": f"""WITH {_values(SCORE_ROWS, "r", "id, analysis")},
-  p AS (SELECT id, CASE WHEN json_valid(t) THEN t::JSON END AS j FROM (SELECT id, trim(regexp_replace(regexp_replace(analysis, '^```json', ''), '```$', ''), chr(10) || ' ') AS t FROM r)),
+        "normalize_scores": f"""WITH r AS (SELECT event_id AS id, {_filled_sql(ANALYSES, "event_id", "props ->> '$.k'")} AS analysis FROM events),
+  p AS (SELECT id, CASE WHEN json_valid(t) THEN t::JSON END AS j FROM (SELECT id, trim(regexp_replace(regexp_replace(analysis, '^```(json)?', ''), '```$', ''), chr(10) || ' ') AS t FROM r)),
   k(ord, key) AS (VALUES {', '.join(f"({i}, '{k}')" for i, k in enumerate(score_keys))}),
   v AS (SELECT id, key, json_extract(j, '$.criterionScores.' || key) AS x, json_extract(j, '$.criterionReasons.' || key) AS y FROM p, k)
-  SELECT id, key, CASE WHEN {num} IS NOT NULL THEN greatest(0.0, least(100.0, floor({num} + 0.5))) END AS score, CASE WHEN json_type(y) = 'VARCHAR' THEN trim(y ->> '$') ELSE '리뷰에서 판단할 근거가 충분하지 않습니다.' END AS reason FROM v""",
+  SELECT id AS event_id, key, CASE WHEN {num} IS NOT NULL THEN greatest(0.0, least(100.0, floor({num} + 0.5))) END AS score, CASE WHEN json_type(y) = 'VARCHAR' THEN trim(y ->> '$') ELSE '리뷰에서 판단할 근거가 충분하지 않습니다.' END AS reason FROM v""",
         "display_date": f"WITH {PF} SELECT id, CASE WHEN id % 10 = 0 THEN '-' ELSE strftime(created_at, '%Y. %m. %d.') END AS text FROM pf",
         "stream_distinct_events": "SELECT event_id, event_type, value FROM events",
+        "review_analysis_stub": f"""{first_lines}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f QUALIFY n <= 100), g AS (SELECT doc_id, count(*) AS n, sum(length(review))::BIGINT AS s, min_by(review, n) AS head FROM n GROUP BY doc_id)
+  SELECT doc_id, n AS review_count, left(head, 40) AS summary, least(100, 5 * n)::INTEGER AS confidence, concat_ws(',', {", ".join(f"s * {k + 3} % 101" for k in range(len(score_keys)))}) AS scores FROM g""",
     }
