@@ -16,7 +16,7 @@ from decidra.sources.readers import table
 from decidra.sources.scratch import new_path, written
 from decidra.schemas import CRITERION_LABELS
 from decidra.sources.versions import Versions
-from decidra.streaming import feed
+from decidra.streaming import analysis, feed
 from decidra.streaming.reviews import distinct_events
 
 NOW = "2025-02-03 04:05:06"
@@ -131,6 +131,20 @@ def stream_events_once(spark, d):
     return spark.read.parquet(f"{at}/out")
 
 
+def stream_analyses(spark, d):
+    """Analyses that follow the lines of documents, which arrive in three parts, each read by a query of its own from one checkpoint:
+    the last analysis of each document."""
+    at = new_path(spark, "analyses")
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("product"), F.posexplode(F.split("text", "\r?\n")).alias("pos", "review"))
+    sent = written(lines, "lines")
+    for part, arrives in enumerate(("pos < 2", "pos between 1 and 5", "pos > 4")):
+        sent.filter(arrives).write.parquet(f"{at}/in/part={part}")
+        arrived = spark.readStream.schema(sent.schema).parquet(f"{at}/in/part=*")
+        found = analysis.analyses_stream(arrived, most=100)
+        found.writeStream.outputMode("update").foreachBatch(feed.published(f"{at}/out")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return catalogue.analysis_parts(analysis.latest(spark, f"{at}/out"))
+
+
 # --- request bodies, lookups, dates -----------------------------------------------------------------------------------
 
 #: Bodies by event_id modulo 8; %k stands for the event's own value, a whole number of 0 to 99.
@@ -204,7 +218,7 @@ def review_prompts(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "register_outcomes": register_outcomes, "register_keeps_analysis": register_keeps_analysis, "insert_outcomes": insert_outcomes, "registry_versions": registry_versions,
-        "stream_review_collection": stream_review_collection, "stream_messages_once": stream_messages_once, "stream_events_once": stream_events_once,
+        "stream_review_collection": stream_review_collection, "stream_messages_once": stream_messages_once, "stream_events_once": stream_events_once, "stream_analyses": stream_analyses,
         "request_bodies": request_bodies, "lookup_profiles": lookup_profiles, "date_texts_epoch": date_texts_epoch,
         "selection_toggled": selection_toggled, "product_topics": product_topics, "saved_products": saved_products, "review_prompts": review_prompts,
     }
@@ -257,7 +271,7 @@ def oracle_sql() -> dict[str, str]:
         "insert_outcomes": f"""WITH {_SIDES}, h AS (SELECT id, min({{'w': old, 'k': key}}) AS m FROM hk GROUP BY id), a AS (SELECT * FROM i WHERE id NOT IN (SELECT id FROM h)), {_AMONG}
   SELECT id, 'conflict' AS outcome, m.w AS registry_id, m.k AS clash_key FROM h UNION ALL SELECT a.id, CASE WHEN f.id IS NULL THEN 'created' ELSE 'conflict' END, coalesce(f.m.w, a.id), {_KEY} FROM a LEFT JOIN f ON a.id = f.id""",
         "registry_versions": f"WITH {_REGISTER} SELECT *, 1::INTEGER AS version FROM e UNION ALL BY NAME SELECT *, 2::INTEGER AS version FROM r UNION ALL BY NAME SELECT *, 3::INTEGER AS version FROM r WHERE id % 5 <> 0",
-        "stream_review_collection": known["review_collection"], "stream_messages_once": known["review_messages_once"],
+        "stream_review_collection": known["review_collection"], "stream_messages_once": known["review_messages_once"], "stream_analyses": known["review_analysis_stub"],
         "stream_events_once": "SELECT DISTINCT event_id, event_type, value FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 3 = 0)",
         "request_bodies": f"""WITH b AS (SELECT event_id, {bodies} AS raw FROM events), v AS (SELECT event_id, CASE WHEN json_valid(raw) THEN raw END AS body FROM b),
   n AS (SELECT *, {number("checkoutMerchantNo")} AS m, {number("originProductNo")} AS o, CASE WHEN coalesce(json_type(body, '$.maxReviews'), 'NULL') = 'NULL' THEN 20 ELSE {number("maxReviews")} END AS x FROM v),

@@ -163,6 +163,34 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     assert read() == want
 
 
+def test_analyses_follow_reviews_in_any_split(spark, tmp_path):
+    from decidra.streaming import analysis
+
+    rows = [("a", k, f"r{k % 7}") for k in range(12)] + [("b", 0, "  x  y "), ("b", 1, ""), ("b", 2, None), ("b", 3, "x y"), (None, 0, "nobody"), ("c", 0, " ")] + [("d", k, f"{k} " * 3) for k in range(30)]
+    schema = "product string, pos int, review string"
+    clean = [(p, k, " ".join(r.split())) for p, k, r in rows if p and r and r.split()]
+    asked = {}
+    for name, cuts in {"one": [100], "two": [3, 100], "many": [1, 2, 3, 7, 7, 9, 100]}.items():
+        at, low = f"{tmp_path}/{name}", 0
+        for n, cut in enumerate(cuts):
+            spark.createDataFrame([r for r in rows if low <= r[1] < cut], schema).repartition(3).write.parquet(f"{at}/in/part={n}")
+            low = cut
+            arrived = spark.readStream.schema(schema).parquet(f"{at}/in/part=*")
+            found = analysis.analyses_stream(arrived, most=20)
+            found.writeStream.outputMode("update").foreachBatch(feed.published(f"{at}/out")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+        once = {}
+        for p, k, r in clean:
+            once.setdefault((p, r), k)
+        distinct = spark.createDataFrame([(p, k, r) for (p, r), k in once.items()], schema)
+        want = {r.product: r.analysis for r in reviews.analyze(distinct, most=20).collect()}
+        got = {r.product: (r.n, r.analysis) for r in analysis.latest(spark, f"{at}/out").collect()}
+        assert {p: a for p, (_, a) in got.items()} == want and set(want) == {"a", "b", "d"}
+        assert got["d"][0] == 20 and got["b"][0] == 1
+        asked[name] = spark.read.parquet(f"{at}/out").groupBy("product").count().collect()
+    # a is complete after pos 6, d after pos 19; b after its first review: no analysis is asked for where nothing has changed
+    assert {r["product"]: r["count"] for r in asked["many"]} == {"a": 4, "b": 1, "d": 7 - 1}
+
+
 # --- requests, lookups, dates
 
 
