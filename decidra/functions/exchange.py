@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from decidra.functions.scalars import clamp, collapse, host, json_number, protocol, to_number, url_text
+from decidra.functions.scalars import clamp, collapse, host, json_coerced, json_number, protocol, to_number, url_text
 
 
 def parameters(url: Column) -> Column:
@@ -84,6 +84,14 @@ def number_weights(text: Column, path: str = "$") -> Column:
     return F.coalesce(F.transform_values(given, lambda _, x: clamp(x, high=10.0)), F.create_map().cast("map<string,double>"))
 
 
+def coerced_weights(text: Column, path: str = "$") -> Column:
+    """The same with every value read as a number: texts that are such, true as 1, null and blank texts as 0; the rest is left out."""
+    v = F.try_variant_get(F.try_parse_json(text), path, "variant")
+    own = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,variant>"))
+    read = F.map_filter(F.transform_values(own, lambda _, x: json_coerced(x)), lambda _, x: ~F.isnan(x))
+    return F.coalesce(F.transform_values(read, lambda _, x: clamp(x, high=10.0)), F.create_map().cast("map<string,double>"))
+
+
 def selection(ids: list, least: int = 2, most: int = 5) -> list:
     """The selected ids. ValueError unless there are 2 to 5."""
     if not least <= len(ids) <= most:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decidra.functions.scalars import matches
+from decidra.operators.recommend import with_rank
 from decidra.operators.registry import UPDATED
 
 
@@ -67,6 +68,15 @@ def toggled(selection: Column, value: Column, most: int = 5) -> Column:
     return F.when(F.array_contains(selection, value), F.array_remove(selection, value)).when(F.size(selection) < most, F.array_append(selection, value)).otherwise(selection)
 
 
+def compared(products: DataFrame, by: str, *order: Column, least: int = 2, most: int = 5) -> DataFrame:
+    """by, ids: the first ids of each group in this order, joined, for a comparison; groups with fewer than two have none.
+
+    Rows are cut to `most` a group in each task before the shuffle, so a group is bounded."""
+    first = with_rank(products, *order, by=(by,)).filter(F.col("rank") <= most)
+    ids = first.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").cast("string").alias("id")))).alias("_ids")).filter(F.size("_ids") >= least)
+    return ids.select(by, F.array_join(F.transform("_ids", lambda x: x["id"]), ",").alias("ids"))
+
+
 # --- registry
 
 

@@ -59,6 +59,16 @@ def analysis_requests(requests: DataFrame, category: str, body: str = "body") ->
     return guarded(read, {"body": F.schema_of_variant("_v").startswith("OBJECT"), "productName": F.col("product") != "", "reviews": F.size("reviews") > 0}).drop("_v")
 
 
+def responded(requests: DataFrame, rows: DataFrame, key: str, row_key: str) -> DataFrame:
+    """guarded() requests with `status`: 400 for a rejected one, 404 where no row has its key, 409 where several have, else 200.
+
+    Rows are counted by key before they are joined, so a key of very many rows costs one. A missing key is found nowhere."""
+    there = rows.filter(F.col(row_key).isNotNull()).groupBy(F.col(row_key).alias(key)).agg(F.count("*").alias("_n"))
+    found = requests.join(there, key, "left")
+    status = F.when(F.col("rejected").isNotNull(), 400).when(F.col("_n").isNull(), 404).when(F.col("_n") > 1, 409).otherwise(200)
+    return found.withColumn("status", status).drop("_n")
+
+
 def looked_up(wanted: DataFrame, rows: DataFrame, key: str, required: bool = True) -> DataFrame:
     """wanted (key, ...) with the columns of the one row of `rows` that has each key; without a row, nulls, if not required.
 

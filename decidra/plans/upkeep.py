@@ -12,7 +12,7 @@ from decidra.functions import exchange as X
 from decidra.functions import scalars as S
 from decidra.operators import catalog, registry, requests, reviews
 from decidra.plans import catalogue
-from decidra.sources.readers import table
+from decidra.sources.readers import static_products, table
 from decidra.sources.scratch import new_path, written
 from decidra.schemas import CRITERION_LABELS
 from decidra.sources.versions import Versions
@@ -215,12 +215,81 @@ def review_prompts(spark, d):
     return table(spark, d, "documents").filter("text is not null").select("doc_id", F.length(prompt).alias("n"), F.md5(prompt).alias("digest"))
 
 
+# --- what else comes in, and what goes out ----------------------------------------------------------------------------
+
+#: Captured request bodies by event_id modulo 4, one of them a form; %k stands for the event's own value.
+CAPTURED = ['{"checkoutMerchantNo": %k, "originProductNo": "7%k"}', "checkoutMerchantNo=%k&originProductNo=7%k+x&originProductNo=1&page", "[%k]", "no body %k"]
+
+
+def captured_bodies(spark, d):
+    """The numbers that captured request bodies name, of objects and of forms."""
+    body = X.captured_body(catalogue.filled(CAPTURED, F.col("event_id"), F.get_json_object("props", "$.k")))
+    named = lambda name: F.try_variant_get(body, f"$.{name}", "string")
+    return table(spark, d, "events").select("event_id", named("checkoutMerchantNo").alias("merchant"), named("originProductNo").alias("origin"), named("page").alias("page"))
+
+
+#: Weights as requests send them, by event_id modulo 3.
+SENT = ['{"noise": %k, "value": "%k", "drainage": null, "portability": "", "durability_service": true, "installation": "x", "cooling_capacity": 1.%k, "power": [1]}', "[%k]", '{"noise": "-%k", "value": " 7.5 "}']
+
+
+def request_weights(spark, d):
+    """The weights of requests, as they are and as whole numbers."""
+    weights = X.coerced_weights(catalogue.filled(SENT, F.col("event_id"), F.get_json_object("props", "$.k")))
+    each = table(spark, d, "events").select("event_id", F.explode(weights).alias("key", "weight"))
+    return each.select("event_id", "key", "weight", S.weight(F.col("weight"), whole=True).alias("whole"))
+
+
+def response_statuses(spark, d):
+    """What each request for a collection is answered with: it is rejected, its product is unknown or not the only one, or all is well."""
+    asked = request_bodies(spark, d).withColumn("origin", F.col("origin_no"))
+    have = table(spark, d, "part").filter("p_partkey % 4 < 2").select(F.expr("p_partkey div 3").alias("origin_product_no"))
+    return requests.responded(asked, have, "origin", "origin_product_no").select("event_id", "status")
+
+
+def url_page_numbers(spark, d):
+    """The page that a URL asks for, 3 where it names none or 0; and whether it is a review page."""
+    page = S.or_default(S.to_number(F.try_element_at(X.parameters(F.col("url")), F.lit("page"))), 3.0)
+    return table(spark, d, "pages").select("page_id", page.alias("page"), S.contains_any(F.col("url"), ("/fr/", "ref=")).alias("review_page"))
+
+
+def static_product_files(spark, d):
+    """Products in files of a JSON array each, a thousand a file, read back."""
+    at = new_path(spark, "static")
+    own = table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"), F.col("p_retailprice").alias("price"))
+    files = own.groupBy(F.expr("id div 1000").alias("file")).agg(F.to_json(F.collect_list(F.struct("id", "name", "brand", "category", "price"))).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(at)
+    return static_products(spark, at).select("id", "name", "brand", "category", "price")
+
+
+def saved_analysis(spark, d):
+    """The registry after one product's analysis has been saved."""
+    return _shown(catalog.update(_registered(spark, d), 12, F.lit(NOW).cast("timestamp"), review_analysis='{"criterionScores": {"noise": 72}}'))
+
+
+def compared_products(spark, d):
+    """The products of each brand that are compared first."""
+    return catalog.compared(catalogue.facts(spark, d).filter("id % 7 < 2"), "brand", *catalog.sort_order("confidence"))
+
+
+def counted(prompt: str) -> str:
+    """A stand-in for a model: how long the prompt is, and how it begins."""
+    return f"{len(prompt)} {prompt[:12]}"
+
+
+def answered_prompts(spark, d):
+    """A model's answers to texts; none to blank ones."""
+    prompt = F.when(F.col("doc_id") % 5 == 0, F.lit(" \n")).when(F.col("doc_id") % 5 > 1, F.col("text"))
+    return table(spark, d, "documents").select("doc_id", X.answered(prompt, counted).alias("answer"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "register_outcomes": register_outcomes, "register_keeps_analysis": register_keeps_analysis, "insert_outcomes": insert_outcomes, "registry_versions": registry_versions,
         "stream_review_collection": stream_review_collection, "stream_messages_once": stream_messages_once, "stream_events_once": stream_events_once, "stream_analyses": stream_analyses,
         "request_bodies": request_bodies, "lookup_profiles": lookup_profiles, "date_texts_epoch": date_texts_epoch,
         "selection_toggled": selection_toggled, "product_topics": product_topics, "saved_products": saved_products, "review_prompts": review_prompts,
+        "captured_bodies": captured_bodies, "request_weights": request_weights, "response_statuses": response_statuses, "url_page_numbers": url_page_numbers, "static_product_files": static_product_files,
+        "saved_analysis": saved_analysis, "compared_products": compared_products, "answered_prompts": answered_prompts,
     }
 
 
@@ -256,7 +325,19 @@ def oracle_sql() -> dict[str, str]:
     moment = "o_orderdate::TIMESTAMP + to_hours((o_orderkey % 24)::INTEGER)"
     day = f"date_trunc('day', {moment})"
     rules = "Use the reviews alone. Give each criterion a score of 0 to 100, or null where they do not tell: " + ", ".join(CRITERION_LABELS) + ". Answer in JSON."
-    return {
+    own = {
+        "captured_bodies": """WITH e AS (SELECT event_id, props ->> '$.k' AS k FROM events)
+  SELECT event_id, CASE WHEN event_id % 4 < 2 THEN k END AS merchant, CASE event_id % 4 WHEN 0 THEN '7' || k WHEN 1 THEN '7' || k || ' x' END AS origin, CASE WHEN event_id % 4 = 1 AND k IS NOT NULL THEN '' END AS page FROM e""",
+        "request_weights": f"""WITH e AS (SELECT event_id, ({catalogue._filled_sql(SENT, "event_id", "props ->> '$.k'")})::JSON AS j FROM events), k AS (SELECT event_id, j, unnest(json_keys(j)) AS key FROM e WHERE json_type(j) = 'OBJECT'),
+  v AS (SELECT event_id, key, json_type(j, '$.' || key) AS kind, j ->> ('$.' || key) AS x FROM k),
+  w AS (SELECT event_id, key, CASE kind WHEN 'NULL' THEN 0.0 WHEN 'BOOLEAN' THEN (x = 'true')::INTEGER::DOUBLE WHEN 'VARCHAR' THEN CASE WHEN trim(x) = '' THEN 0.0 ELSE try_cast(trim(x) AS DOUBLE) END WHEN 'ARRAY' THEN NULL ELSE x::DOUBLE END AS x FROM v)
+  SELECT event_id, key, greatest(0.0, least(10.0, x))::DOUBLE AS weight, greatest(0.0, least(10.0, floor(greatest(0.0, least(10.0, x)) + 0.5)))::DOUBLE AS whole FROM w WHERE x IS NOT NULL""",
+        "url_page_numbers": "SELECT page_id, coalesce(nullif(try_cast(regexp_extract(url, '[?&]page=([^&#]*)', 1) AS DOUBLE), 0), 3.0)::DOUBLE AS page, contains(url, '/fr/') OR contains(url, 'ref=') AS review_page FROM pages",
+        "static_product_files": "SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_type AS category, p_retailprice AS price FROM part",
+        "saved_analysis": f"""WITH {_SIDES} SELECT * REPLACE (CASE WHEN id = 12 THEN '{{"criterionScores": {{"noise": 72}}}}' ELSE review_analysis END AS review_analysis, CASE WHEN id = 12 THEN '{NOW}' ELSE updated_at END AS updated_at) FROM e""",
+        "compared_products": f"""WITH {catalogue.PF}, r AS (SELECT brand, id, row_number() OVER (PARTITION BY brand ORDER BY coalesce(confidence, -1) DESC, id) AS n FROM pf WHERE id % 7 < 2 QUALIFY n <= 5)
+  SELECT brand, string_agg(id, ',' ORDER BY n) AS ids FROM r GROUP BY brand HAVING count(*) >= 2""",
+        "answered_prompts": "SELECT doc_id, CASE WHEN doc_id % 5 > 1 AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN length(text) || ' ' || left(text, 12) END AS answer FROM documents",
         "selection_toggled": """WITH s AS (SELECT o_orderkey, o_custkey % 7 AS v, list_transform(range(o_orderkey % 6), lambda x: (x + o_orderkey) % 7) AS s FROM orders)
   SELECT o_orderkey, array_to_string(CASE WHEN list_contains(s, v) THEN list_filter(s, lambda x: x <> v) WHEN len(s) < 5 THEN list_append(s, v) ELSE s END, ',') AS chosen FROM s""",
         "product_topics": """WITH w AS (SELECT *, string_split(p_name, ' ') AS w FROM part)
@@ -280,3 +361,6 @@ def oracle_sql() -> dict[str, str]:
         "lookup_profiles": "SELECT o_orderkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
         "date_texts_epoch": f"SELECT o_orderkey, CASE o_orderkey % 8 WHEN 7 THEN NULL WHEN 3 THEN epoch_ms({moment}) - 9 * 3600000 WHEN 0 THEN epoch_ms({day}) WHEN 4 THEN epoch_ms({day}) WHEN 5 THEN epoch_ms({day}) ELSE epoch_ms({moment}) END AS ms FROM orders",
     }
+    own["response_statuses"] = f"""WITH q AS ({own["request_bodies"]}), h AS (SELECT p_partkey // 3 AS origin_no, count(*) AS n FROM part WHERE p_partkey % 4 < 2 GROUP BY ALL)
+  SELECT event_id, CASE WHEN rejected IS NOT NULL THEN 400 WHEN n IS NULL THEN 404 WHEN n > 1 THEN 409 ELSE 200 END AS status FROM q LEFT JOIN h USING (origin_no)"""
+    return own

@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from decidra.functions import scalars
-from decidra.operators import registry, requests, reviews
+from decidra.functions import exchange, scalars
+from decidra.operators import catalog, registry, requests, reviews
 from decidra.plans import upkeep
 from decidra.sources.versions import UniqueViolation, VersionConflict, Versions
 from decidra.streaming import feed
@@ -201,6 +201,25 @@ def test_guards_account_for_every_request(spark):
     assert (rows[5].product, rows[5].category, rows[5].reviews) == ("p", "none", ["a", "b"])
 
 
+def test_answers_to_requests(spark):
+    asked = spark.createDataFrame([(1, 5, None), (2, 6, None), (3, 7, None), (4, None, None), (5, 5, "body")], "r int, k int, rejected string")
+    rows = spark.createDataFrame([(5, "a"), (6, "b"), *[(6, "c")] * 9, (None, "d")], "no int, v string")
+    got = requests.responded(asked, rows, "k", "no")
+    assert got.columns == ["k", "r", "rejected", "status"] and {r.r: r.status for r in got.collect()} == {1: 200, 2: 409, 3: 404, 4: 404, 5: 400}
+    assert {r.status for r in requests.responded(asked, rows.limit(0), "k", "no").collect()} == {404, 400} and requests.responded(asked.limit(0), rows, "k", "no").count() == 0
+
+
+def test_weights_read_as_numbers(spark):
+    texts = {None: {}, "": {}, "[1]": {}, "7": {}, "{}": {}, '{"a": 3, "b": "4.5", "c": "x", "d": null, "e": "", "f": false, "g": [1], "h": {}, "i": -2, "j": "1e2", "k": "Infinity"}': {"a": 3.0, "b": 4.5, "d": 0.0, "e": 0.0, "f": 0.0, "i": 0.0, "j": 10.0}}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", exchange.coerced_weights(F.col("t")).alias("w")).collect()
+    assert {r.t: r.w for r in rows} == texts
+
+
+def test_comparisons(spark):
+    rows = spark.createDataFrame([("x", k, k % 3) for k in range(9)] + [("y", 1, 1), ("z", 3, 1), ("z", 2, 1), (None, 4, 0), (None, 5, 0)], "g string, id long, s int")
+    assert {r.g: r.ids for r in catalog.compared(rows, "g", F.desc("s"), F.col("id")).collect()} == {"x": "2,5,8,1,4", "z": "2,3", None: "4,5"}
+
+
 def test_lookups_assert_when_they_run(spark):
     wanted = spark.createDataFrame([(1, "a"), (2, "b"), (1, "c")], "k int, w string")
     rows = lambda *x: spark.createDataFrame(list(x), "k int, v string")
