@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens, and corpus-wide counts of linked ids.
 
 Python tokenises (space and text by byte_bpe_50k, text by piece_bpe_32k, which adds the space itself) and gives, of each, the
-byte offsets where tokens end, and an array over the bytes with the token that ends there (its id and its length). All that
+byte offsets where tokens end, and an array over the offsets with the token that ends there (its id and its length). All that
 follows is higher-order functions and joins:
 
 1. `array_intersect` of the two end arrays gives the offsets where tokens of both end: these cut the tokens into groups. Where
@@ -22,6 +22,7 @@ and text are ignored. No rows give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,8 @@ def _lists(x: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def tokenised(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
-    """doc_id, and of both tokenizers the byte offsets of the tokens' ends (ascending) and, for each byte, the token that
-    ends there or NONE; empty arrays where the texts have no tokens."""
+    """doc_id, and of both tokenizers the byte offsets of the tokens' ends (ascending) and, for each offset from 0, the token
+    that ends there or NONE; no ends where the texts have no tokens."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, other = tokens.ids(path_a), tokens.piece_ids(path_b)
@@ -64,9 +65,11 @@ def tokenised(docs: DataFrame, path_a: str | None = None, path_b: str | None = N
             first = np.concatenate([[0], np.cumsum(pc.binary_length(text).to_numpy())]).astype(np.int64)
             for ids, bounds, sizes in ((*one.encode(text), size_a), (ids_b, bounds_b, size_b)):
                 ends = np.cumsum(sizes[ids])
-                at = np.full(first[-1], NONE, np.int32)
-                at[ends - 1] = ids | (sizes[ids] << SHIFT)
-                columns += [_lists(ends - np.repeat(first[:-1], np.diff(bounds)), bounds), _lists(at, first)]
+                # a text's array has a place before its first byte, so the token that ends at offset e is at place e
+                places = first + np.arange(len(first))
+                at = np.full(places[-1], NONE, np.int32)
+                at[ends + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))] = ids | (sizes[ids] << SHIFT)
+                columns += [_lists(ends - np.repeat(first[:-1], np.diff(bounds)), bounds), _lists(at, places)]
             yield pa.record_batch(columns, names=TOKENS.names)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
@@ -92,37 +95,40 @@ def aligned(tokens_of: DataFrame) -> DataFrame:
     none, numbers = F.array().cast("array<int>"), F.array().cast("array<bigint>")
     own = tokens_of.withColumn("common", F.array_intersect("a_ends", "b_ends"))
     # the last tokens of each group; la: NONE where they are not all of it
-    alike = lambda e: F.shiftright(a_at[e - 1], SHIFT) == F.shiftright(b_at[e - 1], SHIFT)
+    alike = lambda e: a_at[e].bitwiseXOR(b_at[e]) < 1 << SHIFT  # equal lengths
     own = own.select(
-        "doc_id", F.size("a_ends").alias("n_a"), F.size("b_ends").alias("n_b"), "a_at", "b_at", "common", F.transform("common", lambda e: F.when(alike(e), _id(a_at[e - 1])).otherwise(NONE)).alias("la"),
-        F.transform("common", lambda e: _id(b_at[e - 1])).alias("lb"),
+        "doc_id", F.size("a_ends").alias("n_a"), F.size("b_ends").alias("n_b"), "a_at", "b_at", "common", F.transform("common", lambda e: F.when(alike(e), _id(a_at[e])).otherwise(NONE)).alias("la"),
+        F.transform("common", lambda e: _id(b_at[e])).alias("lb"),
     )
     wide = F.filter(F.sequence(F.lit(0), F.size("la") - 1), lambda k: la[k] == NONE)
     own = own.withColumn("wide", F.when(F.size("la") > 0, wide).otherwise(none))
     before = lambda k: F.when(k == 0, 0).otherwise(common[F.greatest(k - 1, F.lit(0))])
     own = own.withColumn("spans", F.transform("wide", lambda k: F.struct(before(k).alias("s"), (common[k] - before(k)).alias("n"))))
-    of = lambda at, g: F.coalesce(F.transform(F.array_remove(F.slice(at, g["s"] + 1, g["n"]), NONE), _id), none)
+    of = lambda at, g: F.coalesce(F.transform(F.array_remove(F.slice(at, g["s"] + 2, g["n"]), NONE), _id), none)
     own = own.select("doc_id", "n_a", "n_b", "la", "lb", F.size("wide").alias("n_wide"), F.transform("spans", lambda g: F.struct(of(a_at, g).alias("a"), of(b_at, g).alias("b"))).alias("groups"))
 
     cross = lambda g: F.coalesce(F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: _code(x, y)))), numbers)
     # codes from NONE are negative: they are the first when sorted
     codes = F.sort_array(F.concat(F.transform("la", lambda x, k: _code(x, lb[k])), F.coalesce(F.flatten(F.transform("groups", cross)), numbers)))
     # as Spark prints them: [{1, 2}, {-1, 5}, {3, 4}] and [{[6, 7], [5]}]
-    pairs = F.translate(F.replace(F.arrays_zip("la", "lb").cast("string"), F.lit("}, {"), F.lit(";")), ",[]{} ", "|")
-    rest = F.replace(F.replace(F.col("groups").cast("string"), F.lit("]}, {["), F.lit(";")), F.lit("], ["), F.lit("|"))
-    rest = F.split(F.translate(rest, "[]{} ", ""), ";")
+    put = lambda text, *changes: reduce(lambda t, c: F.replace(t, F.lit(c[0]), F.lit(c[1])), changes, text)
+    pairs = put(F.arrays_zip("la", "lb").cast("string"), ("}, {", ";"), (", ", "|"), ("[{", ""), ("}]", ""))
+    rest = F.split(put(F.col("groups").cast("string"), ("]}, {[", ";"), ("], [", "|"), (", ", ","), ("[{[", ""), ("]}]", ""), ("[]", "")), ";")
     text = F.array_join(F.zip_with(F.split(pairs, rf"{NONE}\|[0-9]+"), rest, lambda p, g: F.concat(p, F.coalesce(g, F.lit("")))), "")
     own = own.select(
         "doc_id", "n_a", "n_b", F.size("la").alias("n_groups"), F.size("lb"), F.when(F.size("la") > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256"),
         F.slice(codes, F.col("n_wide") + 1, F.size("la") + F.aggregate("groups", F.lit(0), lambda n, g: n + F.size(g["a"]) * F.size(g["b"]))).alias("links"),
     )
-    links = F.col("links")
-    ends = F.filter(F.sequence(F.lit(1), F.size("links")), lambda i: (i == F.size("links")) | (links[i - 1] != F.get(links, i)))
-    own = own.withColumn("ends", F.when(F.size("links") > 0, ends).otherwise(none))
+    # with one more in front and behind that equal none, so that the links are places 1 to their number
+    edge = F.array(F.lit(-1).cast("long"))
+    own = own.withColumn("links", F.concat(edge, "links", edge))
+    links, n_links = F.col("links"), F.size("links") - 2
+    ends = F.filter(F.sequence(F.lit(1), n_links), lambda i: links[i] != links[i + 1])
+    own = own.withColumn("ends", F.when(n_links > 0, ends).otherwise(none))
     long = lambda c: F.col(c).cast("long").alias(c)
     return own.select(
-        "doc_id", long("n_a"), long("n_b"), long("n_groups"), F.size("links").cast("long").alias("n_links"), "groups_sha256",
-        F.transform("ends", lambda i: links[i - 1]).alias("codes"), F.transform("ends", lambda i, j: F.when(j == 0, i).otherwise(i - F.col("ends")[F.greatest(j - 1, F.lit(0))])).alias("times"),
+        "doc_id", long("n_a"), long("n_b"), long("n_groups"), n_links.cast("long").alias("n_links"), "groups_sha256",
+        F.transform("ends", lambda i: links[i]).alias("codes"), F.transform("ends", lambda i, j: F.when(j == 0, i).otherwise(i - F.col("ends")[F.greatest(j - 1, F.lit(0))])).alias("times"),
     )
 
 
