@@ -22,7 +22,6 @@ and text are ignored. No rows give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +90,7 @@ def aligned(tokens_of: DataFrame) -> DataFrame:
 
     Every column that a lambda reads is read a second time in its select, at least by size(): else the optimizer would move
     its expression into the lambda, where every element would repeat it."""
-    a_at, b_at, common, la, lb = map(F.col, ("a_at", "b_at", "common", "la", "lb"))
+    a_at, b_at, common, la = map(F.col, ("a_at", "b_at", "common", "la"))
     none, numbers = F.array().cast("array<int>"), F.array().cast("array<bigint>")
     own = tokens_of.withColumn("common", F.array_intersect("a_ends", "b_ends"))
     # the last tokens of each group; la: NONE where they are not all of it
@@ -109,12 +108,12 @@ def aligned(tokens_of: DataFrame) -> DataFrame:
 
     cross = lambda g: F.coalesce(F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: _code(x, y)))), numbers)
     # codes from NONE are negative: they are the first when sorted
-    codes = F.sort_array(F.concat(F.transform("la", lambda x, k: _code(x, lb[k])), F.coalesce(F.flatten(F.transform("groups", cross)), numbers)))
-    # as Spark prints them: [{1, 2}, {-1, 5}, {3, 4}] and [{[6, 7], [5]}]
-    put = lambda text, *changes: reduce(lambda t, c: F.replace(t, F.lit(c[0]), F.lit(c[1])), changes, text)
-    pairs = put(F.arrays_zip("la", "lb").cast("string"), ("}, {", ";"), (", ", "|"), ("[{", ""), ("}]", ""))
-    rest = F.split(put(F.col("groups").cast("string"), ("]}, {[", ";"), ("], [", "|"), (", ", ","), ("[{[", ""), ("]}]", ""), ("[]", "")), ";")
-    text = F.array_join(F.zip_with(F.split(pairs, rf"{NONE}\|[0-9]+"), rest, lambda p, g: F.concat(p, F.coalesce(g, F.lit("")))), "")
+    codes = F.sort_array(F.concat(F.zip_with("la", "lb", _code), F.coalesce(F.flatten(F.transform("groups", cross)), numbers)))
+    # of groups of one pair each, `a|b`; the others, which are null here, are put in between
+    one = F.zip_with("la", "lb", lambda a, b: F.when(a != NONE, F.concat(a.cast("string"), F.lit("|"), b.cast("string"))))
+    listed = lambda x: F.array_join(x.cast("array<string>"), ",")
+    rest = F.transform("groups", lambda g: F.concat(listed(g["a"]), F.lit("|"), listed(g["b"])))
+    text = F.array_join(F.zip_with(F.split(F.array_join(one, ";", "#"), "#"), rest, lambda p, g: F.concat(p, F.coalesce(g, F.lit("")))), "")
     own = own.select(
         "doc_id", "n_a", "n_b", F.size("la").alias("n_groups"), F.size("lb"), F.when(F.size("la") > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256"),
         F.slice(codes, F.col("n_wide") + 1, F.size("la") + F.aggregate("groups", F.lit(0), lambda n, g: n + F.size(g["a"]) * F.size(g["b"]))).alias("links"),
