@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decidra.llm.common import cut, plain_text, running, slices, small_batches, spread, table
+from decidra.llm.common import cut, lean, plain_text, running, slices, small_batches, spread, table
 from decidra.llm.tokens import END, TEXT_BYTES, ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -339,7 +339,7 @@ def slots(plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 def token_pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None) -> DataFrame:
     """The pieces of every row of docs: doc_id, piece, start, length, ids_crc32."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2 * TEXT_BYTES)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ids(vocabulary)
@@ -355,8 +355,9 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None =
                         column.append(x)
                     start, piece = end, piece + 1
             yield pa.record_batch([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(out)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        bpe.forget()
 
-    return docs.select(F.col("doc_id").cast("long"), plain_text().alias("text")).mapInArrow(cut_up, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), plain_text().alias("text")).mapInArrow(lean(cut_up), PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:

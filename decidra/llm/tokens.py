@@ -17,8 +17,8 @@ import regex
 
 #: The id after each document.
 END = 0
-#: Bytes of distinct pretokens whose ids a worker keeps; with their dictionary they take about ten times as much.
-KEPT_BYTES = 4 << 20
+#: Bytes of distinct pretokens whose ids a task keeps; with their dictionary they take about twenty times as much.
+KEPT_BYTES = 1 << 20
 #: Bytes of text whose ids are made at once: the arrays take about 60 bytes for each.
 TEXT_BYTES = 1 << 20
 
@@ -78,10 +78,13 @@ def pretokens(code: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Ids:
-    """Token ids of texts. Keeps the ids of pretokens seen before, up to KEPT_BYTES."""
+    """Token ids of texts. Keeps the ids of pretokens seen before, up to KEPT_BYTES, until forget()."""
 
     def __init__(self, path: str | None = None):
         self.bpe = encoder(path)
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
@@ -129,8 +132,7 @@ class Ids:
         new = [w for w in distinct if w not in self.known]
         size = sum(map(len, new))
         if self.known and self.held + size > KEPT_BYTES:
-            self.known.clear()
-            self.used = self.held = 0
+            self.forget()
             new, size = distinct, len(data)
         self.held += size
         self._learn(new)
@@ -151,8 +153,7 @@ class PieceIds(Ids):
 
     def __init__(self, path: str | None = None):
         self.pieces, self.bytes_of = piece_model(path)
-        self.known, self.used, self.held = {}, 0, 0
-        self.flat, self.start = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.forget()
 
     def begins(self, code: np.ndarray, first: np.ndarray) -> np.ndarray:
         space = code == 32
