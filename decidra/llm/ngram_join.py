@@ -35,9 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decidra.llm.common import cut, plain_text, slices, small_batches, table
+from decidra.llm.common import cut, lean, plain_text, slices, small_batches, table
 from decidra.llm.components import components
 
+#: Bytes of text whose sets a task makes at once: with the arrays of their words they take about 25 times as much.
+BATCH_BYTES = 2 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
 
@@ -111,7 +113,7 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
             yield pa.record_batch({k: batch[k] for k in names} | {"n_shingles": pa.array(sizes, pa.int64()), "set_id": pa.array(ids, pa.int64()), "check": pa.array(checks, pa.int64())})
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    return docs.mapInArrow(name, ", ".join([*kinds, "n_shingles long, set_id long, check long"]))
+    return docs.mapInArrow(lean(name), ", ".join([*kinds, "n_shingles long, set_id long, check long"]))
 
 
 def representatives(named: DataFrame) -> DataFrame:
@@ -216,10 +218,10 @@ def shared_counts(docs: DataFrame, n: int, t: int) -> DataFrame:
                 ids, times = np.unique(owner[found], return_counts=True)
                 yield _counts(ids, times, buckets)
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, ids binary, sizes binary, counts binary, grams binary, many binary")
+    dealt = docs.select("text").mapInArrow(lean(deal), "bucket int, ids binary, sizes binary, counts binary, grams binary, many binary")
     # sorted by Spark, which spills: a task holds one bucket at a time
-    counted = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "bucket int, ids binary, counts binary")
-    return counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(total, "set_id long, shared long")
+    counted = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(count), "bucket int, ids binary, counts binary")
+    return counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(total), "set_id long, shared long")
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -297,7 +299,7 @@ def ordered_sets(docs: DataFrame, chosen: DataFrame, n: int, t: int) -> DataFram
 
     a, b = _places(26)
     wanted = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).select("doc_id", "text", a.alias("a"), b.alias("b"))
-    own = wanted.mapInArrow(sets, "doc_id long, set_id long, check long, n long, bits array<long>, grams array<long>").join(chosen, ["doc_id", "set_id", "check"])
+    own = wanted.mapInArrow(lean(sets), "doc_id long, set_id long, check long, n long, bits array<long>, grams array<long>").join(chosen, ["doc_id", "set_id", "check"])
     own = cut(own.select("node", "n", "bits", "grams"), "op5-sets")
     each = own.select("node", "n", "bits", F.explode("grams").alias("gram"))
     often = each.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1").select("gram", F.floor(F.log2("df")).cast("int").alias("class"))
@@ -407,7 +409,7 @@ def near_components(sets: DataFrame, t: int, rounds: int = 8) -> DataFrame | Non
 def ngram_join(docs: DataFrame, n: int = 5, t: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, set_id, component (a number that its sets share), component_id, and the columns in `carry`, for
     every row of docs; links at 100 * intersection >= t * union."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_BYTES)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
     named = cut(classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, plain_text().alias("text")), n), "op5-classes")
     reps = cut(representatives(named), "op5-reps")

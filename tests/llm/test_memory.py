@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 pytest.importorskip("decidra.llm")
-from decidra.llm import common, packing, tokens  # noqa: E402
+from decidra.llm import common, ngram_join, packing, tokens  # noqa: E402
 
 
 @pytest.mark.parametrize("kind", [tokens.Ids, tokens.PieceIds])
@@ -48,7 +48,7 @@ def test_freed_memory_goes_back():
 
 def test_batches_of_texts_are_small(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g")], "doc_id long, text string")
-    for run in (packing.pack_documents,):
+    for run in (ngram_join.ngram_join, packing.pack_documents):
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
         assert run(docs).count() == 2
         assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2 << 20
