@@ -5,10 +5,10 @@ byte offsets where tokens end, and an array over the offsets with the token that
 follows is higher-order functions and joins:
 
 1. `array_intersect` of the two end arrays gives the offsets where tokens of both end: these cut the tokens into groups. Where
-   the two tokens that end there are equally long, the group is these two: `transform` looks them up, one element a group.
+   the two tokens that end there are equally long, the group is these two: `transform` makes their code, one element a group.
    The other groups (an eighth or so) are cut out of the byte arrays by `sequence`, `filter` and `slice`.
-2. The links of a text are all pairs of ids across a group, as codes in one array; equal codes become one with its number.
-   The text's small columns and its codes are written once.
+2. The links of a text are all pairs of ids across a group, as codes in one array. The text's small columns and its codes are
+   written once.
 3. A pair's count is the number of rows that hold its code, its A id's highest count is a maximum over that. Both are added up
    in each task before they are shuffled. The table of pairs is joined back to the codes: broadcast if it has at most
    `most_pairs` rows, which is counted first (some 100 bytes each in memory), else by a shuffle of both sides, with the same rows.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from decidra.llm import tokens
-from decidra.llm.common import cut, plain_text, slices, small_batches, table
+from decidra.llm.common import cut, lean, plain_text, slices, small_batches, table
 
 _INTS = T.ArrayType(T.IntegerType(), False)
 TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, _INTS, False) for c in ("a_ends", "a_at", "b_ends", "b_at"))])
@@ -70,9 +70,11 @@ def tokenised(docs: DataFrame, path_a: str | None = None, path_b: str | None = N
                 at[ends + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))] = ids | (sizes[ids] << SHIFT)
                 columns += [_lists(ends - np.repeat(first[:-1], np.diff(bounds)), bounds), _lists(at, places)]
             yield pa.record_batch(columns, names=TOKENS.names)
+        one.forget()
+        other.forget()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
-    return own.mapInArrow(work, TOKENS)
+    return own.mapInArrow(lean(work), TOKENS)
 
 
 def _id(token: F.Column) -> F.Column:
@@ -86,54 +88,39 @@ def _code(a: F.Column, b: F.Column) -> F.Column:
 
 
 def aligned(tokens_of: DataFrame) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, codes (distinct, ascending) and times of each row of tokenised().
+    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and links (a code each, ascending) of each row of tokenised().
 
     Every column that a lambda reads is read a second time in its select, at least by size(): else the optimizer would move
     its expression into the lambda, where every element would repeat it."""
-    a_at, b_at, common, la = map(F.col, ("a_at", "b_at", "common", "la"))
+    a_at, b_at, common, pair = map(F.col, ("a_at", "b_at", "common", "pair"))
     none, numbers = F.array().cast("array<int>"), F.array().cast("array<bigint>")
     own = tokens_of.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    # the last tokens of each group; la: NONE where they are not all of it
+    # of each group the code of its last tokens; NONE where they are not all of it
     alike = lambda e: a_at[e].bitwiseXOR(b_at[e]) < 1 << SHIFT  # equal lengths
-    own = own.select(
-        "doc_id", F.size("a_ends").alias("n_a"), F.size("b_ends").alias("n_b"), "a_at", "b_at", "common", F.transform("common", lambda e: F.when(alike(e), _id(a_at[e])).otherwise(NONE)).alias("la"),
-        F.transform("common", lambda e: _id(b_at[e])).alias("lb"),
-    )
-    wide = F.filter(F.sequence(F.lit(0), F.size("la") - 1), lambda k: la[k] == NONE)
-    own = own.withColumn("wide", F.when(F.size("la") > 0, wide).otherwise(none))
+    pairs = F.transform("common", lambda e: F.when(alike(e), _code(_id(a_at[e]), _id(b_at[e]))).otherwise(F.lit(NONE).cast("long")))
+    own = own.select("doc_id", F.size("a_ends").alias("n_a"), F.size("b_ends").alias("n_b"), "a_at", "b_at", "common", pairs.alias("pair"))
+    wide = F.filter(F.sequence(F.lit(0), F.size("pair") - 1), lambda k: pair[k] == NONE)
+    own = own.withColumn("wide", F.when(F.size("pair") > 0, wide).otherwise(none))
     before = lambda k: F.when(k == 0, 0).otherwise(common[F.greatest(k - 1, F.lit(0))])
     own = own.withColumn("spans", F.transform("wide", lambda k: F.struct(before(k).alias("s"), (common[k] - before(k)).alias("n"))))
     of = lambda at, g: F.coalesce(F.transform(F.array_remove(F.slice(at, g["s"] + 2, g["n"]), NONE), _id), none)
-    own = own.select("doc_id", "n_a", "n_b", "la", "lb", F.size("wide").alias("n_wide"), F.transform("spans", lambda g: F.struct(of(a_at, g).alias("a"), of(b_at, g).alias("b"))).alias("groups"))
+    own = own.select("doc_id", "n_a", "n_b", "pair", F.transform("spans", lambda g: F.struct(of(a_at, g).alias("a"), of(b_at, g).alias("b"))).alias("groups"))
 
     cross = lambda g: F.coalesce(F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: _code(x, y)))), numbers)
-    # codes from NONE are negative: they are the first when sorted
-    codes = F.sort_array(F.concat(F.zip_with("la", "lb", _code), F.coalesce(F.flatten(F.transform("groups", cross)), numbers)))
+    links = F.concat(F.array_remove("pair", F.lit(NONE).cast("long")), F.coalesce(F.flatten(F.transform("groups", cross)), numbers))
     # of groups of one pair each, `a|b`; the others, which are null here, are put in between
-    one = F.zip_with("la", "lb", lambda a, b: F.when(a != NONE, F.concat(a.cast("string"), F.lit("|"), b.cast("string"))))
+    one = F.transform("pair", lambda p: F.when(p != NONE, F.concat(F.shiftright(p, SHIFT).cast("string"), F.lit("|"), p.bitwiseAND((1 << SHIFT) - 1).cast("string"))))
     listed = lambda x: F.array_join(x.cast("array<string>"), ",")
     rest = F.transform("groups", lambda g: F.concat(listed(g["a"]), F.lit("|"), listed(g["b"])))
     text = F.array_join(F.zip_with(F.split(F.array_join(one, ";", "#"), "#"), rest, lambda p, g: F.concat(p, F.coalesce(g, F.lit("")))), "")
-    own = own.select(
-        "doc_id", "n_a", "n_b", F.size("la").alias("n_groups"), F.size("lb"), F.when(F.size("la") > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256"),
-        F.slice(codes, F.col("n_wide") + 1, F.size("la") + F.aggregate("groups", F.lit(0), lambda n, g: n + F.size(g["a"]) * F.size(g["b"]))).alias("links"),
-    )
-    # with one more in front and behind that equal none, so that the links are places 1 to their number
-    edge = F.array(F.lit(-1).cast("long"))
-    own = own.withColumn("links", F.concat(edge, "links", edge))
-    links, n_links = F.col("links"), F.size("links") - 2
-    ends = F.filter(F.sequence(F.lit(1), n_links), lambda i: links[i] != links[i + 1])
-    own = own.withColumn("ends", F.when(n_links > 0, ends).otherwise(none))
-    long = lambda c: F.col(c).cast("long").alias(c)
-    return own.select(
-        "doc_id", long("n_a"), long("n_b"), long("n_groups"), n_links.cast("long").alias("n_links"), "groups_sha256",
-        F.transform("ends", lambda i: links[i]).alias("codes"), F.transform("ends", lambda i, j: F.when(j == 0, i).otherwise(i - F.col("ends")[F.greatest(j - 1, F.lit(0))])).alias("times"),
-    )
+    long = lambda c, name: c.cast("long").alias(name)
+    own = own.select("doc_id", long(F.col("n_a"), "n_a"), long(F.col("n_b"), "n_b"), long(F.size("pair"), "n_groups"), F.when(F.size("pair") > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256"), F.sort_array(links).alias("links"))
+    return own.select("doc_id", "n_a", "n_b", "n_groups", long(F.size("links"), "n_links"), "groups_sha256", "links")
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
     """code, count (rows that hold it), best (no other B id has a higher count with its A id)."""
-    counts = cut(rows.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("count")), "op12-counts")
+    counts = cut(rows.select(F.explode(F.array_distinct("links")).alias("code")).groupBy("code").agg(F.count("*").alias("count")), "op12-counts")
     highest = counts.groupBy(F.shiftright("code", SHIFT).alias("a")).agg(F.max("count").alias("most"))
     return counts.withColumn("a", F.shiftright("code", SHIFT)).join(highest, "a").select("code", "count", (F.col("count") == F.col("most")).alias("best"))
 
@@ -144,10 +131,10 @@ def token_alignment(docs: DataFrame, path_a: str | None = None, path_b: str | No
     rows = cut(aligned(tokenised(docs, path_a, path_b)).withColumn("row", F.monotonically_increasing_id()), "op12-rows")
     pairs = cut(pair_counts(rows), "op12-pairs")
     few = pairs.count() <= most_pairs
-    each = rows.select("row", F.explode(F.arrays_zip("codes", "times")).alias("l")).select("row", F.col("l.codes").alias("code"), F.col("l.times").alias("times"))
+    each = rows.select("row", F.explode("links").alias("code"))
     joined = each.join(F.broadcast(pairs) if few else pairs.hint("merge"), "code")
-    sums = joined.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
-    back = rows.drop("codes", "times").join(sums, "row", "left")
+    sums = joined.groupBy("row").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+    back = rows.drop("links").join(sums, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return back.select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import base64
 import functools
-from collections.abc import Iterable
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -93,21 +93,22 @@ class Ids:
     def begins(self, code: np.ndarray, first: np.ndarray) -> np.ndarray:
         return pretokens(code, first)
 
-    def each(self, words: list[bytes]) -> Iterable[list[int]]:
-        return map(self.bpe._core_bpe.encode_single_piece, words)
+    def each(self, words: list[bytes]) -> list[list[int]]:
+        return list(map(self.bpe._core_bpe.encode_single_piece, words))
 
     def _learn(self, words: list[bytes]) -> None:
-        known = self.known
-        for word, ids in zip(words, self.each(words), strict=True):
-            k, end = len(known), self.used + len(ids)
-            if end > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            if k + 2 > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros(len(self.start), np.int64)])
-            self.flat[self.used : end] = ids
-            known[word] = k
-            self.start[k], self.start[k + 1] = self.used, end
-            self.used = end
+        found = self.each(words)
+        k, length = len(self.known), np.fromiter(map(len, found), np.int64, len(found))
+        end = self.used + int(length.sum())
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(self.flat), end - self.used), np.uint32)])
+        if k + len(words) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros(max(len(self.start), len(words) + 1), np.int64)])
+        self.flat[self.used : end] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, end - self.used)
+        self.start[k] = self.used
+        self.start[k + 1 : k + 1 + len(words)] = self.used + np.cumsum(length)
+        self.known.update(zip(words, range(k, k + len(words)), strict=True))
+        self.used = end
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of these texts (no nulls), one after the other, and where each text's ids begin (and the last end)."""
@@ -162,11 +163,13 @@ class PieceIds(Ids):
         new[first[first < len(code)]] = True
         return np.flatnonzero(new)
 
-    def each(self, words: list[bytes]) -> Iterable[list[int]]:
-        alone = self.pieces.piece_to_id("\u2581")
-        for word, ids in zip(words, self.pieces.encode([w[1:].decode() for w in words], num_threads=1), strict=True):
-            ids = ids or [alone]
-            yield ids if b"".join(map(self.bytes_of.__getitem__, ids)) == word else [self.pieces.unk_id()]
+    def each(self, words: list[bytes]) -> list[list[int]]:
+        alone, unknown, own = self.pieces.piece_to_id("\u2581"), self.pieces.unk_id(), self.bytes_of.__getitem__
+        found = [ids or [alone] for ids in self.pieces.encode([w[1:].decode() for w in words], num_threads=1)]
+        given = [b"".join(map(own, ids)) for ids in found]
+        if given != words:
+            found = [ids if x == word else [unknown] for ids, x, word in zip(found, given, words, strict=True)]
+        return found
 
 
 @functools.cache

@@ -101,3 +101,9 @@ def test_pieces_by_stretches_are_those_of_whole_texts():
     texts = [t for t in ODD if t and "▁" not in t] + ["".join(rng.choice("ab  eth\n.1é東'") for _ in range(rng.randrange(1, 80))) for _ in range(300)]
     ids, bounds = tokens.PieceIds().encode(pa.array([" " + t for t in texts]))
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [pieces.encode(t) for t in texts]
+
+
+def test_few_lambdas(spark):
+    # each is interpreted for every element
+    rows = token_alignment.aligned(spark.createDataFrame([], token_alignment.TOKENS))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction(") <= 12  # 19 before
