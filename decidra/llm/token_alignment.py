@@ -1,57 +1,73 @@
 """Alignment of two tokenizers' tokens, and corpus-wide counts of linked ids.
 
-Python tokenises (space and text by byte_bpe_50k, text by piece_bpe_32k, which adds the space itself) and gives, of each, the
-byte offsets where tokens end, and an array over the offsets with the token that ends there (its id and its length). All that
-follows is higher-order functions and joins:
-
-1. `array_intersect` of the two end arrays gives the offsets where tokens of both end: these cut the tokens into groups. Where
-   the two tokens that end there are equally long, the group is these two: `transform` makes their code, one element a group.
-   The other groups (an eighth or so) are cut out of the byte arrays by `sequence`, `filter` and `slice`.
-2. The links of a text are all pairs of ids across a group, as codes in one array. The text's small columns and its codes are
-   written once.
+1. Python tokenises (space and text by byte_bpe_50k, text by piece_bpe_32k, which adds the space itself) and cuts the tokens of
+   many texts at once into groups by array operations: both tokenizers' tokens end at offsets into the same bytes, and a group
+   ends where tokens of both end. It gives each text's groups as printed and its links, all pairs of ids across a group, as codes.
+2. The text's small columns and its codes are written once.
 3. A pair's count is the number of rows that hold its code, its A id's highest count is a maximum over that. Both are added up
    in each task before they are shuffled. The table of pairs is joined back to the codes: broadcast if it has at most
    `most_pairs` rows, which is counted first (some 100 bytes each in memory), else by a shuffle of both sides, with the same rows.
 
 Texts that are null or empty, or whose bytes the pieces do not give back (those with U+2581), have no tokens: zeros and an
 empty digest. A group of many tokens on both sides costs memory by its pairs of ids. Repeated rows count each, as do rows
-without doc_id. Very long texts are tokenised in full; a row holds two arrays over its bytes at once. Columns beyond doc_id
-and text are ignored. No rows give no rows.
+without doc_id. Very long texts are tokenised in full; a task holds the tokens and links of TEXT_BYTES of text, or of one longer
+text, at once. Columns beyond doc_id and text are ignored. No rows give no rows.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from decidra.llm import tokens
 from decidra.llm.common import cut, lean, plain_text, slices, small_batches, table
 
-_INTS = T.ArrayType(T.IntegerType(), False)
-TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, _INTS, False) for c in ("a_ends", "a_at", "b_ends", "b_at"))])
-#: A code is an A id, shifted by this, plus a B id; an array over bytes holds a length, shifted by this, plus an id.
+#: A code is an A id, shifted by this, plus a B id.
 SHIFT = 20
-NONE = -1
-
-
-def _lists(x: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int32()))
+TOKENS = "doc_id long, n_a long, n_b long, n_groups long, groups string, links array<bigint>"
+
+
+@functools.cache
+def _printed(size_a: int, size_b: int) -> pa.Array:
+    """Each A id with `,` and with `|` behind it, then each B id with `,` and with `;`."""
+    return pa.array([f"{i}{mark}" for n, marks in ((size_a, ",|"), (size_b, ",;")) for i in range(n) for mark in marks], pa.string())
+
+
+def groups(ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray, printed: pa.Array, size_a: int) -> tuple[np.ndarray, ...]:
+    """Of texts in a row, whose tokens end at these bytes: after which A and which B tokens groups end, the groups as printed
+    (a token each) and how many A tokens' links come before each A token, and the links (codes)."""
+    ends = np.zeros(max(ends_a[-1:].tolist(), default=0) + 1, np.uint8)
+    ends[ends_a] = 1
+    ends[ends_b] |= 2
+    last_a, last_b = ends[ends_a] == 3, ends[ends_b] == 3
+    stop_a, stop_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+    n_a, n_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+    # a group's A tokens stand behind all B tokens of the groups before, its B tokens behind its last A token
+    text = np.empty(len(ids_a) + len(ids_b), np.int32)
+    text[np.arange(len(ids_a)) + np.repeat(stop_b - n_b, n_a)] = 2 * ids_a.astype(np.int32) + last_a
+    text[np.arange(len(ids_b)) + np.repeat(stop_a, n_b)] = 2 * (ids_b.astype(np.int32) + size_a) + last_b
+    # each A token with the B tokens of its group
+    each = np.repeat(n_b, n_a)
+    upto = np.cumsum(each)
+    other = np.arange(len(ids_a) and upto[-1]) + np.repeat(np.repeat(stop_b - n_b, n_a) - (upto - each), each)
+    links = np.repeat(ids_a.astype(np.int64) << SHIFT, each) | ids_b[other]
+    return stop_a, stop_b, printed.take(pa.array(text)), np.concatenate([[0], upto]), links
 
 
 def tokenised(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
-    """doc_id, and of both tokenizers the byte offsets of the tokens' ends (ascending) and, for each offset from 0, the token
-    that ends there or NONE; no ends where the texts have no tokens."""
+    """doc_id, the numbers of A tokens, B tokens and groups, the groups as printed and the links (a code each, ascending); zeros
+    and nothing where the texts have no tokens."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, other = tokens.ids(path_a), tokens.piece_ids(path_b)
         size_a = np.array([len(one.bpe.decode_single_token_bytes(i)) for i in range(one.bpe.max_token_value + 1)], np.int64)
         size_b = np.array([len(x) for x in other.bytes_of], np.int64)
+        printed = _printed(len(size_a), len(size_b))
         for batch in slices(batches, most=tokens.TEXT_BYTES):
             text = pa.array([" " + t if t else "" for t in batch["text"].to_pylist()], pa.string())
             ids_b, bounds_b = other.encode(text)
@@ -60,16 +76,19 @@ def tokenised(docs: DataFrame, path_a: str | None = None, path_b: str | None = N
             if lost.any():
                 text = pa.array(["" if x else t for t, x in zip(text.to_pylist(), lost.tolist(), strict=True)], pa.string())
                 ids_b, bounds_b = other.encode(text)
-            columns = [batch["doc_id"]]
-            first = np.concatenate([[0], np.cumsum(pc.binary_length(text).to_numpy())]).astype(np.int64)
-            for ids, bounds, sizes in ((*one.encode(text), size_a), (ids_b, bounds_b, size_b)):
-                ends = np.cumsum(sizes[ids])
-                # a text's array has a place before its first byte, so the token that ends at offset e is at place e
-                places = first + np.arange(len(first))
-                at = np.full(places[-1], NONE, np.int32)
-                at[ends + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))] = ids | (sizes[ids] << SHIFT)
-                columns += [_lists(ends - np.repeat(first[:-1], np.diff(bounds)), bounds), _lists(at, places)]
-            yield pa.record_batch(columns, names=TOKENS.names)
+            ids_a, bounds_a = one.encode(text)
+            stop_a, _, words, upto, links = groups(ids_a, np.cumsum(size_a[ids_a]), ids_b, np.cumsum(size_b[ids_b]), printed, len(size_a))
+            # where texts begin among the groups, the printed bytes and the links
+            of_group = np.searchsorted(stop_a, bounds_a, "right")
+            at = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1][bounds_a + bounds_b] if len(words) else bounds_a
+            of_link = upto[bounds_a]
+            data = memoryview(words.buffers()[2] or b"")
+            lines = [str(data[a : b - 1], "ascii") if b > a else "" for a, b in zip(at.tolist(), at[1:].tolist())]
+            # in order within their texts
+            row = np.repeat(np.arange(batch.num_rows) << 2 * SHIFT, np.diff(of_link))
+            links = np.sort(links | row) & ((1 << 2 * SHIFT) - 1)
+            columns = [batch["doc_id"], *map(pa.array, map(np.diff, (bounds_a, bounds_b, of_group))), pa.array(lines, pa.string())]
+            yield pa.record_batch([*columns, pa.ListArray.from_arrays(pa.array(of_link, pa.int32()), pa.array(links))], names=["doc_id", "n_a", "n_b", "n_groups", "groups", "links"])
         one.forget()
         other.forget()
 
@@ -77,45 +96,10 @@ def tokenised(docs: DataFrame, path_a: str | None = None, path_b: str | None = N
     return own.mapInArrow(lean(work), TOKENS)
 
 
-def _id(token: F.Column) -> F.Column:
-    """The id of a token of an array over bytes. coalesce: to Spark, an element of an array may be missing, and arrays that
-    may hold nulls are sorted several times slower."""
-    return F.coalesce(token.bitwiseAND((1 << SHIFT) - 1), F.lit(0))
-
-
-def _code(a: F.Column, b: F.Column) -> F.Column:
-    return F.coalesce(F.shiftleft(a.cast("long"), SHIFT) + b, F.lit(0).cast("long"))
-
-
 def aligned(tokens_of: DataFrame) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and links (a code each, ascending) of each row of tokenised().
-
-    Every column that a lambda reads is read a second time in its select, at least by size(): else the optimizer would move
-    its expression into the lambda, where every element would repeat it."""
-    a_at, b_at, common, pair = map(F.col, ("a_at", "b_at", "common", "pair"))
-    none, numbers = F.array().cast("array<int>"), F.array().cast("array<bigint>")
-    own = tokens_of.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    # of each group the code of its last tokens; NONE where they are not all of it
-    alike = lambda e: a_at[e].bitwiseXOR(b_at[e]) < 1 << SHIFT  # equal lengths
-    pairs = F.transform("common", lambda e: F.when(alike(e), _code(_id(a_at[e]), _id(b_at[e]))).otherwise(F.lit(NONE).cast("long")))
-    own = own.select("doc_id", F.size("a_ends").alias("n_a"), F.size("b_ends").alias("n_b"), "a_at", "b_at", "common", pairs.alias("pair"))
-    wide = F.filter(F.sequence(F.lit(0), F.size("pair") - 1), lambda k: pair[k] == NONE)
-    own = own.withColumn("wide", F.when(F.size("pair") > 0, wide).otherwise(none))
-    before = lambda k: F.when(k == 0, 0).otherwise(common[F.greatest(k - 1, F.lit(0))])
-    own = own.withColumn("spans", F.transform("wide", lambda k: F.struct(before(k).alias("s"), (common[k] - before(k)).alias("n"))))
-    of = lambda at, g: F.coalesce(F.transform(F.array_remove(F.slice(at, g["s"] + 2, g["n"]), NONE), _id), none)
-    own = own.select("doc_id", "n_a", "n_b", "pair", F.transform("spans", lambda g: F.struct(of(a_at, g).alias("a"), of(b_at, g).alias("b"))).alias("groups"))
-
-    cross = lambda g: F.coalesce(F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: _code(x, y)))), numbers)
-    links = F.concat(F.array_remove("pair", F.lit(NONE).cast("long")), F.coalesce(F.flatten(F.transform("groups", cross)), numbers))
-    # of groups of one pair each, `a|b`; the others, which are null here, are put in between
-    one = F.transform("pair", lambda p: F.when(p != NONE, F.concat(F.shiftright(p, SHIFT).cast("string"), F.lit("|"), p.bitwiseAND((1 << SHIFT) - 1).cast("string"))))
-    listed = lambda x: F.array_join(x.cast("array<string>"), ",")
-    rest = F.transform("groups", lambda g: F.concat(listed(g["a"]), F.lit("|"), listed(g["b"])))
-    text = F.array_join(F.zip_with(F.split(F.array_join(one, ";", "#"), "#"), rest, lambda p, g: F.concat(p, F.coalesce(g, F.lit("")))), "")
-    long = lambda c, name: c.cast("long").alias(name)
-    own = own.select("doc_id", long(F.col("n_a"), "n_a"), long(F.col("n_b"), "n_b"), long(F.size("pair"), "n_groups"), F.when(F.size("pair") > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256"), F.sort_array(links).alias("links"))
-    return own.select("doc_id", "n_a", "n_b", "n_groups", long(F.size("links"), "n_links"), "groups_sha256", "links")
+    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and links (a code each, ascending) of each row of tokenised()."""
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    return tokens_of.select("doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), digest.alias("groups_sha256"), "links")
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -107,3 +108,26 @@ def test_few_lambdas(spark):
     # each is interpreted for every element
     rows = token_alignment.aligned(spark.createDataFrame([], token_alignment.TOKENS))
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction(") <= 12  # 19 before
+
+
+def test_no_lambdas(spark):
+    # 12 before: groups, links and their text are made by arrays of many texts at once
+    rows = token_alignment.aligned(spark.createDataFrame([], token_alignment.TOKENS))
+    assert "lambdafunction(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_groups_of_many_tokens_on_both_sides():
+    rng = random.Random(12)
+    for size in [*range(12), 200]:
+        # tokens of two or three bytes seldom end at the same byte
+        ends = [[*itertools.takewhile(lambda e: e < size, itertools.accumulate(rng.choice((2, 3)) for _ in range(size))), *[size] * (size > 0)] for _ in "ab"]
+        a, b = ([rng.randrange(300) for _ in x] for x in ends)
+        arrays = [np.array(x, np.int64) for x in (a, ends[0], b, ends[1])]
+        _, _, text, upto, links = token_alignment.groups(*arrays, token_alignment._printed(300, 400), 300)
+        shown, pairs, i, j = "", [], 0, 0
+        for c in sorted(set(ends[0]) & set(ends[1])):
+            k, m = ends[0].index(c) + 1, ends[1].index(c) + 1
+            shown += ",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])) + ";"
+            pairs += [(x << token_alignment.SHIFT) + y for x in a[i:k] for y in b[j:m]]
+            i, j = k, m
+        assert ("".join(text.to_pylist()), links.tolist(), upto[-1]) == (shown, pairs, len(pairs))
