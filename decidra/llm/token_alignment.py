@@ -38,25 +38,34 @@ def _printed(size_a: int, size_b: int) -> pa.Array:
     return pa.array([f"{i}{mark}" for n, marks in ((size_a, ",|"), (size_b, ",;")) for i in range(n) for mark in marks], pa.string())
 
 
-def groups(ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray, printed: pa.Array, size_a: int) -> tuple[np.ndarray, ...]:
-    """Of texts in a row, whose tokens end at these bytes: after which A and which B tokens groups end, the groups as printed
-    (a token each) and how many A tokens' links come before each A token, and the links (codes)."""
+def stops(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """After how many A tokens and how many B tokens each group ends. The tokens, of texts in a row, end at these bytes."""
     ends = np.zeros(max(ends_a[-1:].tolist(), default=0) + 1, np.uint8)
     ends[ends_a] = 1
     ends[ends_b] |= 2
-    last_a, last_b = ends[ends_a] == 3, ends[ends_b] == 3
-    stop_a, stop_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+    return np.flatnonzero(ends[ends_a] == 3) + 1, np.flatnonzero(ends[ends_b] == 3) + 1
+
+
+def shown(ids_a: np.ndarray, stop_a: np.ndarray, ids_b: np.ndarray, stop_b: np.ndarray, printed: pa.Array, size_a: int) -> pa.Array:
+    """The groups as printed, a token each: a group's A tokens stand behind all groups before, its B tokens behind these."""
+    words = np.empty(len(ids_a) + len(ids_b), np.int32)
+    for ids, own, others, skip in ((ids_a, stop_a, np.append(0, stop_b[:-1]), 0), (ids_b, stop_b, stop_a, size_a)):
+        last = np.zeros(len(ids), bool)
+        last[own - 1] = True
+        words[np.arange(len(ids)) + np.repeat(others[: len(own)], np.diff(own, prepend=0))] = 2 * (ids.astype(np.int32) + skip) + last
+    return printed.take(pa.array(words))
+
+
+def linked(ids_a: np.ndarray, stop_a: np.ndarray, ids_b: np.ndarray, stop_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links (codes), each A token with the B tokens of its group, and how many come before each A token and in all."""
     n_a, n_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
-    # a group's A tokens stand behind all B tokens of the groups before, its B tokens behind its last A token
-    text = np.empty(len(ids_a) + len(ids_b), np.int32)
-    text[np.arange(len(ids_a)) + np.repeat(stop_b - n_b, n_a)] = 2 * ids_a.astype(np.int32) + last_a
-    text[np.arange(len(ids_b)) + np.repeat(stop_a, n_b)] = 2 * (ids_b.astype(np.int32) + size_a) + last_b
-    # each A token with the B tokens of its group
     each = np.repeat(n_b, n_a)
-    upto = np.cumsum(each)
-    other = np.arange(len(ids_a) and upto[-1]) + np.repeat(np.repeat(stop_b - n_b, n_a) - (upto - each), each)
-    links = np.repeat(ids_a.astype(np.int64) << SHIFT, each) | ids_b[other]
-    return stop_a, stop_b, printed.take(pa.array(text)), np.concatenate([[0], upto]), links
+    upto = np.concatenate([[0], np.cumsum(each)])
+    other = np.repeat(np.repeat(stop_b - n_b, n_a) - upto[:-1], each)
+    other += np.arange(len(other))
+    links = np.repeat(ids_a.astype(np.int64) << SHIFT, each)
+    links |= ids_b[other]
+    return upto, links
 
 
 def tokenised(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
@@ -77,17 +86,21 @@ def tokenised(docs: DataFrame, path_a: str | None = None, path_b: str | None = N
                 text = pa.array(["" if x else t for t, x in zip(text.to_pylist(), lost.tolist(), strict=True)], pa.string())
                 ids_b, bounds_b = other.encode(text)
             ids_a, bounds_a = one.encode(text)
-            stop_a, _, words, upto, links = groups(ids_a, np.cumsum(size_a[ids_a]), ids_b, np.cumsum(size_b[ids_b]), printed, len(size_a))
+            stop_a, stop_b = stops(np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b]))
             # where texts begin among the groups, the printed bytes and the links
             of_group = np.searchsorted(stop_a, bounds_a, "right")
+            words = shown(ids_a, stop_a, ids_b, stop_b, printed, len(size_a))
             at = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1][bounds_a + bounds_b] if len(words) else bounds_a
-            of_link = upto[bounds_a]
             data = memoryview(words.buffers()[2] or b"")
-            lines = [str(data[a : b - 1], "ascii") if b > a else "" for a, b in zip(at.tolist(), at[1:].tolist())]
+            lines = pa.array([str(data[a : b - 1], "ascii") if b > a else "" for a, b in zip(at.tolist(), at[1:].tolist())], pa.string())
+            del words, data
+            upto, links = linked(ids_a, stop_a, ids_b, stop_b)
+            of_link = upto[bounds_a]
             # in order within their texts
-            row = np.repeat(np.arange(batch.num_rows) << 2 * SHIFT, np.diff(of_link))
-            links = np.sort(links | row) & ((1 << 2 * SHIFT) - 1)
-            columns = [batch["doc_id"], *map(pa.array, map(np.diff, (bounds_a, bounds_b, of_group))), pa.array(lines, pa.string())]
+            links |= np.repeat(np.arange(batch.num_rows) << 2 * SHIFT, np.diff(of_link))
+            links.sort()
+            links &= (1 << 2 * SHIFT) - 1
+            columns = [batch["doc_id"], *map(pa.array, map(np.diff, (bounds_a, bounds_b, of_group))), lines]
             yield pa.record_batch([*columns, pa.ListArray.from_arrays(pa.array(of_link, pa.int32()), pa.array(links))], names=["doc_id", "n_a", "n_b", "n_groups", "groups", "links"])
         one.forget()
         other.forget()

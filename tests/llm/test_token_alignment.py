@@ -122,8 +122,10 @@ def test_groups_of_many_tokens_on_both_sides():
         # tokens of two or three bytes seldom end at the same byte
         ends = [[*itertools.takewhile(lambda e: e < size, itertools.accumulate(rng.choice((2, 3)) for _ in range(size))), *[size] * (size > 0)] for _ in "ab"]
         a, b = ([rng.randrange(300) for _ in x] for x in ends)
-        arrays = [np.array(x, np.int64) for x in (a, ends[0], b, ends[1])]
-        _, _, text, upto, links = token_alignment.groups(*arrays, token_alignment._printed(300, 400), 300)
+        ids_a, ends_a, ids_b, ends_b = (np.array(x, np.int64) for x in (a, ends[0], b, ends[1]))
+        stop_a, stop_b = token_alignment.stops(ends_a, ends_b)
+        text = token_alignment.shown(ids_a, stop_a, ids_b, stop_b, token_alignment._printed(300, 400), 300)
+        upto, links = token_alignment.linked(ids_a, stop_a, ids_b, stop_b)
         shown, pairs, i, j = "", [], 0, 0
         for c in sorted(set(ends[0]) & set(ends[1])):
             k, m = ends[0].index(c) + 1, ends[1].index(c) + 1
