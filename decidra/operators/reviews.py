@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from decidra.functions.exchange import transfer
-from decidra.functions.scalars import collapse, normalized_score, strip_code_fence, trim
+from decidra.functions.scalars import collapse, score_number, strip_code_fence, trim, whole_score
 from decidra.schemas import CRITERION_LABELS, NO_EVIDENCE
 
 
@@ -82,11 +82,18 @@ def analyze(reviews: DataFrame, analyzer: Callable[[str, list[str]], str] = stub
     return lists.mapInPandas(run, f"product {lists.schema['product'].dataType.simpleString()}, analysis string")
 
 
-def normalized(analysis: Column) -> tuple[Column, Column]:
-    """An analysis' scores and reasons as maps over the fixed criteria."""
-    v = F.try_parse_json(strip_code_fence(analysis))
-    score = lambda k: normalized_score(F.try_variant_get(v, f"$.criterionScores.{k}", "variant"))
-    raw = lambda k: F.try_variant_get(v, f"$.criterionReasons.{k}", "variant")
-    reason = lambda k: F.when(F.schema_of_variant(raw(k)) == "STRING", trim(F.try_variant_get(raw(k), "$", "string"))).otherwise(NO_EVIDENCE)
-    build = lambda f: F.create_map(*(x for k in CRITERION_LABELS for x in (F.lit(k), f(k))))
-    return build(score), build(reason)
+def normalized(analyses: DataFrame, analysis: str = "analysis") -> DataFrame:
+    """The analyses' other columns, key, score, reason: a row for each analysis and fixed criterion, whatever the analysis says.
+
+    Every step is a select of its own, so a text is parsed once for all criteria: expressions in which one value stands in many
+    places (in maps and generators above all) would parse it anew for each of them."""
+    own = [c for c in analyses.columns if c != analysis]
+    criteria = "struct<" + ",".join(f"{k}:variant" for k in CRITERION_LABELS) + ">"
+    part = lambda name: F.try_variant_get(F.col("_v"), f"$.{name}", criteria).alias(f"_{name}")
+    parsed = analyses.select(*own, F.try_parse_json(strip_code_fence(F.col(analysis))).alias("_v"))
+    parts = parsed.select(*own, part("criterionScores"), part("criterionReasons"))
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.col(f"_criterionScores.{k}").alias("_score"), F.col(f"_criterionReasons.{k}").alias("_reason")) for k in CRITERION_LABELS))
+    each = parts.select(*own, F.inline(pairs))
+    reason = F.when(F.schema_of_variant("_reason") == "STRING", trim(F.try_variant_get(F.col("_reason"), "$", "string"))).otherwise(NO_EVIDENCE)
+    found = each.select(*own, "key", score_number(F.col("_score")).alias("_x"), reason.alias("reason"))
+    return found.select(*own, "key", whole_score(F.col("_x")).alias("score"), "reason")

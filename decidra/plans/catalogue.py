@@ -476,9 +476,7 @@ ANALYSES = [
 
 def normalize_scores(spark, d):
     rows = table(spark, d, "events").select("event_id", filled(ANALYSES, F.col("event_id"), F.get_json_object("props", "$.k")).alias("analysis"))
-    score, reason = reviews.normalized(F.col("analysis"))
-    each = rows.select("event_id", F.explode(F.map_zip_with(score, reason, lambda _, s, r: F.struct(s.alias("score"), r.alias("reason")))).alias("key", "v"))
-    return each.select("event_id", "key", "v.score", "v.reason")
+    return reviews.normalized(rows)
 
 
 def display_date(spark, d):

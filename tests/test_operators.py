@@ -238,3 +238,34 @@ def test_answers_of_odd_analyses(spark):
     assert got[5].summary == "s" and len({got[k].summary for k in (1, 2, 3)}) == 1 and got[3].best_for == []
     assert got[8].criteria[0].reason == "old" and got[5].criteria[0].reason == got[1].criteria[0].reason != "old"
     assert got[8].cautions[:1] == ["a"] and len(got[8].cautions) == 2
+
+
+def test_an_analysis_is_parsed_once(spark, sf):
+    from decidra.plans import catalogue
+
+    plan = catalogue.queries()["normalize_scores"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count("get_json_object") == len(catalogue.ANALYSES)
+
+
+def test_scores_of_odd_analyses(spark):
+    f = "`" * 3
+    texts = {
+        None: {}, "": {}, "[]": {}, "null": {}, '{"criterionScores": null}': {}, '{"criterionScores": "5", "criterionReasons": [1]}': {}, '{"criterionScores": {"noise": 1, "noise": 2}}': {}, f"{f}{f}": {},
+        '{"criterionScores": {"noise": 49.5, "Noise": 3, "drainage": -0.4, "value": 1e300}}': {"noise": 50.0, "drainage": 0.0, "value": 100.0},
+        f'{f}JSON{WIDE}\n{{"criterionScores": {{"noise": " 7.5{NBSP}", "value": "", "drainage": "0x1F", "portability": "1e999", "installation": "7 7"}}}}\n {f}': {"noise": 8.0, "value": 0.0, "drainage": 31.0, "portability": 100.0},
+        f'{f}\t{{"criterionScores": {{"noise": true, "value": false, "drainage": [1], "portability": {{}}}}, "criterionReasons": {{"noise": "{BOM} a  b{WIDE}", "value": 3}}}}{f}': {"noise": 1.0, "value": 0.0},
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, analysis string")
+    found = {}
+    for r in reviews.normalized(rows).collect():
+        found.setdefault(r.id, {})[r.key] = (r.score, r.reason)
+    assert len(found) == len(texts) and all(list(own) == list(reviews.CRITERION_LABELS) for own in found.values())
+    assert [{k: s for k, (s, _) in found[i].items() if s is not None} for i in range(len(texts))] == list(texts.values())
+    assert {(i, k): t for i, own in found.items() for k, (_, t) in own.items() if t != reviews.NO_EVIDENCE} == {(len(texts) - 1, "noise"): "a  b"}
+
+
+@pytest.mark.parametrize("text", [None, "", " ", "a", f" a{WIDE}b \t", f"{BOM}{NBSP} é ", "\u200b x\x1c", "\x0b\x0c\r\n한 글   ", "😀 "])
+def test_trim_takes_white_space_of_the_ends(spark, text):
+    import re
+
+    assert one(spark, text, "string", S.trim) == (text if text is None else re.sub(rf"\A[{S.WS}]+|[{S.WS}]+\Z", "", text))
