@@ -176,7 +176,7 @@ def first_messages_published(path: str, tag: str) -> Callable[[DataFrame, int],
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         first = first_messages(batch, tag)
-        done = _earlier(spark, path, number)
+        done = earlier(spark, path, number)
         if done is not None:
             first = first.join(done.select("product"), "product", "left_anti")
         first.write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -184,7 +184,7 @@ def first_messages_published(path: str, tag: str) -> Callable[[DataFrame, int],
     return write
 
 
-def _earlier(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+def earlier(spark: SparkSession, path: str, number: int) -> DataFrame | None:
     """What batches before this one have published."""
     from decidra.sources.versions import Folder
 

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,6 +192,56 @@ def test_analyses_follow_reviews_in_any_split(spark, tmp_path):
     assert {r["product"]: r["count"] for r in asked["many"]} == {"a": 4, "b": 1, "d": 7 - 1}
 
 
+def test_published_analyses_follow_reviews_in_any_split(spark, tmp_path):
+    from decidra.functions.scalars import WS
+    from decidra.streaming import analysis
+
+    rows = [("a", k, f"r{k % 7}") for k in range(12)] + [("b", 0, "  x  y "), ("b", 1, ""), ("b", 2, None), ("b", 3, "x y"), (None, 0, "nobody"), ("c", 0, " \u3000\n")] + [("d", k, f"{k} " * 3) for k in range(30)]
+    rows += [("e", None, "\ufefflast\u2028 of\x0ball "), ("e", 0, "first"), ("e", 2, "last of all"), ("e", 2, "\U0001f600"), ("e", 2, "\uffee"), ("e", 5, "first")]
+    schema = "product string, pos int, review string"
+    once = {}
+    for p, k, r in rows:
+        text = re.sub(f"[{WS}]+", " ", r or "").strip(" ")
+        if p and text:
+            once[p, text] = min(k or 0, once.get((p, text), 99))
+    for name, cuts in {"one": [100], "two": [3, 100], "many": [1, 2, 3, 7, 7, 9, 100]}.items():
+        at, low, seen = f"{tmp_path}/{name}", 0, []
+        for n, cut in enumerate(cuts):
+            spark.createDataFrame([r for r in rows if low <= (r[1] or 0) < cut], schema).repartition(3).write.parquet(f"{at}/in/part={n}")
+            low = cut
+            arrived = spark.readStream.schema(schema).parquet(f"{at}/in/part=*")
+            query = arrived.writeStream.foreachBatch(analysis.analyses_published(f"{at}/out", most=20)).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+            query.awaitTermination()
+            seen += [len(p["stateOperators"]) for p in query.recentProgress]
+        lists = {}
+        for (p, r), k in sorted(once.items(), key=lambda x: (x[1], x[0][1])):
+            lists.setdefault(p, []).append(r)
+        want = {p: (len(r[:20]), reviews.stub_analyzer(p, r[:20])) for p, r in lists.items()}
+        assert {r.product: (r.n, r.analysis) for r in analysis.latest(spark, f"{at}/out").collect()} == want and set(want) == {"a", "b", "d", "e"}
+        assert not any(seen)
+        out = spark.read.parquet(f"{at}/out")
+        if name == "many":  # an analysis only where something has changed; a review is kept once
+            assert {r["product"]: r["count"] for r in out.groupBy("product").count().collect()} == {"a": 4, "b": 1, "d": 7 - 1, "e": 2}
+            # the second batch again, with all that came later still there
+            shown = lambda: sorted(map(tuple, out.filter("batch = 1").collect()))
+            before = shown()
+            analysis.analyses_published(f"{at}/out", most=20)(spark.read.schema(schema).parquet(f"{at}/in/part=1"), 1)
+            out = spark.read.parquet(f"{at}/out")
+            assert shown() == before and before
+        kept = [(r.product, x) for r in out.collect() for x in r.added]
+        assert sorted(kept) == sorted((p, x) for p, r in lists.items() for x in r[:20])
+
+
+def test_analyses_of_many_products_keep_no_state_store(spark, sf):
+    import glob
+
+    at = f"{spark.conf.get('spark.checkpoint.dir')}/decidra/analyses-*"
+    old = set(glob.glob(at))
+    upkeep.queries()["stream_analyses"](spark, sf)
+    (own,) = set(glob.glob(at)) - old
+    assert glob.glob(f"{own}/state/offsets/*") and not glob.glob(f"{own}/state/state/*")
+
+
 # --- requests, lookups, dates
 
 
